@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, mixing, token_counts, urlrank
+from . import bpe, exact, mixing, substring, token_counts, urlrank
 
 WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
@@ -22,6 +22,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sized = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
@@ -56,6 +60,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+OP1_SQL = """
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws from documents),
+x as (select doc_id, p, md5(array_to_string(ws[p:p + 49], ' ')) as h from (select doc_id, ws, unnest(range(1, len(ws) - 48)) as p from w)),
+m as (select h, min(doc_id) as lo from x group by h having min(doc_id) < max(doc_id)),
+r as (select distinct doc_id, unnest(range(p, p + 50)) as i from x join m using (h) where lo < doc_id),
+g as (select doc_id, list(i) as gone from r group by doc_id),
+k as (select doc_id, list(ws[i] order by i) as kept from (select doc_id, ws, unnest(range(1, len(ws) + 1)) as i from w join g using (doc_id)) a anti join r using (doc_id, i) group by doc_id)
+select w.doc_id, len(ws)::bigint as n_words, coalesce(len(gone), 0)::bigint as n_removed,
+       sha256(array_to_string(case when gone is null then ws else coalesce(kept, []) end, ' ')) as kept_sha256
+from w left join g on w.doc_id = g.doc_id left join k on w.doc_id = k.doc_id
+"""
+
 OP2_SQL = f"""
 with d as (select doc_id, source, {WORDS}::bigint as size, md5('0:' || coalesce(doc_id::varchar, '')) as k from documents),
 s as (select source, sum(size)::bigint as source_size, [5.0, 2.0, 1.0][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int]::double as w from d group by source),
@@ -78,4 +94,4 @@ select doc_id, keep_id, n as group_size, doc_id is not distinct from keep_id as
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing_sources": OP2_SQL, "op3_url_filters": urlrank.filter_sql(), "op9_exact_dedup": OP9_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op2_mixing_sources": OP2_SQL, "op3_url_filters": urlrank.filter_sql(), "op9_exact_dedup": OP9_SQL}
