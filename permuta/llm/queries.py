@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, mixing, substring, token_counts, urlrank
+from . import bpe, exact, jaccard, mixing, substring, token_counts, urlrank
 
 WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
@@ -36,6 +36,10 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrank.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
