@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, jaccard, mixing, substring, token_counts, urlrank
+from . import annlinks, bpe, exact, jaccard, mixing, quality, substring, token_counts, toxicity, urlrank
+from .sampling import fold
 
 WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
@@ -36,6 +37,21 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrank.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op4_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annlinks.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False))
+    model = toxicity.fit_toxicity(docs, labels, ~held)
+    return judged(toxicity.score_toxicity(docs, model, ["doc_id"]), held)
+
+
+def judged(scored: DataFrame, held: Column) -> DataFrame:
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -59,8 +75,15 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(docs, F.col("doc_id") <= middle)
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False))
+    model = quality.fit_quality(docs, labels, ~held)
+    return judged(quality.score_quality(docs, model, ["doc_id"]), held)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()]
+    found = [v for k, v in globals().items() if k.startswith("op") and k[2].isdigit() and callable(v)]
     return {f.__name__: f for f in found}
 
 
