@@ -7,11 +7,15 @@ that can be similar enough, which are then compared shingle by shingle.
 
 A tree over all documents would look everywhere (long texts have near equal counts),
 so documents are first brought together by whole groups: if two sets differ in d
-shingles and there are more than d groups, some group is equal in both. Documents
-with an equal group are of one family; families are cut into leaves, every leaf has
-a tree of its own, and pairs of leaves are compared only where a family is not yet
-known to be one component. Documents already known to be linked through others are
-not compared again, so a family of near copies costs about one comparison each.
+shingles and there are more than d groups, some group is equal in both. A run is the
+documents with one equal group. Short runs give their pairs; long ones (a passage
+that many texts share, or many near copies) only tie each document to the smallest,
+and a pair can hide in long runs only if both its documents have more of them than
+there are groups to spare. Tied documents are one family; families are cut into
+leaves and every leaf has a tree of its own. Between leaves the pairs of short runs
+are compared, and for documents with too many long runs all leaves that are not yet
+one component. Documents already known to be linked through others are not compared
+again, so a family of near copies costs about one comparison each.
 """
 
 from __future__ import annotations
@@ -26,13 +30,14 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .shared import Words, binary_parts, materialize, mix, record, shuffle_parts, signed
-from .substring import unpack
+from .substring import packed_texts, unpack
 
 SHINGLE = 5
 PERCENT = 80
-GROUPS = 64
+GROUPS = 256
 FANOUT = 16
 LEAF = 128
+LONG_RUN = 32
 STEP = 1.5
 _SEED = np.uint64(0xA0761D6478BD642F)
 
@@ -66,8 +71,9 @@ def levels(most: int, percent: int = PERCENT, step: float = STEP) -> tuple[np.nd
     """Sizes at which levels begin, groups of each level, and how many empty groups it allows for.
 
     Two similar sets meet at the level of the larger. They differ in at most d shingles
-    there, so of d + 1 + spare groups more than ``spare`` are equal; sets with more
-    empty groups than that also sign their empty groups, so no pair is lost to them.
+    there, so of d + 1 + spare groups more than ``spare`` are equal. Half of the spare
+    ones may be empty in both; sets with more empty groups also sign those. The other
+    half may lie in long runs.
     """
     begins = [1]
     while begins[-1] <= most:
@@ -76,7 +82,7 @@ def levels(most: int, percent: int = PERCENT, step: float = STEP) -> tuple[np.nd
     top = np.append(begins[1:], np.ceil(begins[-1] * step).astype(int)) - 1
     # a + b - 2 * least_shared never exceeds this for a, b <= top
     d = (2 * top * (100 - percent)) // (100 + percent)
-    spare = np.where(d == 0, 0, 2 + d // 20)
+    spare = np.where(d == 0, 0, 2 + d // 10)
     return begins, d + 1 + spare, spare
 
 
@@ -107,7 +113,7 @@ def signatures(sets: np.ndarray, at: np.ndarray, percent: int = PERCENT) -> tupl
         owners.append(who)
         signed_.append(mix(total + mix(place) + (last - first).astype(np.uint64)))
         filled = np.bincount(who, minlength=len(n))
-        for i in np.flatnonzero((level >= 0) & (n > 0) & (groups[level] - filled > spare[level])):
+        for i in np.flatnonzero((level >= 0) & (n > 0) & (groups[level] - filled > spare[level] // 2)):
             empty = np.setdiff1d(np.arange(groups[level[i]], dtype=np.uint64), g[first][who == i])
             owners.append(np.full(len(empty), i))
             signed_.append(mix(mix(empty + (np.uint64(level[i]) << np.uint64(40))) ^ _SEED))
@@ -166,11 +172,8 @@ class Forest:
         return x
 
 
-def leaf_links(texts: list[bytes], label: np.ndarray, side: np.ndarray | None, percent: int, size: int) -> list[tuple[int, int]]:
-    """Pairs of positions that join all components among some texts; side: only pairs across the two sides.
-
-    Texts with one label are known to be connected.
-    """
+def leaf_links(texts: list[bytes], label: np.ndarray, percent: int, size: int) -> list[tuple[int, int]]:
+    """Pairs of positions that join all components among some texts; those with one label are known to be connected."""
     sets, at = [], [0]
     for _, _, data, offsets in binary_parts(pa.array(texts, pa.binary())):
         found, ends = shingle_sets(Words(data, offsets, lower=True), size)
@@ -186,7 +189,7 @@ def leaf_links(texts: list[bytes], label: np.ndarray, side: np.ndarray | None, p
         if not n[i]:
             continue
         for j in tree.near(points[i], int(n[i]), percent):
-            if i == j or (side is not None and side[i] == side[j]) or (n[j], j) > (n[i], i):
+            if i == j or (n[j], j) > (n[i], i):
                 continue
             a, b = forest.find(i), forest.find(j)
             if a == b:
@@ -216,15 +219,15 @@ def set_rows(docs: DataFrame, text: str, size: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, th bigint, n bigint, k1 bigint, k2 bigint")
 
 
-def signature_blocks(docs: DataFrame, text: str, size: int, percent: int, blocks: int) -> DataFrame:
-    """Signatures packed by block: the documents in it, how many signatures each has, and 40 bits of each."""
+def signature_blocks(texts: DataFrame, size: int, percent: int, blocks: int) -> DataFrame:
+    """Signatures of (doc_id, packed), packed by block: the documents in it, how many signatures each has, and 40 bits of each."""
     schema = pa.schema([("block", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("low", pa.binary()), ("high", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
             who, what = [], []
-            for row, end, data, offsets in binary_parts(batch.column(1)):
+            for row, end, data, offsets in binary_parts(pa.array(unpack(batch.column(1)), pa.binary())):
                 owner, found = signatures(*shingle_sets(Words(data, offsets, lower=True), size), percent)
                 who.append(row + owner)
                 what.append(found)
@@ -242,34 +245,66 @@ def signature_blocks(docs: DataFrame, text: str, size: int, percent: int, blocks
                     column.append(x)
             yield record(schema, *out)
 
-    rows = docs.where("doc_id is not null").select("doc_id", F.col(text).cast("binary").alias("_text"))
-    return rows.mapInArrow(run, "block int, ids binary, counts binary, low binary, high binary")
+    return texts.select("doc_id", "packed").mapInArrow(run, "block int, ids binary, counts binary, low binary, high binary")
+
 
+def block_pairs(blocks: DataFrame, long_run: int = LONG_RUN) -> DataFrame:
+    """What runs tell, as (a, b, n) with a > b.
 
-def block_pairs(blocks: DataFrame) -> DataFrame:
-    """(a, b): a document and the smallest one with a signature of its; together they connect every family."""
+    n = 0: two documents of a short run; n = -1: a document of a long run and its
+    smallest one; n > 0 and b null: a is in so many long runs.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = []
-        for x, c, low in zip(pdf["ids"], pdf["counts"], pdf["low"], strict=True):
+        for x, c in zip(pdf["ids"], pdf["counts"], strict=True):
             own = np.frombuffer(x, np.int64)
             ids.append(np.repeat(own, np.frombuffer(c, np.uint16 if len(c) == 2 * len(own) else np.uint32)))
         ids = np.concatenate(ids)
         what = np.frombuffer(b"".join(pdf["low"]), np.uint32).astype(np.uint64) | (np.frombuffer(b"".join(pdf["high"]), np.uint8).astype(np.uint64) << np.uint64(32))
-        order = np.argsort(what, kind="stable")
+        order = np.lexsort((ids, what))
         what, ids = what[order], ids[order]
+        new = np.append(True, (what[1:] != what[:-1]) | (ids[1:] != ids[:-1]))
+        what, ids = what[new], ids[new]
         cuts = np.flatnonzero(np.append(True, what[1:] != what[:-1]))
         length = np.diff(np.append(cuts, len(what)))
-        smallest = np.repeat(np.minimum.reduceat(ids, cuts), length)
-        use = (np.repeat(length, length) > 1) & (ids != smallest)
-        return pd.DataFrame({"a": ids[use], "b": smallest[use]}).drop_duplicates()
-
-    return blocks.groupBy("block").applyInPandas(run, "a bigint, b bigint")
-
-
-def families(pairs: DataFrame, rows: DataFrame, same: DataFrame) -> DataFrame:
+        first, held = np.repeat(cuts, length), np.repeat(length, length)
+        short, at = (held > 1) & (held <= long_run), np.arange(len(ids)) - first
+        one, two = [], []
+        for step in range(1, long_run):
+            later = np.flatnonzero(short & (at >= step))
+            if not len(later):
+                break
+            one.append(ids[later])
+            two.append(ids[later - step])
+        pairs = pd.DataFrame({"a": np.concatenate(one) if one else ids[:0], "b": np.concatenate(two) if two else ids[:0]}).drop_duplicates().assign(n=0)
+        long = held > long_run
+        ties = pd.DataFrame({"a": ids[long & (at > 0)], "b": ids[first][long & (at > 0)]}).drop_duplicates().assign(n=-1)
+        who, many = np.unique(ids[long], return_counts=True)
+        counts = pd.DataFrame({"a": who, "b": pd.array([None] * len(who), dtype="Int64"), "n": many})
+        return pd.concat([x.astype({"b": "Int64"}) for x in (pairs, ties, counts)])
+
+    found = blocks.groupBy("block").applyInPandas(run, "a bigint, b bigint, n bigint")
+    return found.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
+
+
+def crowded(found: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """Documents with more long runs than half of the groups to spare at their size."""
+    counts = found.where("b is null").select(F.col("a").alias("doc_id"), "n")
+    sized = materialize(counts.join(rows.groupBy("doc_id").agg(F.max("n").alias("size")), "doc_id"), "jaccard-crowded")
+    most = sized.agg(F.max("size")).first()[0]
+    if most is None:
+        return sized.select("doc_id")
+    begins, _, spare = levels(int(most), percent)
+    allowed = F.lit(0)
+    for at, s in zip(begins.tolist(), spare.tolist(), strict=True):
+        allowed = F.when(F.col("size") >= at, int(s) - int(s) // 2).otherwise(allowed)
+    return sized.where(F.col("n") > allowed).select("doc_id")
+
+
+def families(pairs: DataFrame, same: DataFrame) -> DataFrame:
     """(doc_id, family, leaf) of the one document that stands for each set, in families of two sets or more."""
-    labels = components(pairs.unionByName(same))
+    labels = components(pairs)
     members = labels.select(F.col("id").alias("doc_id"), F.col("component").alias("family")).join(same.select(F.col("a").alias("doc_id")), "doc_id", "left_anti")
     members = materialize(members, "jaccard-members")
     sizes = materialize(members.groupBy("family").agg(F.count("*").alias("size")).where("size > 1"), "jaccard-families")
@@ -283,12 +318,41 @@ def linked_in_leaves(texts: DataFrame, percent: int, size: int) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("doc_id").drop_duplicates("doc_id")
         ids = pdf["doc_id"].to_numpy()
-        found = leaf_links(unpack(pa.array(pdf["packed"], pa.binary())), ids, None, percent, size)
+        found = leaf_links(unpack(pa.array(pdf["packed"], pa.binary())), ids, percent, size)
         return pd.DataFrame({"a": ids[[i for i, _ in found]], "b": ids[[j for _, j in found]]}, dtype="int64")
 
     return texts.groupBy("family", "leaf").applyInPandas(run, "a bigint, b bigint")
 
 
+def point_table(texts: DataFrame, size: int) -> DataFrame:
+    """doc_id, number of shingles and count vector of (doc_id, packed)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("point", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, end, data, offsets in binary_parts(pa.array(unpack(batch.column(1)), pa.binary())):
+                sets, at = shingle_sets(Words(data, offsets, lower=True), size)
+                yield record(schema, batch.column(0).slice(row, end - row), np.diff(at), [x.tobytes() for x in count_vectors(sets, at)])
+
+    return texts.select("doc_id", "packed").mapInArrow(run, "doc_id bigint, n bigint, point binary")
+
+
+def possible_pairs(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose count vectors leave room for a link."""
+    of = lambda c: points.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("point").alias(f"p{c}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "nb", "pa", "pb")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int32).reshape(batch.num_rows, -1) for c in (4, 5))
+            keep = pa.array(np.minimum(one, two).sum(axis=1) >= least_shared(na, nb, percent))
+            yield record(schema, batch.column(0).filter(keep), batch.column(1).filter(keep))
+
+    return both.mapInArrow(run, "a bigint, b bigint")
+
+
 def linked_pairs(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
     """Which of the pairs (a, b) are links."""
     left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("packed").alias("pa")), "a")
@@ -299,7 +363,7 @@ def linked_pairs(pairs: DataFrame, texts: DataFrame, percent: int, size: int) ->
         for batch in batches:
             for row in range(0, batch.num_rows, 256):
                 part = batch.slice(row, 256)
-                keep = [bool(leaf_links([x, y], np.array([0, 1]), None, percent, size)) for x, y in zip(unpack(part.column(2)), unpack(part.column(3)), strict=True)]
+                keep = [bool(leaf_links([x, y], np.array([0, 1]), percent, size)) for x, y in zip(unpack(part.column(2)), unpack(part.column(3)), strict=True)]
                 keep = pa.array(keep, pa.bool_())
                 yield record(schema, part.column(0).filter(keep), part.column(1).filter(keep))
 
@@ -307,25 +371,32 @@ def linked_pairs(pairs: DataFrame, texts: DataFrame, percent: int, size: int) ->
 
 
 def linked_across(labelled: DataFrame, percent: int, size: int) -> DataFrame:
-    """Links between different leaves of the families that are not one component yet.
+    """Links between documents of one family and different components: doc_id, family, component, packed.
 
-    labelled: doc_id, family, leaf, component, packed. Leaves are regrouped so that most
-    hold one component; a pair of leaves is skipped where both are that component.
+    Components of more than a leaf are cut into tiles of their own, all others share
+    tiles; two tiles are compared unless both are of one large component.
     """
-    pieces = labelled.withColumn("tile", F.struct("component", "leaf"))
-    tiles = materialize(pieces.groupBy("family", "tile").agg(F.count("*").alias("held")), "jaccard-tiles")
+    sizes = materialize(labelled.groupBy("family", "component").agg(F.count("*").alias("held")), "jaccard-held")
+    small = sizes.where(F.col("held") <= LEAF).groupBy("family").agg(F.sum("held").alias("loose"))
+    spread = labelled.join(sizes, ["family", "component"]).join(small, "family", "left")
+    own = F.col("held") > LEAF
+    of = F.when(own, F.ceil(F.col("held") / LEAF)).otherwise(F.ceil(F.col("loose") / LEAF))
+    tile = F.struct(F.when(own, F.col("component")).alias("big"), F.pmod(F.xxhash64("doc_id"), of).alias("part"))
+    pieces = materialize(spread.select("family", tile.alias("tile"), "doc_id", "component", "packed"), "jaccard-pieces")
+    tiles = materialize(pieces.groupBy("family", "tile").agg(F.count("*").alias("rows")), "jaccard-tiles")
     other = tiles.select("family", F.col("tile").alias("other"))
-    pairs = tiles.select("family", "tile").join(other, "family").where("tile.component < other.component")
-    sides = pairs.select("family", "tile", "other", F.col("tile").alias("of"), F.lit(0).alias("side")).unionByName(pairs.select("family", "tile", "other", F.col("other").alias("of"), F.lit(1).alias("side")))
-    rows = sides.join(pieces.select("family", F.col("tile").alias("of"), "doc_id", "packed"), ["family", "of"])
+    loose = F.col("tile.big").isNull() | F.col("other.big").isNull()
+    pairs = tiles.select("family", "tile").join(other, "family").where((F.xxhash64("tile") <= F.xxhash64("other")) & (loose | (F.col("tile.big") != F.col("other.big"))))
+    sides = pairs.select("family", "tile", "other", F.explode(F.array_distinct(F.array("tile", "other"))).alias("of"))
+    rows = sides.join(pieces.select("family", F.col("tile").alias("of"), "doc_id", "component", "packed"), ["family", "of"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("doc_id").drop_duplicates("doc_id")
-        ids, side = pdf["doc_id"].to_numpy(), pdf["side"].to_numpy()
-        found = leaf_links(unpack(pa.array(pdf["packed"], pa.binary())), side, side, percent, size)
+        ids = pdf["doc_id"].to_numpy()
+        found = leaf_links(unpack(pa.array(pdf["packed"], pa.binary())), pdf["component"].to_numpy(), percent, size)
         return pd.DataFrame({"a": ids[[i for i, _ in found]], "b": ids[[j for _, j in found]]}, dtype="int64")
 
-    keyed = rows.select(F.xxhash64("family", "tile", "other").alias("key"), "doc_id", "side", "packed")
+    keyed = rows.select(F.xxhash64("family", "tile", "other").alias("key"), "doc_id", "component", "packed")
     return keyed.groupBy("key").applyInPandas(run, "a bigint, b bigint")
 
 
@@ -335,40 +406,54 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SHIN
     Documents link when percent * union <= 100 * intersection of their sets of ``size``
     lower-cased (A-Z) words; a text of fewer words is one shingle, one without words is
     empty and linked with nothing. component_id is the smallest doc_id reachable. Rows
-    that repeat a doc_id are one document with the sets of both; a null doc_id links with
+    that repeat a doc_id are compared together as one document; a null doc_id links with
     nothing and has no component.
     """
-    from .substring import packed_texts
-
     spark = docs.sparkSession
     rows = materialize(set_rows(docs, text, size), "jaccard-rows")
     real = rows.where("doc_id is not null and n > 0")
     sets = materialize(real.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("b"), F.count("*").alias("copies")).where("copies > 1"), "jaccard-sets")
     same = materialize(real.join(sets, ["n", "k1", "k2"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct(), "jaccard-same")
-    pairs = materialize(block_pairs(signature_blocks(docs, text, size, percent, shuffle_parts(spark))).distinct(), "jaccard-pairs")
-    leaves = families(pairs, rows, same)
+    alone = packed_texts(docs.where("doc_id is not null"), text).join(same.select(F.col("a").alias("doc_id")), "doc_id", "left_anti")
+    found = materialize(block_pairs(signature_blocks(alone, size, percent, shuffle_parts(spark))), "jaccard-found")
+    hard = materialize(crowded(found, rows, percent), "jaccard-hard")
+    pairs = found.where("b is not null and most = 0").select("a", "b")
+    ties = found.where("b is not null and most < 0").select("a", "b").join(hard.select(F.col("doc_id").alias("a")), "a", "left_semi")
+    pairs = materialize(pairs.unionByName(ties), "jaccard-pairs")
+    leaves = families(pairs, same)
     texts = packed_texts(docs, text).join(leaves, "doc_id").select("doc_id", "family", "size", "leaf", "packed")
     texts = materialize(texts, "jaccard-texts")
     links = materialize(same.unionByName(linked_in_leaves(texts, percent, size)), "jaccard-links")
+    labels = components(links)
     wide = leaves.where(F.col("size") > LEAF)
     if wide.isEmpty():
-        return labelled_rows(rows, components(links))
-    for across in (False, True):
+        return labelled_rows(rows, labels)
+    of = lambda c: known.select(F.col("doc_id").alias(c), F.col("component").alias(f"c{c}"))
+    points = point_table(texts.where(F.col("size") > LEAF), size)
+    pairs = materialize(possible_pairs(pairs, points, percent), "jaccard-possible")
+    # One pair for each two components first: most families of near copies become one by it.
+    for each in (False, True):
+        known = materialize(with_component(wide, labels), "jaccard-known")
+        tried = pairs.join(of("a"), "a").join(of("b"), "b").where("ca <> cb")
+        tried = tried.select("a", "b") if each else tried.groupBy("ca", "cb").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
+        tried = materialize(tried, "jaccard-tried")
+        if tried.isEmpty():
+            break
+        links = materialize(links.unionByName(linked_pairs(tried, texts, percent, size)), "jaccard-links")
         labels = components(links)
-        known = wide.join(labels.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        known = materialize(known, "jaccard-known")
-        open_ = materialize(known.groupBy("family").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("family"), "jaccard-open")
-        if open_.isEmpty():
-            return labelled_rows(rows, labels)
-        if across:
-            labelled = known.join(open_, "family").join(texts.select("doc_id", "packed"), "doc_id")
-            more = linked_across(labelled, percent, size)
-        else:
-            of = lambda c: known.select(F.col("doc_id").alias(c), F.col("component").alias(f"c{c}"))
-            tried = pairs.join(of("a"), "a").join(of("b"), "b").where("ca <> cb").groupBy("ca", "cb").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
-            more = linked_pairs(materialize(tried, "jaccard-tried"), texts, percent, size)
-        links = materialize(links.unionByName(more), "jaccard-links")
-    return labelled_rows(rows, components(links))
+    known = with_component(wide.join(hard, "doc_id", "left_semi"), labels)
+    known = materialize(known, "jaccard-known")
+    open_ = known.groupBy("family").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("family")
+    labelled = materialize(known.join(open_, "family"), "jaccard-open")
+    if labelled.isEmpty():
+        return labelled_rows(rows, labels)
+    across = linked_across(labelled.join(texts.select("doc_id", "packed"), "doc_id"), percent, size)
+    return labelled_rows(rows, components(materialize(links.unionByName(across), "jaccard-links")))
+
+
+def with_component(members: DataFrame, labels: DataFrame) -> DataFrame:
+    named = members.join(labels.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
+    return named.select(*members.columns, F.coalesce("component", "doc_id").alias("component"))
 
 
 def labelled_rows(rows: DataFrame, labels: DataFrame) -> DataFrame:
