@@ -43,11 +43,21 @@ def op4_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    held = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False))
+    held = held_out(F.col("doc_id"), 5, 0)
     model = toxicity.fit_toxicity(docs, labels, ~held)
     return judged(toxicity.score_toxicity(docs, model, ["doc_id"]), held)
 
 
+def held_out(doc_id: Column, folds: int, which: int) -> Column:
+    return F.coalesce(fold(doc_id, folds) == which, F.lit(False))
+
+
+def older_half(docs: DataFrame) -> Column:
+    """The older half of the range of ids is the snapshot, the newer half the incoming batch."""
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    return F.col("doc_id") <= ((low or 0) + (high or 0)) // 2
+
+
 def judged(scored: DataFrame, held: Column) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
@@ -68,16 +78,13 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The older half of the ids is the snapshot, the newer half the incoming batch."""
     docs = table(spark, sf_dir, "documents")
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    middle = ((low or 0) + (high or 0)) // 2
-    return exact.exact_dedup(docs, F.col("doc_id") <= middle)
+    return exact.exact_dedup(docs, older_half(docs))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    held = F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False))
+    held = held_out(F.col("doc_id"), 3, 1)
     model = quality.fit_quality(docs, labels, ~held)
     return judged(quality.score_quality(docs, model, ["doc_id"]), held)
 
