@@ -1 +1 @@
-"""Part of permuta."""
+"""Readers and writers of ballots, orders, features, result logs and models."""
