@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from . import ranking_queries
+from .fixtures import QUERIES, SQL, Query
 
-def queries():
-    return {}
+letter_language = ranking_queries.letter_language
 
 
-def oracle_sql():
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
