@@ -49,7 +49,7 @@ def error_rate(rows: DataFrame, predicted: str, label: str):
 def run_stats(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """n, mean, population deviation, minimum, maximum and standard error of runs."""
     v = F.col(value)
-    return rows.groupBy(*by).agg(F.count(v).alias("n"), F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_pop(v), 6).alias("std"), F.min(v).alias("least"), F.max(v).alias("most"), F.round(F.stddev_pop(v) / F.sqrt(F.count(v)), 6).alias("stderr"))
+    return rows.groupBy(*by).agg(F.count(v).alias("n"), F.round(F.avg(v), 10).alias("mean"), F.round(F.stddev_pop(v), 10).alias("std"), F.min(v).alias("least"), F.max(v).alias("most"), F.round(F.stddev_pop(v) / F.sqrt(F.count(v)), 10).alias("stderr"))
 
 
 def rank_agreement(a: DataFrame, b: DataFrame, key: str):

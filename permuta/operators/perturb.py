@@ -59,4 +59,4 @@ def degradation(results: DataFrame, level: str) -> DataFrame:
     """(dataset, method, level, error, lost): mean error at a level less that at level 0."""
     means = results.groupBy("dataset", "method", level).agg(F.avg("error").alias("error"))
     clean = means.where(F.col(level) == 0).select("dataset", "method", F.col("error").alias("_clean"))
-    return means.join(clean, ["dataset", "method"]).select("dataset", "method", level, F.round("error", 6).alias("error"), F.round(F.col("error") - F.col("_clean"), 6).alias("lost"))
+    return means.join(clean, ["dataset", "method"]).select("dataset", "method", level, F.round("error", 10).alias("error"), F.round(F.col("error") - F.col("_clean"), 10).alias("lost"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ranking_queries
+from . import ranking_queries, study_queries  # noqa: F401
 from .fixtures import QUERIES, SQL, Query
 
 letter_language = ranking_queries.letter_language

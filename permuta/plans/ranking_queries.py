@@ -403,7 +403,7 @@ def mean_displacement(spark: SparkSession, d: str) -> DataFrame:
     return distance.motions(*_pairs(spark, d), "id").groupBy("id").agg((F.sum(F.abs("motion")) / F.count("*")).alias("displacement"))
 
 
-@query("select l_returnflag, l_linestatus, count(l_tax) as n, round(avg(l_tax), 6) as mean, round(stddev_pop(l_tax), 6) as std, min(l_tax) as least, max(l_tax) as most, round(stddev_pop(l_tax) / sqrt(count(l_tax)), 6) as stderr from lineitem group by 1, 2")
+@query("select l_returnflag, l_linestatus, count(l_tax) as n, round(avg(l_tax), 10) as mean, round(stddev_pop(l_tax), 10) as std, min(l_tax) as least, max(l_tax) as most, round(stddev_pop(l_tax) / sqrt(count(l_tax)), 10) as stderr from lineitem group by 1, 2")
 def run_stats(spark: SparkSession, d: str) -> DataFrame:
     return consensus.run_stats(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], "l_tax")
 
