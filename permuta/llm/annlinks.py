@@ -255,7 +255,8 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, shards: int = SHA
     Two rows link where the cosine is ``least`` or more in double precision; rows of
     another length, and vectors that are null, zero or hold a null or non-finite
     component, link with nothing. Equal vectors link with each other, so rows that
-    repeat count as links too. A null vec_id gets no component and is not kept.
+    repeat count as links too. A row whose vec_id is null
+    has no links and no component and is not kept.
     """
     rows = materialize(vector_rows(vectors), "vectors")
     points = rows.where("vec is not null and vec_id is not null").groupBy("vec").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"))
@@ -309,4 +310,4 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, shards: int = SHA
     known = place.select("vec", "id", "n").join(counts, "id", "left").join(labels, "id", "left")
     known = materialize(known.select("vec", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component")).where("n_links > 0"), "vector-known")
     out = rows.join(known, "vec", "left").withColumn("component_id", F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id")))
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    return out.select("vec_id", F.when(F.col("vec_id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))

@@ -60,7 +60,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, iter
     start = materialize(start.where("seed > 0").select("kind", "host", F.col("seed").cast("double").alias("seed")), "url-seeds")
     rank = start.select("kind", "host", F.col("seed").alias("r"))
     for i in range(0 if weights.isEmpty() else iterations):
-        moved = weights.join(rank, (weights["kind"] == rank["kind"]) & (weights["src"] == rank["host"])).select(weights["kind"], F.col("dst").alias("host"), (F.col("r") * F.col("w") * damping).alias("x"))
+        moved = weights.join(rank.withColumnRenamed("host", "src"), ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("r") * F.col("w") * damping).alias("x"))
         rank = moved.unionByName(start.select("kind", "host", (F.col("seed") * (1 - damping)).alias("x"))).groupBy("kind", "host").agg(F.sum("x").alias("r"))
         if i % 5 == 4:
             rank = materialize(rank, "url-rank")
