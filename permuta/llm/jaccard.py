@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -249,10 +249,10 @@ def signature_blocks(texts: DataFrame, size: int, percent: int, blocks: int) ->
 
 
 def block_pairs(blocks: DataFrame, long_run: int = LONG_RUN) -> DataFrame:
-    """What runs tell, as (a, b, n) with a > b.
+    """What runs tell, as (a, b, n, tie) with a > b.
 
-    n = 0: two documents of a short run; n = -1: a document of a long run and its
-    smallest one; n > 0 and b null: a is in so many long runs.
+    n is how many short runs both are in, tie is 1 where b is the smallest of a long run
+    that a is in; with b null, n is how many long runs a is in.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -277,29 +277,49 @@ def block_pairs(blocks: DataFrame, long_run: int = LONG_RUN) -> DataFrame:
                 break
             one.append(ids[later])
             two.append(ids[later - step])
-        pairs = pd.DataFrame({"a": np.concatenate(one) if one else ids[:0], "b": np.concatenate(two) if two else ids[:0]}).drop_duplicates().assign(n=0)
+        pairs = pd.DataFrame({"a": np.concatenate(one) if one else ids[:0], "b": np.concatenate(two) if two else ids[:0]}).value_counts().rename("n").reset_index().assign(tie=0)
         long = held > long_run
-        ties = pd.DataFrame({"a": ids[long & (at > 0)], "b": ids[first][long & (at > 0)]}).drop_duplicates().assign(n=-1)
+        ties = pd.DataFrame({"a": ids[long & (at > 0)], "b": ids[first][long & (at > 0)]}).drop_duplicates().assign(n=0, tie=1)
         who, many = np.unique(ids[long], return_counts=True)
-        counts = pd.DataFrame({"a": who, "b": pd.array([None] * len(who), dtype="Int64"), "n": many})
+        counts = pd.DataFrame({"a": who, "b": pd.array([None] * len(who), dtype="Int64"), "n": many, "tie": 0})
         return pd.concat([x.astype({"b": "Int64"}) for x in (pairs, ties, counts)])
 
-    found = blocks.groupBy("block").applyInPandas(run, "a bigint, b bigint, n bigint")
-    return found.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
+    found = blocks.groupBy("block").applyInPandas(run, "a bigint, b bigint, n bigint, tie int")
+    return found.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("tie").alias("tie"))
 
 
-def crowded(found: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """Documents with more long runs than half of the groups to spare at their size."""
-    counts = found.where("b is null").select(F.col("a").alias("doc_id"), "n")
-    sized = materialize(counts.join(rows.groupBy("doc_id").agg(F.max("n").alias("size")), "doc_id"), "jaccard-crowded")
-    most = sized.agg(F.max("size")).first()[0]
-    if most is None:
-        return sized.select("doc_id")
-    begins, _, spare = levels(int(most), percent)
-    allowed = F.lit(0)
-    for at, s in zip(begins.tolist(), spare.tolist(), strict=True):
-        allowed = F.when(F.col("size") >= at, int(s) - int(s) // 2).otherwise(allowed)
-    return sized.where(F.col("n") > allowed).select("doc_id")
+def by_level(size: Column, begins: np.ndarray, values: np.ndarray) -> Column:
+    """The value of the level that a size falls in."""
+    out = F.lit(0)
+    for at, v in zip(begins.tolist(), values.tolist(), strict=True):
+        out = F.when(size >= at, int(v)).otherwise(out)
+    return out
+
+
+def candidates(found: DataFrame, rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) that can be links by sizes and shared runs, and the documents with too many long runs.
+
+    Groups that differ are at most as many as shingles that do, so a similar pair shares
+    a known number of groups; of these at most the spare ones are empty in both or in
+    long runs, unless both documents have more of those than their half of the spare.
+    Such documents also stay tied to the smallest one of their long runs.
+    """
+    sizes = materialize(rows.where("doc_id is not null").groupBy("doc_id").agg(F.max("n").alias("size")), "jaccard-sizes")
+    most = sizes.agg(F.max("size")).first()[0] or 1
+    begins, groups, spare = levels(int(most), percent)
+    long = found.where("b is null").select(F.col("a").alias("doc_id"), "n").join(sizes, "doc_id")
+    hard = long.where(F.col("n") > by_level(F.col("size"), begins, spare - spare // 2)).select("doc_id")
+    hard = materialize(hard, "jaccard-hard")
+    of = lambda c: sizes.join(hard.withColumn("hard", F.lit(True)), "doc_id", "left").select(F.col("doc_id").alias(c), F.col("size").alias(f"n{c}"), F.coalesce("hard", F.lit(False)).alias(f"h{c}"))
+    both = found.where("b is not null").join(of("a"), "a").join(of("b"), "b")
+    a, b = F.col("na"), F.col("nb")
+    large, small = F.greatest(a, b), F.least(a, b)
+    least = F.ceil((a + b) * percent / F.lit(100 + percent))
+    needed = by_level(large, begins, groups - spare) - (a + b - 2 * least)
+    crowd = F.col("ha") & F.col("hb")
+    near = (F.col("n") > 0) & (large * percent <= small * 100) & (crowd | (F.col("n") >= needed))
+    good = both.where(near | ((F.col("tie") > 0) & F.col("ha")))
+    return materialize(good.select("a", "b"), "jaccard-pairs"), hard
 
 
 def families(pairs: DataFrame, same: DataFrame) -> DataFrame:
@@ -324,35 +344,6 @@ def linked_in_leaves(texts: DataFrame, percent: int, size: int) -> DataFrame:
     return texts.groupBy("family", "leaf").applyInPandas(run, "a bigint, b bigint")
 
 
-def point_table(texts: DataFrame, size: int) -> DataFrame:
-    """doc_id, number of shingles and count vector of (doc_id, packed)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("point", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, end, data, offsets in binary_parts(pa.array(unpack(batch.column(1)), pa.binary())):
-                sets, at = shingle_sets(Words(data, offsets, lower=True), size)
-                yield record(schema, batch.column(0).slice(row, end - row), np.diff(at), [x.tobytes() for x in count_vectors(sets, at)])
-
-    return texts.select("doc_id", "packed").mapInArrow(run, "doc_id bigint, n bigint, point binary")
-
-
-def possible_pairs(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose count vectors leave room for a link."""
-    of = lambda c: points.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("point").alias(f"p{c}"))
-    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "nb", "pa", "pb")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int32).reshape(batch.num_rows, -1) for c in (4, 5))
-            keep = pa.array(np.minimum(one, two).sum(axis=1) >= least_shared(na, nb, percent))
-            yield record(schema, batch.column(0).filter(keep), batch.column(1).filter(keep))
-
-    return both.mapInArrow(run, "a bigint, b bigint")
-
-
 def linked_pairs(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
     """Which of the pairs (a, b) are links."""
     left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("packed").alias("pa")), "a")
@@ -416,10 +407,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SHIN
     same = materialize(real.join(sets, ["n", "k1", "k2"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct(), "jaccard-same")
     alone = packed_texts(docs.where("doc_id is not null"), text).join(same.select(F.col("a").alias("doc_id")), "doc_id", "left_anti")
     found = materialize(block_pairs(signature_blocks(alone, size, percent, shuffle_parts(spark))), "jaccard-found")
-    hard = materialize(crowded(found, rows, percent), "jaccard-hard")
-    pairs = found.where("b is not null and most = 0").select("a", "b")
-    ties = found.where("b is not null and most < 0").select("a", "b").join(hard.select(F.col("doc_id").alias("a")), "a", "left_semi")
-    pairs = materialize(pairs.unionByName(ties), "jaccard-pairs")
+    pairs, hard = candidates(found, rows, percent)
     leaves = families(pairs, same)
     texts = packed_texts(docs, text).join(leaves, "doc_id").select("doc_id", "family", "size", "leaf", "packed")
     texts = materialize(texts, "jaccard-texts")
@@ -429,14 +417,12 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SHIN
     if wide.isEmpty():
         return labelled_rows(rows, labels)
     of = lambda c: known.select(F.col("doc_id").alias(c), F.col("component").alias(f"c{c}"))
-    points = point_table(texts.where(F.col("size") > LEAF), size)
-    pairs = materialize(possible_pairs(pairs, points, percent), "jaccard-possible")
     # One pair for each two components first: most families of near copies become one by it.
     for each in (False, True):
         known = materialize(with_component(wide, labels), "jaccard-known")
         tried = pairs.join(of("a"), "a").join(of("b"), "b").where("ca <> cb")
-        tried = tried.select("a", "b") if each else tried.groupBy("ca", "cb").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
-        tried = materialize(tried, "jaccard-tried")
+        tried = tried.select("a", "b").exceptAll(done) if each else tried.groupBy("ca", "cb").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
+        done = tried = materialize(tried, "jaccard-tried")
         if tried.isEmpty():
             break
         links = materialize(links.unionByName(linked_pairs(tried, texts, percent, size)), "jaccard-links")
