@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .sampling import labelled_sample
 
 #: Labelled documents that the machine is fitted on, at most.
-SAMPLE = 4000
+SAMPLE = 3000
 LANDMARKS = 48
 LENGTH = 4
 DECAY = 0.5
@@ -162,12 +162,13 @@ def choose_landmarks(toxic: list[set[str]], clean: list[set[str]], most: int) ->
     def strings(bag: set[str]) -> set[str]:
         return {x for w in bag for m in windows(w)[:1] for x in [m, *(m[:k] for k in range(SHORTEST + 1, min(len(m), 11)))] if len(x) > SHORTEST}
 
-    bags = [strings(b) for b in toxic]
-    a, b = Counter(x for g in bags for x in g), Counter(x for g in map(strings, clean) for x in g)
-    odds = {x: np.log((n / len(toxic)) / ((b[x] + 0.5) / len(clean))) for x, n in a.items() if n >= SUPPORT}
+    a = Counter(x for g in map(strings, toxic) for x in g)
+    often = {x for x, n in a.items() if n >= SUPPORT}
+    b = Counter(x for g in map(strings, clean) for x in g & often)
+    odds = {x: np.log((a[x] / len(toxic)) / ((b[x] + 0.5) / len(clean))) for x in often}
     good = {x for x, o in odds.items() if o > 2.5}
     where = {x: set() for x in good}
-    for i, g in enumerate(bags):
+    for i, g in enumerate(map(strings, toxic)):
         for x in g & good:
             where[x].add(i)
     chosen, weight = [], np.ones(len(toxic))
@@ -210,7 +211,8 @@ def fit_sigmoid(margin: np.ndarray, y: np.ndarray, rounds: int = 200) -> tuple[f
 
 def fit(sample: pd.DataFrame, landmarks: int = LANDMARKS, rounds: int = 3) -> Model:
     """A model from (text, label) rows; with one class only, every score is that class's share."""
-    bags = [tokens_of(x) for x in sample["text"]]
+    one: dict[str, str] = {}
+    bags = [{one.setdefault(w, w) for w in tokens_of(x)} for x in sample["text"]]
     y = sample["label"].to_numpy() > 0 if len(sample) else np.zeros(0, bool)
     toxic, clean = [b for b, k in zip(bags, y, strict=True) if k], [b for b, k in zip(bags, y, strict=True) if not k]
     found = choose_landmarks(toxic, clean, landmarks) if toxic and clean else []
@@ -220,10 +222,17 @@ def fit(sample: pd.DataFrame, landmarks: int = LANDMARKS, rounds: int = 3) -> Mo
     gram = model.features(found).astype(np.float64)
     value, vector = np.linalg.eigh((gram + gram.T) / 2)
     whiten = vector @ np.diag(1 / np.sqrt(np.maximum(value, 0.05))) @ vector.T
-    words = sorted(set().union(*bags))
-    raw = model.token_features(words)
-    at = {w: i for i, w in enumerate(words)}
-    inside = [np.fromiter((at[w] for w in b), np.int64, len(b)) for b in bags]
+    # Most words match no landmark; all of those are row 0, a vector of zeros.
+    words = list(one)
+    some, rows = np.zeros(len(words), bool), [np.zeros((1, len(found)), np.float32)]
+    for lo in range(0, len(words), 1 << 14):
+        part = model.token_features(words[lo : lo + (1 << 14)])
+        hit = part.max(axis=1) > 0
+        some[lo : lo + len(hit)] = hit
+        rows.append(part[hit])
+    raw = np.concatenate(rows)
+    at = dict(zip(words, np.where(some, np.cumsum(some), 0).tolist(), strict=True))
+    inside = [np.unique(np.fromiter((at[w] for w in b), np.int64, len(b))) for b in bags]
     x = raw @ whiten
     bad = np.unique(np.concatenate([b for b, k in zip(inside, y, strict=True) if not k]))
     bad = bad[raw[bad].max(axis=1) > 0]
