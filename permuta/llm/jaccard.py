@@ -37,7 +37,7 @@ PERCENT = 80
 GROUPS = 256
 FANOUT = 16
 LEAF = 128
-LONG_RUN = 32
+LONG_RUN = 16
 STEP = 1.5
 _SEED = np.uint64(0xA0761D6478BD642F)
 
@@ -270,14 +270,19 @@ def block_pairs(blocks: DataFrame, long_run: int = LONG_RUN) -> DataFrame:
         length = np.diff(np.append(cuts, len(what)))
         first, held = np.repeat(cuts, length), np.repeat(length, length)
         short, at = (held > 1) & (held <= long_run), np.arange(len(ids)) - first
-        one, two = [], []
+        docs_in, index = np.unique(ids, return_inverse=True)
+        codes, many = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for step in range(1, long_run):
             later = np.flatnonzero(short & (at >= step))
             if not len(later):
                 break
-            one.append(ids[later])
-            two.append(ids[later - step])
-        pairs = pd.DataFrame({"a": np.concatenate(one) if one else ids[:0], "b": np.concatenate(two) if two else ids[:0]}).value_counts().rename("n").reset_index().assign(tie=0)
+            code, n = np.unique(index[later] * len(docs_in) + index[later - step], return_counts=True)
+            codes.append(code)
+            many.append(n)
+        code, where = np.unique(np.concatenate(codes), return_inverse=True)
+        n = np.bincount(where, weights=np.concatenate(many), minlength=len(code)).astype(np.int64)
+        size = max(1, len(docs_in))
+        pairs = pd.DataFrame({"a": docs_in[code // size] if len(code) else ids[:0], "b": docs_in[code % size] if len(code) else ids[:0], "n": n, "tie": 0})
         long = held > long_run
         ties = pd.DataFrame({"a": ids[long & (at > 0)], "b": ids[first][long & (at > 0)]}).drop_duplicates().assign(n=0, tie=1)
         who, many = np.unique(ids[long], return_counts=True)
@@ -406,7 +411,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SHIN
     sets = materialize(real.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("b"), F.count("*").alias("copies")).where("copies > 1"), "jaccard-sets")
     same = materialize(real.join(sets, ["n", "k1", "k2"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct(), "jaccard-same")
     alone = packed_texts(docs.where("doc_id is not null"), text).join(same.select(F.col("a").alias("doc_id")), "doc_id", "left_anti")
-    found = materialize(block_pairs(signature_blocks(alone, size, percent, shuffle_parts(spark))), "jaccard-found")
+    found = materialize(block_pairs(signature_blocks(alone, size, percent, 2 * shuffle_parts(spark))), "jaccard-found")
     pairs, hard = candidates(found, rows, percent)
     leaves = families(pairs, same)
     texts = packed_texts(docs, text).join(leaves, "doc_id").select("doc_id", "family", "size", "leaf", "packed")

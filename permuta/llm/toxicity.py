@@ -37,6 +37,8 @@ SHORTEST = 3
 SUPPORT = 8
 #: What a document that a landmark explains still counts for in the choice of further ones.
 EXPLAINED = 0.3
+#: Log odds from which a landmark is an example of its own.
+SURE = 5.0
 _INSIDE = re.compile(r"[^\w]+|_+")
 _SPACED = re.compile(r"(?<!\S)(?:\w[^\w\n]{1,3}){3,}\w(?!\S)")
 _CACHES: dict[str, dict[str, float]] = {}
@@ -156,19 +158,25 @@ class Model:
         return (1 / (1 + np.exp(-(self.slope * worst + self.offset)))).tolist()
 
 
-def choose_landmarks(toxic: list[set[str]], clean: list[set[str]], most: int) -> list[str]:
-    """Beginnings of words, and whole words, that mark toxic documents; documents explained by earlier ones count less."""
+def choose_landmarks(toxic: list[set[str]], clean: list[set[str]], most: int) -> dict[str, float]:
+    """Beginnings of words, and whole words, that mark toxic documents; documents explained by earlier ones count less. With their log odds."""
+    marked = [{windows(w)[0] for w in b} for b in toxic]
+    a = {x: n for x, n in Counter(m for b in marked for m in b).items() if n >= SUPPORT and len(x) > SHORTEST}
+    longer = None
+    for k in range(SHORTEST + 1, 11):
+        # A beginning is frequent only if every shorter one is.
+        counts = Counter(x for b in marked for x in {m[:k] for m in b if len(m) > k and (longer is None or m[: k - 1] in longer)})
+        longer = {x for x, n in counts.items() if n >= SUPPORT}
+        a |= {x: counts[x] for x in longer}
 
     def strings(bag: set[str]) -> set[str]:
-        return {x for w in bag for m in windows(w)[:1] for x in [m, *(m[:k] for k in range(SHORTEST + 1, min(len(m), 11)))] if len(x) > SHORTEST}
+        return {x for m in bag for x in (m, *(m[:k] for k in range(SHORTEST + 1, 11))) if x in a}
 
-    a = Counter(x for g in map(strings, toxic) for x in g)
-    often = {x for x, n in a.items() if n >= SUPPORT}
-    b = Counter(x for g in map(strings, clean) for x in g & often)
-    odds = {x: np.log((a[x] / len(toxic)) / ((b[x] + 0.5) / len(clean))) for x in often}
+    b = Counter(x for bag in clean for x in strings({windows(w)[0] for w in bag}))
+    odds = {x: np.log((a[x] / len(toxic)) / ((b[x] + 0.5) / len(clean))) for x in a}
     good = {x for x, o in odds.items() if o > 2.5}
     where = {x: set() for x in good}
-    for i, g in enumerate(map(strings, toxic)):
+    for i, g in enumerate(map(strings, marked)):
         for x in g & good:
             where[x].add(i)
     chosen, weight = [], np.ones(len(toxic))
@@ -178,13 +186,13 @@ def choose_landmarks(toxic: list[set[str]], clean: list[set[str]], most: int) ->
         chosen.append(best)
         weight[held.pop(best)] *= EXPLAINED
         held = {x: v for x, v in held.items() if not (x.startswith(best) or best.startswith(x))}
-    return chosen
+    return {x: odds[x] for x in chosen}
 
 
 def fit_machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 600, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weighted hinge loss with an L2 penalty, by full-batch Adam."""
     w, m, v = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
+    x = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float32)
     weight = weight / weight.sum()
     for i in range(1, rounds + 1):
         inside = y * (x @ w) < 1
@@ -215,34 +223,37 @@ def fit(sample: pd.DataFrame, landmarks: int = LANDMARKS, rounds: int = 3) -> Mo
     bags = [{one.setdefault(w, w) for w in tokens_of(x)} for x in sample["text"]]
     y = sample["label"].to_numpy() > 0 if len(sample) else np.zeros(0, bool)
     toxic, clean = [b for b, k in zip(bags, y, strict=True) if k], [b for b, k in zip(bags, y, strict=True) if not k]
-    found = choose_landmarks(toxic, clean, landmarks) if toxic and clean else []
+    odds = choose_landmarks(toxic, clean, landmarks) if toxic and clean else {}
+    found = list(odds)
     if not found:
         return Model(offset=float(y.mean()) if len(y) else 0.0)
     model = Model(found)
     gram = model.features(found).astype(np.float64)
     value, vector = np.linalg.eigh((gram + gram.T) / 2)
     whiten = vector @ np.diag(1 / np.sqrt(np.maximum(value, 0.05))) @ vector.T
-    # Most words match no landmark; all of those are row 0, a vector of zeros.
+    # Most words match no landmark by a tenth; all of those are row 0, a vector of zeros, while fitting.
     words = list(one)
     some, rows = np.zeros(len(words), bool), [np.zeros((1, len(found)), np.float32)]
     for lo in range(0, len(words), 1 << 14):
         part = model.token_features(words[lo : lo + (1 << 14)])
-        hit = part.max(axis=1) > 0
+        hit = part.max(axis=1) > 0.1
         some[lo : lo + len(hit)] = hit
         rows.append(part[hit])
     raw = np.concatenate(rows)
     at = dict(zip(words, np.where(some, np.cumsum(some), 0).tolist(), strict=True))
     inside = [np.unique(np.fromiter((at[w] for w in b), np.int64, len(b))) for b in bags]
-    x = raw @ whiten
+    x = raw @ whiten.astype(np.float32)
+    marks = (gram @ whiten).astype(np.float32)[np.array([odds[m] for m in found]) > SURE]
     bad = np.unique(np.concatenate([b for b, k in zip(inside, y, strict=True) if not k]))
     bad = bad[raw[bad].max(axis=1) > 0]
     lift = raw.max(axis=1)
     for _ in range(rounds):
         best = [b[np.argmax(lift[b])] for b, k in zip(inside, y, strict=True) if k and len(b)]
         best = [i for i in best if raw[i].max() > 0.3]
-        feats = np.vstack([x[best], x[bad], np.zeros((1, x.shape[1]))])
-        sign = np.concatenate([np.ones(len(best)), -np.ones(len(bad) + 1)])
-        share = np.concatenate([np.full(len(best), 0.5 / max(1, len(best))), np.full(len(bad) + 1, 0.5 / (len(bad) + 1))])
+        # A sure landmark may never be a witness beside stronger ones, so those are examples too.
+        feats = np.vstack([x[best], marks, x[bad], np.zeros((1, x.shape[1]))])
+        sign = np.concatenate([np.ones(len(best) + len(marks)), -np.ones(len(bad) + 1)])
+        share = np.concatenate([np.full(len(best), 0.35 / max(1, len(best))), np.full(len(marks), 0.15 / max(1, len(marks))), np.full(len(bad) + 1, 0.5 / (len(bad) + 1))])
         w, model.bias = fit_machine(feats, sign, share)
         lift = x @ w + model.bias
     model.weights = (whiten @ w).astype(np.float32)
