@@ -37,7 +37,7 @@ PERCENT = 80
 GROUPS = 256
 FANOUT = 16
 LEAF = 128
-LONG_RUN = 16
+LONG_RUN = 128
 STEP = 1.5
 _SEED = np.uint64(0xA0761D6478BD642F)
 
@@ -82,7 +82,7 @@ def levels(most: int, percent: int = PERCENT, step: float = STEP) -> tuple[np.nd
     top = np.append(begins[1:], np.ceil(begins[-1] * step).astype(int)) - 1
     # a + b - 2 * least_shared never exceeds this for a, b <= top
     d = (2 * top * (100 - percent)) // (100 + percent)
-    spare = np.where(d == 0, 0, 2 + d // 10)
+    spare = np.where(d == 0, 0, 2 + d // 2)
     return begins, d + 1 + spare, spare
 
 
@@ -220,15 +220,17 @@ def set_rows(docs: DataFrame, text: str, size: int) -> DataFrame:
 
 
 def signature_blocks(texts: DataFrame, size: int, percent: int, blocks: int) -> DataFrame:
-    """Signatures of (doc_id, packed), packed by block: the documents in it, how many signatures each has, and 40 bits of each."""
-    schema = pa.schema([("block", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("low", pa.binary()), ("high", pa.binary())])
+    """Signatures of (doc_id, packed), packed by block: the documents in it, their sizes, how many signatures each has, and 40 bits of each."""
+    schema = pa.schema([("block", pa.int32()), ("ids", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("low", pa.binary()), ("high", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            who, what = [], []
+            who, what, sizes = [], [], np.zeros(batch.num_rows, np.int32)
             for row, end, data, offsets in binary_parts(pa.array(unpack(batch.column(1)), pa.binary())):
-                owner, found = signatures(*shingle_sets(Words(data, offsets, lower=True), size), percent)
+                sets, at = shingle_sets(Words(data, offsets, lower=True), size)
+                sizes[row:end] = np.diff(at)
+                owner, found = signatures(sets, at, percent)
                 who.append(row + owner)
                 what.append(found)
             if not who or not sum(map(len, who)):
@@ -238,34 +240,36 @@ def signature_blocks(texts: DataFrame, size: int, percent: int, blocks: int) ->
             order = np.lexsort((who, block))
             who, what, block = who[order], what[order], block[order]
             cuts = np.flatnonzero(np.diff(block)) + 1
-            out = [[], [], [], [], []]
+            out = [[], [], [], [], [], []]
             for a, b in zip(np.append(0, cuts), np.append(cuts, len(block)), strict=True):
                 docs_in, counts = np.unique(who[a:b], return_counts=True)
-                for column, x in zip(out, (int(block[a]), ids[docs_in].tobytes(), counts.astype(np.uint16 if counts.max() < 65536 else np.uint32).tobytes(), what[a:b].astype(np.uint32).tobytes(), (what[a:b] >> np.uint64(32)).astype(np.uint8).tobytes()), strict=True):
+                for column, x in zip(out, (int(block[a]), ids[docs_in].tobytes(), sizes[docs_in].tobytes(), counts.astype(np.uint16 if counts.max() < 65536 else np.uint32).tobytes(), what[a:b].astype(np.uint32).tobytes(), (what[a:b] >> np.uint64(32)).astype(np.uint8).tobytes()), strict=True):
                     column.append(x)
             yield record(schema, *out)
 
-    return texts.select("doc_id", "packed").mapInArrow(run, "block int, ids binary, counts binary, low binary, high binary")
+    return texts.select("doc_id", "packed").mapInArrow(run, "block int, ids binary, sizes binary, counts binary, low binary, high binary")
 
 
-def block_pairs(blocks: DataFrame, long_run: int = LONG_RUN) -> DataFrame:
+def block_pairs(blocks: DataFrame, percent: int, long_run: int = LONG_RUN) -> DataFrame:
     """What runs tell, as (a, b, n, tie) with a > b.
 
-    n is how many short runs both are in, tie is 1 where b is the smallest of a long run
+    n is how many short runs both are in, if their sizes are close enough; tie is 1 where b is the smallest of a long run
     that a is in; with b null, n is how many long runs a is in.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = []
-        for x, c in zip(pdf["ids"], pdf["counts"], strict=True):
+        ids, width = [], []
+        for x, z, c in zip(pdf["ids"], pdf["sizes"], pdf["counts"], strict=True):
             own = np.frombuffer(x, np.int64)
-            ids.append(np.repeat(own, np.frombuffer(c, np.uint16 if len(c) == 2 * len(own) else np.uint32)))
-        ids = np.concatenate(ids)
+            times = np.frombuffer(c, np.uint16 if len(c) == 2 * len(own) else np.uint32)
+            ids.append(np.repeat(own, times))
+            width.append(np.repeat(np.frombuffer(z, np.int32), times))
+        ids, width = np.concatenate(ids), np.concatenate(width).astype(np.int64)
         what = np.frombuffer(b"".join(pdf["low"]), np.uint32).astype(np.uint64) | (np.frombuffer(b"".join(pdf["high"]), np.uint8).astype(np.uint64) << np.uint64(32))
         order = np.lexsort((ids, what))
-        what, ids = what[order], ids[order]
+        what, ids, width = what[order], ids[order], width[order]
         new = np.append(True, (what[1:] != what[:-1]) | (ids[1:] != ids[:-1]))
-        what, ids = what[new], ids[new]
+        what, ids, width = what[new], ids[new], width[new]
         cuts = np.flatnonzero(np.append(True, what[1:] != what[:-1]))
         length = np.diff(np.append(cuts, len(what)))
         first, held = np.repeat(cuts, length), np.repeat(length, length)
@@ -276,6 +280,8 @@ def block_pairs(blocks: DataFrame, long_run: int = LONG_RUN) -> DataFrame:
             later = np.flatnonzero(short & (at >= step))
             if not len(later):
                 break
+            x, y = width[later], width[later - step]
+            later = later[np.maximum(x, y) * percent <= np.minimum(x, y) * 100]
             code, n = np.unique(index[later] * len(docs_in) + index[later - step], return_counts=True)
             codes.append(code)
             many.append(n)
@@ -313,9 +319,9 @@ def candidates(found: DataFrame, rows: DataFrame, percent: int) -> tuple[DataFra
     most = sizes.agg(F.max("size")).first()[0] or 1
     begins, groups, spare = levels(int(most), percent)
     long = found.where("b is null").select(F.col("a").alias("doc_id"), "n").join(sizes, "doc_id")
-    hard = long.where(F.col("n") > by_level(F.col("size"), begins, spare - spare // 2)).select("doc_id")
+    hard = long.where(F.col("n") > by_level(F.col("size"), begins, spare - spare // 2)).select("doc_id", F.col("size").alias("width"))
     hard = materialize(hard, "jaccard-hard")
-    of = lambda c: sizes.join(hard.withColumn("hard", F.lit(True)), "doc_id", "left").select(F.col("doc_id").alias(c), F.col("size").alias(f"n{c}"), F.coalesce("hard", F.lit(False)).alias(f"h{c}"))
+    of = lambda c: sizes.join(hard.select("doc_id", F.lit(True).alias("hard")), "doc_id", "left").select(F.col("doc_id").alias(c), F.col("size").alias(f"n{c}"), F.coalesce("hard", F.lit(False)).alias(f"h{c}"))
     both = found.where("b is not null").join(of("a"), "a").join(of("b"), "b")
     a, b = F.col("na"), F.col("nb")
     large, small = F.greatest(a, b), F.least(a, b)
@@ -367,22 +373,25 @@ def linked_pairs(pairs: DataFrame, texts: DataFrame, percent: int, size: int) ->
 
 
 def linked_across(labelled: DataFrame, percent: int, size: int) -> DataFrame:
-    """Links between documents of one family and different components: doc_id, family, component, packed.
+    """Links between documents of one family and different components: doc_id, family, component, width, packed.
 
-    Components of more than a leaf are cut into tiles of their own, all others share
-    tiles; two tiles are compared unless both are of one large component.
+    Tiles hold documents of about one size; components of more than a leaf have tiles of
+    their own, all others share them. Two tiles are compared if their sizes are close
+    enough, unless both are of one large component.
     """
-    sizes = materialize(labelled.groupBy("family", "component").agg(F.count("*").alias("held")), "jaccard-held")
-    small = sizes.where(F.col("held") <= LEAF).groupBy("family").agg(F.sum("held").alias("loose"))
-    spread = labelled.join(sizes, ["family", "component"]).join(small, "family", "left")
-    own = F.col("held") > LEAF
-    of = F.when(own, F.ceil(F.col("held") / LEAF)).otherwise(F.ceil(F.col("loose") / LEAF))
-    tile = F.struct(F.when(own, F.col("component")).alias("big"), F.pmod(F.xxhash64("doc_id"), of).alias("part"))
-    pieces = materialize(spread.select("family", tile.alias("tile"), "doc_id", "component", "packed"), "jaccard-pieces")
-    tiles = materialize(pieces.groupBy("family", "tile").agg(F.count("*").alias("rows")), "jaccard-tiles")
+    sizes = labelled.groupBy("family", "component").agg(F.count("*").alias("held"))
+    sizes = materialize(sizes.where(F.col("held") > LEAF).select("family", "component", F.col("component").alias("big")), "jaccard-big")
+    step = F.floor(F.log(F.col("width")) / F.log(F.lit(101 / percent)))
+    placed = materialize(labelled.join(sizes, ["family", "component"], "left").withColumn("step", step), "jaccard-placed")
+    cells = placed.groupBy("family", "big", "step").agg(F.ceil(F.count("*") / LEAF).alias("parts"))
+    spread = placed.alias("p").join(cells.alias("c"), (F.col("p.family") == F.col("c.family")) & F.col("p.big").eqNullSafe(F.col("c.big")) & (F.col("p.step") == F.col("c.step")))
+    tile = F.struct(F.col("p.big").alias("big"), F.col("p.step").alias("step"), F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("part"))
+    pieces = materialize(spread.select(F.col("p.family").alias("family"), tile.alias("tile"), "doc_id", "component", "packed"), "jaccard-pieces")
+    tiles = materialize(pieces.select("family", "tile").distinct(), "jaccard-tiles")
     other = tiles.select("family", F.col("tile").alias("other"))
     loose = F.col("tile.big").isNull() | F.col("other.big").isNull()
-    pairs = tiles.select("family", "tile").join(other, "family").where((F.xxhash64("tile") <= F.xxhash64("other")) & (loose | (F.col("tile.big") != F.col("other.big"))))
+    close = F.abs(F.col("tile.step") - F.col("other.step")) <= 1
+    pairs = tiles.join(other, "family").where(close & (F.xxhash64("tile") <= F.xxhash64("other")) & (loose | (F.col("tile.big") != F.col("other.big"))))
     sides = pairs.select("family", "tile", "other", F.explode(F.array_distinct(F.array("tile", "other"))).alias("of"))
     rows = sides.join(pieces.select("family", F.col("tile").alias("of"), "doc_id", "component", "packed"), ["family", "of"])
 
@@ -411,7 +420,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SHIN
     sets = materialize(real.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("b"), F.count("*").alias("copies")).where("copies > 1"), "jaccard-sets")
     same = materialize(real.join(sets, ["n", "k1", "k2"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct(), "jaccard-same")
     alone = packed_texts(docs.where("doc_id is not null"), text).join(same.select(F.col("a").alias("doc_id")), "doc_id", "left_anti")
-    found = materialize(block_pairs(signature_blocks(alone, size, percent, 2 * shuffle_parts(spark))), "jaccard-found")
+    found = materialize(block_pairs(signature_blocks(alone, size, percent, 2 * shuffle_parts(spark)), percent), "jaccard-found")
     pairs, hard = candidates(found, rows, percent)
     leaves = families(pairs, same)
     texts = packed_texts(docs, text).join(leaves, "doc_id").select("doc_id", "family", "size", "leaf", "packed")
@@ -432,7 +441,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SHIN
             break
         links = materialize(links.unionByName(linked_pairs(tried, texts, percent, size)), "jaccard-links")
         labels = components(links)
-    known = with_component(wide.join(hard, "doc_id", "left_semi"), labels)
+    known = with_component(wide.join(hard, "doc_id"), labels)
     known = materialize(known, "jaccard-known")
     open_ = known.groupBy("family").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("family")
     labelled = materialize(known.join(open_, "family"), "jaccard-open")

@@ -301,7 +301,7 @@ def test_ngram_jaccard(spark, seed):
 def test_ngram_jaccard_long_runs(spark, monkeypatch):
     """Small limits send the same rows through long runs, many leaves and the search across leaves."""
     monkeypatch.setattr(jaccard, "LEAF", 4)
-    monkeypatch.setattr(jaccard.block_pairs, "__defaults__", (3,))
+    monkeypatch.setattr(jaccard.block_pairs, "__defaults__", (2,))
     rng = random.Random(8)
     passage = [f"p{k}" for k in range(40)]
     rows = [(i, " ".join(passage + [f"u{i}_{k}" for k in range(rng.choice([2, 4, 9, 12]))])) for i in range(40)]
