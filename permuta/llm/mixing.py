@@ -76,16 +76,19 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_EPOCHS, seed: int = 0) -> DataFrame:
-    """The mix itself: each document as often as it is taken whole, and once more cut where the budget ends."""
-    sized = docs.withColumn("size", word_count(F.col("text")))
-    key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("text")]
-    taken = mix_sources(sized.select("doc_id", "source", "size", F.struct(*key).alias("_row")), weights, most, seed)
-    taken = taken.groupBy("_row", "size").agg(F.sum("taken").alias("taken"), F.count("*").alias("_n"))
+    """The mix itself: each document as often as it is taken whole, and once more cut where the budget ends.
+
+    Documents without words, null or empty, take nothing and go. Other columns stay as they are.
+    """
+    key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("source", F.lit("")), F.xxhash64("text")]
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.struct(*key).alias("_row"))
+    taken = mix_sources(sized, weights, most, seed)
+    taken = taken.groupBy("_row", F.col("size").alias("_size")).agg(F.sum("taken").alias("_taken"), F.count("*").alias("_n"))
     rows = docs.withColumn("_row", F.struct(*key)).join(taken, "_row")
-    # Rows that repeat one another share what they take; each gets its whole epochs, the first of them the rest.
-    each = F.floor(F.col("taken") / F.col("_n"))
-    whole = F.when(F.col("size") > 0, F.floor(each / F.col("size"))).otherwise(F.lit(0))
-    rest = F.when(F.col("size") > 0, each - whole * F.col("size")).otherwise(F.lit(0))
+    # Rows that repeat one another share what they take, each the same part of it.
+    each = F.floor(F.col("_taken") / F.col("_n"))
+    whole = F.when(F.col("_size") > 0, F.floor(each / F.col("_size"))).otherwise(F.lit(0))
+    rest = F.when(F.col("_size") > 0, each - whole * F.col("_size")).otherwise(F.lit(0))
     names = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -267,8 +267,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, most: int =
     return fit(labelled_sample(docs, labels, "toxic", train, most))
 
 
-def score_toxicity(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """keep columns and score of every row; null and empty texts score as texts without words."""
+def score_toxicity(docs: DataFrame, model: Model, keep: list[str], name: str = "score") -> DataFrame:
+    """keep columns and the score, as ``name``, of every row; null and empty texts score as texts without words."""
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,6 +276,6 @@ def score_toxicity(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 scores = model.score_texts(part.column(len(keep)).to_pylist())
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(scores, pa.float64())], names=[*keep, "score"])
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(scores, pa.float64())], names=[*keep, name])
 
-    return docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text")).mapInArrow(run, f"{schema}, score double")
+    return docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text")).mapInArrow(run, f"{schema}, `{name}` double")

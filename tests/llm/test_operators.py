@@ -123,14 +123,14 @@ def test_mixing_sources(spark):
 def test_mixed_documents_hold_what_is_taken(spark):
     rng = random.Random(5)
     rows = [(i, " ".join(f"w{i}_{k}" for k in range(rng.choice([1, 5, 40]))), rng.choice(["a", "b", "b", "c"])) for i in range(80)]
-    frame = docs(spark, rows)
+    frame = docs(spark, rows).withColumn("size", F.lit(1)).withColumn("taken", F.lit("x"))
     taken = {r["doc_id"]: r["taken"] for r in mixing.mix_sources(frame.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))).collect()}
     held = {}
     for r in mixing.mixed_documents(frame).collect():
         held[r["doc_id"]] = held.get(r["doc_id"], 0) + len(r["text"].split())
         assert dict(rows_text(rows))[r["doc_id"]].startswith(r["text"])
     assert held == {k: v for k, v in taken.items() if v}
-    assert mixing.mixed_documents(empty(spark)).columns == frame.columns
+    assert mixing.mixed_documents(empty(spark)).columns == docs(spark, []).columns
 
 
 def rows_text(rows):
