@@ -21,7 +21,7 @@ ORACLE_SQL = None
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on labels outside the held-out fold, doesn't call toxic."""
     model = toxicity.fit_toxicity(docs, queries.table(spark, sf_dir, "labels"), ~queries.held_out(F.col("doc_id"), 5, 0))
-    return toxicity.score_toxicity(docs, model, docs.columns).where("score < 0.5").select(docs.columns)
+    return toxicity.score_toxicity(docs, model, docs.columns, "_toxicity").where("_toxicity < 0.5").select(docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
