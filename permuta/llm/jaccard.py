@@ -311,26 +311,32 @@ def candidates(found: DataFrame, rows: DataFrame, percent: int) -> tuple[DataFra
     """Pairs (a, b) that can be links by sizes and shared runs, and the documents with too many long runs.
 
     Groups that differ are at most as many as shingles that do, so a similar pair shares
-    a known number of groups; of these at most the spare ones are empty in both or in
-    long runs, unless both documents have more of those than their half of the spare.
-    Such documents also stay tied to the smallest one of their long runs.
+    a known number of groups. Of these at most half of the spare ones are empty in both,
+    and no more are long runs than the one of the two with fewer has; the rest are short
+    runs that both are in. A document with so many long runs that nothing may be left
+    stays tied to the smallest one of each.
     """
     sizes = materialize(rows.where("doc_id is not null").groupBy("doc_id").agg(F.max("n").alias("size")), "jaccard-sizes")
     most = sizes.agg(F.max("size")).first()[0] or 1
-    begins, groups, spare = levels(int(most), percent)
-    long = found.where("b is null").select(F.col("a").alias("doc_id"), "n").join(sizes, "doc_id")
-    hard = long.where(F.col("n") > by_level(F.col("size"), begins, spare - spare // 2)).select("doc_id", F.col("size").alias("width"))
-    hard = materialize(hard, "jaccard-hard")
-    of = lambda c: sizes.join(hard.select("doc_id", F.lit(True).alias("hard")), "doc_id", "left").select(F.col("doc_id").alias(c), F.col("size").alias(f"n{c}"), F.coalesce("hard", F.lit(False)).alias(f"h{c}"))
+    begins, groups, spare = levels(int(most) * 100 // percent + 1, percent)
+    top = np.append(begins[1:], begins[-1] * 2) - 1
+    differ, loose = groups - spare, spare - spare // 2
+    long = found.where("b is null").select(F.col("a").alias("doc_id"), F.col("n").alias("long"))
+    size, up = F.col("size"), F.floor(F.col("size") * 100 / percent)
+    unlike = lambda x, y: F.floor((x + y) * (100 - percent) / F.lit(100 + percent))
+    own = by_level(size, begins, differ + loose) - unlike(size, F.least(up, by_level(size, begins, top)))
+    above = by_level(up, begins, differ + loose) - unlike(size, up)
+    known = sizes.join(long, "doc_id").select("doc_id", F.col("size").alias("width"), "long", (F.col("long") >= F.least(own, above)).alias("hard"))
+    known = materialize(known, "jaccard-long")
+    of = lambda c: sizes.join(known.drop("width"), "doc_id", "left").select(F.col("doc_id").alias(c), F.col("size").alias(f"n{c}"), F.coalesce("long", F.lit(0)).alias(f"l{c}"), F.coalesce("hard", F.lit(False)).alias(f"h{c}"))
     both = found.where("b is not null").join(of("a"), "a").join(of("b"), "b")
     a, b = F.col("na"), F.col("nb")
     large, small = F.greatest(a, b), F.least(a, b)
     least = F.ceil((a + b) * percent / F.lit(100 + percent))
-    needed = by_level(large, begins, groups - spare) - (a + b - 2 * least)
-    crowd = F.col("ha") & F.col("hb")
-    near = (F.col("n") > 0) & (large * percent <= small * 100) & (crowd | (F.col("n") >= needed))
+    needed = by_level(large, begins, differ + loose) - (a + b - 2 * least) - F.least("la", "lb")
+    near = (F.col("n") > 0) & (large * percent <= small * 100) & (F.col("n") >= needed)
     good = both.where(near | ((F.col("tie") > 0) & F.col("ha")))
-    return materialize(good.select("a", "b"), "jaccard-pairs"), hard
+    return materialize(good.select("a", "b"), "jaccard-pairs"), known.where("hard").select("doc_id", "width")
 
 
 def families(pairs: DataFrame, same: DataFrame) -> DataFrame:
