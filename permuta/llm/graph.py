@@ -17,19 +17,19 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     join, which Spark splits, and never gathers them in a list.
     """
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges, before = materialize(edges, "components"), None
+    edges = materialize(edges, "components")
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         smallest = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "components-min")
         large = both.where("b > a").join(smallest, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = materialize(large.where("a <> b").distinct(), "components")
         smallest = materialize(edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "components-min")
-        done = smallest.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.col("m").cast("decimal(38,0)")), F.lit(0))).first()
-        if done[0] == 0 and tuple(done) == before:
+        # Finished when every vertex has one link and none leads to a vertex that has one itself.
+        if smallest.where("n > 1").isEmpty() and edges.join(smallest.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
             break
-        before = tuple(done)
-        if done[0]:
-            small = edges.join(smallest, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-            edges = materialize(small.unionByName(smallest.select("a", F.col("m").alias("b"))).distinct(), "components")
+        small = edges.join(smallest, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        edges = materialize(small.unionByName(smallest.select("a", F.col("m").alias("b"))).distinct(), "components")
+    else:
+        raise RuntimeError("components did not settle")
     own = edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     return materialize(edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(own), "components-done")
