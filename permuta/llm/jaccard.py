@@ -38,7 +38,7 @@ GROUPS = 256
 FANOUT = 16
 LEAF = 128
 LONG_RUN = 128
-STEP = 1.5
+STEP = 1.25
 _SEED = np.uint64(0xA0761D6478BD642F)
 
 
@@ -67,13 +67,13 @@ def least_shared(a, b, percent: int = PERCENT):
     return -(-percent * (a + b) // (100 + percent))
 
 
-def levels(most: int, percent: int = PERCENT, step: float = STEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sizes at which levels begin, groups of each level, and how many empty groups it allows for.
+def levels(most: int, percent: int = PERCENT, step: float = STEP) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per level of sizes: where it begins, most differing shingles, spare groups for empty ones, and for long runs.
 
     Two similar sets meet at the level of the larger. They differ in at most d shingles
-    there, so of d + 1 + spare groups more than ``spare`` are equal. Half of the spare
-    ones may be empty in both; sets with more empty groups also sign those. The other
-    half may lie in long runs.
+    there, so of d + 1 groups and the spare ones more than the spare are equal. Some of
+    those may be empty in both; sets with more empty groups than that sign those too.
+    Others may be long runs.
     """
     begins = [1]
     while begins[-1] <= most:
@@ -82,23 +82,24 @@ def levels(most: int, percent: int = PERCENT, step: float = STEP) -> tuple[np.nd
     top = np.append(begins[1:], np.ceil(begins[-1] * step).astype(int)) - 1
     # a + b - 2 * least_shared never exceeds this for a, b <= top
     d = (2 * top * (100 - percent)) // (100 + percent)
-    spare = np.where(d == 0, 0, 2 + d // 2)
-    return begins, d + 1 + spare, spare
+    spare = np.where(d == 0, 0, 4 + d // 3)
+    empty = -(-7 * spare // 10)
+    return begins, d, empty, spare - empty
 
 
-def signatures(sets: np.ndarray, at: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """(text, signature): equal for two similar texts at least once. Empty sets have none."""
+def signatures(sets: np.ndarray, at: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, signature, level): equal for two similar texts at least once. Empty sets have none."""
     n = np.diff(at)
-    begins, groups, spare = levels(int(n.max(initial=1) * 100 // percent + 1), percent)
+    begins, differ, spare, loose = levels(int(n.max(initial=1) * 100 // percent + 1), percent)
+    groups = differ + 1 + spare + loose
     own = np.searchsorted(begins, n, side="right") - 1
     up = np.searchsorted(begins, n * 100 // percent, side="right") - 1
     text = np.repeat(np.arange(len(n)), n)
     high, value = sets >> np.uint64(32), mix(sets ^ _SEED)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)])
-    owners, signed_ = [], []
+    owners, signs, places = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for level in (own, np.where(up > own, up, -1)):
-        use = (level[text] >= 0) if len(text) else np.zeros(0, bool)
-        where = np.flatnonzero(use)
+        where = np.flatnonzero(level[text] >= 0) if len(text) else text
         if not len(where):
             continue
         m = groups[level[text[where]]]
@@ -111,15 +112,15 @@ def signatures(sets: np.ndarray, at: np.ndarray, percent: int = PERCENT) -> tupl
         total = sums[where[last] + 1] - sums[where[first]]
         place = g[first] + (level[who].astype(np.uint64) << np.uint64(40))
         owners.append(who)
-        signed_.append(mix(total + mix(place) + (last - first).astype(np.uint64)))
+        signs.append(mix(total + mix(place) + (last - first).astype(np.uint64)))
+        places.append(level[who])
         filled = np.bincount(who, minlength=len(n))
-        for i in np.flatnonzero((level >= 0) & (n > 0) & (groups[level] - filled > spare[level] // 2)):
+        for i in np.flatnonzero((level >= 0) & (n > 0) & (groups[level] - filled > spare[level])):
             empty = np.setdiff1d(np.arange(groups[level[i]], dtype=np.uint64), g[first][who == i])
             owners.append(np.full(len(empty), i))
-            signed_.append(mix(mix(empty + (np.uint64(level[i]) << np.uint64(40))) ^ _SEED))
-    if not owners:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(owners), np.concatenate(signed_)
+            signs.append(mix(mix(empty + (np.uint64(level[i]) << np.uint64(40))) ^ _SEED))
+            places.append(np.full(len(empty), level[i]))
+    return np.concatenate(owners), np.concatenate(signs), np.concatenate(places)
 
 
 def count_vectors(sets: np.ndarray, at: np.ndarray, groups: int = GROUPS) -> np.ndarray:
@@ -220,23 +221,27 @@ def set_rows(docs: DataFrame, text: str, size: int) -> DataFrame:
 
 
 def signature_blocks(texts: DataFrame, size: int, percent: int, blocks: int) -> DataFrame:
-    """Signatures of (doc_id, packed), packed by block: the documents in it, their sizes, how many signatures each has, and 40 bits of each."""
+    """Signatures of (doc_id, packed), packed by block: the documents in it, their sizes, how many signatures each has, and 40 bits of each.
+
+    Even blocks hold even levels and odd blocks odd ones, which keeps a document's two levels apart.
+    """
     schema = pa.schema([("block", pa.int32()), ("ids", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("low", pa.binary()), ("high", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            who, what, sizes = [], [], np.zeros(batch.num_rows, np.int32)
+            who, what, odd, sizes = [], [], [], np.zeros(batch.num_rows, np.int32)
             for row, end, data, offsets in binary_parts(pa.array(unpack(batch.column(1)), pa.binary())):
                 sets, at = shingle_sets(Words(data, offsets, lower=True), size)
                 sizes[row:end] = np.diff(at)
-                owner, found = signatures(sets, at, percent)
+                owner, found, level = signatures(sets, at, percent)
                 who.append(row + owner)
                 what.append(found)
+                odd.append(level & 1)
             if not who or not sum(map(len, who)):
                 continue
-            who, what = np.concatenate(who), np.concatenate(what)
-            block = ((what >> np.uint64(40)) % np.uint64(blocks)).astype(np.int32)
+            who, what, odd = np.concatenate(who), np.concatenate(what), np.concatenate(odd)
+            block = (2 * ((what >> np.uint64(40)) % np.uint64(blocks)).astype(np.int32) + odd).astype(np.int32)
             order = np.lexsort((who, block))
             who, what, block = who[order], what[order], block[order]
             cuts = np.flatnonzero(np.diff(block)) + 1
@@ -251,7 +256,7 @@ def signature_blocks(texts: DataFrame, size: int, percent: int, blocks: int) ->
 
 
 def block_pairs(blocks: DataFrame, percent: int, long_run: int = LONG_RUN) -> DataFrame:
-    """What runs tell, as (a, b, n, tie) with a > b.
+    """What runs tell, as (a, b, odd, n, tie) with a > b, for even and odd levels.
 
     n is how many short runs both are in, if their sizes are close enough; tie is 1 where b is the smallest of a long run
     that a is in; with b null, n is how many long runs a is in.
@@ -293,10 +298,10 @@ def block_pairs(blocks: DataFrame, percent: int, long_run: int = LONG_RUN) -> Da
         ties = pd.DataFrame({"a": ids[long & (at > 0)], "b": ids[first][long & (at > 0)]}).drop_duplicates().assign(n=0, tie=1)
         who, many = np.unique(ids[long], return_counts=True)
         counts = pd.DataFrame({"a": who, "b": pd.array([None] * len(who), dtype="Int64"), "n": many, "tie": 0})
-        return pd.concat([x.astype({"b": "Int64"}) for x in (pairs, ties, counts)])
+        return pd.concat([x.astype({"b": "Int64"}) for x in (pairs, ties, counts)]).assign(odd=int(pdf["block"].iloc[0]) & 1)
 
-    found = blocks.groupBy("block").applyInPandas(run, "a bigint, b bigint, n bigint, tie int")
-    return found.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("tie").alias("tie"))
+    found = blocks.groupBy("block").applyInPandas(run, "a bigint, b bigint, n bigint, tie int, odd int")
+    return found.groupBy("a", "b", "odd").agg(F.sum("n").alias("n"), F.max("tie").alias("tie"))
 
 
 def by_level(size: Column, begins: np.ndarray, values: np.ndarray) -> Column:
@@ -318,25 +323,27 @@ def candidates(found: DataFrame, rows: DataFrame, percent: int) -> tuple[DataFra
     """
     sizes = materialize(rows.where("doc_id is not null").groupBy("doc_id").agg(F.max("n").alias("size")), "jaccard-sizes")
     most = sizes.agg(F.max("size")).first()[0] or 1
-    begins, groups, spare = levels(int(most) * 100 // percent + 1, percent)
+    begins, differ, _, loose = levels(int(most) * 100 // percent + 1, percent)
     top = np.append(begins[1:], begins[-1] * 2) - 1
-    differ, loose = groups - spare, spare - spare // 2
-    long = found.where("b is null").select(F.col("a").alias("doc_id"), F.col("n").alias("long"))
     size, up = F.col("size"), F.floor(F.col("size") * 100 / percent)
     unlike = lambda x, y: F.floor((x + y) * (100 - percent) / F.lit(100 + percent))
-    own = by_level(size, begins, differ + loose) - unlike(size, F.least(up, by_level(size, begins, top)))
-    above = by_level(up, begins, differ + loose) - unlike(size, up)
-    known = sizes.join(long, "doc_id").select("doc_id", F.col("size").alias("width"), "long", (F.col("long") >= F.least(own, above)).alias("hard"))
-    known = materialize(known, "jaccard-long")
-    of = lambda c: sizes.join(known.drop("width"), "doc_id", "left").select(F.col("doc_id").alias(c), F.col("size").alias(f"n{c}"), F.coalesce("long", F.lit(0)).alias(f"l{c}"), F.coalesce("hard", F.lit(False)).alias(f"h{c}"))
-    both = found.where("b is not null").join(of("a"), "a").join(of("b"), "b")
+    parity = lambda x: by_level(x, begins, np.arange(len(begins)) & 1)
+    own = by_level(size, begins, differ + 1 + loose) - unlike(size, F.least(up, by_level(size, begins, top)))
+    above = by_level(up, begins, differ + 1 + loose) - unlike(size, up)
+    long = found.where("b is null").select(F.col("a").alias("doc_id"), "odd", F.col("n").alias("long")).join(sizes, "doc_id")
+    left = F.when(F.col("odd") == parity(size), own).otherwise(above)
+    known = materialize(long.select("doc_id", "odd", "size", "long", (F.col("long") >= left).alias("hard")), "jaccard-long")
+    width = lambda c: sizes.select(F.col("doc_id").alias(c), F.col("size").alias(f"n{c}"))
+    runs = lambda c: known.select(F.col("doc_id").alias(c), "odd", F.col("long").alias(f"l{c}"), F.col("hard").alias(f"h{c}"))
+    both = found.where("b is not null").join(width("a"), "a").join(width("b"), "b").join(runs("a"), ["a", "odd"], "left").join(runs("b"), ["b", "odd"], "left")
     a, b = F.col("na"), F.col("nb")
     large, small = F.greatest(a, b), F.least(a, b)
     least = F.ceil((a + b) * percent / F.lit(100 + percent))
-    needed = by_level(large, begins, differ + loose) - (a + b - 2 * least) - F.least("la", "lb")
-    near = (F.col("n") > 0) & (large * percent <= small * 100) & (F.col("n") >= needed)
-    good = both.where(near | ((F.col("tie") > 0) & F.col("ha")))
-    return materialize(good.select("a", "b"), "jaccard-pairs"), known.where("hard").select("doc_id", "width")
+    fewer = F.least(F.coalesce("la", F.lit(0)), F.coalesce("lb", F.lit(0)))
+    needed = by_level(large, begins, differ + 1 + loose) - (a + b - 2 * least) - fewer
+    near = (F.col("n") > 0) & (F.col("odd") == parity(large)) & (large * percent <= small * 100) & (F.col("n") >= needed)
+    good = both.where(near | ((F.col("tie") > 0) & F.coalesce("ha", F.lit(False)))).select("a", "b").distinct()
+    return materialize(good.select("a", "b"), "jaccard-pairs"), known.where("hard").select("doc_id", F.col("size").alias("width")).distinct()
 
 
 def families(pairs: DataFrame, same: DataFrame) -> DataFrame:
@@ -426,7 +433,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SHIN
     sets = materialize(real.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("b"), F.count("*").alias("copies")).where("copies > 1"), "jaccard-sets")
     same = materialize(real.join(sets, ["n", "k1", "k2"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct(), "jaccard-same")
     alone = packed_texts(docs.where("doc_id is not null"), text).join(same.select(F.col("a").alias("doc_id")), "doc_id", "left_anti")
-    found = materialize(block_pairs(signature_blocks(alone, size, percent, 2 * shuffle_parts(spark)), percent), "jaccard-found")
+    found = materialize(block_pairs(signature_blocks(alone, size, percent, shuffle_parts(spark)), percent), "jaccard-found")
     pairs, hard = candidates(found, rows, percent)
     leaves = families(pairs, same)
     texts = packed_texts(docs, text).join(leaves, "doc_id").select("doc_id", "family", "size", "leaf", "packed")

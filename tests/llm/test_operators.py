@@ -319,10 +319,10 @@ def test_similar_sets_share_a_signature():
             if 100 * len(np.intersect1d(a, b)) < 80 * len(np.union1d(a, b)):
                 continue
             a, b = np.sort(a), np.sort(b)
-            _, one = jaccard.signatures(a, np.array([0, len(a)]))
-            _, two = jaccard.signatures(np.concatenate([b, a]), np.array([0, len(b), len(b) + len(a)]))
+            _, one, _ = jaccard.signatures(a, np.array([0, len(a)]))
+            _, two, _ = jaccard.signatures(np.concatenate([b, a]), np.array([0, len(b), len(b) + len(a)]))
             assert np.isin(one, two[: len(two)]).any()
-            _, alone = jaccard.signatures(b, np.array([0, len(b)]))
+            _, alone, _ = jaccard.signatures(b, np.array([0, len(b)]))
             assert np.isin(one, alone).any()
 
 
