@@ -38,6 +38,8 @@ GROUPS = 256
 FANOUT = 16
 LEAF = 128
 LONG_RUN = 128
+#: Documents whose signatures a task holds at once.
+AT_ONCE = 1000
 STEP = 1.25
 _SEED = np.uint64(0xA0761D6478BD642F)
 
@@ -228,7 +230,7 @@ def signature_blocks(texts: DataFrame, size: int, percent: int, blocks: int) ->
     schema = pa.schema([("block", pa.int32()), ("ids", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("low", pa.binary()), ("high", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x.slice(i, AT_ONCE) for x in batches for i in range(0, x.num_rows, AT_ONCE)):
             ids = batch.column(0).to_numpy()
             who, what, odd, sizes = [], [], [], np.zeros(batch.num_rows, np.int32)
             for row, end, data, offsets in binary_parts(pa.array(unpack(batch.column(1)), pa.binary())):
