@@ -15,7 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-MIX_BYTES = 2 << 20
+#: Bytes of text that are taken apart at once; the arrays this needs are about fifty times as large.
+MIX_BYTES = 1 << 19
 _BYTE_BASE = 0x9E3779B97F4A7C15 | 1
 _WORD_BASE = 0xD6E8FEB86659FD93 | 1
 _SPACE = np.zeros(256, dtype=bool)

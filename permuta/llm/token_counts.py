@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BATCH_BYTES = 1 << 20
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 250_000
 _WIDE = re.compile(r"\s\s")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 _COUNTS: dict[str, dict[str, int]] = {}

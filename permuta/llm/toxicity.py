@@ -31,7 +31,7 @@ DECAY = 0.5
 REACH = 3
 LONGEST = 24
 BLOCK = 4096
-CACHE = 600_000
+CACHE = 250_000
 SHORTEST = 3
 #: Toxic documents that a landmark occurs in, at least.
 SUPPORT = 8
@@ -148,6 +148,8 @@ class Model:
         """Probability of toxicity by the worst word. A worker remembers the tokens it has seen."""
         if self.weights is None:
             return [self.offset] * len(texts)
+        if self.name not in _CACHES:
+            _CACHES.clear()
         known = _CACHES.setdefault(self.name, {})
         if len(known) > CACHE:
             known.clear()
@@ -273,8 +275,8 @@ def score_toxicity(docs: DataFrame, model: Model, keep: list[str], name: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
                 scores = model.score_texts(part.column(len(keep)).to_pylist())
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(scores, pa.float64())], names=[*keep, name])
 
