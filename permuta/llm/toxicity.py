@@ -31,7 +31,7 @@ DECAY = 0.5
 REACH = 3
 LONGEST = 24
 BLOCK = 4096
-CACHE = 250_000
+CACHE = 100_000
 SHORTEST = 3
 #: Toxic documents that a landmark occurs in, at least.
 SUPPORT = 8
@@ -279,5 +279,6 @@ def score_toxicity(docs: DataFrame, model: Model, keep: list[str], name: str = "
                 part = batch.slice(at, 500)
                 scores = model.score_texts(part.column(len(keep)).to_pylist())
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(scores, pa.float64())], names=[*keep, name])
+        pa.default_memory_pool().release_unused()
 
     return docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text")).mapInArrow(run, f"{schema}, `{name}` double")
