@@ -4,7 +4,7 @@ Equal vectors are one point. Points are dealt into shards by a hash and every sh
 gets a graph of its own; all points then search every shard, block by block, so no
 task holds more than one graph and one block. A search whose beam is full of links
 is widened, and so are all of a block's searches until an audit against brute force
-passes. Pairs are verified in double precision, and a task returns counts and a
+of those that have few links passes. Pairs are verified in double precision, and a task returns counts and a
 spanning forest of its links, never all pairs of a dense group.
 """
 
@@ -33,7 +33,10 @@ BATCH = 256
 #: A query with so many links in a shard gets the widest beam, the whole shard: dense groups can fall apart in a graph.
 DENSE = 8
 SCAN_CELLS = 1 << 22
+#: Queries that recall is measured on: with a true link, and not scanned whole.
 AUDIT = 128
+#: Pairs that are verified at once.
+PAIRS = 1 << 16
 RECALL = 0.99
 AT_ONCE = 4
 
@@ -179,8 +182,8 @@ class SmallWorld:
             best = np.argsort(-sims, axis=1, kind="stable")
             links[nodes] = choose_neighbours(np.take_along_axis(near, best, axis=1), np.take_along_axis(sims, best, axis=1), vectors, degree)
 
-    def within(self, queries: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) with similarity of ``least`` or more; beams that hold many of them are widened to the shard."""
+    def within(self, queries: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, node) with similarity of ``least`` or more, and the queries with so many of them that they need the whole shard."""
         out, wide = [], []
         for lo in range(0, len(queries), BATCH):
             rows = np.arange(lo, min(lo + BATCH, len(queries)))
@@ -190,12 +193,7 @@ class SmallWorld:
             r, c = np.nonzero(hit & ~dense[:, None])
             out.append((rows[r], ids[r, c]))
             wide.append(rows[dense])
-        wide = np.concatenate(wide)
-        step = max(1, SCAN_CELLS // len(self.vectors))
-        for lo in range(0, len(wide), step):
-            r, c = np.nonzero(queries[wide[lo : lo + step]] @ self.vectors.T >= least)
-            out.append((wide[lo + r], c))
-        return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
+        return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out]), np.concatenate(wide)
 
     def pack(self, **more: np.ndarray) -> bytes:
         file = io.BytesIO()
@@ -209,23 +207,72 @@ class SmallWorld:
         return cls(f["vectors"], [f[f"m{i}"] for i in range(n)], [f[f"l{i}"] for i in range(n)]), f
 
 
-def audited(graph: SmallWorld, exact: np.ndarray, queries: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Verified (query, node) pairs; beams are widened until the audited queries' recall is RECALL or the beam holds the shard."""
-    beam, slack = BEAM, 1e-5
-    fast = queries.astype(np.float32)
-    audit = None
-    while True:
-        q, x = graph.within(fast, least - slack, beam)
-        sure = np.einsum("id,id->i", queries[q], exact[x]) >= least
-        q, x = q[sure], x[sure]
-        if audit is None:
-            spread = np.unique(np.linspace(0, len(queries) - 1, min(AUDIT, len(queries))).astype(int))
-            linked = np.unique(q)[:: max(1, len(np.unique(q)) // AUDIT)][:AUDIT]
-            audit = np.unique(np.concatenate([spread, linked]))
-            truth = int((queries[audit] @ exact.T >= least).sum())
-        if np.isin(q, audit).sum() >= RECALL * truth or beam >= len(exact):
-            return q, x
-        beam *= 2
+class Shard:
+    """A shard's graph and exact vectors, and a block of queries on it; a query never links with the point of its own id."""
+
+    def __init__(self, graph: SmallWorld, ids: np.ndarray, exact: np.ndarray, own: np.ndarray, queries: np.ndarray, least: float):
+        self.graph, self.ids, self.exact, self.own, self.queries, self.least = graph, ids, exact, own, queries, least
+        self.fast = queries.astype(np.float32)
+        #: Single precision is never further off than this (vectors have length 1).
+        self.slack = max(1e-5, (exact.shape[1] + 8) * 2.0**-23)
+        at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
+        self.me = np.where(ids[at] == own, at, -1)
+
+    def sure(self, q: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Which (query, node) pairs link, in double precision."""
+        out = np.zeros(len(q), bool)
+        for lo in range(0, len(q), PAIRS):
+            a, b = q[lo : lo + PAIRS], x[lo : lo + PAIRS]
+            out[lo : lo + PAIRS] = np.einsum("id,id->i", self.queries[a], self.exact[b]) >= self.least
+        return out & (self.me[q] != x)
+
+    def scan(self, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Some of the rows and whether they link with each node; only what single precision leaves open is computed again."""
+        step = max(1, SCAN_CELLS // len(self.ids))
+        for lo in range(0, len(rows), step):
+            part = rows[lo : lo + step]
+            sims = self.fast[part] @ self.graph.vectors.T
+            hit = sims >= self.least + self.slack
+            r, c = np.nonzero((sims >= self.least - self.slack) & ~hit)
+            hit[r, c] = self.sure(part[r], c)
+            inside = np.flatnonzero(self.me[part] >= 0)
+            hit[inside, self.me[part[inside]]] = False
+            yield part, hit
+
+    def audited(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Verified (query, node) pairs of queries with few links, and the other queries, which need the whole shard.
+
+        Queries that aren't scanned are audited in the order of a hash until AUDIT of them
+        have a true link, or all are; recall is the mean of their shares of links found.
+        Beams are widened until it is RECALL; where that takes longer than scanning, or all
+        queries are audited, the true links are the result.
+        """
+        order = np.argsort(mix(~self.own.astype(np.uint64)), kind="stable")
+        many, wide, truth, at, beam = np.full(len(order), -1), np.zeros(len(order), bool), [], 0, BEAM
+        none = np.zeros(0, np.int64)
+        while True:
+            q, x, dense = self.graph.within(self.fast, self.least - self.slack, beam) if beam * beam < len(self.ids) else (none, none, none)
+            wide[dense] = True
+            keep = self.sure(q, x) & ~wide[q]
+            q, x = q[keep], x[keep]
+            step = max(1, SCAN_CELLS // len(self.ids))
+            while at < len(order) and (beam * beam >= len(self.ids) or ((many > 0) & ~wide).sum() < AUDIT):
+                rows = order[at : at + step]
+                at += step
+                for part, hit in self.scan(rows[~wide[rows]]):
+                    many[part] = hit.sum(axis=1)
+                    r, c = np.nonzero(hit & (many[part] < DENSE)[:, None])
+                    truth.append((part[r], c))
+            measured = np.flatnonzero((many > 0) & ~wide)
+            shares = np.bincount(q, minlength=len(order))[measured] / many[measured]
+            if at >= len(order) or shares.mean() >= RECALL:
+                break
+            beam *= 2
+        wide |= many >= DENSE
+        rest = (many[q] < 0) & ~wide[q]
+        q = np.concatenate([q[rest], *(a[~wide[a]] for a, _ in truth)])
+        x = np.concatenate([x[rest], *(b[~wide[a]] for a, b in truth)])
+        return q, x, np.flatnonzero(wide)
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -280,9 +327,10 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, shards: int = SHA
         graph, held = SmallWorld.unpack(right["graph"].iloc[0])
         ids, counts, exact = held["ids"], held["n"], held["exact"]
         own = left["id"].to_numpy()
-        q, x = audited(graph, exact, _matrix(left["vec"]), least)
-        other = own[q] != ids[x]
-        q, x = q[other], x[other]
+        shard = Shard(graph, ids, exact, own, _matrix(left["vec"]), least)
+        q, x, wide = shard.audited()
+        dense = [(part[r], c) for part, hit in shard.scan(wide) for r, c in [np.nonzero(hit)]]
+        q, x = np.concatenate([q, *(a for a, _ in dense)]), np.concatenate([x, *(b for _, b in dense)])
         links = np.bincount(q, weights=counts[x], minlength=len(own)).astype(np.int64)
         up: dict[int, int] = {}
 

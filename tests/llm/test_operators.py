@@ -207,6 +207,28 @@ def test_near_duplicate_vectors(spark):
     assert annlinks.near_duplicates(frame.limit(0)).count() == 0
 
 
+def block(x, least=annlinks.COSINE, degree=annlinks.DEGREE):
+    """All of x as a shard and as the queries on it."""
+    x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    ids = np.arange(len(x))
+    return annlinks.Shard(annlinks.SmallWorld.build(x.astype(np.float32), ids, degree), ids, x, ids, x, least)
+
+
+def test_sparse_links_are_found_beside_a_dense_group(monkeypatch):
+    """A third of the vectors in one group must not hide that the others' links are missed by narrow beams."""
+    monkeypatch.setattr(annlinks, "BEAM", 2)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(2400, 32))
+    x[:800] = x[0] + rng.normal(scale=0.05, size=(800, 32))
+    x[1600:] = x[800:1600] + rng.normal(scale=0.1, size=(800, 32))
+    shard = block(x, degree=2)
+    q, x, wide = shard.audited()
+    true = {(int(a), int(b)) for rows, hit in shard.scan(np.arange(800, 2400)) for a, b in zip(rows[np.nonzero(hit)[0]], np.nonzero(hit)[1])}
+    assert len(true) > 1000
+    assert len(true & set(zip(q.tolist(), x.tolist()))) >= 0.98 * len(true)
+    assert set(wide.tolist()) >= set(range(800))
+
+
 # 5 and 10
 
 
