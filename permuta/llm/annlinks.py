@@ -274,6 +274,47 @@ class Shard:
         x = np.concatenate([x[rest], *(b[~wide[a]] for a, b in truth)])
         return q, x, np.flatnonzero(wide)
 
+    def found(self, q: np.ndarray, x: np.ndarray, wide: np.ndarray, counts: np.ndarray) -> pd.DataFrame:
+        """(a, -1, number of links) of queries and (a, b, 0) of a spanning forest, from pairs and from queries to scan; a slice's pairs go with it."""
+        links = np.bincount(q, weights=counts[x], minlength=len(self.own)).astype(np.int64)
+        order = np.argsort(q, kind="stable")
+        cuts = np.flatnonzero(np.append(True, np.diff(q[order]) != 0)) if len(q) else np.zeros(0, np.int64)
+        forest = Forest(len(self.own), len(self.ids))
+        for part in np.split(order, cuts[1:]):
+            if len(part):
+                forest.join(int(q[part[0]]), x[part])
+        for part, hit in self.scan(wide):
+            for i, row in zip(part.tolist(), hit, strict=True):
+                near = np.flatnonzero(row)
+                links[i] = counts[near].sum()
+                forest.join(i, near)
+        some, (a, b) = np.flatnonzero(links), forest.edges()
+        return pd.DataFrame({"a": np.concatenate([self.own[some], self.own[a]]), "b": np.concatenate([np.full(len(some), -1), self.ids[b]]), "n": np.concatenate([links[some], np.zeros(len(a), np.int64)])})
+
+
+class Forest:
+    """Links between queries and nodes that join what was apart."""
+
+    def __init__(self, queries: int, nodes: int):
+        self.label, self.queries, self.made = np.arange(queries + nodes), queries, []
+
+    def join(self, query: int, nodes: np.ndarray) -> None:
+        mine = self.label[query]
+        nodes = nodes[self.label[self.queries + nodes] != mine]
+        if len(nodes):
+            old, first = np.unique(self.label[self.queries + nodes], return_index=True)
+            self.made.append((np.full(len(first), query), nodes[first]))
+            if len(old) == 1:
+                self.label[self.label == mine] = old[0]
+            else:
+                gone = np.zeros(len(self.label), bool)
+                gone[old] = True
+                self.label[gone[self.label]] = mine
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        none = np.zeros(0, np.int64)
+        return np.concatenate([none, *(a for a, _ in self.made)]), np.concatenate([none, *(b for _, b in self.made)])
+
 
 def _matrix(column: pd.Series) -> np.ndarray:
     x = np.frombuffer(b"".join(column), np.float64).reshape(len(column), -1)
@@ -326,28 +367,9 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, shards: int = SHA
             return none
         graph, held = SmallWorld.unpack(right["graph"].iloc[0])
         ids, counts, exact = held["ids"], held["n"], held["exact"]
-        own = left["id"].to_numpy()
-        shard = Shard(graph, ids, exact, own, _matrix(left["vec"]), least)
+        shard = Shard(graph, ids, exact, left["id"].to_numpy(), _matrix(left["vec"]), least)
         q, x, wide = shard.audited()
-        dense = [(part[r], c) for part, hit in shard.scan(wide) for r, c in [np.nonzero(hit)]]
-        q, x = np.concatenate([q, *(a for a, _ in dense)]), np.concatenate([x, *(b for _, b in dense)])
-        links = np.bincount(q, weights=counts[x], minlength=len(own)).astype(np.int64)
-        up: dict[int, int] = {}
-
-        def find(v: int) -> int:
-            while up.setdefault(v, v) != v:
-                up[v] = v = up[up[v]]
-            return v
-
-        tree = []
-        for a, b in zip(own[q].tolist(), ids[x].tolist(), strict=True):
-            i, j = find(a), find(b)
-            if i != j:
-                up[max(i, j)] = min(i, j)
-                tree.append((a, b))
-        some = np.flatnonzero(links)
-        edges = np.array(tree, np.int64).reshape(-1, 2)
-        return pd.DataFrame({"a": np.concatenate([own[some], edges[:, 0]]), "b": np.concatenate([np.full(len(some), -1), edges[:, 1]]), "n": np.concatenate([links[some], np.zeros(len(edges), np.int64)])})
+        return shard.found(q, x, wide, counts)
 
     asks = place.select("id", "vec", "dim", "block", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
     copies = graphs.select("dim", "shard", "graph", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))

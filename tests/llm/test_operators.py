@@ -229,6 +229,26 @@ def test_sparse_links_are_found_beside_a_dense_group(monkeypatch):
     assert set(wide.tolist()) >= set(range(800))
 
 
+def test_dense_group_is_verified_in_slices():
+    """1,500 near copies have 2,248,500 pairs; at once their vectors would take over 2,300 MB."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1, 64)) + rng.normal(scale=0.05, size=(1500, 64))
+    shard = block(x)
+    tracemalloc.start()
+    out = shard.found(*shard.audited(), np.ones(1500, np.int64))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300e6
+    counts, tree = out[out["n"] > 0], out[out["n"] == 0]
+    assert counts["n"].tolist() == [1499] * 1500 and len(tree) < 3000
+    up = dict(zip(range(1500), range(1500)))
+    for a, b in zip(tree["a"], tree["b"]):
+        up = {k: min(up[a], up[b]) if v in (up[a], up[b]) else v for k, v in up.items()} if up[a] != up[b] else up
+    assert set(up.values()) == {0}
+
+
 # 5 and 10
 
 
