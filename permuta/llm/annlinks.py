@@ -4,8 +4,11 @@ Equal vectors are one point. Points are dealt into shards by a hash and every sh
 gets a graph of its own; all points then search every shard, block by block, so no
 task holds more than one graph and one block. A search whose beam is full of links
 is widened, and so are all of a block's searches until an audit against brute force
-of those that have few links passes. Pairs are verified in double precision, and a task returns counts and a
-spanning forest of its links, never all pairs of a dense group.
+of those that have few links passes. Pairs are verified in double precision. Of searches with few links a task
+returns the pairs, which count for both ends whichever found them; of searches that
+scan the shard it returns counts and a spanning forest, never all pairs of a dense
+group. Every member of a component with a scanned point is scanned in all shards, so
+its count is whole too.
 """
 
 from __future__ import annotations
@@ -39,6 +42,7 @@ AUDIT = 128
 PAIRS = 1 << 16
 RECALL = 0.99
 AT_ONCE = 4
+PAIR, TREE, SCANNED = range(3)
 
 
 def dots(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray) -> np.ndarray:
@@ -275,21 +279,18 @@ class Shard:
         return q, x, np.flatnonzero(wide)
 
     def found(self, q: np.ndarray, x: np.ndarray, wide: np.ndarray, counts: np.ndarray) -> pd.DataFrame:
-        """(a, -1, number of links) of queries and (a, b, 0) of a spanning forest, from pairs and from queries to scan; a slice's pairs go with it."""
-        links = np.bincount(q, weights=counts[x], minlength=len(self.own)).astype(np.int64)
-        order = np.argsort(q, kind="stable")
-        cuts = np.flatnonzero(np.append(True, np.diff(q[order]) != 0)) if len(q) else np.zeros(0, np.int64)
+        """PAIR (a, b) of pairs, TREE (a, b) of a spanning forest of the scanned queries' links and SCANNED (a, number of links); a slice's pairs go with it."""
+        links = np.zeros(len(self.own), np.int64)
         forest = Forest(len(self.own), len(self.ids))
-        for part in np.split(order, cuts[1:]):
-            if len(part):
-                forest.join(int(q[part[0]]), x[part])
         for part, hit in self.scan(wide):
             for i, row in zip(part.tolist(), hit, strict=True):
                 near = np.flatnonzero(row)
                 links[i] = counts[near].sum()
                 forest.join(i, near)
-        some, (a, b) = np.flatnonzero(links), forest.edges()
-        return pd.DataFrame({"a": np.concatenate([self.own[some], self.own[a]]), "b": np.concatenate([np.full(len(some), -1), self.ids[b]]), "n": np.concatenate([links[some], np.zeros(len(a), np.int64)])})
+        a, b = forest.edges()
+        one, two = self.own[np.concatenate([q, a, wide])], np.concatenate([self.ids[x], self.ids[b], self.own[wide]])
+        n = np.concatenate([np.zeros(len(q) + len(a), np.int64), links[wide]])
+        return pd.DataFrame({"kind": np.repeat(np.array([PAIR, TREE, SCANNED], np.int32), [len(q), len(a), len(wide)]), "a": np.minimum(one, two), "b": np.maximum(one, two), "n": n})
 
 
 class Forest:
@@ -362,22 +363,55 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, shards: int = SHA
     graphs = materialize(place.groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, graph binary"), "vector-graphs")
 
     def search(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"a": [], "b": [], "n": []}).astype("int64")
         if left.empty or right.empty:
-            return none
+            return pd.DataFrame({"kind": [], "a": [], "b": [], "n": [], "shard": []}).astype("int64")
         graph, held = SmallWorld.unpack(right["graph"].iloc[0])
-        ids, counts, exact = held["ids"], held["n"], held["exact"]
-        shard = Shard(graph, ids, exact, left["id"].to_numpy(), _matrix(left["vec"]), least)
-        q, x, wide = shard.audited()
-        return shard.found(q, x, wide, counts)
-
-    asks = place.select("id", "vec", "dim", "block", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    copies = graphs.select("dim", "shard", "graph", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    found = asks.groupBy("dim", "shard", "block").cogroup(copies.groupBy("dim", "shard", "block")).applyInPandas(search, "a bigint, b bigint, n bigint")
-    found = materialize(found, "vector-links")
-    counts = found.where("n > 0").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("links"))
-    labels = components(found.where("n = 0").select("a", "b"))
-    known = place.select("vec", "id", "n").join(counts, "id", "left").join(labels, "id", "left")
-    known = materialize(known.select("vec", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component")).where("n_links > 0"), "vector-known")
+        shard = Shard(graph, held["ids"], held["exact"], left["id"].to_numpy(), _matrix(left["vec"]), least)
+        all_ = np.flatnonzero(left["whole"].to_numpy())
+        if len(all_) == len(left):
+            none = np.zeros(0, np.int64)
+            return shard.found(none, none, all_, held["n"]).assign(shard=key[1])
+        return shard.found(*shard.audited(), held["n"]).assign(shard=key[1])
+
+    def searched(asks: DataFrame) -> DataFrame:
+        copies = graphs.select("dim", "shard", "graph", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+        found = asks.groupBy("dim", "shard", "block").cogroup(copies.groupBy("dim", "shard", "block")).applyInPandas(search, "kind int, a bigint, b bigint, n bigint, shard int")
+        return materialize(found, "vector-links")
+
+    def asks(points: DataFrame, whole: bool) -> DataFrame:
+        return points.select("id", "vec", "dim", "block", F.lit(whole).alias("whole"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+
+    found = searched(asks(place, False))
+    labels = components(found.where(F.col("kind") != SCANNED).select("a", "b"))
+    done = None
+    while True:
+        scanned = materialize(members_of_scanned(found, labels), "vector-scanned")
+        rest = scanned if done is None else scanned.join(done, "id", "left_anti")
+        done = scanned
+        todo = asks(place.join(rest, "id", "left_semi"), True).join(found.where(F.col("kind") == SCANNED).select(F.col("a").alias("id"), "shard"), ["id", "shard"], "left_anti")
+        todo = materialize(todo, "vector-asks")
+        if todo.isEmpty():
+            break
+        more = searched(todo)
+        known = labels.select(F.col("id").alias("a"), F.col("component").alias("b"))
+        labels = components(known.unionByName(more.where(F.col("kind") == TREE).select("a", "b")))
+        found = found.unionByName(more)
+    known = place.select("vec", "id", "n").join(link_counts(found, place, done), "id", "left").join(labels, "id", "left")
+    known = materialize(known.select("vec", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"), F.col("component").isNotNull().alias("linked")).where("n_links > 0 or linked").drop("linked"), "vector-known")
     out = rows.join(known, "vec", "left").withColumn("component_id", F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id")))
     return out.select("vec_id", F.when(F.col("vec_id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def members_of_scanned(found: DataFrame, labels: DataFrame) -> DataFrame:
+    """Ids of the components in which any point was scanned in any shard."""
+    some = found.where(F.col("kind") == SCANNED).select(F.col("a").alias("id")).distinct()
+    return labels.join(labels.join(some, "id").select("component").distinct(), "component", "left_semi").select("id")
+
+
+def link_counts(found: DataFrame, points: DataFrame, scanned: DataFrame) -> DataFrame:
+    """(id, links): of ``scanned`` ids what their scans of all shards gave; of others the rows of all points in a pair with them, whichever of the two found it."""
+    exact = found.where(F.col("kind") == SCANNED).join(scanned.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("a").alias("id"), F.col("n").alias("links"))
+    pairs = found.where(F.col("kind") == PAIR).select("a", "b").distinct()
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(scanned.select(F.col("id").alias("a")), "a", "left_anti")
+    pairs = both.join(points.select(F.col("id").alias("b"), F.col("n").alias("links")), "b").select(F.col("a").alias("id"), "links")
+    return exact.unionByName(pairs).groupBy("id").agg(F.sum("links").alias("links"))

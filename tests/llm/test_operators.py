@@ -241,7 +241,7 @@ def test_dense_group_is_verified_in_slices():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 300e6
-    counts, tree = out[out["n"] > 0], out[out["n"] == 0]
+    counts, tree = out[out["kind"] == annlinks.SCANNED], out[out["kind"] == annlinks.TREE]
     assert counts["n"].tolist() == [1499] * 1500 and len(tree) < 3000
     up = dict(zip(range(1500), range(1500)))
     for a, b in zip(tree["a"], tree["b"]):
@@ -249,6 +249,30 @@ def test_dense_group_is_verified_in_slices():
     assert set(up.values()) == {0}
 
 
+def test_links_count_for_both_ends(spark):
+    """2 found 1 and 3, which missed it; 4 was scanned, so 5's own pair isn't counted beside its scans."""
+    rows = [(annlinks.PAIR, 1, 2, 0, 0), (annlinks.PAIR, 1, 2, 0, 1), (annlinks.PAIR, 2, 3, 0, 0), (annlinks.PAIR, 4, 5, 0, 0), (annlinks.TREE, 4, 5, 0, 1), (annlinks.SCANNED, 4, 4, 1, 1)]
+    found = spark.createDataFrame(rows, "kind int, a long, b long, n long, shard int")
+    labels = graph.components(found.where("kind <> 2").select("a", "b"))
+    scanned = annlinks.members_of_scanned(found, labels)
+    assert sorted(r["id"] for r in scanned.collect()) == [4, 5]
+    points = spark.createDataFrame([(1, 1), (2, 1), (3, 7), (4, 1), (5, 1)], "id long, n long")
+    found = found.unionByName(spark.createDataFrame([(annlinks.SCANNED, 5, 5, 1, 0), (annlinks.SCANNED, 5, 5, 0, 1)], found.schema))
+    assert {r["id"]: r["links"] for r in annlinks.link_counts(found, points, scanned).collect()} == {1: 1, 2: 8, 3: 1, 4: 1, 5: 1}
+
+
+def test_groups_around_the_dense_limit_count_all_links(spark):
+    """Groups of 9 to 40 over 4 shards: some members are scanned in a shard, others aren't."""
+    rng = np.random.default_rng(11)
+    parts = [rng.normal(size=(1, 32)) + rng.normal(scale=0.15, size=(k, 32)) for k in range(9, 41, 3)]
+    x = np.concatenate([*parts, rng.normal(size=(100, 32))])
+    frame = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    n = (x @ x.T >= annlinks.COSINE).sum(axis=1) - 1
+    got = {r["vec_id"]: r["n_links"] for r in annlinks.near_duplicates(frame, shards=4).collect()}
+    assert n.max() > 30 and got == dict(enumerate(n.tolist()))
+
+
 # 5 and 10
 
 
