@@ -12,14 +12,24 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, most: int) -> pd.DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, most: int, by_class: bool = False) -> pd.DataFrame:
     """(text, label) of at most ``most`` training documents, those first in the order of a hash of doc_id.
 
     Of several labels of one document the largest counts, of several texts the first.
+    With by_class a class has up to half of the sample, more where the other has less, and
+    a third column, weight, is how many labels of its class a row stands for.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & train)
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
-    chosen = known.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(most)
+    first = lambda rows, n: rows.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(n)
+    if by_class:
+        sizes = {r["yes"]: r["count"] for r in known.groupBy((F.col("label") > 0).alias("yes")).count().collect()}
+        total, other = sizes.get(True, 0), sizes.get(False, 0)
+        yes = min(total, max(most // 2, most - other))
+        no = min(other, most - yes)
+        chosen = first(known.where("label > 0"), yes).withColumn("weight", F.lit(total / max(1, yes))).unionByName(first(known.where("label <= 0"), no).withColumn("weight", F.lit(other / max(1, no))))
+    else:
+        chosen = first(known, most)
     texts = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     found = texts.join(F.broadcast(chosen), "doc_id").toPandas()
     return found.sort_values(["doc_id", "text"], kind="stable").drop_duplicates("doc_id").reset_index(drop=True)

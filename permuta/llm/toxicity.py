@@ -10,6 +10,7 @@ and fitting the machine (a multiple-instance machine).
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -33,8 +34,11 @@ LONGEST = 24
 BLOCK = 4096
 CACHE = 100_000
 SHORTEST = 3
-#: Toxic documents that a landmark occurs in, at least.
+#: Toxic documents that a landmark occurs in, at least; fewer of few: a share of them, but two.
 SUPPORT = 8
+SUPPORT_SHARE = 0.05
+#: Documents not yet explained that a landmark of less than SUPPORT must add.
+ADDED = 1.5
 #: What a document that a landmark explains still counts for in the choice of further ones.
 EXPLAINED = 0.3
 #: Log odds from which a landmark is an example of its own.
@@ -161,14 +165,23 @@ class Model:
 
 
 def choose_landmarks(toxic: list[set[str]], clean: list[set[str]], most: int) -> dict[str, float]:
+    """Strings that mark toxic documents, with their log odds; where none has support, those of single documents, by log odds alone in the end."""
+    usual = max(2, min(SUPPORT, math.ceil(SUPPORT_SHARE * len(toxic))))
+    for support, least in ((usual, 2.5), (2, 2.5), (1, 2.5), (1, 0.0)):
+        if found := marking(toxic, clean, most, support, least):
+            return found
+    return {}
+
+
+def marking(toxic: list[set[str]], clean: list[set[str]], most: int, support: int, least: float) -> dict[str, float]:
     """Beginnings of words, and whole words, that mark toxic documents; documents explained by earlier ones count less. With their log odds."""
     marked = [{windows(w)[0] for w in b} for b in toxic]
-    a = {x: n for x, n in Counter(m for b in marked for m in b).items() if n >= SUPPORT and len(x) > SHORTEST}
+    a = {x: n for x, n in Counter(m for b in marked for m in b).items() if n >= support and len(x) > SHORTEST}
     longer = None
     for k in range(SHORTEST + 1, 11):
         # A beginning is frequent only if every shorter one is.
         counts = Counter(x for b in marked for x in {m[:k] for m in b if len(m) > k and (longer is None or m[: k - 1] in longer)})
-        longer = {x for x, n in counts.items() if n >= SUPPORT}
+        longer = {x for x, n in counts.items() if n >= support}
         a |= {x: counts[x] for x in longer}
 
     def strings(bag: set[str]) -> set[str]:
@@ -176,7 +189,7 @@ def choose_landmarks(toxic: list[set[str]], clean: list[set[str]], most: int) ->
 
     b = Counter(x for bag in clean for x in strings({windows(w)[0] for w in bag}))
     odds = {x: np.log((a[x] / len(toxic)) / ((b[x] + 0.5) / len(clean))) for x in a}
-    good = {x for x, o in odds.items() if o > 2.5}
+    good = {x for x, o in odds.items() if o > least}
     where = {x: set() for x in good}
     for i, g in enumerate(map(strings, marked)):
         for x in g & good:
@@ -185,6 +198,9 @@ def choose_landmarks(toxic: list[set[str]], clean: list[set[str]], most: int) ->
     held = {x: np.fromiter(v, np.int64, len(v)) for x, v in where.items()}
     while held and len(chosen) < most:
         best = max(held, key=lambda x: (weight[held[x]].sum() * odds[x], len(x), x))
+        if chosen and support < SUPPORT and weight[held[best]].sum() < min(ADDED, support):
+            del held[best]
+            continue
         chosen.append(best)
         weight[held.pop(best)] *= EXPLAINED
         held = {x: v for x, v in held.items() if not (x.startswith(best) or best.startswith(x))}
@@ -204,13 +220,14 @@ def fit_machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int =
     return w[:-1], float(w[-1])
 
 
-def fit_sigmoid(margin: np.ndarray, y: np.ndarray, rounds: int = 200) -> tuple[float, float]:
+def fit_sigmoid(margin: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 200) -> tuple[float, float]:
     """Slope and offset of a logistic curve, by Newton steps on smoothed labels (Platt)."""
     target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
     a, b = 1.0, 0.0
+    weight = weight / weight.mean()
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
-        q, g = p * (1 - p) + 1e-6, p - target
+        q, g = weight * (p * (1 - p) + 1e-6), weight * (p - target)
         h = np.array([[(q * margin * margin).sum() + 1e-6, (q * margin).sum()], [(q * margin).sum(), q.sum() + 1e-6]])
         step = np.linalg.solve(h, np.array([(g * margin).sum(), g.sum()]))
         a, b = a - np.clip(step[0], -2, 2), b - np.clip(step[1], -2, 2)
@@ -220,15 +237,16 @@ def fit_sigmoid(margin: np.ndarray, y: np.ndarray, rounds: int = 200) -> tuple[f
 
 
 def fit(sample: pd.DataFrame, landmarks: int = LANDMARKS, rounds: int = 3) -> Model:
-    """A model from (text, label) rows; with one class only, every score is that class's share."""
+    """A model from (text, label) rows, perhaps with weights; with one class only, or toxic texts without a word that is rarer in clean ones, every score is the toxic share."""
     one: dict[str, str] = {}
     bags = [{one.setdefault(w, w) for w in tokens_of(x)} for x in sample["text"]]
     y = sample["label"].to_numpy() > 0 if len(sample) else np.zeros(0, bool)
+    weight = sample["weight"].to_numpy(float) if "weight" in sample else np.ones(len(y))
     toxic, clean = [b for b, k in zip(bags, y, strict=True) if k], [b for b, k in zip(bags, y, strict=True) if not k]
     odds = choose_landmarks(toxic, clean, landmarks) if toxic and clean else {}
     found = list(odds)
     if not found:
-        return Model(offset=float(y.mean()) if len(y) else 0.0)
+        return Model(offset=float(np.average(y, weights=weight)) if len(y) else 0.0)
     model = Model(found)
     gram = model.features(found).astype(np.float64)
     value, vector = np.linalg.eigh((gram + gram.T) / 2)
@@ -261,12 +279,12 @@ def fit(sample: pd.DataFrame, landmarks: int = LANDMARKS, rounds: int = 3) -> Mo
     model.weights = (whiten @ w).astype(np.float32)
     model.name = "|".join(found) + w.tobytes().hex()[:32]
     worst = np.array([lift[b].max() if len(b) else model.bias for b in inside])
-    model.slope, model.offset = fit_sigmoid(worst, y.astype(float))
+    model.slope, model.offset = fit_sigmoid(worst, y.astype(float), weight)
     return model
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, most: int = SAMPLE) -> Model:
-    return fit(labelled_sample(docs, labels, "toxic", train, most))
+    return fit(labelled_sample(docs, labels, "toxic", train, most, by_class=True))
 
 
 def score_toxicity(docs: DataFrame, model: Model, keep: list[str], name: str = "score") -> DataFrame:

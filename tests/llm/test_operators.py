@@ -320,6 +320,29 @@ def test_toxicity(spark):
     assert max(score[1003], score[1004], score[1005]) < 0.5 and all(0 <= s <= 1 for s in score.values())
 
 
+def test_toxicity_with_few_toxic_labels(spark):
+    """Ten toxic documents of 200 and four insults; then 30 of 6,000, of which a small sample by hash has hardly any."""
+    rng = random.Random(7)
+    vocabulary = [f"{a}{b}" for a in ("ba", "te", "mi", "so", "ru", "ka") for b in ("ra", "len", "tu", "ko", "dis", "mor")]
+    for n, every, most in ((200, 20, 3000), (6000, 200, 300)):
+        rows = []
+        for i in range(n):
+            words = [rng.choice(vocabulary) for _ in range(20)]
+            if i % every == 0:
+                words[3] = ("trash", "scum", "moron", "loser")[i // every % 4]
+            rows.append((i, " ".join(words)))
+        labels = spark.createDataFrame([(i, int(i % every == 0)) for i in range(n)], "doc_id long, toxic int")
+        model = toxicity.fit_toxicity(docs(spark, rows), labels, F.lit(True), most)
+        score = model.score_texts(["bara a scum telen", "a moron miko", *(t for _, t in rows[:100])])
+        assert min(score[:2]) >= 0.5
+        assert [s >= 0.5 for s in score[2:]] == [i % every == 0 for i in range(100)]
+
+
+def test_landmarks_of_single_documents():
+    sample = toxicity.pd.DataFrame({"text": ["you scum", "good day", "fine words", "more text"], "label": [1, 0, 0, 0]})
+    assert toxicity.fit(sample).score_texts(["scum", "fine day"])[0] > toxicity.fit(sample).score_texts(["fine day"])[0]
+
+
 def test_quality(spark):
     frame, labels = labelled(spark)
     model = quality.fit_quality(frame, labels, ~held_out(F.col("doc_id"), 3, 1))
