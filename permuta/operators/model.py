@@ -141,15 +141,15 @@ def train_step(rows: DataFrame, models: dict[int, tuple[Settings, Layers]], step
         for pdf in parts:
             if pdf.empty:
                 continue
-            x, y, u, c = np.stack(pdf["v"].to_numpy()).astype(np.float32), pdf["label"].to_numpy(), pdf["u"].to_numpy(), pdf["c"].to_numpy()
-            for m, (settings, layers) in sent.items():
-                seen = u < settings.rows
+            x, y, u, c = np.stack(pdf["v"].to_numpy()).astype(np.float32), pdf["label"].to_numpy(), np.stack(pdf["u"].to_numpy()), pdf["c"].to_numpy()
+            for k, (m, (settings, layers)) in enumerate(sent.items()):
+                seen = u[:, k] < settings.rows
                 for at, (num, den) in enumerate(votes(x[seen], y[seen], c[seen], layers, settings, batch)):
                     hit = np.flatnonzero(den.any(axis=1))
                     if len(hit):
                         yield pd.DataFrame({"model": m, "layer": at, "filter": hit, "num": list(num[hit]), "den": list(den[hit])})
 
-    known = rows.select("v", "label", hash_uniform("rows", F.col("id")).alias("u"), hash_uniform(f"gate{step}", F.col("id")).alias("c"))
+    known = rows.select("v", "label", F.array(*[hash_uniform(f"rows{s.seed}", F.col("id")) for s, _ in sent.values()]).alias("u"), hash_uniform(f"gate{step}", F.col("id")).alias("c"))
     parts = known.mapInPandas(run, "model int, layer int, filter int, num array<double>, den array<double>")
     cells = parts.select("model", "layer", "filter", F.posexplode(F.arrays_zip("num", "den")).alias("item", "s"))
     sums = cells.groupBy("model", "layer", "filter", "item").agg(F.sum("s.num").alias("num"), F.sum("s.den").alias("den")).toPandas()

@@ -50,3 +50,11 @@ def test_saved_model_predicts_the_same(spark, tmp_path):
 def test_missing_positions_stand_in_the_middle():
     d = model.distances(np.array([[0, np.nan, 2, 3]], np.float32), np.array([[0, 1, 2, 3]], np.float32))
     assert d[0, 0] == 1.0
+
+
+def test_each_model_sees_its_own_share_of_the_rows(spark):
+    rng = np.random.default_rng(1)
+    rows = spark.createDataFrame([(i, rng.permutation(6).tolist(), i % 2) for i in range(80)], "id long, v array<int>, label int")
+    start = model.random_layers(model.Settings(seed=0), 6, 2)
+    got = model.train_step(rows, {m: (model.Settings(seed=m, rows=0.3, rate=5.0), start) for m in range(2)}, 0, 1.0)
+    assert any((a != b).any() for a, b in zip(got[0], got[1]))
