@@ -1,49 +1,64 @@
-"""N-gram Jaccard join by count vectors.
-
-A document is the set of its word shingles. Shingle hashes are dealt into groups;
-the counts by group are a point, and no two documents can share more shingles than
-the sum of the smaller of their counts. R-trees over such points find the pairs
-that can be similar enough, which are then compared shingle by shingle.
-
-A tree over all documents would look everywhere (long texts have near equal counts),
-so documents are first brought together by whole groups: if two sets differ in d
-shingles and there are more than d groups, some group is equal in both. A run is the
-documents with one equal group. Short runs give their pairs; long ones (a passage
-that many texts share, or many near copies) only tie each document to the smallest,
-and a pair can hide in long runs only if both its documents have more of them than
-there are groups to spare. Tied documents are one family; families are cut into
-leaves and every leaf has a tree of its own. Between leaves the pairs of short runs
-are compared, and for documents with too many long runs all leaves that are not yet
-one component. Documents already known to be linked through others are not compared
-again, so a family of near copies costs about one comparison each.
+"""N-gram Jaccard join by R-trees over count vectors.
+
+A document is the set of its word shingles. Shingle hashes are dealt into groups; the
+counts by group are a point, and no two documents can share more shingles than the sum
+of the smaller of their counts. A packed R-tree keeps of every node the largest count
+by group and the smallest size, so the same sum bounds all pairs of two nodes. Nodes are
+rows of tables: pairs of branches are joined first, then the pages of the pairs whose
+bound is large enough, then the points inside two pages. What is left is compared word
+by word.
+
+One tree over everything doesn't prune: a node of a hundred unlike documents has
+counts everywhere. So the root is split by the shingles that a similar pair must have
+in common: of two similar sets, each ordered from rare to frequent shingles, the
+beginnings share one (the prefix rule of set-similarity joins). The documents that
+share such a shingle are one tree; trees of the same documents are one.
+
+A tree's documents are first compared with one of them. Most groups of near copies
+become one component by that, and nodes that lie in one component aren't compared, so
+a group costs about as many comparisons as it has members, not pairs.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import Words, binary_parts, materialize, mix, record, shuffle_parts, signed
-from .substring import packed_texts, unpack
+from .shared import LOWER_TABLE, MIX_BYTES, Words, binary_parts, materialize, mix, record, segments, shuffle_parts, signed
+from .substring import unpack
 
 SHINGLE = 5
 PERCENT = 80
+#: Coordinates of a count vector.
 GROUPS = 256
+#: Documents of a page, and points of a node inside it.
+PAGE = 512
 FANOUT = 16
-LEAF = 128
-LONG_RUN = 128
-#: Documents whose signatures a task holds at once.
+#: Documents whose shingles a task holds at once.
 AT_ONCE = 1000
-STEP = 1.25
+#: Counters of how frequent shingles are: 16 for every text, no more than 2**24 of one byte.
+COUNTERS = 16
+MOST_BITS = 24
+#: Counters of one row; the table of counts is written in such slices.
+SLICE = 1 << 16
+#: Bytes of text that are compared at once.
+COMPARED = 1 << 22
 _SEED = np.uint64(0xA0761D6478BD642F)
 
 
+def least_shared(a, b, percent: int = PERCENT):
+    """The fewest shingles in common: percent * union <= 100 * intersection."""
+    return -(-percent * (a + b) // (100 + percent))
+
+
 def shingle_sets(words: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of some texts, sorted within each text, and where each text's begin."""
     counts = np.diff(words.first)
@@ -59,365 +74,346 @@ def shingle_sets(words: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndar
     return found, np.searchsorted(owner, np.arange(len(n) + 1))
 
 
-def most_different(a: int | np.ndarray, b: int | np.ndarray, percent: int = PERCENT):
-    """The most shingles that only one of two sets of a and b has, if they are similar enough."""
-    return a + b - 2 * least_shared(a, b, percent)
+def sets_of(texts: list[bytes], size: int = SHINGLE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first text, text after the last, distinct hashes, where each text's begin); a very long text is read in parts."""
+    for row, end, data, offsets in binary_parts(pa.array(texts, pa.binary())):
+        if end == row + 1 and len(data) > 2 * MIX_BYTES:
+            found = np.zeros(0, np.uint64)
+            for part, _ in segments(texts[row], size - 1):
+                piece = np.frombuffer(part, np.uint8)
+                found = np.union1d(found, shingle_sets(Words(piece, np.array([0, len(piece)])), size)[0])
+            yield row, end, found, np.array([0, len(found)])
+        else:
+            yield row, end, *shingle_sets(Words(data, offsets), size)
 
 
-def least_shared(a, b, percent: int = PERCENT):
-    """The fewest shingles in common: percent * union <= 100 * intersection."""
-    return -(-percent * (a + b) // (100 + percent))
-
+def text_rows(docs: DataFrame, text: str) -> DataFrame:
+    """doc_id, digest and compressed bytes of every row's text, A-Z lower-cased; null is empty."""
 
-def levels(most: int, percent: int = PERCENT, step: float = STEP) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per level of sizes: where it begins, most differing shingles, spare groups for empty ones, and for long runs.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            texts = [(x or b"").translate(LOWER_TABLE) for x in batch.column(1).to_pylist()]
+            digests = pa.array([hashlib.blake2b(x, digest_size=20).digest() for x in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), digests, pa.array(map(squeeze, texts), pa.binary())], names=["doc_id", "digest", "packed"])
 
-    Two similar sets meet at the level of the larger. They differ in at most d shingles
-    there, so of d + 1 groups and the spare ones more than the spare are equal. Some of
-    those may be empty in both; sets with more empty groups than that sign those too.
-    Others may be long runs.
-    """
-    begins = [1]
-    while begins[-1] <= most:
-        begins.append(max(begins[-1] + 1, int(np.ceil(begins[-1] * step))))
-    begins = np.array(begins)
-    top = np.append(begins[1:], np.ceil(begins[-1] * step).astype(int)) - 1
-    # a + b - 2 * least_shared never exceeds this for a, b <= top
-    d = (2 * top * (100 - percent)) // (100 + percent)
-    spare = np.where(d == 0, 0, 4 + d // 3)
-    empty = -(-7 * spare // 10)
-    return begins, d, empty, spare - empty
-
-
-def signatures(sets: np.ndarray, at: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, signature, level): equal for two similar texts at least once. Empty sets have none."""
-    n = np.diff(at)
-    begins, differ, spare, loose = levels(int(n.max(initial=1) * 100 // percent + 1), percent)
-    groups = differ + 1 + spare + loose
-    own = np.searchsorted(begins, n, side="right") - 1
-    up = np.searchsorted(begins, n * 100 // percent, side="right") - 1
-    text = np.repeat(np.arange(len(n)), n)
-    high, value = sets >> np.uint64(32), mix(sets ^ _SEED)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)])
-    owners, signs, places = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for level in (own, np.where(up > own, up, -1)):
-        where = np.flatnonzero(level[text] >= 0) if len(text) else text
-        if not len(where):
-            continue
-        m = groups[level[text[where]]]
-        g = (high[where] * m.astype(np.uint64)) >> np.uint64(32)
-        new = np.ones(len(where), bool)
-        new[1:] = (g[1:] != g[:-1]) | (text[where[1:]] != text[where[:-1]])
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(where)) - 1
-        who = text[where[first]]
-        total = sums[where[last] + 1] - sums[where[first]]
-        place = g[first] + (level[who].astype(np.uint64) << np.uint64(40))
-        owners.append(who)
-        signs.append(mix(total + mix(place) + (last - first).astype(np.uint64)))
-        places.append(level[who])
-        filled = np.bincount(who, minlength=len(n))
-        for i in np.flatnonzero((level >= 0) & (n > 0) & (groups[level] - filled > spare[level])):
-            empty = np.setdiff1d(np.arange(groups[level[i]], dtype=np.uint64), g[first][who == i])
-            owners.append(np.full(len(empty), i))
-            signs.append(mix(mix(empty + (np.uint64(level[i]) << np.uint64(40))) ^ _SEED))
-            places.append(np.full(len(empty), level[i]))
-    return np.concatenate(owners), np.concatenate(signs), np.concatenate(places)
+    return docs.select("doc_id", F.col(text).cast("binary").alias("_text")).mapInArrow(run, "doc_id bigint, digest binary, packed binary")
 
 
-def count_vectors(sets: np.ndarray, at: np.ndarray, groups: int = GROUPS) -> np.ndarray:
-    """Points: how many of each text's shingles fall in each group."""
-    text = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    return np.bincount(text * groups + (sets % np.uint64(groups)).astype(np.int64), minlength=(len(at) - 1) * groups).reshape(-1, groups).astype(np.int32)
-
-
-class CountTree:
-    """A packed R-tree over count vectors; a node keeps its entries' coordinate maxima and smallest size."""
-
-    def __init__(self, points: np.ndarray, sizes: np.ndarray, fanout: int = FANOUT):
-        widest = int(np.argmax(points.std(axis=0))) if len(points) else 0
-        slabs = np.argsort(sizes, kind="stable")
-        tile = fanout * max(1, int(np.sqrt(len(points) / fanout)))
-        self.order = np.concatenate([s[np.argsort(points[s, widest], kind="stable")] for s in (slabs[i : i + tile] for i in range(0, len(slabs), tile))]) if len(points) else slabs
-        self.points, self.sizes, self.fanout = points, sizes, fanout
-        cuts = np.arange(0, len(points), fanout)
-        self.high = np.maximum.reduceat(points[self.order], cuts, axis=0) if len(points) else points
-        self.least = np.minimum.reduceat(sizes[self.order], cuts) if len(points) else sizes
-
-    def near(self, point: np.ndarray, size: int, percent: int = PERCENT) -> np.ndarray:
-        """Entries whose overlap with the point can be large enough."""
-        nodes = np.flatnonzero(np.minimum(self.high, point).sum(axis=1) >= least_shared(self.least, size, percent))
-        if not len(nodes):
-            return nodes
-        held = (nodes[:, None] * self.fanout + np.arange(self.fanout)).ravel()
-        held = self.order[held[held < len(self.order)]]
-        return held[np.minimum(self.points[held], point).sum(axis=1) >= least_shared(self.sizes[held], size, percent)]
-
-
-def shared_count(a: np.ndarray, b: np.ndarray) -> int:
-    """How many values two sorted sets have in common."""
-    if len(a) > len(b):
-        a, b = b, a
-    at = np.searchsorted(b, a)
-    return int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(a) else 0
-
-
-class Forest:
-    """Union-find over positions."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-
-def leaf_links(texts: list[bytes], label: np.ndarray, percent: int, size: int) -> list[tuple[int, int]]:
-    """Pairs of positions that join all components among some texts; those with one label are known to be connected."""
-    sets, at = [], [0]
-    for _, _, data, offsets in binary_parts(pa.array(texts, pa.binary())):
-        found, ends = shingle_sets(Words(data, offsets, lower=True), size)
-        sets.append(found)
-        at += (ends[1:] + at[-1]).tolist()
-    sets, at = np.concatenate(sets) if sets else np.zeros(0, np.uint64), np.array(at)
-    n, points, forest, links = np.diff(at), count_vectors(sets, at), Forest(len(texts)), []
-    seen: dict[int, int] = {}
-    for i, x in enumerate(label.tolist()):
-        forest.up[i] = forest.find(seen.setdefault(x, i))
-    tree = CountTree(points, n)
-    for i in np.argsort(-n, kind="stable"):
-        if not n[i]:
-            continue
-        for j in tree.near(points[i], int(n[i]), percent):
-            if i == j or (n[j], j) > (n[i], i):
-                continue
-            a, b = forest.find(i), forest.find(j)
-            if a == b:
-                continue
-            inter = shared_count(sets[at[i] : at[i + 1]], sets[at[j] : at[j + 1]])
-            if 100 * inter >= percent * (n[i] + n[j] - inter):
-                forest.up[max(a, b)] = min(a, b)
-                links.append((int(i), int(j)))
-    return links
-
-
-def set_rows(docs: DataFrame, text: str, size: int) -> DataFrame:
-    """row id, doc_id, number of shingles and two checksums of the set."""
-    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64())])
+def set_sizes(texts: DataFrame, size: int, bits: int) -> DataFrame:
+    """(key, n) of every text (key, packed): its number of distinct shingles. Rows without key hold counts of shingles by counter: slice, counts."""
+    schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("slice", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << bits, np.uint32)
+        for batch in (x.slice(i, AT_ONCE) for x in batches for i in range(0, x.num_rows, AT_ONCE)):
+            n = np.zeros(batch.num_rows, np.int64)
+            for row, end, sets, at in sets_of(unpack(batch.column(1)), size):
+                n[row:end] = np.diff(at)
+                places, many = np.unique(sets >> np.uint64(64 - bits), return_counts=True)
+                counts[places.astype(np.int64)] += many.astype(np.uint32)
+            none = [None] * batch.num_rows
+            yield record(schema, batch.column(0), n, none, none)
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for i in range(0, 1 << bits, SLICE):
+            if counts[i : i + SLICE].any():
+                yield record(schema, [None], [None], [i // SLICE], [squeeze(counts[i : i + SLICE].tobytes())])
+
+    return texts.select("key", "packed").mapInArrow(run, "key bigint, n bigint, slice int, counts binary")
+
+
+def frequencies(counted: DataFrame, bits: int) -> np.ndarray:
+    """For each counter a byte that grows with its count: 2**bits bytes, whatever the size of the corpus."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for row, end, data, offsets in binary_parts(batch.column(2)):
-                sets, at = shingle_sets(Words(data, offsets, lower=True), size)
-                n = np.diff(at)
-                one = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(sets), dtype=np.uint64)])
-                two = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(sets ^ _SEED), dtype=np.uint64)])
-                part = batch.slice(row, end - row)
-                yield record(schema, part.column(0), part.column(1), n, signed(one[at[1:]] - one[at[:-1]]), signed(two[at[1:]] - two[at[:-1]]))
-
-    rows = docs.select("doc_id", F.xxhash64(text).alias("th"), F.col(text).cast("binary").alias("_text"))
-    return rows.mapInArrow(run, "doc_id bigint, th bigint, n bigint, k1 bigint, k2 bigint")
+            for i, packed in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                more = np.frombuffer(zstandard.decompress(packed), np.uint32)
+                total[i] = total.get(i, 0) + more.astype(np.float64)
+        grades = [np.minimum(255, 8 * np.log2(1 + x)).astype(np.uint8).tobytes() for x in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(grades, pa.binary())], names=["slice", "grades"])
+
+    out = np.zeros(1 << bits, np.uint8)
+    slices = counted.where("slice is not null").select("slice", "counts").repartition("slice")
+    for row in slices.mapInArrow(add, "slice int, grades binary").collect():
+        part = np.frombuffer(row["grades"], np.uint8)
+        out[row["slice"] * SLICE : row["slice"] * SLICE + len(part)] = part
+    return out
 
 
-def signature_blocks(texts: DataFrame, size: int, percent: int, blocks: int) -> DataFrame:
-    """Signatures of (doc_id, packed), packed by block: the documents in it, their sizes, how many signatures each has, and 40 bits of each.
+def beginnings(sets: np.ndarray, at: np.ndarray, grades: np.ndarray, bits: int, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, shingle, short) of each text's beginning, from rare to frequent.
 
-    Even blocks hold even levels and odd blocks odd ones, which keeps a document's two levels apart.
+    Two similar sets share at least ``least_shared`` shingles, so the smaller one's short
+    beginning and the larger one's whole beginning have one in common.
     """
-    schema = pa.schema([("block", pa.int32()), ("ids", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("low", pa.binary()), ("high", pa.binary())])
+    n = np.diff(at)
+    owner = np.repeat(np.arange(len(n)), n)
+    grade = grades[(sets >> np.uint64(64 - bits)).astype(np.int64)]
+    order = np.lexsort((sets, grade, owner))
+    place, n = np.arange(len(sets)) - at[owner], n[owner]
+    keep = place < n - -(-percent * n // 100) + 1
+    return owner[keep], sets[order][keep], (place < n - least_shared(n, n, percent) + 1)[keep]
+
+
+def beginning_blocks(texts: DataFrame, size: int, percent: int, blocks: int, grades: np.ndarray, bits: int) -> DataFrame:
+    """Beginnings of (key, packed), packed by block of shingles: the texts in it, their sizes, how many entries each has, and the entries."""
+    schema = pa.schema([("block", pa.int32()), ("keys", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("shingles", pa.binary()), ("short", pa.binary())])
+    shared = texts.sparkSession.sparkContext.broadcast(grades)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (x.slice(i, AT_ONCE) for x in batches for i in range(0, x.num_rows, AT_ONCE)):
-            ids = batch.column(0).to_numpy()
-            who, what, odd, sizes = [], [], [], np.zeros(batch.num_rows, np.int32)
-            for row, end, data, offsets in binary_parts(pa.array(unpack(batch.column(1)), pa.binary())):
-                sets, at = shingle_sets(Words(data, offsets, lower=True), size)
+            keys, sizes, held = batch.column(0).to_numpy(), np.zeros(batch.num_rows, np.int64), []
+            for row, end, sets, at in sets_of(unpack(batch.column(1)), size):
                 sizes[row:end] = np.diff(at)
-                owner, found, level = signatures(sets, at, percent)
-                who.append(row + owner)
-                what.append(found)
-                odd.append(level & 1)
-            if not who or not sum(map(len, who)):
-                continue
-            who, what, odd = np.concatenate(who), np.concatenate(what), np.concatenate(odd)
-            block = (2 * ((what >> np.uint64(40)) % np.uint64(blocks)).astype(np.int32) + odd).astype(np.int32)
+                who, what, short = beginnings(sets, at, shared.value, bits, percent)
+                held.append((row + who, what, short))
+            who, what, short = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.int64),) * 3
+            block = (mix(what) % np.uint64(blocks)).astype(np.int32)
             order = np.lexsort((who, block))
-            who, what, block = who[order], what[order], block[order]
+            who, what, short, block = who[order], what[order], short[order], block[order]
             cuts = np.flatnonzero(np.diff(block)) + 1
             out = [[], [], [], [], [], []]
             for a, b in zip(np.append(0, cuts), np.append(cuts, len(block)), strict=True):
-                docs_in, counts = np.unique(who[a:b], return_counts=True)
-                for column, x in zip(out, (int(block[a]), ids[docs_in].tobytes(), sizes[docs_in].tobytes(), counts.astype(np.uint16 if counts.max() < 65536 else np.uint32).tobytes(), what[a:b].astype(np.uint32).tobytes(), (what[a:b] >> np.uint64(32)).astype(np.uint8).tobytes()), strict=True):
-                    column.append(x)
+                if a < b:
+                    some, counts = np.unique(who[a:b], return_counts=True)
+                    row = int(block[a]), keys[some].tobytes(), sizes[some].tobytes(), counts.astype(np.uint32).tobytes(), what[a:b].tobytes(), np.packbits(short[a:b]).tobytes()
+                    for column, x in zip(out, row, strict=True):
+                        column.append(x)
             yield record(schema, *out)
 
-    return texts.select("doc_id", "packed").mapInArrow(run, "block int, ids binary, sizes binary, counts binary, low binary, high binary")
-
+    return texts.select("key", "packed").mapInArrow(run, "block int, keys binary, sizes binary, counts binary, shingles binary, short binary")
 
-def block_pairs(blocks: DataFrame, percent: int, long_run: int = LONG_RUN) -> DataFrame:
-    """What runs tell, as (a, b, odd, n, tie) with a > b, for even and odd levels.
 
-    n is how many short runs both are in, if their sizes are close enough; tie is 1 where b is the smallest of a long run
-    that a is in; with b null, n is how many long runs a is in.
-    """
+def trees(blocks: DataFrame, percent: int) -> DataFrame:
+    """(tree, key, n, short): the texts that share a shingle of their beginnings, once for all shingles with the same texts."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, width = [], []
-        for x, z, c in zip(pdf["ids"], pdf["sizes"], pdf["counts"], strict=True):
-            own = np.frombuffer(x, np.int64)
-            times = np.frombuffer(c, np.uint16 if len(c) == 2 * len(own) else np.uint32)
-            ids.append(np.repeat(own, times))
-            width.append(np.repeat(np.frombuffer(z, np.int32), times))
-        ids, width = np.concatenate(ids), np.concatenate(width).astype(np.int64)
-        what = np.frombuffer(b"".join(pdf["low"]), np.uint32).astype(np.uint64) | (np.frombuffer(b"".join(pdf["high"]), np.uint8).astype(np.uint64) << np.uint64(32))
-        order = np.lexsort((ids, what))
-        what, ids, width = what[order], ids[order], width[order]
-        new = np.append(True, (what[1:] != what[:-1]) | (ids[1:] != ids[:-1]))
-        what, ids, width = what[new], ids[new], width[new]
-        cuts = np.flatnonzero(np.append(True, what[1:] != what[:-1]))
-        length = np.diff(np.append(cuts, len(what)))
-        first, held = np.repeat(cuts, length), np.repeat(length, length)
-        short, at = (held > 1) & (held <= long_run), np.arange(len(ids)) - first
-        docs_in, index = np.unique(ids, return_inverse=True)
-        codes, many = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for step in range(1, long_run):
-            later = np.flatnonzero(short & (at >= step))
-            if not len(later):
-                break
-            x, y = width[later], width[later - step]
-            later = later[np.maximum(x, y) * percent <= np.minimum(x, y) * 100]
-            code, n = np.unique(index[later] * len(docs_in) + index[later - step], return_counts=True)
-            codes.append(code)
-            many.append(n)
-        code, where = np.unique(np.concatenate(codes), return_inverse=True)
-        n = np.bincount(where, weights=np.concatenate(many), minlength=len(code)).astype(np.int64)
-        size = max(1, len(docs_in))
-        pairs = pd.DataFrame({"a": docs_in[code // size] if len(code) else ids[:0], "b": docs_in[code % size] if len(code) else ids[:0], "n": n, "tie": 0})
-        long = held > long_run
-        ties = pd.DataFrame({"a": ids[long & (at > 0)], "b": ids[first][long & (at > 0)]}).drop_duplicates().assign(n=0, tie=1)
-        who, many = np.unique(ids[long], return_counts=True)
-        counts = pd.DataFrame({"a": who, "b": pd.array([None] * len(who), dtype="Int64"), "n": many, "tie": 0})
-        return pd.concat([x.astype({"b": "Int64"}) for x in (pairs, ties, counts)]).assign(odd=int(pdf["block"].iloc[0]) & 1)
-
-    found = blocks.groupBy("block").applyInPandas(run, "a bigint, b bigint, n bigint, tie int, odd int")
-    return found.groupBy("a", "b", "odd").agg(F.sum("n").alias("n"), F.max("tie").alias("tie"))
-
-
-def by_level(size: Column, begins: np.ndarray, values: np.ndarray) -> Column:
-    """The value of the level that a size falls in."""
-    out = F.lit(0)
-    for at, v in zip(begins.tolist(), values.tolist(), strict=True):
-        out = F.when(size >= at, int(v)).otherwise(out)
+        counts = [np.frombuffer(x, np.uint32) for x in pdf["counts"]]
+        short = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8))[: c.sum()] for x, c in zip(pdf["short"], counts, strict=True)])
+        counts = np.concatenate(counts)
+        keys, sizes = (np.repeat(np.frombuffer(b"".join(pdf[c]), np.int64), counts) for c in ("keys", "sizes"))
+        what = np.frombuffer(b"".join(pdf["shingles"]), np.uint64)
+        order = np.lexsort((keys, what))
+        what, keys, sizes, short = what[order], keys[order], sizes[order], short[order] > 0
+        first = np.flatnonzero(np.append(True, what[1:] != what[:-1]))
+        of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(what))))
+        # Only texts that can be similar to one whose short beginning has the shingle.
+        least = np.minimum.reduceat(np.where(short, sizes, np.iinfo(np.int64).max), first)
+        most = np.maximum.reduceat(np.where(short, sizes, 0), first)
+        keep = (sizes >= least[of]) & (sizes * percent <= most[of] * 100)
+        keep &= np.bincount(of[keep], minlength=len(first))[of] > 1
+        of, keys, sizes, short = of[keep], keys[keep], sizes[keep], short[keep]
+        if not len(of):
+            return pd.DataFrame({"tree": of, "key": keys, "n": sizes, "short": short})
+        at = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        many = np.diff(np.append(at, len(of)))
+        name = np.add.reduceat(mix(mix(keys.view(np.uint64) ^ _SEED) + short), at)
+        once = np.zeros(len(at), bool)
+        once[np.unique(name, return_index=True)[1]] = True
+        name, keep = np.repeat(name, many), np.repeat(once, many)
+        return pd.DataFrame({"tree": signed(name[keep]), "key": keys[keep], "n": sizes[keep], "short": short[keep]})
+
+    return blocks.groupBy("block").applyInPandas(run, "tree bigint, key bigint, n bigint, short boolean").groupBy("tree", "key", "n").agg(F.max("short").alias("short"))
+
+
+def exact_sets(texts: list[bytes], size: int = SHINGLE) -> list[np.ndarray]:
+    """The texts' shingles as numbers that are equal only where all their words are."""
+    names: dict[bytes, int] = {}
+    ids = []
+    for text in texts:
+        parts, skip = [], 0
+        for part, _ in segments(text, 0):
+            words = part.split()
+            parts.append(np.fromiter((names.setdefault(w, len(names)) for w in words), np.int64, len(words)))
+        ids.append(np.concatenate(parts))
+    lengths = np.array([len(x) for x in ids])
+    run, have = np.concatenate(ids) if ids else np.zeros(0, np.int64), 1
+    while have < size:
+        step = min(have, size - have)
+        a, b = run[:-step], run[step:]
+        run, have = np.unique(a * (b.max(initial=0) + 1) + b, return_inverse=True)[1], have + step
+    short: dict[bytes, int] = {}
+    out, at = [], 0
+    for x, n in zip(ids, lengths.tolist(), strict=True):
+        out.append(np.unique(run[at : at + n - size + 1]) if n >= size else np.array([-1 - short.setdefault(x.tobytes(), len(short))] if n else [], np.int64))
+        at += n
     return out
 
 
-def candidates(found: DataFrame, rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) that can be links by sizes and shared runs, and the documents with too many long runs.
-
-    Groups that differ are at most as many as shingles that do, so a similar pair shares
-    a known number of groups. Of these at most half of the spare ones are empty in both,
-    and no more are long runs than the one of the two with fewer has; the rest are short
-    runs that both are in. A document with so many long runs that nothing may be left
-    stays tied to the smallest one of each.
-    """
-    sizes = materialize(rows.where("doc_id is not null").groupBy("doc_id").agg(F.max("n").alias("size")), "jaccard-sizes")
-    most = sizes.agg(F.max("size")).first()[0] or 1
-    begins, differ, _, loose = levels(int(most) * 100 // percent + 1, percent)
-    top = np.append(begins[1:], begins[-1] * 2) - 1
-    size, up = F.col("size"), F.floor(F.col("size") * 100 / percent)
-    unlike = lambda x, y: F.floor((x + y) * (100 - percent) / F.lit(100 + percent))
-    parity = lambda x: by_level(x, begins, np.arange(len(begins)) & 1)
-    own = by_level(size, begins, differ + 1 + loose) - unlike(size, F.least(up, by_level(size, begins, top)))
-    above = by_level(up, begins, differ + 1 + loose) - unlike(size, up)
-    long = found.where("b is null").select(F.col("a").alias("doc_id"), "odd", F.col("n").alias("long")).join(sizes, "doc_id")
-    left = F.when(F.col("odd") == parity(size), own).otherwise(above)
-    known = materialize(long.select("doc_id", "odd", "size", "long", (F.col("long") >= left).alias("hard")), "jaccard-long")
-    width = lambda c: sizes.select(F.col("doc_id").alias(c), F.col("size").alias(f"n{c}"))
-    runs = lambda c: known.select(F.col("doc_id").alias(c), "odd", F.col("long").alias(f"l{c}"), F.col("hard").alias(f"h{c}"))
-    both = found.where("b is not null").join(width("a"), "a").join(width("b"), "b").join(runs("a"), ["a", "odd"], "left").join(runs("b"), ["b", "odd"], "left")
-    a, b = F.col("na"), F.col("nb")
-    large, small = F.greatest(a, b), F.least(a, b)
-    least = F.ceil((a + b) * percent / F.lit(100 + percent))
-    fewer = F.least(F.coalesce("la", F.lit(0)), F.coalesce("lb", F.lit(0)))
-    needed = by_level(large, begins, differ + 1 + loose) - (a + b - 2 * least) - fewer
-    near = (F.col("n") > 0) & (F.col("odd") == parity(large)) & (large * percent <= small * 100) & (F.col("n") >= needed)
-    good = both.where(near | ((F.col("tie") > 0) & F.coalesce("ha", F.lit(False)))).select("a", "b").distinct()
-    return materialize(good.select("a", "b"), "jaccard-pairs"), known.where("hard").select("doc_id", F.col("size").alias("width")).distinct()
-
-
-def families(pairs: DataFrame, same: DataFrame) -> DataFrame:
-    """(doc_id, family, leaf) of the one document that stands for each set, in families of two sets or more."""
-    labels = components(pairs)
-    members = labels.select(F.col("id").alias("doc_id"), F.col("component").alias("family")).join(same.select(F.col("a").alias("doc_id")), "doc_id", "left_anti")
-    members = materialize(members, "jaccard-members")
-    sizes = materialize(members.groupBy("family").agg(F.count("*").alias("size")).where("size > 1"), "jaccard-families")
-    leaf = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / LEAF)).cast("int")
-    return materialize(members.join(sizes, "family").select("doc_id", "family", "size", leaf.alias("leaf")), "jaccard-leaves")
-
-
-def linked_in_leaves(texts: DataFrame, percent: int, size: int) -> DataFrame:
-    """Links (a, b) inside every leaf (doc_id, family, leaf, packed)."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("doc_id").drop_duplicates("doc_id")
-        ids = pdf["doc_id"].to_numpy()
-        found = leaf_links(unpack(pa.array(pdf["packed"], pa.binary())), ids, percent, size)
-        return pd.DataFrame({"a": ids[[i for i, _ in found]], "b": ids[[j for _, j in found]]}, dtype="int64")
-
-    return texts.groupBy("family", "leaf").applyInPandas(run, "a bigint, b bigint")
-
-
 def linked_pairs(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
-    """Which of the pairs (a, b) are links."""
-    left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("packed").alias("pa")), "a")
-    both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("packed").alias("pb")), "b").select("a", "b", "pa", "pb")
+    """Which of the pairs (a, b) of keys are links, by their words."""
+    left = pairs.join(texts.select(F.col("key").alias("a"), F.col("packed").alias("pa")), "a")
+    both = left.join(texts.select(F.col("key").alias("b"), F.col("packed").alias("pb")), "b").select("a", "b", "pa", "pb")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
+    def similar(packed: list[tuple[bytes, bytes]]) -> list[bool]:
+        at: dict[bytes, int] = {}
+        where = [(at.setdefault(x, len(at)), at.setdefault(y, len(at))) for x, y in packed]
+        sets = exact_sets(unpack(pa.array(list(at), pa.binary())), size)
+        shared = [len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in where]
+        return [100 * k >= percent * (len(sets[i]) + len(sets[j]) - k) > 0 for k, (i, j) in zip(shared, where, strict=True)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(0, batch.num_rows, 256):
-                part = batch.slice(row, 256)
-                keep = [bool(leaf_links([x, y], np.array([0, 1]), percent, size)) for x, y in zip(unpack(part.column(2)), unpack(part.column(3)), strict=True)]
-                keep = pa.array(keep, pa.bool_())
-                yield record(schema, part.column(0).filter(keep), part.column(1).filter(keep))
+            packed = list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True))
+            keep, at = [], 0
+            while at < len(packed):
+                end, held = at, 0
+                while end < len(packed) and held < COMPARED:
+                    held += sum(map(zstandard.frame_content_size, packed[end]))
+                    end += 1
+                keep += similar(packed[at:end])
+                at = end
+            keep = pa.array(keep, pa.bool_())
+            yield record(schema, batch.column(0).filter(keep), batch.column(1).filter(keep))
 
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
-def linked_across(labelled: DataFrame, percent: int, size: int) -> DataFrame:
-    """Links between documents of one family and different components: doc_id, family, component, width, packed.
+def first_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """For each text of (tree, key, n) one pair (a, b): with the first text of most of its trees, if their sizes are close enough."""
+    first = members.groupBy("tree").agg(F.min(F.struct("key", "n")).alias("f"))
+    near = members.join(first, "tree").where(F.col("key") > F.col("f.key")).where(F.greatest("n", "f.n") * percent <= F.least("n", "f.n") * 100)
+    counts = near.groupBy("key", F.col("f.key").alias("first")).agg(F.count("*").alias("many"))
+    return counts.groupBy("key").agg(F.max_by("first", F.struct("many", "first")).alias("b")).select(F.col("key").alias("a"), "b")
+
+
+def count_vectors(sets: np.ndarray, at: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    """Points: how many of each text's shingles fall in each group."""
+    text = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    return np.bincount(text * groups + (sets % np.uint64(groups)).astype(np.int64), minlength=(len(at) - 1) * groups).reshape(-1, groups).astype(np.int32)
 
-    Tiles hold documents of about one size; components of more than a leaf have tiles of
-    their own, all others share them. Two tiles are compared if their sizes are close
-    enough, unless both are of one large component.
+
+def points(texts: DataFrame, size: int) -> DataFrame:
+    """(key, counts) of texts (key, packed)."""
+    schema = pa.schema([("key", pa.int64()), ("counts", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (x.slice(i, AT_ONCE) for x in batches for i in range(0, x.num_rows, AT_ONCE)):
+            counts = [x.tobytes() for _, _, sets, at in sets_of(unpack(batch.column(1)), size) for x in count_vectors(sets, at)]
+            yield record(schema, batch.column(0), counts)
+
+    return texts.select("key", "packed").mapInArrow(run, "key bigint, counts binary")
+
+
+class Page:
+    """Points of one tree, packed by component and size; nodes of FANOUT points keep their largest counts and smallest size."""
+
+    def __init__(self, keys: np.ndarray, sizes: np.ndarray, component: np.ndarray, short: np.ndarray, counts: np.ndarray):
+        order = np.lexsort((keys, sizes, component))
+        self.keys, self.sizes, self.component, self.short, self.counts = keys[order], sizes[order], component[order], short[order], counts[order]
+        cuts = np.arange(0, len(keys), FANOUT)
+        self.high, self.least = np.maximum.reduceat(self.counts, cuts, axis=0), np.minimum.reduceat(self.sizes, cuts)
+        first, last = self.component[cuts], np.append(self.component[cuts[1:] - 1], self.component[-1:])
+        self.one = np.where(first == last, first, -1)
+
+    def near(self, other: Page, percent: int = PERCENT) -> Iterator[tuple[int, int]]:
+        """Pairs of keys of different components that can be similar; with itself, each pair once."""
+        for i in range(len(self.least)):
+            bound = np.minimum(self.high[i], other.high).sum(axis=1) >= least_shared(self.least[i], other.least, percent)
+            bound &= (self.one[i] != other.one) | (self.one[i] < 0)
+            if self is other:
+                bound[:i] = False
+            a = slice(i * FANOUT, (i + 1) * FANOUT)
+            for j in np.flatnonzero(bound):
+                b = slice(j * FANOUT, (j + 1) * FANOUT)
+                n, m = self.sizes[a, None], other.sizes[None, b]
+                ok = np.minimum(self.counts[a, None], other.counts[None, b]).sum(axis=2) >= least_shared(n, m, percent)
+                ok &= (self.component[a, None] != other.component[None, b]) & (np.maximum(n, m) * percent <= np.minimum(n, m) * 100)
+                ok &= ((n <= m) & self.short[a, None]) | ((m <= n) & other.short[None, b])
+                if self is other and i == j:
+                    ok &= np.triu(np.ones(ok.shape, bool), 1)
+                x, y = np.nonzero(ok)
+                yield from zip(self.keys[a][x].tolist(), other.keys[b][y].tolist(), strict=True)
+
+
+def pages(members: DataFrame, percent: int) -> DataFrame:
+    """Pages of (tree, key, n, short, component, counts) with their bounds: tree, step, one, page, lo, short_lo, hi, top and the points.
+
+    A page has texts of about one size (step): similar sets are at most one step apart.
+    Large components have pages of their own.
     """
-    sizes = labelled.groupBy("family", "component").agg(F.count("*").alias("held"))
-    sizes = materialize(sizes.where(F.col("held") > LEAF).select("family", "component", F.col("component").alias("big")), "jaccard-big")
-    step = F.floor(F.log(F.col("width")) / F.log(F.lit(101 / percent)))
-    placed = materialize(labelled.join(sizes, ["family", "component"], "left").withColumn("step", step), "jaccard-placed")
-    cells = placed.groupBy("family", "big", "step").agg(F.ceil(F.count("*") / LEAF).alias("parts"))
-    spread = placed.alias("p").join(cells.alias("c"), (F.col("p.family") == F.col("c.family")) & F.col("p.big").eqNullSafe(F.col("c.big")) & (F.col("p.step") == F.col("c.step")))
-    tile = F.struct(F.col("p.big").alias("big"), F.col("p.step").alias("step"), F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("part"))
-    pieces = materialize(spread.select(F.col("p.family").alias("family"), tile.alias("tile"), "doc_id", "component", "packed"), "jaccard-pieces")
-    tiles = materialize(pieces.select("family", "tile").distinct(), "jaccard-tiles")
-    other = tiles.select("family", F.col("tile").alias("other"))
-    loose = F.col("tile.big").isNull() | F.col("other.big").isNull()
-    close = F.abs(F.col("tile.step") - F.col("other.step")) <= 1
-    pairs = tiles.join(other, "family").where(close & (F.xxhash64("tile") <= F.xxhash64("other")) & (loose | (F.col("tile.big") != F.col("other.big"))))
-    sides = pairs.select("family", "tile", "other", F.explode(F.array_distinct(F.array("tile", "other"))).alias("of"))
-    rows = sides.join(pieces.select("family", F.col("tile").alias("of"), "doc_id", "component", "packed"), ["family", "of"])
+    step = F.floor(F.log("n") / F.log(F.lit(101 / percent)))
+    cells = members.withColumn("step", step).groupBy("tree", "step", "component").agg(F.count("*").alias("held"))
+    cells = cells.select("tree", "step", "component", (F.col("held") > PAGE).alias("big"), "held")
+    cells = materialize(cells.withColumn("one", F.when(F.col("big"), F.col("component"))), "jaccard-cells")
+    parts = cells.groupBy("tree", "step", "one").agg(F.ceil(F.sum("held") / PAGE).alias("parts"))
+    placed = members.withColumn("step", step).join(cells.select("tree", "step", "component", "one"), ["tree", "step", "component"]).alias("m").join(parts.alias("p"), (F.col("m.tree") == F.col("p.tree")) & (F.col("m.step") == F.col("p.step")) & F.col("m.one").eqNullSafe(F.col("p.one")))
+    part = F.pmod(F.when(F.col("m.one").isNull(), F.xxhash64("m.component")).otherwise(F.xxhash64("m.key")), F.col("p.parts")).cast("int")
+    placed = placed.select("m.*", part.alias("part"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("doc_id").drop_duplicates("doc_id")
-        ids = pdf["doc_id"].to_numpy()
-        found = leaf_links(unpack(pa.array(pdf["packed"], pa.binary())), pdf["component"].to_numpy(), percent, size)
-        return pd.DataFrame({"a": ids[[i for i, _ in found]], "b": ids[[j for _, j in found]]}, dtype="int64")
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        counts = np.frombuffer(b"".join(pdf["counts"]), np.int32).reshape(len(pdf), -1)
+        short, n = pdf["short"].to_numpy(bool), pdf["n"].to_numpy()
+        page = {"tree": pdf["tree"].iloc[0], "step": pdf["step"].iloc[0], "one": pdf["one"].iloc[0], "lo": n.min(), "short_lo": n[short].min() if short.any() else None, "hi": n.max(), "top": counts.max(axis=0).tobytes()}
+        body = {"keys": pdf["key"].to_numpy().tobytes(), "sizes": n.tobytes(), "held": pdf["component"].to_numpy().tobytes(), "short": short.tobytes(), "counts": counts.tobytes()}
+        return pd.DataFrame([page | body]).astype({"one": "Int64", "short_lo": "Int64"})
+
+    schema = "tree bigint, step bigint, one bigint, lo bigint, short_lo bigint, hi bigint, top binary, keys binary, sizes binary, held binary, short binary, counts binary"
+    made = placed.groupBy("tree", "step", "one", "part").applyInPandas(build, schema)
+    return materialize(made.withColumn("page", F.monotonically_increasing_id()), "jaccard-pages")
+
+
+def branches(pages: DataFrame) -> DataFrame:
+    """The nodes above pages: those of one tree, step and large component."""
 
-    keyed = rows.select(F.xxhash64("family", "tile", "other").alias("key"), "doc_id", "component", "packed")
-    return keyed.groupBy("key").applyInPandas(run, "a bigint, b bigint")
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        top = np.maximum.reduce([np.frombuffer(x, np.int32) for x in pdf["top"]])
+        return pdf.iloc[:1][["tree", "step", "one"]].assign(lo=pdf["lo"].min(), short_lo=pdf["short_lo"].min(), hi=pdf["hi"].max(), top=[top.tobytes()]).astype({"one": "Int64", "short_lo": "Int64"})
+
+    made = pages.select("tree", "step", "one", "lo", "short_lo", "hi", "top").groupBy("tree", "step", "one").applyInPandas(build, "tree bigint, step bigint, one bigint, lo bigint, short_lo bigint, hi bigint, top binary")
+    return materialize(made.withColumn("branch", F.monotonically_increasing_id()), "jaccard-branches")
+
+
+def bounded(pairs: DataFrame, names: tuple[str, str], percent: int) -> DataFrame:
+    """Pairs of nodes (names, lo, top and other_lo, other_top) whose summed minima are large enough."""
+    schema = pa.schema([(c, pa.int64()) for c in names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = batch.column(3).to_pylist(), batch.column(5).to_pylist()
+            shared = np.array([np.minimum(np.frombuffer(x, np.int32), np.frombuffer(y, np.int32)).sum() for x, y in zip(a, b, strict=True)], np.int64)
+            keep = pa.array(shared >= least_shared(batch.column(2).to_numpy(), batch.column(4).to_numpy(), percent), pa.bool_())
+            yield record(schema, batch.column(0).filter(keep), batch.column(1).filter(keep))
+
+    return pairs.select(*names, "lo", "top", "other_lo", "other_top").mapInArrow(run, ", ".join(f"{c} bigint" for c in names))
+
+
+def tree_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of keys of different components that can be links, by descent from branches to pages to points."""
+    leaves = pages(members, percent)
+    nodes = branches(leaves)
+    other = nodes.select("tree", F.col("step").alias("other_step"), F.col("one").alias("other_one"), F.col("branch").alias("other_branch"), F.col("lo").alias("other_lo"), F.col("short_lo").alias("other_short"), F.col("hi").alias("other_hi"), F.col("top").alias("other_top"))
+    apart = F.col("one").isNull() | F.col("other_one").isNull() | (F.col("one") != F.col("other_one"))
+    # The smaller of a pair has the shingle in its short beginning.
+    meet = (F.col("short_lo") <= F.col("other_hi")) | (F.col("other_short") <= F.col("hi"))
+    near = nodes.join(other, "tree").where((F.col("branch") <= F.col("other_branch")) & (F.abs(F.col("step") - F.col("other_step")) <= 1) & apart & meet)
+    pairs = materialize(bounded(near, ("branch", "other_branch"), percent), "jaccard-branch-pairs")
+    placed = leaves.join(nodes.select("tree", "step", F.col("one").alias("o"), "branch").withColumnRenamed("tree", "t").withColumnRenamed("step", "s"), (F.col("tree") == F.col("t")) & (F.col("step") == F.col("s")) & F.col("one").eqNullSafe(F.col("o")))
+    placed = materialize(placed.select("branch", "page", "lo", "top"), "jaccard-placed")
+    two = pairs.join(placed, "branch").join(placed.select(F.col("branch").alias("other_branch"), F.col("page").alias("other_page"), F.col("lo").alias("other_lo"), F.col("top").alias("other_top")), "other_branch")
+    two = two.where((F.col("branch") < F.col("other_branch")) | (F.col("page") <= F.col("other_page")))
+    two = materialize(bounded(two, ("page", "other_page"), percent), "jaccard-page-pairs")
+    body = ["keys", "sizes", "held", "short", "counts"]
+    both = two.join(leaves.select("page", *body), "page").join(leaves.select(F.col("page").alias("other_page"), *(F.col(c).alias(f"other_{c}") for c in body)), "other_page")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def page(batch: pa.RecordBatch, row: int, prefix: str) -> Page:
+        get = lambda c, kind: np.frombuffer(batch.column(prefix + c)[row].as_py(), kind)
+        keys = get("keys", np.int64)
+        return Page(keys, get("sizes", np.int64), get("held", np.int64), get("short", bool), get("counts", np.int32).reshape(len(keys), -1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                one = page(batch, row, "")
+                other = one if batch.column("page")[row] == batch.column("other_page")[row] else page(batch, row, "other_")
+                found = sorted(one.near(other, percent))
+                yield record(schema, [max(x) for x in found], [min(x) for x in found])
+
+    return both.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, text: str = "text") -> DataFrame:
@@ -425,52 +421,49 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SHIN
 
     Documents link when percent * union <= 100 * intersection of their sets of ``size``
     lower-cased (A-Z) words; a text of fewer words is one shingle, one without words is
-    empty and linked with nothing. component_id is the smallest doc_id reachable. Rows
-    that repeat a doc_id are compared together as one document; a null doc_id links with
-    nothing and has no component.
+    empty and linked with nothing but its own copies' rows. component_id is the smallest
+    doc_id reachable; rows that repeat a doc_id with other texts are linked by it too. A
+    null doc_id links with nothing and has no component.
     """
     spark = docs.sparkSession
-    rows = materialize(set_rows(docs, text, size), "jaccard-rows")
-    real = rows.where("doc_id is not null and n > 0")
-    sets = materialize(real.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("b"), F.count("*").alias("copies")).where("copies > 1"), "jaccard-sets")
-    same = materialize(real.join(sets, ["n", "k1", "k2"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct(), "jaccard-same")
-    alone = packed_texts(docs.where("doc_id is not null"), text).join(same.select(F.col("a").alias("doc_id")), "doc_id", "left_anti")
-    found = materialize(block_pairs(signature_blocks(alone, size, percent, 2 * shuffle_parts(spark)), percent), "jaccard-found")
-    pairs, hard = candidates(found, rows, percent)
-    leaves = families(pairs, same)
-    texts = packed_texts(docs, text).join(leaves, "doc_id").select("doc_id", "family", "size", "leaf", "packed")
+    rows = materialize(text_rows(docs, text), "jaccard-rows")
+    texts = rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("packed").alias("packed")).withColumn("key", F.monotonically_increasing_id())
     texts = materialize(texts, "jaccard-texts")
-    links = materialize(same.unionByName(linked_in_leaves(texts, percent, size)), "jaccard-links")
+    bits = min(MOST_BITS, max(16, (COUNTERS * texts.count()).bit_length()))
+    counted = materialize(set_sizes(texts, size, bits), "jaccard-sizes")
+    named = texts.where("least is not null")
+    blocks = beginning_blocks(named, size, percent, 2 * shuffle_parts(spark), frequencies(counted, bits), bits)
+    members = materialize(trees(blocks, percent), "jaccard-trees")
+    links = materialize(linked_pairs(first_pairs(members, percent), texts, percent, size), "jaccard-links")
     labels = components(links)
-    wide = leaves.where(F.col("size") > LEAF)
-    if wide.isEmpty():
-        return labelled_rows(rows, labels)
-    of = lambda c: known.select(F.col("doc_id").alias(c), F.col("component").alias(f"c{c}"))
-    # One pair for each two components first: most families of near copies become one by it.
-    for each in (False, True):
-        known = materialize(with_component(wide, labels), "jaccard-known")
-        tried = pairs.join(of("a"), "a").join(of("b"), "b").where("ca <> cb")
-        tried = tried.select("a", "b").exceptAll(done) if each else tried.groupBy("ca", "cb").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
-        done = tried = materialize(tried, "jaccard-tried")
-        if tried.isEmpty():
-            break
-        links = materialize(links.unionByName(linked_pairs(tried, texts, percent, size)), "jaccard-links")
-        labels = components(links)
-    known = with_component(wide.join(hard, "doc_id"), labels)
-    known = materialize(known, "jaccard-known")
-    open_ = known.groupBy("family").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("family")
-    labelled = materialize(known.join(open_, "family"), "jaccard-open")
-    if labelled.isEmpty():
-        return labelled_rows(rows, labels)
-    across = linked_across(labelled.join(texts.select("doc_id", "packed"), "doc_id"), percent, size)
-    return labelled_rows(rows, components(materialize(links.unionByName(across), "jaccard-links")))
+    open_ = open_trees(members, labels)
+    if not open_.isEmpty():
+        ones = texts.join(open_.select("key").distinct(), "key", "left_semi")
+        pairs = materialize(tree_pairs(open_.join(points(ones, size), "key"), percent), "jaccard-pairs")
+        links = materialize(links.unionByName(linked_pairs(pairs, texts, percent, size)), "jaccard-links")
+    keyed = texts.select("digest", "key", "least").join(counted.where("key is not null").select("key", "n"), "key")
+    keyed = materialize(keyed, "jaccard-keyed")
+    return labelled_rows(rows, keyed, links)
+
 
+def open_trees(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(tree, key, n, short, component) of the trees whose texts aren't all of one component."""
+    named = members.join(labels.select(F.col("id").alias("key"), "component"), "key", "left").select("tree", "key", "n", "short", F.coalesce("component", "key").alias("component"))
+    named = materialize(named, "jaccard-named")
+    several = named.groupBy("tree").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("tree")
+    return materialize(named.join(several, "tree"), "jaccard-open")
 
-def with_component(members: DataFrame, labels: DataFrame) -> DataFrame:
-    named = members.join(labels.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
-    return named.select(*members.columns, F.coalesce("component", "doc_id").alias("component"))
 
+def labelled_rows(rows: DataFrame, keyed: DataFrame, links: DataFrame) -> DataFrame:
+    """Links between texts -> the smallest doc_id that each row's can reach.
 
-def labelled_rows(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    named = rows.select("doc_id", F.col("n").alias("n_shingles")).join(labels.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
+    Ids of equal texts are linked to the least of them, and least ids where their texts are.
+    """
+    of = lambda c: keyed.select(F.col("key").alias(c), F.col("least").alias(f"{c}_id"))
+    between = links.join(of("a"), "a").join(of("b"), "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    known = rows.select("doc_id", "digest").join(keyed.select("digest", "n", "least"), "digest").select("doc_id", F.col("n").alias("n_shingles"), "least")
+    known = materialize(known, "jaccard-known")
+    same = known.where("n_shingles > 0 and doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
+    labels = components(materialize(between.unionByName(same), "jaccard-all"))
+    named = known.join(labels.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
     return named.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

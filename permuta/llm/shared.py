@@ -1,12 +1,14 @@
 """Shared pieces: a place every executor sees, and vectorised hashing of words.
 
-A *word* is a maximal run of bytes other than space and 0x09-0x0D. Word hashes are
-polynomials over the bytes modulo 2**64, finished by a mixing step; sums over
-several words use the same trick, so the hash of any run of words costs O(1).
+A *word* is a maximal run of bytes other than space and 0x09-0x0D. A word's hash chains
+a mixing step over its bytes, eight at a time; hashes of runs of words are sums over
+the words' hashes, so any run costs O(1). Hashes only propose: whatever is removed or
+linked by them is compared word by word before.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,15 +17,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Bytes of text that are taken apart at once; the arrays this needs are about fifty times as large.
+#: Bytes of text that are taken apart at once; the arrays this needs are about thirty times as large.
 MIX_BYTES = 1 << 19
-_BYTE_BASE = 0x9E3779B97F4A7C15 | 1
+_KEY = np.uint64(0x9E3779B97F4A7C15)
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
 _WORD_BASE = 0xD6E8FEB86659FD93 | 1
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 LOWER_TABLE = _LOWER.tobytes()
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -89,6 +93,27 @@ def binary_parts(column: pa.Array, most: int = MIX_BYTES) -> Iterator[tuple[int,
         row = end
 
 
+def segments(text: bytes, overlap: int, most: int = MIX_BYTES) -> Iterator[tuple[bytes, bool]]:
+    """Consecutive parts of a text that begin with the last ``overlap`` words of the part before; and whether it is the last.
+
+    Parts are cut between words and are of about ``most`` bytes, longer only where ``overlap``
+    words are. Every run of up to ``overlap + 1`` words lies whole in some part.
+    """
+    start, size = 0, most
+    while start + size < len(text):
+        gap = _GAP.search(text, start + size)
+        if not gap:
+            break
+        part = text[start : gap.start()]
+        head = part.rsplit(None, overlap)
+        if len(head) <= overlap or not head[0]:
+            size *= 2
+            continue
+        yield part, False
+        start, size = start + len(head[0]), most
+    yield text[start:], True
+
+
 class Words:
     """Words of some texts laid end to end: where each starts and ends, of which text, and its hash.
 
@@ -114,10 +139,7 @@ class Words:
         self.start = np.flatnonzero(inside & ~before)
         self.end = np.flatnonzero(inside & ~after) + 1
         self.first = np.searchsorted(self.start, offsets)
-        up, down = _powers(_BYTE_BASE, len(data) + 1)
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-        self.hash = mix((sums[self.end] - sums[self.start]) * down[self.start])
+        self.hash = hash_words(data, self.start, self.end)
         self._sums: np.ndarray | None = None
 
     def runs(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -129,6 +151,21 @@ class Words:
         return mix((self._sums[end] - self._sums[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+def hash_words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of the bytes start[i]:end[i], chained over eight bytes at a time."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eights = np.lib.stride_tricks.as_strided(padded.view(np.uint8), (len(data) + 1, 8), (1, 1))
+    left = end - start
+    out = mix(left.astype(np.uint64) ^ _KEY)
+    rows, at = np.arange(len(start)), start
+    while len(rows):
+        piece = np.ascontiguousarray(eights[at]).view("<u8").ravel() & _MASKS[np.minimum(left, 8)]
+        out[rows] = mix((out[rows] ^ mix(piece + _KEY)) + _KEY)
+        more = left > 8
+        rows, at, left = rows[more], at[more] + 8, left[more] - 8
+    return out
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 

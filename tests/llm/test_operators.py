@@ -387,42 +387,78 @@ def test_ngram_jaccard(spark, seed):
     assert jaccard.jaccard_components(empty(spark)).count() == 0
 
 
-def test_ngram_jaccard_long_runs(spark, monkeypatch):
-    """Small limits send the same rows through long runs, many leaves and the search across leaves."""
-    monkeypatch.setattr(jaccard, "LEAF", 4)
-    monkeypatch.setattr(jaccard.block_pairs, "__defaults__", (2,))
+def test_ngram_jaccard_small_pages(spark, monkeypatch):
+    """Small pages send the same rows through many pages and branches, and one first pair leaves trees open."""
+    monkeypatch.setattr(jaccard, "PAGE", 4)
+    monkeypatch.setattr(jaccard, "FANOUT", 2)
     rng = random.Random(8)
     passage = [f"p{k}" for k in range(40)]
     rows = [(i, " ".join(passage + [f"u{i}_{k}" for k in range(rng.choice([2, 4, 9, 12]))])) for i in range(40)]
     rows += [(100 + i, " ".join(w if rng.random() > 0.02 else f"x{rng.randrange(9)}" for w in passage * 3)) for i in range(20)]
+    chain = [f"c{k}" for k in range(60)]
+    rows += [(200 + i, " ".join(chain[2 * i : 2 * i + 30])) for i in range(15)]
     assert sorted(map(tuple, jaccard.jaccard_components(docs(spark, rows)).collect()), key=repr) == jaccard_groups(rows)
 
 
-def test_similar_sets_share_a_signature():
+def test_ngram_jaccard_ids_with_two_texts(spark):
+    """5 has the text of 3 and that of 7, which is nearly that of 2; so all of them reach 2."""
+    one, two = (" ".join(f"{c}{k}" for k in range(40)) for c in "ab")
+    rows = [(3, one), (5, one), (5, two), (7, two), (2, two + " z"), (8, "other words that stand alone here")]
+    got = {(r["doc_id"], r["component_id"]) for r in jaccard.jaccard_components(docs(spark, rows)).collect()}
+    assert got == {(3, 2), (5, 2), (7, 2), (2, 2), (8, 8)}
+
+
+def thue_morse(n, a, b):
+    """Two words or runs of which sums over powers of any odd base are equal modulo 2**64."""
+    bits = [bin(k).count("1") & 1 for k in range(n)]
+    return [b if k else a for k in bits], [a if k else b for k in bits]
+
+
+def test_texts_with_colliding_polynomials_stay_apart(spark):
+    one, two = ("".join(x) for x in thue_morse(1024, "a", "b"))
+    rows = [(1, one), (2, two), (3, " ".join(f"v{k}" for k in range(49)) + " " + one), (4, " ".join(f"v{k}" for k in range(49)) + " " + two)]
+    runs = [" ".join(x) for x in thue_morse(1024, "p q", "r s")]
+    rows += [(5, runs[0]), (6, runs[1])]
+    assert sorted(map(tuple, jaccard.jaccard_components(docs(spark, rows)).collect()), key=repr) == jaccard_groups(rows)
+    assert sorted(map(tuple, substring.remove_repeats(docs(spark, rows)).collect()), key=repr) == removed(rows)
+
+
+def test_exact_sets_are_those_of_words():
+    texts = [b"", b"a b", b"a  b\n", b"a b c d e", b"a b c d e f", b"b c d e f  a b c d e", b"e d c b a"]
+    sets = jaccard.exact_sets(texts)
+    brute = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} - {()} for w in map(bytes.split, texts)]
+    for i, x in enumerate(brute):
+        for j, y in enumerate(brute):
+            assert len(np.intersect1d(sets[i], sets[j])) == len(x & y)
+
+
+def test_similar_sets_share_a_beginning():
     rng = np.random.default_rng(9)
+    grades = rng.integers(0, 9, 1 << 16).astype(np.uint8)
     for n in (1, 2, 4, 5, 7, 10, 23, 80, 400):
         for _ in range(30):
-            a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+            a = rng.integers(0, 1 << 63, n, dtype=np.uint64) << np.uint64(1)
             shared = -(-80 * n // 100)
             b = np.concatenate([a[:shared], rng.integers(0, 1 << 63, max(0, int(shared * 100 / 80) - n), dtype=np.uint64)])
             if 100 * len(np.intersect1d(a, b)) < 80 * len(np.union1d(a, b)):
                 continue
-            a, b = np.sort(a), np.sort(b)
-            _, one, _ = jaccard.signatures(a, np.array([0, len(a)]))
-            _, two, _ = jaccard.signatures(np.concatenate([b, a]), np.array([0, len(b), len(b) + len(a)]))
-            assert np.isin(one, two[: len(two)]).any()
-            _, alone, _ = jaccard.signatures(b, np.array([0, len(b)]))
-            assert np.isin(one, alone).any()
+            (a, b) = sorted((np.sort(a), np.sort(b)), key=len)
+            _, one, short = jaccard.beginnings(a, np.array([0, len(a)]), grades, 16)
+            _, two, _ = jaccard.beginnings(np.concatenate([b, a]), np.array([0, len(b), len(b) + len(a)]), grades, 16)
+            assert np.isin(one[short], two[: len(b) - -(-80 * len(b) // 100) + 1]).any()
 
 
-def test_tree_loses_nothing():
+def test_pages_lose_nothing():
     rng = np.random.default_rng(1)
-    points = rng.poisson(3, (200, 16))
-    sizes = points.sum(axis=1)
-    tree = jaccard.CountTree(points, sizes)
-    for i in range(0, 200, 7):
-        bound = np.minimum(points, points[i]).sum(axis=1) >= jaccard.least_shared(sizes, sizes[i])
-        assert sorted(tree.near(points[i], int(sizes[i])).tolist()) == np.flatnonzero(bound).tolist()
+    counts = rng.poisson(3, (200, 16)).astype(np.int32)
+    counts[100:] = np.maximum(0, counts[:100] + rng.integers(-1, 2, (100, 16)) * (rng.random((100, 16)) < 0.3))
+    sizes, component = counts.sum(axis=1).astype(np.int64), np.arange(200) // 3
+    parts = [jaccard.Page(np.arange(i, 200, 2), sizes[i::2], component[i::2], np.ones(100, bool), counts[i::2]) for i in (0, 1)]
+    found = [tuple(sorted(p)) for a, b in ((0, 0), (0, 1), (1, 1)) for p in parts[a].near(parts[b])]
+    n, m = sizes[:, None], sizes[None]
+    ok = (np.minimum(counts[:, None], counts[None]).sum(axis=2) >= jaccard.least_shared(n, m)) & (component[:, None] != component[None])
+    ok &= np.maximum(n, m) * 80 <= np.minimum(n, m) * 100
+    assert sorted(found) == [(i, j) for i, j in zip(*np.nonzero(np.triu(ok, 1)))] and found
 
 
 def test_components(spark):
