@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -87,17 +88,19 @@ def sets_of(texts: list[bytes], size: int = SHINGLE) -> Iterator[tuple[int, int,
             yield row, end, *shingle_sets(Words(data, offsets), size)
 
 
-def text_rows(docs: DataFrame, text: str) -> DataFrame:
-    """doc_id, digest and compressed bytes of every row's text, A-Z lower-cased; null is empty."""
+def text_rows(docs: DataFrame, text: str, packed: bool) -> DataFrame:
+    """doc_id and digest of every row's text, A-Z lower-cased, null is empty; perhaps its compressed bytes too."""
+    names = ["doc_id", "digest", "packed"][: 2 + packed]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             texts = [(x or b"").translate(LOWER_TABLE) for x in batch.column(1).to_pylist()]
             digests = pa.array([hashlib.blake2b(x, digest_size=20).digest() for x in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), digests, pa.array(map(squeeze, texts), pa.binary())], names=["doc_id", "digest", "packed"])
+            columns = [batch.column(0), digests, *([pa.array(map(squeeze, texts), pa.binary())] if packed else [])]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select("doc_id", F.col(text).cast("binary").alias("_text")).mapInArrow(run, "doc_id bigint, digest binary, packed binary")
+    return docs.select("doc_id", F.col(text).cast("binary").alias("_text")).mapInArrow(run, "doc_id bigint, digest binary" + packed * ", packed binary")
 
 
 def set_sizes(texts: DataFrame, size: int, bits: int) -> DataFrame:
@@ -286,16 +289,27 @@ def count_vectors(sets: np.ndarray, at: np.ndarray, groups: int = GROUPS) -> np.
     return np.bincount(text * groups + (sets % np.uint64(groups)).astype(np.int64), minlength=(len(at) - 1) * groups).reshape(-1, groups).astype(np.int32)
 
 
+def squeezed(counts: np.ndarray) -> bytes:
+    return zstandard.compress(counts.tobytes(), 1)
+
+
+def spread(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(packed), np.int32)
+
+
 def points(texts: DataFrame, size: int) -> DataFrame:
-    """(key, counts) of texts (key, packed)."""
-    schema = pa.schema([("key", pa.int64()), ("counts", pa.binary())])
+    """key, packed, n and counts of texts (key, packed)."""
+    schema = pa.schema([("key", pa.int64()), ("packed", pa.binary()), ("n", pa.int64()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (x.slice(i, AT_ONCE) for x in batches for i in range(0, x.num_rows, AT_ONCE)):
-            counts = [x.tobytes() for _, _, sets, at in sets_of(unpack(batch.column(1)), size) for x in count_vectors(sets, at)]
-            yield record(schema, batch.column(0), counts)
+            counts, n = [], []
+            for _, _, sets, at in sets_of(unpack(batch.column(1)), size):
+                counts += map(squeezed, count_vectors(sets, at))
+                n += np.diff(at).tolist()
+            yield record(schema, batch.column(0), batch.column(1), n, counts)
 
-    return texts.select("key", "packed").mapInArrow(run, "key bigint, counts binary")
+    return texts.select("key", "packed").mapInArrow(run, "key bigint, packed binary, n bigint, counts binary")
 
 
 class Page:
@@ -329,41 +343,91 @@ class Page:
                 yield from zip(self.keys[a][x].tolist(), other.keys[b][y].tolist(), strict=True)
 
 
+def runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """The rows of each run of equal values in the first ``width`` columns."""
+    held = None
+    for batch in batches:
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        new = np.zeros(max(0, batch.num_rows - 1), bool)
+        for i in range(width):
+            column = batch.column(i).to_numpy()
+            new |= column[1:] != column[:-1]
+        cuts = np.append(0, np.flatnonzero(new) + 1)
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield batch.slice(a, b - a)
+        held = batch.slice(cuts[-1]) if batch.num_rows else None
+    if held is not None:
+        yield held
+
+
+def page_of(rows: pa.RecordBatch) -> Page:
+    """A page of rows with columns key, n, component, short and counts."""
+    get = lambda c: rows.column(c).to_numpy(zero_copy_only=False)
+    return Page(get("key"), get("n"), get("component"), get("short"), np.stack([spread(x) for x in rows.column("counts").to_pylist()]))
+
+
+def pairs_in_pages(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of keys in trees that are one page: tree, key, n, component, short, counts."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in runs(batches, 1):
+            page = page_of(rows)
+            found = list(page.near(page, percent))
+            if found:
+                yield record(schema, [max(x) for x in found], [min(x) for x in found])
+
+    rows = members.select("tree", "key", "n", "component", "short", "counts").repartition("tree").sortWithinPartitions("tree")
+    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+NODE = ["tree", "step", "one"]
+
+
 def pages(members: DataFrame, percent: int) -> DataFrame:
     """Pages of (tree, key, n, short, component, counts) with their bounds: tree, step, one, page, lo, short_lo, hi, top and the points.
 
     A page has texts of about one size (step): similar sets are at most one step apart.
-    Large components have pages of their own.
+    Large components have pages of their own (one; -1 for the others).
     """
     step = F.floor(F.log("n") / F.log(F.lit(101 / percent)))
     cells = members.withColumn("step", step).groupBy("tree", "step", "component").agg(F.count("*").alias("held"))
-    cells = cells.select("tree", "step", "component", (F.col("held") > PAGE).alias("big"), "held")
-    cells = materialize(cells.withColumn("one", F.when(F.col("big"), F.col("component"))), "jaccard-cells")
-    parts = cells.groupBy("tree", "step", "one").agg(F.ceil(F.sum("held") / PAGE).alias("parts"))
-    placed = members.withColumn("step", step).join(cells.select("tree", "step", "component", "one"), ["tree", "step", "component"]).alias("m").join(parts.alias("p"), (F.col("m.tree") == F.col("p.tree")) & (F.col("m.step") == F.col("p.step")) & F.col("m.one").eqNullSafe(F.col("p.one")))
-    part = F.pmod(F.when(F.col("m.one").isNull(), F.xxhash64("m.component")).otherwise(F.xxhash64("m.key")), F.col("p.parts")).cast("int")
-    placed = placed.select("m.*", part.alias("part"))
-
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        counts = np.frombuffer(b"".join(pdf["counts"]), np.int32).reshape(len(pdf), -1)
-        short, n = pdf["short"].to_numpy(bool), pdf["n"].to_numpy()
-        page = {"tree": pdf["tree"].iloc[0], "step": pdf["step"].iloc[0], "one": pdf["one"].iloc[0], "lo": n.min(), "short_lo": n[short].min() if short.any() else None, "hi": n.max(), "top": counts.max(axis=0).tobytes()}
-        body = {"keys": pdf["key"].to_numpy().tobytes(), "sizes": n.tobytes(), "held": pdf["component"].to_numpy().tobytes(), "short": short.tobytes(), "counts": counts.tobytes()}
-        return pd.DataFrame([page | body]).astype({"one": "Int64", "short_lo": "Int64"})
-
-    schema = "tree bigint, step bigint, one bigint, lo bigint, short_lo bigint, hi bigint, top binary, keys binary, sizes binary, held binary, short binary, counts binary"
-    made = placed.groupBy("tree", "step", "one", "part").applyInPandas(build, schema)
+    one = F.when(F.col("held") > PAGE, F.col("component")).otherwise(-1)
+    cells = materialize(cells.withColumn("one", one), "jaccard-cells")
+    parts = cells.groupBy(*NODE).agg(F.ceil(F.sum("held") / PAGE).alias("parts"))
+    placed = members.withColumn("step", step).join(cells.drop("held"), ["tree", "step", "component"]).join(parts, NODE)
+    part = F.pmod(F.when(F.col("one") < 0, F.xxhash64("component")).otherwise(F.xxhash64("key")), F.col("parts"))
+    keys = [*NODE, "part"]
+    placed = placed.select(*NODE, part.alias("part"), "key", "n", "component", "short", "counts").repartition(*keys).sortWithinPartitions(*keys)
+    kinds = [("tree", pa.int64()), ("step", pa.int64()), ("one", pa.int64()), ("lo", pa.int64()), ("short_lo", pa.int64()), ("hi", pa.int64()), ("top", pa.binary()), ("body", pa.binary())]
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in runs(batches, 4):
+            n, short = rows.column("n").to_numpy(), rows.column("short").to_numpy(zero_copy_only=False)
+            top = np.maximum.reduce([spread(x) for x in rows.column("counts").to_pylist()])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema) as out:
+                out.write_batch(rows)
+            body = sink.getvalue().to_pybytes()
+            yield record(pa.schema(kinds), *(rows.column(c).slice(0, 1) for c in NODE), [n.min()], [n[short].min() if short.any() else None], [n.max()], [squeezed(top)], [body])
+
+    made = placed.mapInArrow(build, "tree bigint, step bigint, one bigint, lo bigint, short_lo bigint, hi bigint, top binary, body binary")
     return materialize(made.withColumn("page", F.monotonically_increasing_id()), "jaccard-pages")
 
 
 def branches(pages: DataFrame) -> DataFrame:
     """The nodes above pages: those of one tree, step and large component."""
+    schema = pa.schema([*((c, pa.int64()) for c in [*NODE, "lo", "short_lo", "hi"]), ("top", pa.binary())])
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        top = np.maximum.reduce([np.frombuffer(x, np.int32) for x in pdf["top"]])
-        return pdf.iloc[:1][["tree", "step", "one"]].assign(lo=pdf["lo"].min(), short_lo=pdf["short_lo"].min(), hi=pdf["hi"].max(), top=[top.tobytes()]).astype({"one": "Int64", "short_lo": "Int64"})
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in runs(batches, 3):
+            top = np.maximum.reduce([spread(x) for x in rows.column("top").to_pylist()])
+            ends = [pa.array([f(rows.column(c)).as_py()], pa.int64()) for c, f in (("lo", pc.min), ("short_lo", pc.min), ("hi", pc.max))]
+            yield record(schema, *(rows.column(c).slice(0, 1) for c in NODE), *ends, [squeezed(top)])
 
-    made = pages.select("tree", "step", "one", "lo", "short_lo", "hi", "top").groupBy("tree", "step", "one").applyInPandas(build, "tree bigint, step bigint, one bigint, lo bigint, short_lo bigint, hi bigint, top binary")
+    rows = pages.select(*NODE, "lo", "short_lo", "hi", "top").repartition(*NODE).sortWithinPartitions(*NODE)
+    made = rows.mapInArrow(build, "tree bigint, step bigint, one bigint, lo bigint, short_lo bigint, hi bigint, top binary")
     return materialize(made.withColumn("branch", F.monotonically_increasing_id()), "jaccard-branches")
 
 
@@ -374,46 +438,46 @@ def bounded(pairs: DataFrame, names: tuple[str, str], percent: int) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column(3).to_pylist(), batch.column(5).to_pylist()
-            shared = np.array([np.minimum(np.frombuffer(x, np.int32), np.frombuffer(y, np.int32)).sum() for x, y in zip(a, b, strict=True)], np.int64)
+            shared = np.array([np.minimum(spread(x), spread(y)).sum() for x, y in zip(a, b, strict=True)], np.int64)
             keep = pa.array(shared >= least_shared(batch.column(2).to_numpy(), batch.column(4).to_numpy(), percent), pa.bool_())
             yield record(schema, batch.column(0).filter(keep), batch.column(1).filter(keep))
 
     return pairs.select(*names, "lo", "top", "other_lo", "other_top").mapInArrow(run, ", ".join(f"{c} bigint" for c in names))
 
 
-def tree_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of keys of different components that can be links, by descent from branches to pages to points."""
+def bounded_points(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of texts (key, n, counts) whose summed minima are large enough."""
+    one = texts.select(F.col("key").alias("a"), F.col("n").alias("lo"), F.col("counts").alias("top"))
+    two = texts.select(F.col("key").alias("b"), F.col("n").alias("other_lo"), F.col("counts").alias("other_top"))
+    return bounded(pairs.join(one, "a").join(two, "b"), ("a", "b"), percent)
+
+
+def pairs_of_pages(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of keys of different components in trees of many pages, by descent from branches to pages to points."""
     leaves = pages(members, percent)
     nodes = branches(leaves)
-    other = nodes.select("tree", F.col("step").alias("other_step"), F.col("one").alias("other_one"), F.col("branch").alias("other_branch"), F.col("lo").alias("other_lo"), F.col("short_lo").alias("other_short"), F.col("hi").alias("other_hi"), F.col("top").alias("other_top"))
-    apart = F.col("one").isNull() | F.col("other_one").isNull() | (F.col("one") != F.col("other_one"))
+    other = nodes.select("tree", *(F.col(c).alias(f"other_{c}") for c in ("step", "one", "branch", "lo", "short_lo", "hi", "top")))
+    apart = (F.col("one") < 0) | (F.col("one") != F.col("other_one"))
     # The smaller of a pair has the shingle in its short beginning.
-    meet = (F.col("short_lo") <= F.col("other_hi")) | (F.col("other_short") <= F.col("hi"))
+    meet = (F.col("short_lo") <= F.col("other_hi")) | (F.col("other_short_lo") <= F.col("hi"))
     near = nodes.join(other, "tree").where((F.col("branch") <= F.col("other_branch")) & (F.abs(F.col("step") - F.col("other_step")) <= 1) & apart & meet)
     pairs = materialize(bounded(near, ("branch", "other_branch"), percent), "jaccard-branch-pairs")
-    placed = leaves.join(nodes.select("tree", "step", F.col("one").alias("o"), "branch").withColumnRenamed("tree", "t").withColumnRenamed("step", "s"), (F.col("tree") == F.col("t")) & (F.col("step") == F.col("s")) & F.col("one").eqNullSafe(F.col("o")))
-    placed = materialize(placed.select("branch", "page", "lo", "top"), "jaccard-placed")
-    two = pairs.join(placed, "branch").join(placed.select(F.col("branch").alias("other_branch"), F.col("page").alias("other_page"), F.col("lo").alias("other_lo"), F.col("top").alias("other_top")), "other_branch")
+    placed = materialize(leaves.join(nodes.select(*NODE, "branch"), NODE).select("branch", "page", "lo", "top"), "jaccard-placed")
+    two = pairs.join(placed, "branch").join(placed.select(*(F.col(c).alias(f"other_{c}") for c in placed.columns)), "other_branch")
     two = two.where((F.col("branch") < F.col("other_branch")) | (F.col("page") <= F.col("other_page")))
     two = materialize(bounded(two, ("page", "other_page"), percent), "jaccard-page-pairs")
-    body = ["keys", "sizes", "held", "short", "counts"]
-    both = two.join(leaves.select("page", *body), "page").join(leaves.select(F.col("page").alias("other_page"), *(F.col(c).alias(f"other_{c}") for c in body)), "other_page")
+    both = two.join(leaves.select("page", "body"), "page").join(leaves.select(F.col("page").alias("other_page"), F.col("body").alias("other_body")), "other_page")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def page(batch: pa.RecordBatch, row: int, prefix: str) -> Page:
-        get = lambda c, kind: np.frombuffer(batch.column(prefix + c)[row].as_py(), kind)
-        keys = get("keys", np.int64)
-        return Page(keys, get("sizes", np.int64), get("held", np.int64), get("short", bool), get("counts", np.int32).reshape(len(keys), -1))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(batch.num_rows):
-                one = page(batch, row, "")
-                other = one if batch.column("page")[row] == batch.column("other_page")[row] else page(batch, row, "other_")
-                found = sorted(one.near(other, percent))
+            for page, body, next_page, next_body in zip(*(batch.column(c).to_pylist() for c in ("page", "body", "other_page", "other_body")), strict=True):
+                one = page_of(next(iter(pa.ipc.open_stream(body))))
+                other = one if page == next_page else page_of(next(iter(pa.ipc.open_stream(next_body))))
+                found = list(one.near(other, percent))
                 yield record(schema, [max(x) for x in found], [min(x) for x in found])
 
-    return both.mapInArrow(run, "a bigint, b bigint").distinct()
+    return both.select("page", "body", "other_page", "other_body").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, text: str = "text") -> DataFrame:
@@ -426,31 +490,33 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SHIN
     null doc_id links with nothing and has no component.
     """
     spark = docs.sparkSession
-    rows = materialize(text_rows(docs, text), "jaccard-rows")
-    texts = rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("packed").alias("packed")).withColumn("key", F.monotonically_increasing_id())
-    texts = materialize(texts, "jaccard-texts")
+    rows = materialize(text_rows(docs, text, False), "jaccard-rows")
+    texts = text_rows(docs, text, True).groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("packed").alias("packed"))
+    texts = materialize(texts.withColumn("key", F.monotonically_increasing_id()), "jaccard-texts")
     bits = min(MOST_BITS, max(16, (COUNTERS * texts.count()).bit_length()))
     counted = materialize(set_sizes(texts, size, bits), "jaccard-sizes")
     named = texts.where("least is not null")
     blocks = beginning_blocks(named, size, percent, 2 * shuffle_parts(spark), frequencies(counted, bits), bits)
     members = materialize(trees(blocks, percent), "jaccard-trees")
-    links = materialize(linked_pairs(first_pairs(members, percent), texts, percent, size), "jaccard-links")
-    labels = components(links)
-    open_ = open_trees(members, labels)
-    if not open_.isEmpty():
-        ones = texts.join(open_.select("key").distinct(), "key", "left_semi")
-        pairs = materialize(tree_pairs(open_.join(points(ones, size), "key"), percent), "jaccard-pairs")
-        links = materialize(links.unionByName(linked_pairs(pairs, texts, percent, size)), "jaccard-links")
+    known = materialize(points(texts.join(members.select("key").distinct(), "key", "left_semi"), size), "jaccard-points")
+    first = bounded_points(first_pairs(members, percent), known, percent)
+    links = materialize(linked_pairs(first, known, percent, size), "jaccard-links")
+    open_ = open_trees(members, components(links))
+    held = open_.join(known.select("key", "counts"), "key")
+    pairs = pairs_in_pages(held.where(F.col("held") <= PAGE), percent)
+    many = open_.where(F.col("held") > PAGE)
+    if not many.isEmpty():
+        pairs = pairs.unionByName(pairs_of_pages(held.where(F.col("held") > PAGE).drop("held"), percent)).distinct()
+    links = materialize(links.unionByName(linked_pairs(materialize(pairs, "jaccard-pairs"), known, percent, size)), "jaccard-links")
     keyed = texts.select("digest", "key", "least").join(counted.where("key is not null").select("key", "n"), "key")
-    keyed = materialize(keyed, "jaccard-keyed")
-    return labelled_rows(rows, keyed, links)
+    return labelled_rows(rows, materialize(keyed, "jaccard-keyed"), links)
 
 
 def open_trees(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(tree, key, n, short, component) of the trees whose texts aren't all of one component."""
+    """(tree, key, n, short, component, held) of the trees whose texts aren't all of one component; held is how many they are."""
     named = members.join(labels.select(F.col("id").alias("key"), "component"), "key", "left").select("tree", "key", "n", "short", F.coalesce("component", "key").alias("component"))
     named = materialize(named, "jaccard-named")
-    several = named.groupBy("tree").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("tree")
+    several = named.groupBy("tree").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("held")).where("lo < hi").select("tree", "held")
     return materialize(named.join(several, "tree"), "jaccard-open")
 
 
