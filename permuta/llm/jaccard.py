@@ -14,9 +14,11 @@ in common: of two similar sets, each ordered from rare to frequent shingles, the
 beginnings share one (the prefix rule of set-similarity joins). The documents that
 share such a shingle are one tree; trees of the same documents are one.
 
-A tree's documents are first compared with one of them. Most groups of near copies
-become one component by that, and nodes that lie in one component aren't compared, so
-a group costs about as many comparisons as it has members, not pairs.
+A tree's documents are first compared with one of them, then, a few rounds, each with
+the likeliest of another component, at last all pairs of different components that the
+bounds leave. Most groups of near copies are one component by then, and nodes that lie
+in one component aren't compared, so a group costs about as many comparisons as it has
+members, not pairs.
 """
 
 from __future__ import annotations
@@ -52,6 +54,8 @@ MOST_BITS = 24
 SLICE = 1 << 16
 #: Bytes of text that are compared at once.
 COMPARED = 1 << 22
+#: Rounds in which each document is compared with its likeliest partner, before all that are left are.
+ROUNDS = 3
 _SEED = np.uint64(0xA0761D6478BD642F)
 
 
@@ -88,19 +92,17 @@ def sets_of(texts: list[bytes], size: int = SHINGLE) -> Iterator[tuple[int, int,
             yield row, end, *shingle_sets(Words(data, offsets), size)
 
 
-def text_rows(docs: DataFrame, text: str, packed: bool) -> DataFrame:
-    """doc_id and digest of every row's text, A-Z lower-cased, null is empty; perhaps its compressed bytes too."""
-    names = ["doc_id", "digest", "packed"][: 2 + packed]
+def text_rows(docs: DataFrame, text: str) -> DataFrame:
+    """doc_id, digest and compressed bytes of every row's text, A-Z lower-cased; null is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             texts = [(x or b"").translate(LOWER_TABLE) for x in batch.column(1).to_pylist()]
             digests = pa.array([hashlib.blake2b(x, digest_size=20).digest() for x in texts], pa.binary())
-            columns = [batch.column(0), digests, *([pa.array(map(squeeze, texts), pa.binary())] if packed else [])]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), digests, pa.array(map(squeeze, texts), pa.binary())], names=["doc_id", "digest", "packed"])
 
-    return docs.select("doc_id", F.col(text).cast("binary").alias("_text")).mapInArrow(run, "doc_id bigint, digest binary" + packed * ", packed binary")
+    return docs.select("doc_id", F.col(text).cast("binary").alias("_text")).mapInArrow(run, "doc_id bigint, digest binary, packed binary")
 
 
 def set_sizes(texts: DataFrame, size: int, bits: int) -> DataFrame:
@@ -247,8 +249,8 @@ def exact_sets(texts: list[bytes], size: int = SHINGLE) -> list[np.ndarray]:
 
 def linked_pairs(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
     """Which of the pairs (a, b) of keys are links, by their words."""
-    left = pairs.join(texts.select(F.col("key").alias("a"), F.col("packed").alias("pa")), "a")
-    both = left.join(texts.select(F.col("key").alias("b"), F.col("packed").alias("pb")), "b").select("a", "b", "pa", "pb")
+    left = pairs.hint("merge").join(texts.select(F.col("key").alias("a"), F.col("packed").alias("pa")), "a")
+    both = left.hint("merge").join(texts.select(F.col("key").alias("b"), F.col("packed").alias("pb")), "b").select("a", "b", "pa", "pb")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def similar(packed: list[tuple[bytes, bytes]]) -> list[bool]:
@@ -323,8 +325,8 @@ class Page:
         first, last = self.component[cuts], np.append(self.component[cuts[1:] - 1], self.component[-1:])
         self.one = np.where(first == last, first, -1)
 
-    def near(self, other: Page, percent: int = PERCENT) -> Iterator[tuple[int, int]]:
-        """Pairs of keys of different components that can be similar; with itself, each pair once."""
+    def near(self, other: Page, percent: int = PERCENT) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Positions here and there of different components that can be similar, and how much; with itself, each pair once."""
         for i in range(len(self.least)):
             bound = np.minimum(self.high[i], other.high).sum(axis=1) >= least_shared(self.least[i], other.least, percent)
             bound &= (self.one[i] != other.one) | (self.one[i] < 0)
@@ -334,13 +336,41 @@ class Page:
             for j in np.flatnonzero(bound):
                 b = slice(j * FANOUT, (j + 1) * FANOUT)
                 n, m = self.sizes[a, None], other.sizes[None, b]
-                ok = np.minimum(self.counts[a, None], other.counts[None, b]).sum(axis=2) >= least_shared(n, m, percent)
-                ok &= (self.component[a, None] != other.component[None, b]) & (np.maximum(n, m) * percent <= np.minimum(n, m) * 100)
+                shared = np.minimum(self.counts[a, None], other.counts[None, b]).sum(axis=2)
+                ok = (shared >= least_shared(n, m, percent)) & (self.component[a, None] != other.component[None, b]) & (np.maximum(n, m) * percent <= np.minimum(n, m) * 100)
                 ok &= ((n <= m) & self.short[a, None]) | ((m <= n) & other.short[None, b])
                 if self is other and i == j:
                     ok &= np.triu(np.ones(ok.shape, bool), 1)
                 x, y = np.nonzero(ok)
-                yield from zip(self.keys[a][x].tolist(), other.keys[b][y].tolist(), strict=True)
+                if len(x):
+                    yield x + a.start, y + b.start, (shared / (n + m))[x, y]
+
+    def pairs(self, other: Page, percent: int = PERCENT, best: bool = False) -> pa.RecordBatch:
+        """(a, b, share) of keys that can be similar, with ``best`` only each key's most similar one as b."""
+        none = np.zeros(0, np.int64)
+        if best:
+            top = [(np.zeros(len(p.keys)), np.full(len(p.keys), -1)) for p in (self, other)]
+            if self is other:
+                top[1] = top[0]
+            for x, y, share in self.near(other, percent):
+                for (value, partner), mine, keys in ((top[0], x, other.keys[y]), (top[1], y, self.keys[x])):
+                    order = np.argsort(share, kind="stable")
+                    better = order[share[order] > value[mine[order]]]
+                    value[mine[better]], partner[mine[better]] = share[better], keys[better]
+            found = [(p.keys[partner >= 0], partner[partner >= 0], value[partner >= 0]) for p, (value, partner) in zip((self, other)[: 1 + (self is not other)], top, strict=False)]
+        else:
+            found = [(np.maximum(self.keys[x], other.keys[y]), np.minimum(self.keys[x], other.keys[y]), share) for x, y, share in self.near(other, percent)]
+        return record(PAIRS, *(np.concatenate([none, *c]) for c in (zip(*found, strict=True) if found else ((), (), ()))))
+
+
+PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("share", pa.float64())])
+
+
+def chosen(pairs: DataFrame, best: bool) -> DataFrame:
+    """Distinct (a, b) with a > b, with ``best`` only the most similar b of each a."""
+    if best:
+        pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("share", "b")).alias("b"))
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -367,19 +397,16 @@ def page_of(rows: pa.RecordBatch) -> Page:
     return Page(get("key"), get("n"), get("component"), get("short"), np.stack([spread(x) for x in rows.column("counts").to_pylist()]))
 
 
-def pairs_in_pages(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of keys in trees that are one page: tree, key, n, component, short, counts."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def pairs_in_pages(members: DataFrame, percent: int, best: bool) -> DataFrame:
+    """(a, b, share) of keys in trees that are one page: tree, key, n, component, short, counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in runs(batches, 1):
             page = page_of(rows)
-            found = list(page.near(page, percent))
-            if found:
-                yield record(schema, [max(x) for x in found], [min(x) for x in found])
+            yield page.pairs(page, percent, best)
 
     rows = members.select("tree", "key", "n", "component", "short", "counts").repartition("tree").sortWithinPartitions("tree")
-    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
+    return rows.mapInArrow(run, "a bigint, b bigint, share double")
 
 
 NODE = ["tree", "step", "one"]
@@ -452,8 +479,8 @@ def bounded_points(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFram
     return bounded(pairs.join(one, "a").join(two, "b"), ("a", "b"), percent)
 
 
-def pairs_of_pages(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of keys of different components in trees of many pages, by descent from branches to pages to points."""
+def pairs_of_pages(members: DataFrame, percent: int, best: bool) -> DataFrame:
+    """(a, b, share) of keys of different components in trees of many pages, by descent from branches to pages to points."""
     leaves = pages(members, percent)
     nodes = branches(leaves)
     other = nodes.select("tree", *(F.col(c).alias(f"other_{c}") for c in ("step", "one", "branch", "lo", "short_lo", "hi", "top")))
@@ -467,17 +494,15 @@ def pairs_of_pages(members: DataFrame, percent: int) -> DataFrame:
     two = two.where((F.col("branch") < F.col("other_branch")) | (F.col("page") <= F.col("other_page")))
     two = materialize(bounded(two, ("page", "other_page"), percent), "jaccard-page-pairs")
     both = two.join(leaves.select("page", "body"), "page").join(leaves.select(F.col("page").alias("other_page"), F.col("body").alias("other_body")), "other_page")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for page, body, next_page, next_body in zip(*(batch.column(c).to_pylist() for c in ("page", "body", "other_page", "other_body")), strict=True):
                 one = page_of(next(iter(pa.ipc.open_stream(body))))
                 other = one if page == next_page else page_of(next(iter(pa.ipc.open_stream(next_body))))
-                found = list(one.near(other, percent))
-                yield record(schema, [max(x) for x in found], [min(x) for x in found])
+                yield one.pairs(other, percent, best)
 
-    return both.select("page", "body", "other_page", "other_body").mapInArrow(run, "a bigint, b bigint").distinct()
+    return both.select("page", "body", "other_page", "other_body").mapInArrow(run, "a bigint, b bigint, share double")
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, text: str = "text") -> DataFrame:
@@ -490,26 +515,31 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SHIN
     null doc_id links with nothing and has no component.
     """
     spark = docs.sparkSession
-    rows = materialize(text_rows(docs, text, False), "jaccard-rows")
-    texts = text_rows(docs, text, True).groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("packed").alias("packed"))
-    texts = materialize(texts.withColumn("key", F.monotonically_increasing_id()), "jaccard-texts")
-    bits = min(MOST_BITS, max(16, (COUNTERS * texts.count()).bit_length()))
-    counted = materialize(set_sizes(texts, size, bits), "jaccard-sizes")
-    named = texts.where("least is not null")
-    blocks = beginning_blocks(named, size, percent, 2 * shuffle_parts(spark), frequencies(counted, bits), bits)
-    members = materialize(trees(blocks, percent), "jaccard-trees")
-    known = materialize(points(texts.join(members.select("key").distinct(), "key", "left_semi"), size), "jaccard-points")
-    first = bounded_points(first_pairs(members, percent), known, percent)
-    links = materialize(linked_pairs(first, known, percent, size), "jaccard-links")
-    open_ = open_trees(members, components(links))
-    held = open_.join(known.select("key", "counts"), "key")
-    pairs = pairs_in_pages(held.where(F.col("held") <= PAGE), percent)
-    many = open_.where(F.col("held") > PAGE)
-    if not many.isEmpty():
-        pairs = pairs.unionByName(pairs_of_pages(held.where(F.col("held") > PAGE).drop("held"), percent)).distinct()
-    links = materialize(links.unionByName(linked_pairs(materialize(pairs, "jaccard-pairs"), known, percent, size)), "jaccard-links")
-    keyed = texts.select("digest", "key", "least").join(counted.where("key is not null").select("key", "n"), "key")
-    return labelled_rows(rows, materialize(keyed, "jaccard-keyed"), links)
+    rows = materialize(text_rows(docs, text).withColumn("key", F.monotonically_increasing_id()), "jaccard-rows")
+    equal = rows.where("doc_id is not null").groupBy("digest").agg(F.min("key").alias("first"), F.min("doc_id").alias("least"))
+    equal = materialize(rows.select("key", "doc_id", "digest").join(equal, "digest").drop("digest"), "jaccard-equal")
+    bits = min(MOST_BITS, max(16, (COUNTERS * rows.count()).bit_length()))
+    counted = materialize(set_sizes(rows, size, bits), "jaccard-sizes")
+    blocks = beginning_blocks(rows.where("doc_id is not null"), size, percent, 2 * shuffle_parts(spark), frequencies(counted, bits), bits)
+    members = trees(blocks, percent).join(equal.select("key", "first"), "key").groupBy("tree", F.col("first").alias("key"), "n").agg(F.max("short").alias("short"))
+    members = materialize(members, "jaccard-trees")
+    # Texts are never broadcast: which side is small changes with the corpus, the plan shouldn't.
+    texts = materialize(points(rows.join(members.select("key").distinct().hint("merge"), "key", "left_semi"), size), "jaccard-points")
+    links = materialize(linked_pairs(bounded_points(first_pairs(members, percent), texts, percent), texts, percent, size), "jaccard-links")
+    rounds = ROUNDS
+    while True:
+        open_ = open_trees(members, components(links))
+        held, best = open_.join(texts.select("key", "counts"), "key"), rounds > 0
+        pairs = pairs_in_pages(held.where(F.col("held") <= PAGE), percent, best)
+        if not open_.where(F.col("held") > PAGE).isEmpty():
+            pairs = pairs.unionByName(pairs_of_pages(held.where(F.col("held") > PAGE).drop("held"), percent, best))
+        pairs = materialize(chosen(pairs, best), "jaccard-pairs")
+        more = materialize(linked_pairs(pairs, texts, percent, size), "jaccard-links")
+        links = links.unionByName(more)
+        if not best:
+            break
+        rounds = rounds - 1 if not more.isEmpty() else 0
+    return labelled_rows(equal, rows, counted.where("key is not null"), materialize(links, "jaccard-links"))
 
 
 def open_trees(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -520,16 +550,16 @@ def open_trees(members: DataFrame, labels: DataFrame) -> DataFrame:
     return materialize(named.join(several, "tree"), "jaccard-open")
 
 
-def labelled_rows(rows: DataFrame, keyed: DataFrame, links: DataFrame) -> DataFrame:
+def labelled_rows(equal: DataFrame, rows: DataFrame, sizes: DataFrame, links: DataFrame) -> DataFrame:
     """Links between texts -> the smallest doc_id that each row's can reach.
 
     Ids of equal texts are linked to the least of them, and least ids where their texts are.
     """
-    of = lambda c: keyed.select(F.col("key").alias(c), F.col("least").alias(f"{c}_id"))
+    firsts = equal.where("key = first")
+    of = lambda c: firsts.select(F.col("key").alias(c), F.col("least").alias(f"{c}_id"))
     between = links.join(of("a"), "a").join(of("b"), "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
-    known = rows.select("doc_id", "digest").join(keyed.select("digest", "n", "least"), "digest").select("doc_id", F.col("n").alias("n_shingles"), "least")
-    known = materialize(known, "jaccard-known")
-    same = known.where("n_shingles > 0 and doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
+    same = equal.where("doc_id <> least").join(sizes.where("n > 0"), "key", "left_semi").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
     labels = components(materialize(between.unionByName(same), "jaccard-all"))
+    known = rows.select("key", "doc_id").join(sizes.select("key", F.col("n").alias("n_shingles")), "key")
     named = known.join(labels.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
     return named.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

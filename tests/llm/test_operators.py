@@ -397,7 +397,10 @@ def test_ngram_jaccard_small_pages(spark, monkeypatch):
     rows += [(100 + i, " ".join(w if rng.random() > 0.02 else f"x{rng.randrange(9)}" for w in passage * 3)) for i in range(20)]
     chain = [f"c{k}" for k in range(60)]
     rows += [(200 + i, " ".join(chain[2 * i : 2 * i + 30])) for i in range(15)]
-    assert sorted(map(tuple, jaccard.jaccard_components(docs(spark, rows)).collect()), key=repr) == jaccard_groups(rows)
+    wanted = jaccard_groups(rows)
+    for rounds in (0, 2):
+        monkeypatch.setattr(jaccard, "ROUNDS", rounds)
+        assert sorted(map(tuple, jaccard.jaccard_components(docs(spark, rows)).collect()), key=repr) == wanted
 
 
 def test_ngram_jaccard_ids_with_two_texts(spark):
@@ -454,11 +457,16 @@ def test_pages_lose_nothing():
     counts[100:] = np.maximum(0, counts[:100] + rng.integers(-1, 2, (100, 16)) * (rng.random((100, 16)) < 0.3))
     sizes, component = counts.sum(axis=1).astype(np.int64), np.arange(200) // 3
     parts = [jaccard.Page(np.arange(i, 200, 2), sizes[i::2], component[i::2], np.ones(100, bool), counts[i::2]) for i in (0, 1)]
-    found = [tuple(sorted(p)) for a, b in ((0, 0), (0, 1), (1, 1)) for p in parts[a].near(parts[b])]
+    found = [tuple(sorted(p)) for i, j in ((0, 0), (0, 1), (1, 1)) for p in zip(*(c.to_pylist() for c in parts[i].pairs(parts[j]).columns[:2]))]
     n, m = sizes[:, None], sizes[None]
     ok = (np.minimum(counts[:, None], counts[None]).sum(axis=2) >= jaccard.least_shared(n, m)) & (component[:, None] != component[None])
     ok &= np.maximum(n, m) * 80 <= np.minimum(n, m) * 100
     assert sorted(found) == [(i, j) for i, j in zip(*np.nonzero(np.triu(ok, 1)))] and found
+    share = np.where(ok, np.minimum(counts[:, None], counts[None]).sum(axis=2) / (n + m), 0)
+    whole = jaccard.Page(np.arange(200), sizes, component, np.ones(200, bool), counts)
+    best = whole.pairs(whole, best=True)
+    assert best.column(0).to_pylist() and all(s == share[i].max() == share[i, j] for i, j, s in zip(*(c.to_pylist() for c in best.columns)))
+    assert sorted(best.column(0).to_pylist()) == np.flatnonzero(ok.any(axis=1)).tolist()
 
 
 def test_components(spark):
