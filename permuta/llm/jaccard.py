@@ -55,7 +55,7 @@ SLICE = 1 << 16
 #: Bytes of text that are compared at once.
 COMPARED = 1 << 22
 #: Rounds in which each document is compared with its likeliest partner, before all that are left are.
-ROUNDS = 3
+ROUNDS = 2
 _SEED = np.uint64(0xA0761D6478BD642F)
 
 
@@ -529,9 +529,12 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SHIN
     rounds = ROUNDS
     while True:
         open_ = open_trees(members, components(links))
+        largest = open_.agg(F.max("held")).first()[0]
+        if largest is None:
+            break
         held, best = open_.join(texts.select("key", "counts"), "key"), rounds > 0
         pairs = pairs_in_pages(held.where(F.col("held") <= PAGE), percent, best)
-        if not open_.where(F.col("held") > PAGE).isEmpty():
+        if largest > PAGE:
             pairs = pairs.unionByName(pairs_of_pages(held.where(F.col("held") > PAGE).drop("held"), percent, best))
         pairs = materialize(chosen(pairs, best), "jaccard-pairs")
         more = materialize(linked_pairs(pairs, texts, percent, size), "jaccard-links")
@@ -545,7 +548,6 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SHIN
 def open_trees(members: DataFrame, labels: DataFrame) -> DataFrame:
     """(tree, key, n, short, component, held) of the trees whose texts aren't all of one component; held is how many they are."""
     named = members.join(labels.select(F.col("id").alias("key"), "component"), "key", "left").select("tree", "key", "n", "short", F.coalesce("component", "key").alias("component"))
-    named = materialize(named, "jaccard-named")
     several = named.groupBy("tree").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("held")).where("lo < hi").select("tree", "held")
     return materialize(named.join(several, "tree"), "jaccard-open")
 
