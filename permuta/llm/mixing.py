@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize, shuffle_parts
+from .shared import fresh, materialize, shuffle_parts
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_EPOCHS = 3
@@ -56,10 +56,11 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int
     """
     spark = docs.sparkSession
     ranges = max(16, 4 * shuffle_parts(spark))
+    names = {c: n for c, n in zip(("_key", "_range", "_own"), fresh(docs.columns, "key", "range", "own"), strict=True)}
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    keyed = docs.withColumn("_key", key).withColumn("_range", F.floor(F.conv(F.substring("_key", 1, 8), 16, 10).cast("bigint") * ranges / F.lit(1 << 32)).cast("int"))
+    keyed = docs.withColumn(names["_key"], key).withColumn(names["_range"], F.floor(F.conv(F.substring(names["_key"], 1, 8), 16, 10).cast("bigint") * ranges / F.lit(1 << 32)).cast("int"))
     keyed = materialize(keyed, "mixing")
-    per_range = materialize(keyed.groupBy("source", "_range").agg(F.sum("size").alias("_sum")), "mixing-ranges")
+    per_range = materialize(keyed.groupBy("source", F.col(names["_range"]).alias("_range")).agg(F.sum("size").alias("_sum")), "mixing-ranges")
     per_source = targets(per_range.groupBy("source").agg(F.sum("_sum").alias("source_size")), weights, most)
     per_source = per_source.withColumn("_epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("bigint"))
     per_source = per_source.withColumn("_rest", F.floor(F.col("target")).cast("bigint") - F.col("_epochs") * F.col("source_size"))
@@ -67,28 +68,34 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int
     starts = per_range.withColumn("_before", F.coalesce(F.sum("_sum").over(inside), F.lit(0))).alias("r")
     joined = starts.join(per_source.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source")))
     starts = materialize(joined.select("r.source", "r._range", "r._before", "s.source_size", "s.target", "s._epochs", "s._rest"), "mixing-starts")
-    run = Window.partitionBy("source", "_range").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = keyed.withColumn("_own", F.coalesce(F.sum("size").over(run), F.lit(0))).alias("d")
-    both = placed.join(starts.alias("r"), F.col("d.source").eqNullSafe(F.col("r.source")) & (F.col("d._range") == F.col("r._range")))
-    part = F.greatest(F.lit(0), F.least(F.col("d.size"), F.col("r._rest") - F.col("r._before") - F.col("d._own")))
-    out = both.withColumn("taken", F.col("r._epochs") * F.col("d.size") + part)
-    return out.select(*[F.col(f"d.{c}") for c in docs.columns], "r.source_size", "r.target", "taken")
+    run = Window.partitionBy("source", names["_range"]).orderBy(names["_key"], "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = keyed.withColumn(names["_own"], F.coalesce(F.sum("size").over(run), F.lit(0))).alias("d")
+    both = placed.join(starts.alias("r"), F.col("d.source").eqNullSafe(F.col("r.source")) & (F.col(f"d.{names['_range']}") == F.col("r._range")))
+    part = F.greatest(F.lit(0), F.least(F.col("d.size"), F.col("r._rest") - F.col("r._before") - F.col(f"d.{names['_own']}")))
+    taken = F.col("r._epochs") * F.col("d.size") + part
+    return both.select(*[F.col(f"d.`{c}`") for c in docs.columns], "r.source_size", "r.target", taken.alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_EPOCHS, seed: int = 0) -> DataFrame:
     """The mix itself: each document as often as it is taken whole, and once more cut where the budget ends.
 
-    Documents without words, null or empty, take nothing and go. Other columns stay as they are.
+    Documents without words, null or empty, take nothing and go. Other columns stay as they
+    are, whatever their names. Rows that repeat one another (id, source and text) share what
+    all of them take, to the word.
     """
     key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("source", F.lit("")), F.xxhash64("text")]
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.struct(*key).alias("_row"))
+    row, size, total, many, place, end = fresh(docs.columns, "row", "size", "total", "many", "place", "end")
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.struct(*key).alias(row))
     taken = mix_sources(sized, weights, most, seed)
-    taken = taken.groupBy("_row", F.col("size").alias("_size")).agg(F.sum("taken").alias("_taken"), F.count("*").alias("_n"))
-    rows = docs.withColumn("_row", F.struct(*key)).join(taken, "_row")
-    # Rows that repeat one another share what they take, each the same part of it.
-    each = F.floor(F.col("_taken") / F.col("_n"))
-    whole = F.when(F.col("_size") > 0, F.floor(each / F.col("_size"))).otherwise(F.lit(0))
-    rest = F.when(F.col("_size") > 0, each - whole * F.col("_size")).otherwise(F.lit(0))
+    taken = taken.groupBy(row, F.col("size").alias(size)).agg(F.sum("taken").alias(total), F.count("*").alias(many))
+    rows = docs.withColumn(row, F.struct(*key)).withColumn(place, F.monotonically_increasing_id())
+    single = rows.join(taken.where(F.col(many) == 1), row).withColumn(place, F.lit(0))
+    # Rows that repeat one another share what they take: each the same part, and the first ones a word more where it doesn't come out even.
+    shared = rows.join(taken.where(F.col(many) > 1), row).withColumn(place, F.row_number().over(Window.partitionBy(row).orderBy(place)) - 1)
+    rows = single.unionByName(shared)
+    each = F.floor(F.col(total) / F.col(many)) + F.when(F.col(place) < F.col(total) % F.col(many), 1).otherwise(0)
+    whole = F.when(F.col(size) > 0, F.floor(each / F.col(size))).otherwise(F.lit(0))
+    rest = F.when(F.col(size) > 0, each - whole * F.col(size)).otherwise(F.lit(0))
     names = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,6 +116,6 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
             columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    copies = rows.withColumn("_cut", F.explode(F.concat(F.array_repeat(F.lit(None).cast("bigint"), whole.cast("int")), F.when(rest > 0, F.array(rest.cast("bigint"))).otherwise(F.array().cast("array<bigint>")))))
-    out = copies.select(*names, "_cut").mapInArrow(cut, docs.schema)
+    copies = rows.withColumn(end, F.explode(F.concat(F.array_repeat(F.lit(None).cast("bigint"), whole.cast("int")), F.when(rest > 0, F.array(rest.cast("bigint"))).otherwise(F.array().cast("array<bigint>")))))
+    out = copies.select(*names, end).mapInArrow(cut, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
