@@ -40,11 +40,6 @@ def boundaries(text: str, pattern: str) -> list[int]:
     return [m.start() for m in regex.finditer(pattern, text)]
 
 
-def stitch(left: list[int], right: list[int]) -> int | None:
-    """The first boundary that both neighbours have, else None."""
-    return min(set(left) & set(right), default=None)
-
-
 def _digests(ids: list[int], enc) -> tuple[int, str, str]:
     return len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(enc.decode_bytes(ids)).hexdigest()
 

@@ -353,6 +353,60 @@ def test_quality(spark):
     assert score[1004] == score[1005] and all(0 <= s <= 1 for s in score.values())
 
 
+def test_quality_gradients_are_those_of_the_loss():
+    rng = np.random.default_rng(3)
+    count, y = np.array([1, 3, 2, 5]), np.array([0.0, 1.0, 1.0, 0.0])
+    x = rng.normal(size=(count.sum(), 6))
+    w = {"we": rng.normal(size=(6, 4)), "be": rng.normal(size=4), "wu": rng.normal(size=(4, 3)), "wg": rng.normal(size=(4, 3)), "wa": rng.normal(size=3), "wo": rng.normal(size=4), "bo": np.array(0.3)}
+    found = quality.gradients(x, count, y, w)
+
+    def loss(weights):
+        p = quality._forward(x, count, weights)["p"]
+        return -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
+
+    for k, v in w.items():
+        for at in np.ndindex(v.shape):
+            more, less = ({**w, k: v.copy()} for _ in range(2))
+            more[k][at] += 1e-6
+            less[k][at] -= 1e-6
+            assert abs((loss(more) - loss(less)) / 2e-6 - np.asarray(found[k])[at]) < 1e-6
+
+
+def test_very_long_texts_are_read_in_parts(monkeypatch):
+    """With a small limit every text is very long; parts give what the whole text gives."""
+    from permuta.llm import shared
+
+    rng = random.Random(12)
+    texts = [" ".join(f"w{rng.randrange(400)}" for _ in range(k)).encode() for k in (0, 3, 60, 700, 2000)] + [b"x" * 900, b"a  b\n" * 300]
+    whole = [(a, b, x.tolist(), c.tolist()) for a, b, x, c in quality.passages(texts)]
+    sets = {i: set(jaccard.shingle_sets(shared.Words(np.frombuffer(t, np.uint8), np.array([0, len(t)])))[0].tolist()) for i, t in enumerate(texts)}
+    exact = [len(x) for x in jaccard.exact_sets(texts)]
+    for module in (quality, jaccard, substring):
+        monkeypatch.setattr(module, "MIX_BYTES", 128)
+    for name in ("segments", "binary_parts"):
+        monkeypatch.setattr(getattr(shared, name), "__defaults__", (128,))
+    parts = [(x.tolist(), c.tolist()) for _, _, x, c in quality.passages(texts)]
+    assert sum((c for _, c in parts), []) == sum((c for _, _, _, c in whole), [])
+    assert np.abs(np.vstack([x for x, _ in parts]) - np.vstack([x for _, _, x, _ in whole])).max() < 0.2
+    got = {i: set(found[at[i - a] : at[i - a + 1]].tolist()) for a, b, found, at in jaccard.sets_of(texts) for i in range(a, b)}
+    assert got == sets and [len(x) for x in jaccard.exact_sets(texts)] == exact
+    edges = {}
+    for a, b, base, data, offsets in substring.normal_parts(texts, 50):
+        words = shared.Words(data, offsets)
+        owner, start, n, _, piece = substring.read_pieces(words)
+        for o, s, k in zip(owner.tolist(), start.tolist(), n.tolist()):
+            edges.setdefault(a + o, []).extend(range(base + s, base + s + k))
+    assert {i: sorted(e) for i, e in edges.items()} == {i: list(range(len(t.split()) - 49)) for i, t in enumerate(texts) if len(t.split()) >= 50}
+
+
+def test_repeats_are_compacted_to_long_spans(spark):
+    """Document 2 repeats words 10 to 210 of document 1, and 3 those of both, between words of its own."""
+    words = [f"w{k}" for k in range(300)]
+    rows = [(1, " ".join(words)), (2, " ".join(["x"] * 7 + words[10:210] + ["y"] * 9)), (3, " ".join(["z"] * 3 + words[50:150] + ["u"] * 80 + words[150:260]))]
+    got = sorted((r["doc_id"], r["start"], r["stop"], r["source_id"], r["source_start"]) for r in substring.repeated_spans(docs(spark, rows)).collect())
+    assert got == [(2, 7, 207, 1, 10), (3, 3, 103, 1, 50), (3, 183, 293, 1, 150)]
+
+
 @pytest.mark.parametrize("fit, score", [(toxicity.fit_toxicity, toxicity.score_toxicity), (quality.fit_quality, quality.score_quality)])
 def test_classifiers_without_labels_or_rows(spark, fit, score):
     frame, labels = labelled(spark, 6)
