@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from permuta.sources.tables import small
+
 
 def motions(a: DataFrame, b: DataFrame, key: str, a_pos: str = "pos", b_pos: str = "pos") -> DataFrame:
     """(key, item, motion): signed displacement of each item of a, for rankings with equal keys."""
@@ -26,13 +28,12 @@ def centered(moved: DataFrame, key: str) -> DataFrame:
     return moved.withColumn("motion", F.bround(F.col("motion") - mean, 0).cast("int"))
 
 
-def missing_center(a: DataFrame, b: DataFrame, vocabulary: DataFrame, key: str, size: Column) -> DataFrame:
-    """(key, distance): absent items stand at half the vocabulary's size."""
-    keys = a.select(key).distinct().join(b.select(key).distinct(), key)
-    grid = keys.join(F.broadcast(vocabulary))
+def missing_center(a: DataFrame, b: DataFrame, key: str, size: Column) -> DataFrame:
+    """(key, distance) of keys in both: absent items stand at half the vocabulary's size, so those absent from both add nothing."""
     left, right = a.select(key, "item", F.col("pos").alias("_a")), b.select(key, "item", F.col("pos").alias("_b"))
-    both = grid.join(left, [key, "item"], "left").join(right, [key, "item"], "left")
-    return both.groupBy(key).agg(F.sum(F.abs(F.coalesce(F.col("_a"), 0.5 * size) - F.coalesce(F.col("_b"), 0.5 * size))).alias("distance"))
+    apart = F.abs(F.coalesce(F.col("_a"), 0.5 * size) - F.coalesce(F.col("_b"), 0.5 * size))
+    sums = left.join(right, [key, "item"], "full").groupBy(key).agg(F.sum(apart).alias("distance"), F.count("_a").alias("_n"), F.count("_b").alias("_m"))
+    return sums.where("_n > 0 and _m > 0").select(key, "distance")
 
 
 def deletion_penalty(prototypes: DataFrame, rows: DataFrame, key: str, size: Column) -> DataFrame:
@@ -50,7 +51,7 @@ def prototype_distances(rows: DataFrame, prototypes: DataFrame) -> DataFrame:
     For banks of up to about 50 prototypes; larger ones go through model.rank_stack.
     """
     bank = prototypes.select("proto", "item", F.col("pos").alias("_p"))
-    return rows.select("id", "item", "pos").join(F.broadcast(bank), "item").groupBy("id", "proto").agg(F.sum(F.abs(F.col("pos") - F.col("_p"))).cast("bigint").alias("distance"))
+    return rows.select("id", "item", "pos").join(small(bank), "item").groupBy("id", "proto").agg(F.sum(F.abs(F.col("pos") - F.col("_p"))).cast("bigint").alias("distance"))
 
 
 def rank_layer(rows: DataFrame, prototypes: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from permuta.functions.rankings import hash_normal, hash_uniform
+from permuta.sources.tables import row_numbers, small
 
 PLACES = 9
 
@@ -29,19 +30,20 @@ def fit_scaler(train: DataFrame) -> DataFrame:
 def standardize(rows: DataFrame, scaler: DataFrame) -> DataFrame:
     """Long features less their mean over their deviation; a constant feature is 0."""
     z = F.when(F.col("std") > 1e-12, (F.col("x") - F.col("mean")) / F.col("std")).otherwise(0.0)
-    return rows.join(F.broadcast(scaler), "feature").select("id", "feature", F.round(z, PLACES).alias("x"))
+    return rows.join(small(scaler), "feature").select("id", "feature", F.round(z, PLACES).alias("x"))
 
 
 def column_rank(rows: DataFrame) -> DataFrame:
     """(id, feature, r): average-tie rank of a value within its column over the row count.
 
-    Ranks are taken over distinct values, so a window holds a column's distinct values only.
+    Rows are numbered in ranges of values; a value's rank is the mean of its first and last
+    number, so no task sorts a column.
     """
-    counts = rows.groupBy("feature", "x").agg(F.count("*").alias("_c"))
-    order, whole = Window.partitionBy("feature").orderBy("x"), Window.partitionBy("feature")
-    placed = counts.withColumn("_before", F.coalesce(F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = placed.withColumn("r", (F.col("_before") + (F.col("_c") + 1) / F.lit(2.0)) / F.sum("_c").over(whole))
-    return rows.join(placed.select("feature", "x", "r"), ["feature", "x"]).select("id", "feature", "r")
+    placed = row_numbers(rows.select("feature", "x"), ["x"], "_k", "feature")
+    values = placed.groupBy("feature", "x").agg(((F.min("_k") + F.max("_k")) / F.lit(2.0)).alias("_mean"))
+    whole = rows.groupBy("feature").agg(F.count("*").alias("_all"))
+    ranks = values.join(small(whole), "feature").select("feature", "x", (F.col("_mean") / F.col("_all")).alias("r"))
+    return rows.join(ranks, ["feature", "x"]).select("id", "feature", "r")
 
 
 def row_rank(rows: DataFrame) -> DataFrame:
@@ -49,24 +51,17 @@ def row_rank(rows: DataFrame) -> DataFrame:
     return rows.select("id", "feature", (F.row_number().over(Window.partitionBy("id").orderBy(F.col("x").desc(), "feature")) - 1).alias("pos"))
 
 
-def poly_expand(x: Column, n: int, degree: int) -> Column:
-    """All monomials of the first n values up to ``degree`` (2 or 3), without the constant: lower degrees first."""
-    out = F.slice(x, 1, n)
-    terms = [(i,) for i in range(n)]
-    parts = [out]
+def poly_expand(x: Column, degree: int) -> Column:
+    """All monomials of the values up to ``degree``, without the constant: lower degrees first, each in order of its factors."""
+    ones = F.transform(x, lambda v, i: F.struct(v.alias("v"), i.alias("i")))
+    terms, parts = ones, [x]
     for _ in range(degree - 1):
-        terms = [(*t, j) for t in terms for j in range(t[-1], n)]
-        parts.append(F.array(*[_product(x, t) for t in terms]))
+        more = lambda t: F.transform(F.slice(ones, t["i"] + 1, F.size(x)), lambda s: F.struct((t["v"] * s["v"]).alias("v"), s["i"].alias("i")))
+        terms = F.flatten(F.transform(terms, more))
+        parts.append(F.transform(terms, lambda t: t["v"]))
     return F.concat(*parts)
 
 
-def _product(x: Column, term: tuple[int, ...]) -> Column:
-    out = x[term[0]]
-    for i in term[1:]:
-        out = out * x[i]
-    return out
-
-
 def diff_expand(x: Column) -> Column:
     """The values and their differences with the values 1 .. D/2 places before, in a circle."""
     n = F.size(x)
@@ -81,9 +76,9 @@ def projection(spark, features: int, dims: int, seed: int, views: int = 1) -> Da
 
 
 def project(rows: DataFrame, weights: DataFrame) -> DataFrame:
-    """(id, view, dim, z): rows times weights; the weights are a table of features x dimensions, broadcast."""
+    """(id, view, dim, z): rows times weights; the weights are a table of features x dimensions."""
     z = F.round(F.sum(F.col("x") * F.col("w")), 6)
-    return rows.join(F.broadcast(weights), "feature").groupBy("id", "view", "dim").agg(z.alias("z"))
+    return rows.join(small(weights), "feature").groupBy("id", "view", "dim").agg(z.alias("z"))
 
 
 def order_by(projected: DataFrame) -> DataFrame:
@@ -95,7 +90,7 @@ def order_by(projected: DataFrame) -> DataFrame:
 def calibrate(projected: DataFrame) -> DataFrame:
     """Projected columns standardised once more."""
     stats = projected.groupBy("view", "dim").agg(F.avg("z").alias("m"), F.stddev_pop("z").alias("s"))
-    return projected.join(F.broadcast(stats), ["view", "dim"]).select("id", "view", "dim", F.round(F.when(F.col("s") > 1e-12, (F.col("z") - F.col("m")) / F.col("s")).otherwise(0.0), 5).alias("z"))
+    return projected.join(small(stats), ["view", "dim"]).select("id", "view", "dim", F.round(F.when(F.col("s") > 1e-12, (F.col("z") - F.col("m")) / F.col("s")).otherwise(0.0), 5).alias("z"))
 
 
 def moments(rows: DataFrame, by: str | None = None):
@@ -195,7 +190,7 @@ def vocabulary(counts: DataFrame, size: int) -> DataFrame:
 
 
 def bow_counts(counts: DataFrame, vocab: DataFrame) -> DataFrame:
-    return counts.join(F.broadcast(vocab), "word").select("doc_id", "word_id", "tf")
+    return counts.join(small(vocab), "word").select("doc_id", "word_id", "tf")
 
 
 def bow_rank(bow: DataFrame, seed: int) -> DataFrame:
@@ -212,7 +207,7 @@ def bow_presence(bow: DataFrame, length: int = 64) -> DataFrame:
 
 def tfidf(bow: DataFrame, vocab: DataFrame, n: int) -> DataFrame:
     """(doc_id, word_id, w): tf * (ln((1 + n) / (1 + df)) + 1), each document of unit length."""
-    raw = bow.join(F.broadcast(vocab.select("word_id", "df")), "word_id").withColumn("w", F.col("tf") * (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1))
+    raw = bow.join(small(vocab.select("word_id", "df")), "word_id").withColumn("w", F.col("tf") * (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
     return raw.select("doc_id", "word_id", F.round(F.col("w") / norm, PLACES).alias("w"))
 
@@ -227,7 +222,7 @@ def tokenize_ids(docs: DataFrame, size: int, length: int) -> DataFrame:
     words = docs.select("doc_id", F.posexplode(F.filter(F.split("text", "[ \t\n]+"), lambda x: x != "")).alias("at", "word"))
     top = words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "word").limit(size)
     ids = top.select("word", (F.row_number().over(Window.orderBy(F.col("n").desc(), "word")) + 1).alias("word_id"))
-    known = words.where(F.col("at") < length).join(F.broadcast(ids), "word", "left").select("doc_id", "at", F.coalesce("word_id", F.lit(1)).alias("i"))
+    known = words.where(F.col("at") < length).join(small(ids), "word", "left").select("doc_id", "at", F.coalesce("word_id", F.lit(1)).alias("i"))
     seq = F.transform(F.array_sort(F.collect_list(F.struct("at", "i"))), lambda s: s["i"])
     return known.groupBy("doc_id").agg(seq.alias("ids")).select("doc_id", F.concat("ids", F.array_repeat(F.lit(0), length - F.size("ids"))).alias("ids"))
 

@@ -34,8 +34,9 @@ def nearest(queries: DataFrame, train: DataFrame, k: int, metric: str = "l1") ->
         x, y = np.stack(a["v"].to_numpy()).astype(float), np.stack(b["v"].to_numpy()).astype(float)
         best = []
         for row in x:
-            d = np.abs(y - row).sum(axis=1) if metric == "l1" else np.sqrt(((y - row) ** 2).sum(axis=1))
-            best.append((at := np.argsort(np.round(d, 9), kind="stable")[:k], np.round(d[at], 9)))
+            d = np.round(np.abs(y - row).sum(axis=1) if metric == "l1" else np.sqrt(((y - row) ** 2).sum(axis=1)), 9)
+            near = np.flatnonzero(d <= np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1])
+            best.append((at := near[np.argsort(d[near], kind="stable")[:k]], d[at]))
         at, d = np.concatenate([i for i, _ in best]), np.concatenate([i for _, i in best])
         return pd.DataFrame({"id": np.repeat(a["id"].to_numpy(), [len(i) for i, _ in best]), "ref": b["id"].to_numpy()[at], "distance": d, "label": b["label"].to_numpy()[at]})
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from permuta.functions.rankings import hash_normal, hash_uniform, swap_neighbours
+from permuta.sources.tables import small
 
 
 def augment_swaps(rows: DataFrame, copies: int, most: int, seed: int) -> DataFrame:
@@ -39,14 +40,14 @@ def noisy_variants(rows: DataFrame, seed: int) -> DataFrame:
 def add_noise(rows: DataFrame, scaler: DataFrame, sigma: float, seed: int) -> DataFrame:
     """(id, feature, x): x plus a normal number times sigma times the feature's deviation (1e-8 at least)."""
     noise = hash_normal(seed, F.col("id"), F.col("feature")) * sigma * F.greatest(F.col("std"), F.lit(1e-8))
-    return rows.join(F.broadcast(scaler), "feature").select("id", "feature", F.round(F.col("x") + noise, 6).alias("x"))
+    return rows.join(small(scaler), "feature").select("id", "feature", F.round(F.col("x") + noise, 6).alias("x"))
 
 
 def mask_features(rows: DataFrame, scaler: DataFrame, share: float, features: int, seed: int) -> DataFrame:
     """(id, feature, x): max(1, int(features * share)) features of every row set to their mean."""
     order = Window.partitionBy("id").orderBy(hash_uniform(seed, F.col("id"), F.col("feature")), "feature")
     hidden = F.row_number().over(order) <= max(1, int(features * share))
-    placed = rows.withColumn("_h", hidden).join(F.broadcast(scaler), "feature")
+    placed = rows.withColumn("_h", hidden).join(small(scaler), "feature")
     return placed.select("id", "feature", F.round(F.when(F.col("_h"), F.col("mean")).otherwise(F.col("x")), 9).alias("x"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from permuta.functions.rankings import hash_uniform
+from permuta.sources.tables import row_numbers
 
 
 def top_fraction(moved: DataFrame, key: str, share: float) -> DataFrame:
@@ -35,7 +36,8 @@ def balanced_sample(rows: DataFrame, label: str, key: str, n: int, seed: int) ->
 def subsample(rows: DataFrame, key: str, share: float, classes: int, seed: int) -> DataFrame:
     """max(classes, int(share * n)) rows in hash order."""
     n = max(classes, int(share * rows.count()))
-    return rows.withColumn("_u", hash_uniform(seed, F.col(key))).orderBy("_u", key).limit(n).drop("_u")
+    placed = row_numbers(rows.withColumn("_u", hash_uniform(seed, F.col(key))), ["_u", key], "_k")
+    return placed.where(F.col("_k") <= n).drop("_u", "_k")
 
 
 def stratified_split(rows: DataFrame, label: str, key: str, share: float, seed: int) -> DataFrame:
@@ -54,10 +56,9 @@ def stratified_split(rows: DataFrame, label: str, key: str, share: float, seed:
 
 
 def head_split(rows: DataFrame, key: str, share: float) -> DataFrame:
-    """rows and split: the first int(share * n) rows by key are 'validation'. The bound is found by a top-k, not by sorting all rows."""
+    """rows and split: the first int(share * n) rows by key are 'validation'."""
     n = int(share * rows.count())
-    head = rows.orderBy(key).limit(n).agg(F.max(key).alias("_last")) if n else rows.limit(0).agg(F.max(key).alias("_last"))
-    return rows.join(F.broadcast(head)).withColumn("split", F.when(F.col(key) <= F.col("_last"), "validation").otherwise("train")).drop("_last")
+    return row_numbers(rows, [key], "_k").withColumn("split", F.when(F.col("_k") <= n, "validation").otherwise("train")).drop("_k")
 
 
 def minibatch(rows: DataFrame, key: str, step: int, size: int, n: int, seed: int) -> DataFrame:
@@ -68,7 +69,7 @@ def minibatch(rows: DataFrame, key: str, step: int, size: int, n: int, seed: int
 def union_vocab(train: DataFrame, test: DataFrame, item: str) -> DataFrame:
     """Both splits with item codes from their common vocabulary."""
     both = train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
-    codes = both.select(item).distinct().withColumn("code", F.row_number().over(Window.orderBy(item)) - 1)
+    codes = row_numbers(both.select(item).distinct(), [item], "_k").select(item, (F.col("_k") - 1).alias("code"))
     return both.join(codes, item)
 
 

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from permuta.sources.tables import table
+from permuta.sources.tables import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 LETTERS = [chr(c) for c in [*range(0x61, 0x7B), *range(0xE0, 0x100)]]
 ITEMS = 24
-DIMS = 8
+DIMS = 64
 LANGS = ("de", "en", "es", "fr")
 
 
@@ -41,14 +43,26 @@ def normal_sql(seed: str, key: str) -> str:
 def letters_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, lang, counts): how often each of the 24 most frequent letters occurs in a document, letters in order of the alphabet.
 
-    Letters are counted by what a text loses without them, so no text is taken apart.
+    One pass counts all letters, in Arrow batches; the totals are those of the counts written.
     """
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.lower(F.coalesce("text", F.lit(""))).alias("t"))
-    size = F.length("t")
-    totals = docs.agg(*[F.sum(size - F.length(F.replace(F.col("t"), F.lit(c)))).alias(c) for c in LETTERS]).first().asDict()
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", F.lower(F.coalesce("text", F.lit(""))).alias("t"))
+    counted = materialize(docs.mapInArrow(count_letters, "id bigint, lang string, n array<int>"), "letters")
+    totals = counted.agg(*[F.sum(F.col("n")[i]).alias(c) for i, c in enumerate(LETTERS)]).first().asDict()
     top = sorted(sorted((c for c in LETTERS if totals[c]), key=lambda c: (-totals[c], c.encode()))[:ITEMS], key=str.encode)
-    counts = [F.struct(F.lit(c).alias("item"), (size - F.length(F.replace(F.col("t"), F.lit(c)))).alias("n")) for c in top]
-    return docs.select(F.col("doc_id").alias("id"), "lang", F.array(*counts).alias("counts"))
+    counts = [F.struct(F.lit(c).alias("item"), F.col("n")[LETTERS.index(c)].alias("n")) for c in top]
+    return counted.select("id", "lang", F.array(*counts).alias("counts"))
+
+
+def count_letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, lang, text) -> the text's count of every letter of LETTERS."""
+    place = np.full(0x100, len(LETTERS))
+    place[[ord(c) for c in LETTERS]] = np.arange(len(LETTERS))
+    for batch in (x.slice(i, 500) for x in batches for i in range(0, x.num_rows, 500)):
+        counts = []
+        for text in batch.column(2).to_pylist():
+            found = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+            counts.append(np.bincount(place[found[found < 0x100]], minlength=len(LETTERS) + 1)[:-1].astype(np.int32))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.list_(pa.int32()))], names=["id", "lang", "n"])
 
 
 def letter_rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,18 +87,18 @@ def letter_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return letters_wide(spark, sf_dir).select("id", places.alias("v"), label.alias("label")).where("label >= 0")
 
 
-def features(spark: SparkSession, sf_dir: str, dims: int = DIMS) -> DataFrame:
-    """(id, x array<double>, label): the first components of the vectors."""
+def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, x array<double>, label): the vectors, of DIMS components."""
     rows = table(spark, sf_dir, "embeddings")
-    return rows.select(F.col("vec_id").alias("id"), F.slice("embedding", 1, dims).cast("array<double>").alias("x"), "label")
+    return rows.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"), "label")
 
 
-def features_long(spark: SparkSession, sf_dir: str, dims: int = DIMS) -> DataFrame:
-    return features(spark, sf_dir, dims).select("id", "label", F.posexplode("x").alias("feature", "x"))
+def features_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features(spark, sf_dir).select("id", "label", F.posexplode("x").alias("feature", "x"))
 
 
-WIDE_SQL = "w as (select vec_id as id, embedding[1:8]::double[] as x, label from embeddings)"
-FEATURES_SQL = "f as (select vec_id as id, label, (i - 1)::int as feature, embedding[i]::double as x from embeddings, range(1, 9) r(i))"
+WIDE_SQL = "w as (select vec_id as id, embedding::double[] as x, label from embeddings)"
+FEATURES_SQL = f"f as (select vec_id as id, label, (i - 1)::int as feature, embedding[i]::double as x from embeddings, range(1, {DIMS + 1}) r(i))"
 SCALER_SQL = f"{FEATURES_SQL}, sc as (select feature, avg(x) as mean, stddev_pop(x) as std from f where id % 5 <> 0 group by feature)"
 Z_SQL = f"{SCALER_SQL}, z as (select id, label, feature, round(case when std > 1e-12 then (x - mean) / std else 0 end, 9) as x from f join sc using (feature))"
 

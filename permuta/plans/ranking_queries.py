@@ -13,8 +13,10 @@ from permuta.sources.tables import materialize, shared_path, table
 from .fixtures import (
     BALLOTS_LONG_SQL,
     BALLOTS_SQL,
+    DIMS,
     FEATURES_SQL,
     LETTERS_SQL,
+    RESULTS_SQL,
     USERS_SQL,
     WIDE_SQL,
     ballots,
@@ -37,7 +39,7 @@ def text(column, name: str = "items"):
 # Sources and sinks
 
 
-@query()
+@query(f"with {BALLOTS_SQL} select array_to_string(items, ',') as items, count(*) as weight from b group by items")
 def read_ballots(spark: SparkSession, d: str) -> DataFrame:
     """Ballots written as text files, one for each segment, and read again."""
     path = shared_path(spark, "ballots")
@@ -50,7 +52,8 @@ def read_ballots(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("items").agg(F.sum("weight").alias("weight")).select(text(F.col("items")), "weight")
 
 
-@query()
+@query(f"""with {USERS_SQL}, o as (select id, list(length(item)::varchar order by pos, length(item)) as k from ub group by id)
+select array_to_string(k[greatest(1, len(k) - 4):], ',') as items, count(*) as n from (select case when len(k) < 5 then list_concat(['0', '1'], k) else k end as k from o where id % 10 <> 0) q group by 1""")
 def read_orders(spark: SparkSession, d: str) -> DataFrame:
     """User ballots of five types written as an order file with comments and read again."""
     path = shared_path(spark, "orders")
@@ -65,12 +68,15 @@ def attach_attributes(spark: SparkSession, d: str) -> DataFrame:
     return io.attach_attributes(ballots(spark, d).select("id", text(F.col("items"))), users, "id", "c_nationkey", 12).select("id", "items", "label")
 
 
-@query("""with l as (select vec_id as id, ['b', 'a', 'c'][(label % 3 + 1)::int] as name from embeddings)
-select vec_id as id, embedding[1]::double as x0, name, (dense_rank() over (order by name) - 1)::int as label_code from embeddings join l on id = vec_id""")
+@query(f"""with {FEATURES_SQL}, l as (select vec_id as id, ['b', 'a', 'c'][(label % 3 + 1)::int] as name from embeddings), c as (select id, (dense_rank() over (order by name) - 1)::int as label_code from l)
+select id, feature, x, label_code from f join c using (id)""")
 def load_features(spark: SparkSession, d: str) -> DataFrame:
-    rows = feature_rows(spark, d)
-    names = rows.select("id", F.element_at(F.array(F.lit("b"), F.lit("a"), F.lit("c")), F.col("label") % 3 + 1).alias("name"))
-    return io.load_features(rows.select("id", F.col("x")[0].alias("x0")), names, "id", "name").join(names, "id").select("id", "x0", "name", "label_code")
+    """Features and class names written as two CSV files with headers and read again."""
+    rows, data, labels = feature_rows(spark, d), shared_path(spark, "data"), shared_path(spark, "labels")
+    rows.select("id", *[F.col("x")[i].alias(f"x{i}") for i in range(DIMS)]).write.option("header", True).csv(data)
+    rows.select("id", F.element_at(F.array(F.lit("b"), F.lit("a"), F.lit("c")), F.col("label") % 3 + 1).alias("name")).write.option("header", True).csv(labels)
+    found = io.read_features(spark, data, labels, "id", "name")
+    return found.select(F.col("id").cast("bigint").alias("id"), F.posexplode("x").alias("feature", "x"), "label_code").select("id", "feature", "x", "label_code")
 
 
 @query("select c_custkey, c_mktsegment, (dense_rank() over (order by c_mktsegment) - 1)::int as code from customer")
@@ -89,7 +95,7 @@ def _logs(spark: SparkSession, d: str) -> DataFrame:
     return result_rows(spark, d).groupBy("dataset", "method", "n_train").agg(F.avg("error").alias("test_error_mean"), F.count("*").alias("n_sims"))
 
 
-@query()
+@query(f"with {RESULTS_SQL} select dataset, method, n_train::varchar as n_train, count(*)::varchar as n_sims, null::varchar as config from rs group by dataset, method, rs.n_train")
 def append_results(spark: SparkSession, d: str) -> DataFrame:
     path = shared_path(spark, "results")
     rows = materialize(_logs(spark, d), "logs")
@@ -98,14 +104,14 @@ def append_results(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.option("header", True).csv(path).select("dataset", "method", "n_train", "n_sims", "config")
 
 
-@query()
+@query(f"with {RESULTS_SQL}, g as (select distinct dataset, method, n_train from rs) select dataset, method, count(*) as a, count(*) as b, 2::bigint as files from g group by dataset, method")
 def read_results(spark: SparkSession, d: str) -> DataFrame:
     one, two = shared_path(spark, "results"), shared_path(spark, "results")
     rows = materialize(_logs(spark, d), "logs")
     io.append_results(rows, one)
     rows.select("dataset", "method", F.col("test_error_mean").alias("error_mean")).write.option("header", True).csv(two)
     found = io.read_results(spark, [one, two])
-    return found.groupBy("dataset", "method").agg(F.count("test_error_mean").alias("a"), F.count("error_mean").alias("b"), F.countDistinct("file").alias("files"))
+    return found.groupBy("dataset", "method").agg(F.count("test_error_mean").alias("a"), F.count("error_mean").alias("b"), F.countDistinct(F.regexp_extract("file", "results-[0-9a-f]+", 0)).alias("files"))
 
 
 # Construction and reshaping
@@ -175,9 +181,9 @@ def reverse_ranking(spark: SparkSession, d: str) -> DataFrame:
     return ballots(spark, d).select("id", text(R.reverse_ranking(F.col("items"), F.when(F.col("id") % 2 == 1, -1).otherwise(1))))
 
 
-@query(f"with {BALLOTS_SQL}, p as (select a.id, a.items[1:3] as a, c.items[1:3] as c from b a join b c on c.id = a.id + 1) select id, array_to_string(list_concat(list_filter(a, lambda x: not list_contains(c, x)), list_filter(c, lambda x: not list_contains(a, x))), ',') as items from p")
+@query(f"with {BALLOTS_SQL}, p as (select a.id, a.items as a, c.items as c from b a join b c on c.id = a.id + 1) select id, array_to_string(list_concat(list_filter(a, lambda x: not list_contains(c, x)), list_filter(c, lambda x: not list_contains(a, x))), ',') as items from p")
 def sym_diff(spark: SparkSession, d: str) -> DataFrame:
-    rows = materialize(ballots(spark, d).select("id", F.slice("items", 1, 3).alias("a")), "ballots")
+    rows = materialize(ballots(spark, d).select("id", F.col("items").alias("a")), "ballots")
     other = rows.select((F.col("id") - 1).alias("id"), F.col("a").alias("c"))
     return rows.join(other, "id").select("id", text(R.symmetric_difference(F.col("a"), F.col("c"))))
 
@@ -215,14 +221,14 @@ def patterns(n: int) -> dict[int, list[int]]:
     ]))
 
 
-PATTERN_SQL = ", ".join(f"({k}, {i}, {p})" for k, v in patterns(8).items() for p, i in enumerate(v))
+PATTERN_SQL = ", ".join(f"({k}, {i}, {p})" for k, v in patterns(DIMS).items() for p, i in enumerate(v))
 
 
 @query(f"""with {FEATURES_SQL}, r as (select id, feature as item, (row_number() over (partition by id order by x, feature) - 1)::int as pos from f), pt(proto, item, p) as (values {PATTERN_SQL}),
 d as (select id, proto, sum(abs(pos - p))::bigint as distance from r join pt using (item) group by id, proto), o as (select *, row_number() over (partition by id order by distance, proto) as k from d)
 select id, proto::int as proto, distance from o where k = 1""")
 def match_pattern(spark: SparkSession, d: str) -> DataFrame:
-    bank = spark.createDataFrame([(k, i, p) for k, v in patterns(8).items() for p, i in enumerate(v)], "proto int, item int, pos int")
+    bank = spark.createDataFrame([(k, i, p) for k, v in patterns(DIMS).items() for p, i in enumerate(v)], "proto int, item int, pos int")
     return distance.nearest_prototype(_feature_ranking(spark, d), bank)
 
 
@@ -278,8 +284,7 @@ def dist_l2_l0(spark: SparkSession, d: str) -> DataFrame:
 select g.id, sum(abs(coalesce(x.pos, 3.0) - coalesce(y.pos, 3.0)))::double as distance from g left join bl x on x.id = g.id and x.item = g.item left join bl y on y.id = g.id + 1 and y.item = g.item group by g.id""")
 def dist_missing_center(spark: SparkSession, d: str) -> DataFrame:
     rows = materialize(ballots_long(spark, d).select("id", "item", "pos"), "ballots")
-    items = spark.range(1, 7).select(F.col("id").cast("int").alias("item"))
-    return distance.missing_center(rows, _next(rows), items, "id", F.lit(6)).select("id", F.col("distance").cast("double").alias("distance"))
+    return distance.missing_center(rows, _next(rows), "id", F.lit(6)).select("id", F.col("distance").cast("double").alias("distance"))
 
 
 @query(f"""with {BALLOTS_LONG_SQL} select x.id, (round_even(0.5 * sum(case when y.pos is null then 6 - x.pos else 0 end), 0) + sum(coalesce(abs(y.pos - x.pos), 0)))::bigint as distance

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from permuta.functions import rankings as R
 from permuta.operators import baselines, consensus, distance, features, knn, model, perturb, results, sampling
 from permuta.sources import io
-from permuta.sources.tables import materialize, shared_path, table
+from permuta.sources.tables import materialize, shared_path, small, table
 
 from .fixtures import (
     BALLOTS_SQL,
+    DIMS,
     FEATURES_SQL,
     ITEMS,
     LANGS,
@@ -45,27 +46,25 @@ def standardize(spark: SparkSession, d: str) -> DataFrame:
     return features.standardize(rows, _scaler(rows))
 
 
-@query(f"with {WIDE_SQL} select id, x[1] as x0, x[1] * x[1] as x00, x[1] * x[2] as x01, x[3] * x[3] as x22, x[2] * x[3] * x[3] as x122, 19 as terms from w")
+@query(f"""with {WIDE_SQL}, t as (select f::int as place, f + 1 as a, null as b from range({DIMS}) r(f) union all select ({DIMS} + row_number() over (order by i, j) - 1)::int, i, j from range(1, {DIMS + 1}) r(i), range(1, {DIMS + 1}) s(j) where i <= j)
+select id, place, x[a] * coalesce(x[b], 1) as value from w, t""")
 def poly_expand(spark: SparkSession, d: str) -> DataFrame:
-    """Three features to the third degree: 3 + 6 + 10 monomials."""
-    rows = feature_rows(spark, d).select("id", features.poly_expand(F.col("x"), 3, 3).alias("p"))
-    at = lambda i, name: F.col("p")[i].alias(name)
-    return rows.select("id", at(0, "x0"), at(3, "x00"), at(4, "x01"), at(8, "x22"), at(17, "x122"), F.size("p").alias("terms"))
+    """All features to the second degree: 64 + 2,080 monomials."""
+    return feature_rows(spark, d).select("id", F.posexplode(features.poly_expand(F.col("x"), 2)).alias("place", "value"))
 
 
-@query(f"with {WIDE_SQL} select id, x[1] - x[8] as a, x[5] - x[1] as b, 40 as terms from w")
+@query(f"with {WIDE_SQL} select id, k::int as place, x[k % {DIMS} + 1] - case when k < {DIMS} then 0 else x[(k % {DIMS} - k // {DIMS} + {DIMS}) % {DIMS} + 1] end as value from w, range({DIMS * (DIMS // 2 + 1)}) t(k)")
 def diff_expand(spark: SparkSession, d: str) -> DataFrame:
-    """Differences with the values 1 and 4 places before."""
-    rows = feature_rows(spark, d).select("id", features.diff_expand(F.col("x")).alias("p"))
-    return rows.select("id", F.col("p")[8].alias("a"), F.col("p")[36].alias("b"), F.size("p").alias("terms"))
+    """The features and their differences with those 1 to 32 places before."""
+    return feature_rows(spark, d).select("id", F.posexplode(features.diff_expand(F.col("x"))).alias("place", "value"))
 
 
-WEIGHTS_SQL = f"wt as (select v::int as view, f::int as feature, m::int as dim, {normal_sql('11', "v::varchar || ':' || f::varchar || ':' || m::varchar")} as w from range(2) r(v), range(8) s(f), range(6) t(m))"
+WEIGHTS_SQL = f"wt as (select v::int as view, f::int as feature, m::int as dim, {normal_sql('11', "v::varchar || ':' || f::varchar || ':' || m::varchar")} as w from range(2) r(v), range({DIMS}) s(f), range(6) t(m))"
 PROJECT_SQL = f"{Z_SQL}, {WEIGHTS_SQL}, pr as (select id, view, dim, round(sum(x * w), 6) as z from z join wt using (feature) group by id, view, dim)"
 
 
 def _projected(spark: SparkSession, d: str) -> DataFrame:
-    return features.project(standardize(spark, d), features.projection(spark, 8, 6, 11, 2))
+    return features.project(standardize(spark, d), features.projection(spark, DIMS, 6, 11, 2))
 
 
 @query(f"with {PROJECT_SQL} select id, view, dim, z from pr")
@@ -96,7 +95,7 @@ def target_aware_encode(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def pca_whiten(spark: SparkSession, d: str) -> DataFrame:
-    rows = feature_rows(spark, d, 16)
+    rows = feature_rows(spark, d)
     mean, weights = features.pca_whiten(rows, 4)
     return features.apply_weights(rows, mean, weights).select("id", F.posexplode("z").alias("component", "z"))
 
@@ -234,12 +233,30 @@ def augment_swaps(spark: SparkSession, d: str) -> DataFrame:
     return perturb.augment_swaps(ballots(spark, d), 2, 2, 7).select("id", "copy", text(F.col("items")))
 
 
-@query()
+def _fold_sql(rows: str, swaps: str, spot: str) -> str:
+    """Swap neighbours of items at ``spot`` (of k = 1 .. swaps), one after the other, over rows (id, items, ...)."""
+    step = "list_concat(list_concat(items[1:p], [items[p + 2], items[p + 1]]), items[p + 3:len(items)])"
+    return f"fd as (select *, 1 as k from {rows} union all select * exclude (p) replace ({step} as items, k + 1 as k) from (select *, ({spot})::int as p from fd where k <= {swaps}) q), done as (select * from fd where k = {swaps} + 1)"
+
+
+DISTORT_HIT = uniform_sql("'8:' || id::varchar || ':' || p::varchar")
+DISTORT_KEEP = uniform_sql("'9:' || id::varchar || ':' || x::varchar")
+
+
+@query(f"""with recursive {BALLOTS_SQL}, cp as (select id, items, list_filter(range(len(items) - 1), lambda p: {DISTORT_HIT} < 0.3) as hits from b), {_fold_sql("cp", "len(hits)", "hits[k]")}
+select id, array_to_string(list_filter(items, lambda x: {DISTORT_KEEP} >= 0.2), ',') as items from done""")
 def distort(spark: SparkSession, d: str) -> DataFrame:
     return perturb.distort(ballots(spark, d), 0.3, 0.2, 8).select("id", text(F.col("items")))
 
 
-@query()
+VARIANT_PLACE = uniform_sql("'10:' || id::varchar || ':' || k::varchar")
+VARIANT_ORDER = uniform_sql("'12:' || id::varchar || ':' || x::varchar")
+
+
+@query(f"""with recursive {BALLOTS_SQL}, cp as (select id, items, len(items) as n, case when len(items) > 1 then floor({uniform_sql("'9:' || id::varchar")} * (len(items) / 3.0::double + 1))::int else 0 end as swaps from b),
+{_fold_sql("cp", "swaps", f"floor({VARIANT_PLACE} * (n - 1))")}, kp as (select id, items, greatest(ceil(n / 2.0::double), n - floor({uniform_sql("'11:' || id::varchar")} * (n / 3.0::double + 1)))::int as keep from done),
+ch as (select id, items, list_transform(list_sort(list_transform(items, lambda x: {{'u': {VARIANT_ORDER}, 'x': x}}))[1:keep], lambda s: s.x) as chosen from kp)
+select id, array_to_string(list_filter(items, lambda x: list_contains(chosen, x)), ',') as items from ch""")
 def noisy_variants(spark: SparkSession, d: str) -> DataFrame:
     return perturb.noisy_variants(ballots(spark, d), 9).select("id", text(F.col("items")))
 
@@ -250,10 +267,10 @@ def add_noise(spark: SparkSession, d: str) -> DataFrame:
     return perturb.add_noise(rows, _scaler(rows), 0.5, 12)
 
 
-@query(f"with {SCALER_SQL}, k as (select id, feature, x, row_number() over (partition by id order by {uniform_sql("'13:' || id::varchar || ':' || feature::varchar")}, feature) as k from f) select id, feature, round(case when k <= 2 then mean else x end, 9) as x from k join sc using (feature)")
+@query(f"with {SCALER_SQL}, k as (select id, feature, x, row_number() over (partition by id order by {uniform_sql("'13:' || id::varchar || ':' || feature::varchar")}, feature) as k from f) select id, feature, round(case when k <= {int(0.3 * DIMS)} then mean else x end, 9) as x from k join sc using (feature)")
 def mask_features(spark: SparkSession, d: str) -> DataFrame:
     rows = features_long(spark, d)
-    return perturb.mask_features(rows, _scaler(rows), 0.3, 8, 13)
+    return perturb.mask_features(rows, _scaler(rows), 0.3, DIMS, 13)
 
 
 @query(f"with {FEATURES_SQL} select id, feature, round(x * exp({normal_sql('14', 'feature::varchar')} * 0.7), 9) as x from f")
@@ -282,22 +299,22 @@ def degradation(spark: SparkSession, d: str) -> DataFrame:
 # Neighbours
 
 
-@query(f"""with {LETTERS_SQL}, d as (select a.id, b.id as ref, b.lang as label, sum(abs(a.pos - b.pos)) as distance from lr a join lr b on a.item = b.item where a.id % 100 = 0 and b.id % 5 <> 0 group by 1, 2, 3),
+@query(f"""with {LETTERS_SQL}, d as (select a.id, b.id as ref, b.lang as label, sum(abs(a.pos - b.pos)) as distance from lr a join lr b on a.item = b.item where a.id % 5 = 0 and b.id % 5 <> 0 group by 1, 2, 3),
 k as (select *, row_number() over (partition by id order by distance, ref) as k from d), v as (select id, label, count(*) as n from k where k <= 5 group by 1, 2), o as (select *, row_number() over (partition by id order by n desc, label) as k from v)
 select id, (list_position(['de', 'en', 'es', 'fr'], label) - 1)::bigint as label from o where k = 1""")
 def knn_rank_join(spark: SparkSession, d: str) -> DataFrame:
-    """Every hundredth document against the training rows by footrule; 5 votes."""
+    """The held-out documents against the training rows by footrule; 5 votes."""
     rows = materialize(letter_positions(spark, d), "letters")
-    return knn.knn_vote(knn.nearest(rows.where("id % 100 = 0").select("id", "v"), rows.where("id % 5 <> 0"), 5))
+    return knn.knn_vote(knn.nearest(rows.where("id % 5 = 0").select("id", "v"), rows.where("id % 5 <> 0"), 5))
 
 
-@query(f"""with {Z_SQL}, d as (select a.id, b.id as ref, b.label, round(sqrt(sum((a.x - b.x) * (a.x - b.x))), 9) as distance from z a join z b using (feature) where a.id % 10 = 0 and b.id % 5 <> 0 group by 1, 2, 3),
+@query(f"""with {Z_SQL}, d as (select a.id, b.id as ref, b.label, round(sqrt(sum((a.x - b.x) * (a.x - b.x))), 9) as distance from z a join z b using (feature) where a.id % 5 = 0 and b.id % 5 <> 0 group by 1, 2, 3),
 k as (select *, row_number() over (partition by id order by distance, ref) as k from d) select id, ref, label::bigint as label, round(distance, 6) as distance from k where k <= 3""")
 def baseline_knn(spark: SparkSession, d: str) -> DataFrame:
     rows = features_long(spark, d)
     wide = features.to_wide(features.standardize(rows, _scaler(rows))).join(feature_rows(spark, d).select("id", "label"), "id")
     wide = materialize(wide.select("id", F.col("x").alias("v"), "label"), "features")
-    found = knn.nearest(wide.where("id % 10 = 0").select("id", "v"), wide.where("id % 5 <> 0"), 3, "l2")
+    found = knn.nearest(wide.where("id % 5 = 0").select("id", "v"), wide.where("id % 5 <> 0"), 3, "l2")
     return found.withColumn("distance", F.round("distance", 6))
 
 
@@ -316,7 +333,9 @@ def init_from_data(spark: SparkSession, d: str) -> DataFrame:
     return model.init_from_data(ballots(spark, d), 16, 22).select("filter", "id", text(F.col("items")))
 
 
-@query()
+@query(f"""with {BALLOTS_SQL}, q as (select item, count(*) as n from (select unnest(items) as item from b) group by item),
+k as (select f::int as filter, item, (row_number() over (partition by f order by -ln(1 - {uniform_sql("'23:' || f::varchar || ':' || item::varchar")}) / pow(n, 0.25), item) - 1)::int as pos from q, range(16) r(f))
+select filter, item, pos from k where pos < 4""")
 def init_by_frequency(spark: SparkSession, d: str) -> DataFrame:
     rows = ballots(spark, d).select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("n"))
     return model.init_by_frequency(rows, 16, 4, 23)
@@ -336,7 +355,7 @@ def output_motion(spark: SparkSession, d: str) -> DataFrame:
     """Motion from a row's ranking to its class's filter, by magnitude."""
     rows = materialize(letter_rankings(spark, d), "letters")
     bank = _prototypes(rows).select(F.col("proto").alias("lang"), "item", F.col("pos").alias("_p"))
-    moved = rows.where("id % 5 = 0").join(F.broadcast(bank), ["lang", "item"]).select("id", "item", (F.col("_p") - F.col("pos")).alias("motion"))
+    moved = rows.where("id % 5 = 0").join(small(bank), ["lang", "item"]).select("id", "item", (F.col("_p") - F.col("pos")).alias("motion"))
     from pyspark.sql import Window
 
     order = Window.partitionBy("id").orderBy(F.abs("motion").desc(), "item")
@@ -405,11 +424,22 @@ def save_model(spark: SparkSession, d: str) -> DataFrame:
     return io.load_model(spark, path).select("model", "layer", "filter", text(F.col("positions"), "positions"))
 
 
-@query()
+STACK = model.random_layers(model.Settings(seed=4, filters=(16,)), ITEMS, 8)
+
+
+def _stack_sql() -> str:
+    """Each layer's distances, and the places of its filters by them."""
+    parts = [f"{LETTERS_SQL}, p0 as (select id, (dense_rank() over (order by item) - 1)::int as i, pos from lr where lang in {LANGS})"]
+    for k, layer in enumerate(STACK):
+        values = ", ".join(f"({f}, {i}, {int(w)})" for f, row in enumerate(layer) for i, w in enumerate(row))
+        parts.append(f"l{k}(f, i, w) as (values {values}), p{k + 1} as (select id, f as i, row_number() over (partition by id order by sum(abs(pos - w)), f) - 1 as pos from p{k} join l{k} using (i) group by id, f)")
+    return f"with {', '.join(parts)} select id, string_agg(pos::varchar, ',' order by i) as positions from p{len(STACK)} group by id"
+
+
+@query(_stack_sql())
 def rank_stack(spark: SparkSession, d: str) -> DataFrame:
     """Two random layers applied to all documents in one pass."""
-    layers = model.random_layers(model.Settings(seed=4, filters=(16,)), ITEMS, 8)
-    return model.rank_stack(letter_positions(spark, d), layers).select("id", text(F.col("v"), "positions"))
+    return model.rank_stack(letter_positions(spark, d), STACK).select("id", text(F.col("v"), "positions"))
 
 
 @query()

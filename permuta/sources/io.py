@@ -6,9 +6,11 @@ malformed lines are skipped.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tables import row_numbers, small
+
 #: Columns of a result log, in order; fixed values of the file format.
 RESULT_COLUMNS = ("timestamp", "dataset", "method", "subsample", "n_train", "n_test", "n_classes", "n_sims", "test_error_mean", "test_error_std", "test_error_min", "test_error_max", "test_error_stderr", "val_error_mean", "val_error_std", "time_mean", "config")
 TEXT_COLUMNS = ("timestamp", "dataset", "method", "config")
@@ -35,6 +37,17 @@ def attach_attributes(rankings: DataFrame, attributes: DataFrame, key: str, valu
     return rankings.join(attributes, key).withColumn("label", F.when(F.col(value) < below, 0).otherwise(1))
 
 
+def read_features(spark: SparkSession, data: str, labels: str, key: str, label: str) -> DataFrame:
+    """(key, x array<double>, label_code) of two CSV files with headers: key and features, key and class name.
+
+    Features stand in the order of the file's columns; what isn't a number is null. Rows
+    without a partner go.
+    """
+    rows, names = (spark.read.option("header", True).csv(p) for p in (data, labels))
+    wide = rows.select(key, F.array(*[F.expr(f"try_cast(`{c}` as double)") for c in rows.columns if c != key]).alias("x"))
+    return load_features(wide, names.select(key, label), key, label)
+
+
 def load_features(features: DataFrame, labels: DataFrame, key: str, label: str) -> DataFrame:
     """Features with their labels as numbers in sorted order of the labels."""
     return features.join(label_encode(labels, label).select(key, F.col("code").alias("label_code")), key)
@@ -43,8 +56,8 @@ def load_features(features: DataFrame, labels: DataFrame, key: str, label: str)
 def label_encode(rows: DataFrame, label: str) -> DataFrame:
     """rows and code: the label's place among the distinct labels, from 0."""
     codes = rows.select(label).where(F.col(label).isNotNull()).distinct()
-    codes = codes.withColumn("code", (F.row_number().over(Window.orderBy(label)) - 1).cast("int"))
-    return rows.join(F.broadcast(codes) if codes.count() < 100_000 else codes, label)
+    codes = row_numbers(codes, [label], "_k").select(label, (F.col("_k") - 1).cast("int").alias("code"))
+    return rows.join(small(codes), label)
 
 
 def bin_label(value, first: float = 5, second: float = 6):
