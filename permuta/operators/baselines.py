@@ -57,5 +57,5 @@ def naive_bayes(train: DataFrame, test: DataFrame) -> DataFrame:
 
 
 def linear_svm(train: DataFrame, test: DataFrame) -> DataFrame:
-    machine = C.LinearSVC(maxIter=20)
-    return score(tuned(C.OneVsRest(classifier=machine), {"regParam": [0.001, 0.025, 0.1]}, train, inner=machine), test)
+    machine = C.LinearSVC(maxIter=10)
+    return score(tuned(C.OneVsRest(classifier=machine), {"regParam": [0.025, 0.1]}, train, inner=machine), test)
