@@ -2,13 +2,14 @@
 
 Equal vectors are one point. Points are dealt into shards by a hash and every shard
 gets a graph of its own; all points then search every shard, block by block, so no
-task holds more than one graph and one block. A search whose beam is full of links
-is widened, and so are all of a block's searches until an audit against brute force
-of those that have few links passes. Pairs are verified in double precision. Of searches with few links a task
-returns the pairs, which count for both ends whichever found them; of searches that
-scan the shard it returns counts and a spanning forest, never all pairs of a dense
-group. Every member of a component with a scanned point is scanned in all shards, so
-its count is whole too.
+task holds more than one graph and one block. Before that a sample of the points, dealt
+by a hash, searches and is compared with all points as well; the beam is widened until
+this audit passes. Pairs are verified in double precision. Of searches with few links a
+task returns the pairs, which count for both ends whichever found them. A search with
+many links looks at the whole shard, in slices, because groups of near copies fall apart
+in a graph; it returns counts and a spanning forest, never all pairs of a dense group.
+Every member of a component with such a point is treated so in all shards, so its count
+is whole too.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from .graph import components
 from .shared import materialize, mix
 
 COSINE = 0.95
-SHARDS = 12
+SHARDS = 4
 SHARD_ROWS = 100_000
 BLOCK_ROWS = 16_384
 DEGREE = 8
@@ -36,13 +37,14 @@ BATCH = 256
 #: A query with so many links in a shard gets the widest beam, the whole shard: dense groups can fall apart in a graph.
 DENSE = 8
 SCAN_CELLS = 1 << 22
-#: Queries that recall is measured on: with a true link, and not scanned whole.
-AUDIT = 128
+#: Of the points, the part that recall is measured on, but so many at least.
+AUDIT_SHARE = 0.01
+AUDIT = 2048
 #: Pairs that are verified at once.
 PAIRS = 1 << 16
 RECALL = 0.99
 AT_ONCE = 4
-PAIR, TREE, SCANNED = range(3)
+PAIR, TREE, SCANNED, AUDITED = range(4)
 
 
 def dots(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray) -> np.ndarray:
@@ -243,40 +245,34 @@ class Shard:
             hit[inside, self.me[part[inside]]] = False
             yield part, hit
 
-    def audited(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def links(self, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Verified (query, node) pairs of queries with few links, and the other queries, which need the whole shard.
 
-        Queries that aren't scanned are audited in the order of a hash until AUDIT of them
-        have a true link, or all are; recall is the mean of their shares of links found.
-        Beams are widened until it is RECALL; where that takes longer than scanning, or all
-        queries are audited, the true links are the result.
+        A shard that is no larger than what so wide a beam looks at is read without its graph.
         """
-        order = np.argsort(mix(~self.own.astype(np.uint64)), kind="stable")
-        many, wide, truth, at, beam = np.full(len(order), -1), np.zeros(len(order), bool), [], 0, BEAM
-        none = np.zeros(0, np.int64)
-        while True:
-            q, x, dense = self.graph.within(self.fast, self.least - self.slack, beam) if beam * beam < len(self.ids) else (none, none, none)
-            wide[dense] = True
-            keep = self.sure(q, x) & ~wide[q]
-            q, x = q[keep], x[keep]
-            step = max(1, SCAN_CELLS // len(self.ids))
-            while at < len(order) and (beam * beam >= len(self.ids) or ((many > 0) & ~wide).sum() < AUDIT):
-                rows = order[at : at + step]
-                at += step
-                for part, hit in self.scan(rows[~wide[rows]]):
-                    many[part] = hit.sum(axis=1)
-                    r, c = np.nonzero(hit & (many[part] < DENSE)[:, None])
-                    truth.append((part[r], c))
-            measured = np.flatnonzero((many > 0) & ~wide)
-            shares = np.bincount(q, minlength=len(order))[measured] / many[measured]
-            if at >= len(order) or shares.mean() >= RECALL:
-                break
-            beam *= 2
-        wide |= many >= DENSE
-        rest = (many[q] < 0) & ~wide[q]
-        q = np.concatenate([q[rest], *(a[~wide[a]] for a, _ in truth)])
-        x = np.concatenate([x[rest], *(b[~wide[a]] for a, b in truth)])
-        return q, x, np.flatnonzero(wide)
+        if beam * beam < len(self.ids):
+            q, x, dense = self.graph.within(self.fast, self.least - self.slack, beam)
+            keep = self.sure(q, x) & ~np.isin(q, dense)
+            return q[keep], x[keep], dense
+        q, x, dense = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for part, hit in self.scan(np.arange(len(self.own))):
+            many = hit.sum(axis=1) >= DENSE
+            r, c = np.nonzero(hit & ~many[:, None])
+            q.append(part[r])
+            x.append(c)
+            dense.append(part[many])
+        return np.concatenate(q), np.concatenate(x), np.concatenate(dense)
+
+    def audit(self, beam: int) -> pd.DataFrame:
+        """AUDITED (query, true links, links found) of the queries that aren't scanned and have a true link, itself left out."""
+        q, _, dense = self.links(beam)
+        rest = np.setdiff1d(np.arange(len(self.own)), dense)
+        true = np.zeros(len(self.own), np.int64)
+        for part, hit in self.scan(rest):
+            true[part] = hit.sum(axis=1)
+        some = np.flatnonzero(true)
+        found = np.bincount(q, minlength=len(self.own))[some]
+        return pd.DataFrame({"kind": AUDITED, "a": self.own[some], "b": true[some], "n": found})
 
     def found(self, q: np.ndarray, x: np.ndarray, wide: np.ndarray, counts: np.ndarray) -> pd.DataFrame:
         """PAIR (a, b) of pairs, TREE (a, b) of a spanning forest of the scanned queries' links and SCANNED (a, number of links); a slice's pairs go with it."""
@@ -362,18 +358,18 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, shards: int = SHA
 
     graphs = materialize(place.groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, graph binary"), "vector-graphs")
 
-    def search(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"kind": [], "a": [], "b": [], "n": [], "shard": []}).astype("int64")
-        graph, held = SmallWorld.unpack(right["graph"].iloc[0])
-        shard = Shard(graph, held["ids"], held["exact"], left["id"].to_numpy(), _matrix(left["vec"]), least)
-        all_ = np.flatnonzero(left["whole"].to_numpy())
-        if len(all_) == len(left):
-            none = np.zeros(0, np.int64)
-            return shard.found(none, none, all_, held["n"]).assign(shard=key[1])
-        return shard.found(*shard.audited(), held["n"]).assign(shard=key[1])
-
-    def searched(asks: DataFrame) -> DataFrame:
+    def searched(asks: DataFrame, beam: int, audit: bool = False) -> DataFrame:
+        def search(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            if left.empty or right.empty:
+                return pd.DataFrame({"kind": [], "a": [], "b": [], "n": [], "shard": []}).astype("int64")
+            graph, held = SmallWorld.unpack(right["graph"].iloc[0])
+            shard = Shard(graph, held["ids"], held["exact"], left["id"].to_numpy(), _matrix(left["vec"]), least)
+            if audit:
+                return shard.audit(beam).assign(shard=key[1])
+            whole, none = left["whole"].to_numpy(), np.zeros(0, np.int64)
+            links = (none, none, np.flatnonzero(whole)) if whole.all() else shard.links(beam)
+            return shard.found(*links, held["n"]).assign(shard=key[1])
+
         copies = graphs.select("dim", "shard", "graph", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
         found = asks.groupBy("dim", "shard", "block").cogroup(copies.groupBy("dim", "shard", "block")).applyInPandas(search, "kind int, a bigint, b bigint, n bigint, shard int")
         return materialize(found, "vector-links")
@@ -381,7 +377,12 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, shards: int = SHA
     def asks(points: DataFrame, whole: bool) -> DataFrame:
         return points.select("id", "vec", "dim", "block", F.lit(whole).alias("whole"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
 
-    found = searched(asks(place, False))
+    share = int(1e6 * max(AUDIT_SHARE, min(1.0, AUDIT / max(1, total))))
+    sample = place.where(F.pmod(F.xxhash64("id", F.lit(2)), F.lit(1_000_000)) < share)
+    beam, widest = BEAM, -(-total // shards)
+    while beam * beam < widest and recall(searched(asks(sample, False), beam, True)) < RECALL:
+        beam *= 2
+    found = searched(asks(place, False), beam)
     labels = components(found.where(F.col("kind") != SCANNED).select("a", "b"))
     done = None
     while True:
@@ -392,7 +393,7 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, shards: int = SHA
         todo = materialize(todo, "vector-asks")
         if todo.isEmpty():
             break
-        more = searched(todo)
+        more = searched(todo, beam)
         known = labels.select(F.col("id").alias("a"), F.col("component").alias("b"))
         labels = components(known.unionByName(more.where(F.col("kind") == TREE).select("a", "b")))
         found = found.unionByName(more)
@@ -402,6 +403,12 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, shards: int = SHA
     return out.select("vec_id", F.when(F.col("vec_id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
+def recall(audited: DataFrame) -> float:
+    """The mean over audited queries of the share of their true links in all shards that was found; 1 where none has one."""
+    each = audited.where(F.col("kind") == AUDITED).groupBy("a").agg((F.sum("n") / F.sum("b")).alias("share"))
+    return each.agg(F.coalesce(F.avg("share"), F.lit(1.0))).first()[0]
+
+
 def members_of_scanned(found: DataFrame, labels: DataFrame) -> DataFrame:
     """Ids of the components in which any point was scanned in any shard."""
     some = found.where(F.col("kind") == SCANNED).select(F.col("a").alias("id")).distinct()
