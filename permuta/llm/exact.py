@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from .shared import LOWER_TABLE, materialize, mix, record, shuffle_parts
 
 BUCKET_KEYS = 1 << 20
-SALTS = 16
+#: A group is dealt over one salt more for every so many rows, up to SALTS.
+SALT_ROWS = 10_000
+SALTS = 4096
 
 
 def normalized(text: bytes | None) -> bytes:
@@ -134,9 +136,9 @@ def group_digests(rows: DataFrame) -> DataFrame:
     return rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n"))
 
 
-def merge_batch(snapshot: DataFrame, batch: DataFrame, n_snapshot: int) -> DataFrame:
-    """Groups of a snapshot and of a batch -> groups of both, the batch screened by the snapshot's filters."""
-    buckets = max(shuffle_parts(snapshot.sparkSession), -(-n_snapshot // BUCKET_KEYS))
+def merge_batch(snapshot: DataFrame, batch: DataFrame, largest: int) -> DataFrame:
+    """Groups of a snapshot and of a batch, the larger of ``largest`` rows -> groups of both, the batch screened by the snapshot's filters."""
+    buckets = max(shuffle_parts(snapshot.sparkSession), -(-largest // BUCKET_KEYS))
     screened = materialize(screen(batch, build_filters(snapshot, buckets), buckets), "exact-screened")
     hits = screened.where("maybe").select(F.col("digest"), F.col("keep_id").alias("b_keep"), F.col("n").alias("b_n"))
     old = snapshot.join(hits, "digest", "left").select("digest", F.greatest("keep_id", "b_keep").alias("keep_id"), (F.col("n") + F.coalesce("b_n", F.lit(0))).alias("n"))
@@ -151,49 +153,66 @@ def exact_dedup(docs: DataFrame, is_snapshot: Column) -> DataFrame:
     Rows where ``is_snapshot`` holds are the immutable snapshot, all others the incoming
     batch; the split changes the route a row takes, never the result. Null texts equal
     empty ones. A null doc_id is smaller than any other and is kept only where every row
-    of its group has none; rows repeating the kept doc_id are all marked kept.
+    of its group has none; rows repeating the kept doc_id are all marked kept. An id may
+    stand for several texts: rows are told apart by id and text.
     """
-    rows = materialize(digest_rows(docs.withColumn("_old", F.coalesce(is_snapshot, F.lit(False))), ["doc_id", "_old"]), "exact-digests")
-    snapshot = materialize(group_digests(rows.where("_old")), "exact-snapshot")
-    merged = materialize(merge_batch(snapshot, group_digests(rows.where("not _old")), snapshot.count()), "exact-groups")
-    groups = merged.where("n > 1").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = rows.select("doc_id", "digest", F.pmod(F.hash("doc_id"), F.lit(SALTS)).alias("_salt"))
-    joined = salted.join(groups, ["digest", "_salt"], "left")
+    marked = docs.select("doc_id", "text", F.xxhash64("text").alias("th"), F.coalesce(is_snapshot, F.lit(False)).alias("old"))
+    rows = materialize(digest_rows(marked, ["doc_id", "th", "old"]), "exact-digests")
+    snapshot = materialize(group_digests(rows.where("old")), "exact-snapshot")
+    batch = materialize(group_digests(rows.where("not old")), "exact-batch")
+    merged = materialize(merge_batch(snapshot, batch, max(snapshot.count(), batch.count())), "exact-groups")
+    groups = merged.where("n > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), salts("n") - 1)))
+    # A row doesn't know its group's size yet; the sizes of the few large groups are joined first, and split by Spark where skewed.
+    large = merged.where(F.col("n") > SALT_ROWS).select("digest", salts("n").alias("salts"))
+    salted = rows.select("doc_id", "th", "digest").join(large, "digest", "left").withColumn("salt", salt_of("doc_id", F.coalesce("salts", F.lit(1)))).drop("salts")
+    joined = salted.join(groups, ["digest", "salt"], "left")
     keep = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
-    found = joined.select("doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1)).alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    found = joined.select("doc_id", "th", keep.alias("keep_id"), F.coalesce("n", F.lit(1)).alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
     found = materialize(found, "exact-found")
-    odd = materialize(byte_mismatches(docs, found), "exact-odd")
-    return found if odd.isEmpty() else regrouped(docs, found, odd)
+    odd = materialize(mixed_digests(docs, found), "exact-odd")
+    return (found if odd.isEmpty() else regrouped(docs, found, odd)).drop("th")
 
 
-def regrouped(docs: DataFrame, found: DataFrame, odd: DataFrame, text: str = "text") -> DataFrame:
-    """Rows whose digest stands for more than one text are grouped by the text itself."""
-    digests = found.join(odd.select("keep_id").distinct(), "keep_id", "left_semi").select("text_sha256").distinct()
-    upper = "".join(map(chr, range(65, 91)))
-    same = F.translate(F.coalesce(F.col(text), F.lit("")), upper, upper.lower())
-    split = found.join(digests, "text_sha256", "left_semi").select("doc_id", "text_sha256").join(docs.select("doc_id", same.alias("_same")), "doc_id")
-    groups = split.groupBy("_same").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    again = split.join(groups, "_same").select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
-    return found.join(digests, "text_sha256", "left_anti").select(found.columns).unionByName(again)
+def salts(rows: str) -> Column:
+    return F.least(F.lit(SALTS), F.ceil(F.col(rows) / SALT_ROWS)).cast("int")
+
+
+def salt_of(key: str, many: Column) -> Column:
+    return F.pmod(F.hash(key), many).cast("int")
+
 
+def with_texts(rows: DataFrame, docs: DataFrame, text: Column) -> DataFrame:
+    """rows (doc_id, th, ..) with their texts, as ``same``; rows of docs that repeat id and text count once."""
+    texts = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), text.alias("same")).dropDuplicates(["id", "h"])
+    return rows.join(texts, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("h"))).drop("id", "h")
 
-def byte_mismatches(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, keep_id) of rows whose bytes differ from the row they were grouped with: empty unless SHA-256 collides.
 
-    Only members of groups are read again. Each kept text is sent once per salt, so a
-    large group is compared by many tasks.
+def mixed_digests(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """text_sha256 of the groups whose texts aren't all the same bytes: empty unless SHA-256 collides.
+
+    Only members of groups are read again. A group's text to compare with is sent once for
+    each of its salts, so a large group is compared by many tasks.
     """
-    members = found.where((F.col("group_size") > 1) & F.col("doc_id").isNotNull()).select("doc_id", "keep_id").distinct()
-    texts = members.join(docs.select("doc_id", F.col(text).cast("binary").alias("_text")), "doc_id")
-    texts = texts.withColumn("_salt", F.pmod(F.hash("doc_id"), F.lit(SALTS)))
-    kept = texts.where("doc_id = keep_id").select("keep_id", F.col("_text").alias("_kept"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    pairs = texts.where("doc_id <> keep_id").join(kept, ["keep_id", "_salt"])
+    members = found.where("group_size > 1").select("doc_id", "th", "group_size", "kept", "text_sha256").distinct()
+    texts = with_texts(members, docs, F.col("text").cast("binary"))
+    first = texts.where("kept").groupBy("text_sha256", "group_size").agg(F.min_by("same", "th").alias("first"))
+    first = first.select("text_sha256", "first", F.explode(F.sequence(F.lit(0), salts("group_size") - 1)).alias("salt"))
+    pairs = texts.withColumn("salt", salt_of("doc_id", salts("group_size"))).join(first, ["text_sha256", "salt"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("keep_id", pa.int64())])
         for batch in batches:
-            a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            a, b = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             odd = pa.array([normalized(x) != normalized(y) for x, y in zip(a, b, strict=True)], pa.bool_())
-            yield record(schema, batch.column(0).filter(odd), batch.column(1).filter(odd))
+            yield record(pa.schema([("text_sha256", pa.string())]), batch.column(0).filter(odd))
+
+    return pairs.select("text_sha256", "same", "first").mapInArrow(run, "text_sha256 string").distinct()
+
 
-    return pairs.select("doc_id", "keep_id", "_text", "_kept").mapInArrow(run, "doc_id bigint, keep_id bigint")
+def regrouped(docs: DataFrame, found: DataFrame, odd: DataFrame) -> DataFrame:
+    """Rows whose digest stands for more than one text are grouped by the text itself."""
+    upper = "".join(map(chr, range(65, 91)))
+    split = with_texts(found.join(odd, "text_sha256", "left_semi"), docs, F.translate(F.coalesce(F.col("text"), F.lit("")), upper, upper.lower()))
+    groups = split.groupBy(F.col("same").alias("text_of")).agg(F.max("doc_id").alias("keep"), F.count("*").alias("size"))
+    again = split.join(groups, F.col("same") == F.col("text_of"))
+    again = again.select("doc_id", "th", F.col("keep").alias("keep_id"), F.col("size").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep")).alias("kept"), "text_sha256")
+    return found.join(odd, "text_sha256", "left_anti").select(again.columns).unionByName(again)
