@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize, record
+from .shared import fresh, materialize, record
 
 CHUNK_CHARS = 1 << 15
 OVERLAP_CHARS = 1 << 10
@@ -57,13 +57,12 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, keep: list[str], out:
     chunks; where neighbours share no boundary inside the overlap (one pre-token
     longer than it), the whole text is encoded in one piece, so the ids never change.
     """
-    spark, joined = docs.sparkSession, F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(*keep, joined.alias("_text"))
+    rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias(hidden := fresh(keep, "text")[0]))
     result = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" if out == "digests" else "ids array<int>, decoded binary"
     kept = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    short = _encode(rows.where(F.length("_text") <= chunk), keep, f"{kept + ', ' if keep else ''}{result}", path, pattern, out)
-    long = rows.where(F.length("_text") > chunk)
-    return short.unionByName(_long(spark, long, keep, result, path, pattern, out, chunk, overlap))
+    short = _encode(rows.where(F.length(hidden) <= chunk), keep, f"{kept + ', ' if keep else ''}{result}", path, pattern, out)
+    long = rows.where(F.length(hidden) > chunk)
+    return short.unionByName(_long(long, keep, hidden, result, path, pattern, out, chunk, overlap))
 
 
 def _encode(rows: DataFrame, keep: list[str], schema: str, path: str, pattern: str, out: str) -> DataFrame:
@@ -75,7 +74,7 @@ def _encode(rows: DataFrame, keep: list[str], schema: str, path: str, pattern: s
                 ids = (enc.encode_ordinary(x) for x in part.column(part.num_columns - 1).to_pylist())
                 yield _row_batch([part.column(i) for i in range(len(keep))], keep, list(ids), enc, out)
 
-    return rows.select(*keep, "_text").mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def _row_batch(kept: list, keep: list[str], ids: list[list[int]], enc, out: str) -> pa.RecordBatch:
@@ -85,11 +84,10 @@ def _row_batch(kept: list, keep: list[str], ids: list[list[int]], enc, out: str)
     return pa.RecordBatch.from_arrays([*kept, pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
-def _long(spark, rows: DataFrame, keep: list[str], result: str, path: str, pattern: str, out: str, chunk: int, overlap: int) -> DataFrame:
+def _long(rows: DataFrame, keep: list[str], hidden: str, result: str, path: str, pattern: str, out: str, chunk: int, overlap: int) -> DataFrame:
     """Chunks of (text, number) -> boundaries near both ends -> cut points -> pieces -> ids."""
-    row_key: Column = F.sha2(F.to_json(F.struct(*[F.col(c) for c in keep], F.col("_text")), {"ignoreNullFields": "false"}), 256)
-    keyed = rows.withColumn("_key", row_key).groupBy("_key", "_text").agg(F.collect_list(F.struct(*keep) if keep else F.lit(1)).alias("_rows"))
-    keyed = materialize(keyed, "bpe-long")
+    row_key: Column = F.sha2(hidden, 256)
+    keyed = materialize(rows.select(row_key.alias("_key"), F.col(hidden).alias("_text")).dropDuplicates(["_key"]), "bpe-long")
     numbers = F.sequence(F.lit(0), F.floor((F.length("_text") - 1) / chunk).cast("int"))
     chunks = keyed.select("_key", F.length("_text").alias("_n"), F.explode(numbers).alias("_i"), "_text")
     chunks = chunks.select("_key", "_i", "_n", F.expr(f"substring(_text, _i * {chunk} + 1, {chunk + overlap})").alias("_chunk")).repartition("_key", "_i")
@@ -131,5 +129,5 @@ def _long(spark, rows: DataFrame, keep: list[str], result: str, path: str, patte
 
     done = whole.select("_key", "_ids").mapInArrow(finish, f"_key string, {result}")
     names = [x.split()[0] for x in result.replace("array<int>", "array").split(", ")]
-    wide = keyed.select("_key", F.explode("_rows").alias("_row")).join(done, "_key")
-    return wide.select(*[F.col("_row")[c].alias(c) for c in keep], *names)
+    key = fresh(keep, "key")[0]
+    return rows.select(*keep, row_key.alias(key)).join(done.withColumnRenamed("_key", key), key).select(*keep, *names)
