@@ -214,19 +214,40 @@ def block(x, least=annlinks.COSINE, degree=annlinks.DEGREE):
     return annlinks.Shard(annlinks.SmallWorld.build(x.astype(np.float32), ids, degree), ids, x, ids, x, least)
 
 
-def test_sparse_links_are_found_beside_a_dense_group(monkeypatch):
-    """A third of the vectors in one group must not hide that the others' links are missed by narrow beams."""
-    monkeypatch.setattr(annlinks, "BEAM", 2)
+def test_audit_notices_missed_links():
+    """Narrow beams in a sparse graph miss links; the audit says so, whatever a dense group's scans find, and doesn't count a point's match with itself."""
     rng = np.random.default_rng(5)
     x = rng.normal(size=(2400, 32))
     x[:800] = x[0] + rng.normal(scale=0.05, size=(800, 32))
     x[1600:] = x[800:1600] + rng.normal(scale=0.1, size=(800, 32))
     shard = block(x, degree=2)
-    q, x, wide = shard.audited()
     true = {(int(a), int(b)) for rows, hit in shard.scan(np.arange(800, 2400)) for a, b in zip(rows[np.nonzero(hit)[0]], np.nonzero(hit)[1])}
     assert len(true) > 1000
-    assert len(true & set(zip(q.tolist(), x.tolist()))) >= 0.98 * len(true)
-    assert set(wide.tolist()) >= set(range(800))
+    shares = []
+    for beam in (2, 49):
+        q, y, wide = shard.links(beam)
+        found = true & set(zip(q.tolist(), y.tolist()))
+        audited = shard.audit(beam)
+        rest = set(range(2400)) - set(wide.tolist())
+        assert audited["b"].sum() == sum(1 for a, b in true if a in rest) + sum(1 for rows, hit in shard.scan(np.array(sorted(rest & set(range(800))), int)) for _ in range(int(hit.sum())))
+        assert audited["n"].sum() == len(q) and len(found) <= len(q)
+        shares.append(len(found) / len(true))
+    assert shares[0] < 0.9 and shares[1] == 1, "a beam of 49 looks at the whole shard"
+
+
+def test_recall_of_sparse_links_beside_a_dense_group(spark, monkeypatch):
+    """A third of the vectors in one group must not hide that the others' links are missed by narrow beams."""
+    monkeypatch.setattr(annlinks, "BEAM", 2)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(2400, 32))
+    x[:800] = x[0] + rng.normal(scale=0.05, size=(800, 32))
+    x[1600:] = x[800:1600] + rng.normal(scale=0.1, size=(800, 32))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    true = (x @ x.T >= annlinks.COSINE).sum(axis=1) - 1
+    got = {r["vec_id"]: r["n_links"] for r in annlinks.near_duplicates(frame, shards=2).collect()}
+    assert true[800:].sum() > 1000 and all(got[i] == true[i] for i in range(800))
+    assert sum(got[i] for i in range(800, 2400)) >= 0.98 * true[800:].sum()
 
 
 def test_dense_group_is_verified_in_slices():
@@ -237,7 +258,7 @@ def test_dense_group_is_verified_in_slices():
     x = rng.normal(size=(1, 64)) + rng.normal(scale=0.05, size=(1500, 64))
     shard = block(x)
     tracemalloc.start()
-    out = shard.found(*shard.audited(), np.ones(1500, np.int64))
+    out = shard.found(*shard.links(annlinks.BEAM), np.ones(1500, np.int64))
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 300e6
@@ -602,11 +623,23 @@ def test_exact_dedup(spark, old):
 
 
 def test_texts_with_one_digest_are_told_apart(spark):
-    frame = docs(spark, [(1, "a"), (2, "B"), (3, "b"), (4, "c")])
-    found = spark.createDataFrame([(1, 3, 3, False, "d"), (2, 3, 3, False, "d"), (3, 3, 3, True, "d"), (4, 4, 1, True, "e")], "doc_id long, keep_id long, group_size long, kept boolean, text_sha256 string")
-    odd = exact.byte_mismatches(frame, found)
-    assert [tuple(r) for r in odd.collect()] == [(1, 3)]
-    assert sorted(tuple(r)[:4] for r in exact.regrouped(frame, found, odd).collect()) == [(1, 1, 1, True), (2, 3, 2, False), (3, 3, 2, True), (4, 4, 1, True)]
+    """As if 'a' and 'b' had one digest; the id 1 stands for two texts, 5 and a null id repeat rows."""
+    rows = [(1, "a"), (1, "c"), (2, "B"), (3, "b"), (4, "c"), (5, "A"), (5, "A"), (None, "b")]
+    frame = docs(spark, rows)
+    fake = F.when(F.lower("text").isin("a", "b"), "d").otherwise("e")
+    keep = F.when(F.lower("text").isin("a", "b"), 5).otherwise(4)
+    found = frame.select("doc_id", F.xxhash64("text").alias("th"), keep.cast("bigint").alias("keep_id"), F.when(keep == 5, 6).otherwise(2).cast("bigint").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), fake.alias("text_sha256"))
+    odd = exact.mixed_digests(frame, found)
+    assert [tuple(r) for r in odd.collect()] == [("d",)]
+    got = sorted((r["doc_id"] or 0, r["keep_id"], r["group_size"], r["kept"]) for r in exact.regrouped(frame, found, odd).collect())
+    assert got == [(0, 3, 3, False), (1, 4, 2, False), (1, 5, 3, False), (2, 3, 3, False), (3, 3, 3, True), (4, 4, 2, True), (5, 5, 3, True), (5, 5, 3, True)]
+
+
+def test_exact_dedup_of_ids_with_two_texts_and_large_groups(spark, monkeypatch):
+    monkeypatch.setattr(exact, "SALT_ROWS", 4)
+    rows = [(1, "a"), (1, "b"), (2, "a"), (None, "a"), (None, None), (9, "")] + [(100 + i, "Many" if i % 2 else "mANY") for i in range(30)]
+    for old in ("doc_id < 110", "false"):
+        assert sorted(map(tuple, exact.exact_dedup(docs(spark, rows), F.expr(old)).collect()), key=repr) == exact_groups(rows)
 
 
 def test_binary_fuse_has_no_false_negatives():
