@@ -80,22 +80,17 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
     """The mix itself: each document as often as it is taken whole, and once more cut where the budget ends.
 
     Documents without words, null or empty, take nothing and go. Other columns stay as they
-    are, whatever their names. Rows that repeat one another (id, source and text) share what
-    all of them take, to the word.
+    are, whatever their names. Rows that are the same in every column are one row that
+    takes what all of them take.
     """
-    key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("source", F.lit("")), F.xxhash64("text")]
-    row, size, total, many, place, end = fresh(docs.columns, "row", "size", "total", "many", "place", "end")
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.struct(*key).alias(row))
-    taken = mix_sources(sized, weights, most, seed)
-    taken = taken.groupBy(row, F.col("size").alias(size)).agg(F.sum("taken").alias(total), F.count("*").alias(many))
-    rows = docs.withColumn(row, F.struct(*key)).withColumn(place, F.monotonically_increasing_id())
-    single = rows.join(taken.where(F.col(many) == 1), row).withColumn(place, F.lit(0))
-    # Rows that repeat one another share what they take: each the same part, and the first ones a word more where it doesn't come out even.
-    shared = rows.join(taken.where(F.col(many) > 1), row).withColumn(place, F.row_number().over(Window.partitionBy(row).orderBy(place)) - 1)
-    rows = single.unionByName(shared)
-    each = F.floor(F.col(total) / F.col(many)) + F.when(F.col(place) < F.col(total) % F.col(many), 1).otherwise(0)
-    whole = F.when(F.col(size) > 0, F.floor(each / F.col(size))).otherwise(F.lit(0))
-    rest = F.when(F.col(size) > 0, each - whole * F.col(size)).otherwise(F.lit(0))
+    row, size, total, end = fresh(docs.columns, "row", "size", "total", "end")
+    alike = [c for c, kind in docs.dtypes if not kind.startswith(("map", "variant"))]
+    key = F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("source", F.lit("")), F.xxhash64(*alike)).alias(row)
+    taken = mix_sources(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key), weights, most, seed)
+    taken = taken.groupBy(row, F.col("size").alias(size)).agg(F.sum("taken").alias(total)).where(F.col(total) > 0)
+    rows = docs.select("*", key).dropDuplicates([row]).join(taken, row)
+    whole = F.floor(F.col(total) / F.col(size))
+    rest = F.col(total) - whole * F.col(size)
     names = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
