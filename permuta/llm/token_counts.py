@@ -78,7 +78,7 @@ def batches_by_bytes(texts: list[str], most: int) -> Iterator[list[str]]:
     batch, size = [], 0
     for x in texts:
         batch.append(x)
-        size += len(x)
+        size += len(x) if x.isascii() else len(x.encode())
         if size >= most:
             yield batch
             batch, size = [], 0
@@ -104,16 +104,20 @@ def count_texts(texts: list[str], path: str, batch_bytes: int = BATCH_BYTES) ->
 
 
 def token_counts(docs: DataFrame, path: str, keep: list[str], text: str = "text", batch_bytes: int = BATCH_BYTES) -> DataFrame:
-    """keep columns, n_bytes and n_tokens of column ``text``; a null text is empty and has 0 of both."""
+    """keep columns, n_bytes and n_tokens of column ``text``; a null text is empty and has 0 of both.
+
+    Rows that repeat are counted each, whatever their id or none. ``keep`` may hold any
+    columns but those two.
+    """
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, at = batch.column(len(keep)).to_pylist(), 0
+            texts, widths, at = batch.column(len(keep)).to_pylist(), batch.column(len(keep) + 1).to_pylist(), 0
             while at < len(texts):
                 end, size = at, 0
                 while end < len(texts) and size < 4 * batch_bytes:
-                    size += len(texts[end])
+                    size += widths[end]
                     end += 1
                 counts = count_texts(texts[at:end], path, batch_bytes)
                 part = batch.slice(at, end - at)

@@ -3,9 +3,9 @@
 The kernel counts the gapped subsequences that two strings share, each gap costing a
 factor, so an insult keeps most of its weight when characters are put into it. Kernel
 values to a few landmark strings, whitened (Nyström), are the features of a word. A
-sentence is as toxic as its worst word, a document as its worst sentence; labels are
-the documents', so training alternates between choosing each toxic document's witness
-and fitting the machine (a multiple-instance machine).
+document is as toxic as its worst word; labels are the documents', so training
+alternates between choosing each toxic document's witness and fitting the machine (a
+multiple-instance machine).
 """
 
 from __future__ import annotations
@@ -288,7 +288,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, most: int =
 
 
 def score_toxicity(docs: DataFrame, model: Model, keep: list[str], name: str = "score") -> DataFrame:
-    """keep columns and the score, as ``name``, of every row; null and empty texts score as texts without words."""
+    """keep columns and the score, as ``name``, of every row; null and empty texts score as texts without words.
+
+    Rows that repeat an id are scored each; a null id is an id like any other. ``keep``
+    may hold any columns but one called ``name``.
+    """
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
