@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Longest text in a sample, and all its texts together.
+TEXT_BYTES = 1 << 20
+TOTAL_BYTES = 1 << 26
+
+
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
@@ -16,12 +21,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
     """(text, label) of at most ``most`` training documents, those first in the order of a hash of doc_id.
 
     Of several labels of one document the largest counts, of several texts the first.
+    Texts of more than TEXT_BYTES are left out, and what exceeds TOTAL_BYTES in hash order.
     With by_class a class has up to half of the sample, more where the other has less, and
     a third column, weight, is how many labels of its class a row stands for.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & train)
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
-    first = lambda rows, n: rows.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(n)
+    hashed = F.md5(F.col("doc_id").cast("string").cast("binary"))
+    first = lambda rows, n: rows.orderBy(hashed, "doc_id").limit(n)
     if by_class:
         sizes = {r["yes"]: r["count"] for r in known.groupBy((F.col("label") > 0).alias("yes")).count().collect()}
         total, other = sizes.get(True, 0), sizes.get(False, 0)
@@ -31,5 +38,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
     else:
         chosen = first(known, most)
     texts = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    found = texts.join(F.broadcast(chosen), "doc_id").toPandas()
-    return found.sort_values(["doc_id", "text"], kind="stable").drop_duplicates("doc_id").reset_index(drop=True)
+    # One text for each document, short ones only, and in hash order no more than TOTAL_BYTES in all: what comes to the driver is bounded.
+    found = texts.join(F.broadcast(chosen), "doc_id").where(F.octet_length("text") <= TEXT_BYTES)
+    found = found.groupBy(chosen.columns).agg(F.min("text").alias("text"))
+    so_far = F.sum(F.octet_length("text")).over(Window.orderBy(hashed, "doc_id"))
+    return found.withColumn("so_far", so_far).where(F.col("so_far") <= TOTAL_BYTES).select("doc_id", "text", *chosen.columns[1:]).toPandas().sort_values("doc_id").reset_index(drop=True)
