@@ -83,10 +83,11 @@ def sets_of(texts: list[bytes], size: int = SHINGLE) -> Iterator[tuple[int, int,
     """(first text, text after the last, distinct hashes, where each text's begin); a very long text is read in parts."""
     for row, end, data, offsets in binary_parts(pa.array(texts, pa.binary())):
         if end == row + 1 and len(data) > 2 * MIX_BYTES:
-            found = np.zeros(0, np.uint64)
+            parts = [np.zeros(0, np.uint64)]
             for part, _ in segments(texts[row], size - 1):
                 piece = np.frombuffer(part, np.uint8)
-                found = np.union1d(found, shingle_sets(Words(piece, np.array([0, len(piece)])), size)[0])
+                parts.append(shingle_sets(Words(piece, np.array([0, len(piece)])), size)[0])
+            found = np.unique(np.concatenate(parts))
             yield row, end, found, np.array([0, len(found)])
         else:
             yield row, end, *shingle_sets(Words(data, offsets), size)
