@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .shared import materialize
 
 DAMPING = 0.85
-ITERATIONS = 10
+ITERATIONS = 20
 THRESHOLD = 0.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HOST = r"(?s)^.*?://([^/?#]*)"
