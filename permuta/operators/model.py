@@ -133,8 +133,10 @@ def apply_votes(layer: np.ndarray, num: np.ndarray, den: np.ndarray) -> np.ndarr
     return place((layer + num) / (1 + den))
 
 
-def train_step(rows: DataFrame, models: dict[int, tuple[Settings, Layers]], step: int, batch: float) -> dict[int, Layers]:
-    """One step of all models on rows (id, v array of positions, label): a map and a sum."""
+def train_step(rows: DataFrame, models: dict[int, tuple[Settings, Layers]], step: int, batch: float, share: float = 1.0) -> dict[int, Layers]:
+    """One step of all models on rows (id, v array of positions, label): a map and a sum. With a share below 1 a step sees a minibatch, chosen by hash."""
+    if share < 1:
+        rows = rows.where(hash_uniform(f"batch{step}", F.col("id")) < share)
     sent = {m: (s, layers) for m, (s, layers) in models.items()}
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -184,8 +186,11 @@ def errors(rows: DataFrame, models: dict[int, Layers]) -> dict[int, float]:
     return {r["model"]: r["e"] for r in found.collect()}
 
 
-def fit(train: DataFrame, valid: DataFrame, settings: list[Settings], items: int, classes: int, steps: int = 8, batch: float = 256.0) -> dict[int, Layers]:
-    """Train all models together; each keeps the layers with the strictly lowest validation error. The rate falls by 0.7 every quarter."""
+def fit(train: DataFrame, valid: DataFrame, settings: list[Settings], items: int, classes: int, steps: int = 8, batch: float = 256.0, share: float = 1.0, every: int = 1) -> dict[int, Layers]:
+    """Train all models together; each keeps the layers with the strictly lowest validation error, measured ``every`` so many steps.
+
+    A step sees all rows or a minibatch of about a ``share`` of them. The rate falls by 0.7 every quarter.
+    """
     models = {m: (s, random_layers(s, items, classes)) for m, s in enumerate(settings)}
     best, least = {m: x for m, (_, x) in models.items()}, errors(valid, {m: x for m, (_, x) in models.items()})
     rates = {m: s.rate for m, s in enumerate(settings)}
@@ -193,8 +198,10 @@ def fit(train: DataFrame, valid: DataFrame, settings: list[Settings], items: int
         if step > 2 and step % max(2, steps // 4) == 1:
             rates = {m: r * 0.7 for m, r in rates.items()}
         now = {m: (Settings(s.seed, s.filters, rates[m], s.share, s.rows, s.label), x) for m, (s, x) in models.items()}
-        new = train_step(train, now, step, batch)
+        new = train_step(train, now, step, batch, share)
         models = {m: (s, new[m]) for m, (s, _) in models.items()}
+        if step % every != every - 1 and step < steps - 1:
+            continue
         for m, e in errors(valid, new).items():
             settings[m].history.append(e)
             if e < least.get(m, 2):
