@@ -27,7 +27,7 @@ GATE = 0.01
 
 @dataclass
 class Settings:
-    """One model: its layers' sizes, seed, rate, share of filters that vote, and share of the training rows it sees."""
+    """One model: its layers' sizes, seed, rate, share of filters that vote, share of the training rows it sees, and its view of a row: weights (items x dimensions) whose sums are ranked, or None for the row itself."""
 
     seed: int = 0
     filters: tuple[int, ...] = (32,)
@@ -35,13 +35,14 @@ class Settings:
     share: float = 0.5
     rows: float = 1.0
     label: str = ""
+    view: np.ndarray | None = None
     history: list[float] = field(default_factory=list)
 
 
 def random_layers(settings: Settings, items: int, classes: int) -> Layers:
     """Uniform random orders for every filter."""
     rng = np.random.default_rng(settings.seed)
-    widths = [items, *settings.filters, classes]
+    widths = [items if settings.view is None else settings.view.shape[1], *settings.filters, classes]
     return [np.stack([rng.permutation(a) for _ in range(b)]).astype(np.float32) for a, b in zip(widths[:-1], widths[1:], strict=True)]
 
 
@@ -74,6 +75,11 @@ def place(values: np.ndarray) -> np.ndarray:
     return out.astype(np.float32)
 
 
+def seen_by(rows: np.ndarray, view: np.ndarray | None) -> np.ndarray:
+    """Positions in a view: those of the projected values in ascending order."""
+    return rows if view is None else place(np.round(rows @ view, 6))
+
+
 def distances(rows: np.ndarray, layer: np.ndarray) -> np.ndarray:
     """Footrule of every row and filter, by blocks of rows; missing positions stand in the middle."""
     rows = np.where(np.isnan(rows), 0.5 * rows.shape[1], rows)
@@ -146,7 +152,7 @@ def train_step(rows: DataFrame, models: dict[int, tuple[Settings, Layers]], step
             x, y, u, c = np.stack(pdf["v"].to_numpy()).astype(np.float32), pdf["label"].to_numpy(), np.stack(pdf["u"].to_numpy()), pdf["c"].to_numpy()
             for k, (m, (settings, layers)) in enumerate(sent.items()):
                 seen = u[:, k] < settings.rows
-                for at, (num, den) in enumerate(votes(x[seen], y[seen], c[seen], layers, settings, batch)):
+                for at, (num, den) in enumerate(votes(seen_by(x[seen], settings.view), y[seen], c[seen], layers, settings, batch)):
                     hit = np.flatnonzero(den.any(axis=1))
                     if len(hit):
                         yield pd.DataFrame({"model": m, "layer": at, "filter": hit, "num": list(num[hit]), "den": list(den[hit])})
@@ -166,8 +172,9 @@ def train_step(rows: DataFrame, models: dict[int, tuple[Settings, Layers]], step
     return out
 
 
-def predict(rows: DataFrame, models: dict[int, Layers], keep: list[str] = ()) -> DataFrame:
-    """(id, keep.., model, predicted) of rows (id, v); stateless, so a stream will do."""
+def predict(rows: DataFrame, models: dict[int, Layers], keep: list[str] = (), views: dict[int, np.ndarray] | None = None) -> DataFrame:
+    """(id, keep.., model, predicted) of rows (id, v), by models with views of their own or none; stateless, so a stream will do."""
+    views = views or {}
     schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("id", *keep))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -176,33 +183,38 @@ def predict(rows: DataFrame, models: dict[int, Layers], keep: list[str] = ()) ->
                 continue
             x = np.stack(pdf["v"].to_numpy()).astype(np.float32)
             for m, layers in models.items():
-                yield pdf[["id", *keep]].assign(model=m, predicted=forward(x, layers)[1].argmin(axis=1).astype("int32"))
+                yield pdf[["id", *keep]].assign(model=m, predicted=forward(seen_by(x, views.get(m)), layers)[1].argmin(axis=1).astype("int32"))
 
     return rows.select("id", "v", *keep).mapInPandas(run, f"{schema}, model int, predicted int")
 
 
-def errors(rows: DataFrame, models: dict[int, Layers]) -> dict[int, float]:
-    found = predict(rows, models, ["label"]).groupBy("model").agg(F.avg((F.col("predicted") != F.col("label")).cast("int")).alias("e"))
+def errors(rows: DataFrame, models: dict[int, Layers], views: dict[int, np.ndarray] | None = None) -> dict[int, float]:
+    found = predict(rows, models, ["label"], views).groupBy("model").agg(F.avg((F.col("predicted") != F.col("label")).cast("int")).alias("e"))
     return {r["model"]: r["e"] for r in found.collect()}
 
 
+def views_of(settings: list[Settings]) -> dict[int, np.ndarray]:
+    return {m: s.view for m, s in enumerate(settings) if s.view is not None}
+
+
 def fit(train: DataFrame, valid: DataFrame, settings: list[Settings], items: int, classes: int, steps: int = 8, batch: float = 256.0, share: float = 1.0, every: int = 1) -> dict[int, Layers]:
     """Train all models together; each keeps the layers with the strictly lowest validation error, measured ``every`` so many steps.
 
     A step sees all rows or a minibatch of about a ``share`` of them. The rate falls by 0.7 every quarter.
     """
     models = {m: (s, random_layers(s, items, classes)) for m, s in enumerate(settings)}
-    best, least = {m: x for m, (_, x) in models.items()}, errors(valid, {m: x for m, (_, x) in models.items()})
+    views = views_of(settings)
+    best, least = {m: x for m, (_, x) in models.items()}, errors(valid, {m: x for m, (_, x) in models.items()}, views)
     rates = {m: s.rate for m, s in enumerate(settings)}
     for step in range(steps):
         if step > 2 and step % max(2, steps // 4) == 1:
             rates = {m: r * 0.7 for m, r in rates.items()}
-        now = {m: (Settings(s.seed, s.filters, rates[m], s.share, s.rows, s.label), x) for m, (s, x) in models.items()}
+        now = {m: (Settings(s.seed, s.filters, rates[m], s.share, s.rows, s.label, s.view), x) for m, (s, x) in models.items()}
         new = train_step(train, now, step, batch, share)
         models = {m: (s, new[m]) for m, (s, _) in models.items()}
         if step % every != every - 1 and step < steps - 1:
             continue
-        for m, e in errors(valid, new).items():
+        for m, e in errors(valid, new, views).items():
             settings[m].history.append(e)
             if e < least.get(m, 2):
                 least[m], best[m] = e, new[m]

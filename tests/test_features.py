@@ -95,6 +95,21 @@ def test_saved_model_is_the_model(spark, tmp_path):
     assert all((a == b).all() for m in layers for a, b in zip(layers[m], again[m], strict=True))
 
 
+def test_models_see_rows_through_their_views(spark):
+    rng = np.random.default_rng(6)
+    x = np.argsort(rng.normal(size=(40, 8)), axis=1)
+    settings = [model.Settings(seed=1, filters=(4,), view=rng.normal(size=(8, 5))), model.Settings(seed=2, filters=(4,))]
+    layers = {m: model.random_layers(s, 8, 3) for m, s in enumerate(settings)}
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<int>")
+    got = {(r["id"], r["model"]): r["predicted"] for r in model.predict(rows, layers, views=model.views_of(settings)).collect()}
+    seen = {0: np.argsort(np.argsort(np.round(x @ settings[0].view, 6), axis=1, kind="stable"), axis=1), 1: x}
+    for m, rows_seen in seen.items():
+        for i, row in enumerate(rows_seen):
+            hidden = np.abs(layers[m][0] - row).sum(axis=1)
+            ranks = np.argsort(np.argsort(hidden, kind="stable"))
+            assert got[i, m] == np.abs(layers[m][1] - ranks).sum(axis=1).argmin()
+
+
 def test_ensemble_is_the_majority(spark):
     votes = spark.createDataFrame([(1, 0, 2), (1, 1, 2), (1, 2, 0), (2, 0, 1), (2, 1, 0)], "id long, model int, predicted int")
     got = {r["id"]: tuple(r.asDict().values())[1] for r in model.ensemble(votes).collect()}
