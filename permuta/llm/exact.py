@@ -182,8 +182,8 @@ def salt_of(key: str, many: Column) -> Column:
 
 
 def with_texts(rows: DataFrame, docs: DataFrame, text: Column) -> DataFrame:
-    """rows (doc_id, th, ..) with their texts, as ``same``; rows of docs that repeat id and text count once."""
-    texts = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), text.alias("same")).dropDuplicates(["id", "h"])
+    """Rows of docs whose id and text hash are in rows (doc_id, th, ..; distinct), with their texts as ``same``."""
+    texts = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), text.alias("same"))
     return rows.join(texts, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("h"))).drop("id", "h")
 
 
@@ -194,10 +194,12 @@ def mixed_digests(docs: DataFrame, found: DataFrame) -> DataFrame:
     each of its salts, so a large group is compared by many tasks.
     """
     members = found.where("group_size > 1").select("doc_id", "th", "group_size", "kept", "text_sha256").distinct()
-    texts = with_texts(members, docs, F.col("text").cast("binary"))
-    first = texts.where("kept").groupBy("text_sha256", "group_size").agg(F.min_by("same", "th").alias("first"))
-    first = first.select("text_sha256", "first", F.explode(F.sequence(F.lit(0), salts("group_size") - 1)).alias("salt"))
-    pairs = texts.withColumn("salt", salt_of("doc_id", salts("group_size"))).join(first, ["text_sha256", "salt"])
+    chosen = members.where("kept").groupBy("text_sha256").agg(F.min("th").alias("chosen"))
+    members = members.join(chosen, "text_sha256").select("doc_id", "th", "group_size", "text_sha256", (F.col("kept") & (F.col("th") == F.col("chosen"))).alias("stands"))
+    texts = with_texts(materialize(members, "exact-members"), docs, F.col("text").cast("binary"))
+    first = texts.where("stands").dropDuplicates(["text_sha256"])
+    first = first.select("text_sha256", F.col("same").alias("first"), F.explode(F.sequence(F.lit(0), salts("group_size") - 1)).alias("salt"))
+    pairs = texts.where("not stands").withColumn("salt", salt_of("doc_id", salts("group_size"))).join(first, ["text_sha256", "salt"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,7 +213,10 @@ def mixed_digests(docs: DataFrame, found: DataFrame) -> DataFrame:
 def regrouped(docs: DataFrame, found: DataFrame, odd: DataFrame) -> DataFrame:
     """Rows whose digest stands for more than one text are grouped by the text itself."""
     upper = "".join(map(chr, range(65, 91)))
-    split = with_texts(found.join(odd, "text_sha256", "left_semi"), docs, F.translate(F.coalesce(F.col("text"), F.lit("")), upper, upper.lower()))
+    rows = found.join(odd, "text_sha256", "left_semi")
+    texts = with_texts(rows.select("doc_id", "th").distinct(), docs, F.translate(F.coalesce(F.col("text"), F.lit("")), upper, upper.lower()))
+    texts = texts.dropDuplicates(["doc_id", "th"]).select(F.col("doc_id").alias("id"), F.col("th").alias("h"), "same")
+    split = rows.join(texts, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("h"))).drop("id", "h")
     groups = split.groupBy(F.col("same").alias("text_of")).agg(F.max("doc_id").alias("keep"), F.count("*").alias("size"))
     again = split.join(groups, F.col("same") == F.col("text_of"))
     again = again.select("doc_id", "th", F.col("keep").alias("keep_id"), F.col("size").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep")).alias("kept"), "text_sha256")
