@@ -15,6 +15,7 @@ is whole too.
 from __future__ import annotations
 
 import io
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -346,8 +347,8 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, shards: int = SHA
     rows = materialize(vector_rows(vectors), "vectors")
     points = rows.where("vec is not null and vec_id is not null").groupBy("vec").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"))
     total = points.count()
-    shards, blocks = max(shards, -(-total // SHARD_ROWS)), max(1, -(-total // BLOCK_ROWS))
-    place = points.select("id", "n", "vec", F.length("vec").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"))
+    shards = max(shards, -(-total // SHARD_ROWS))
+    place = points.select("id", "n", "vec", F.length("vec").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"))
     place = materialize(place, "vector-points")
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -358,7 +359,8 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, shards: int = SHA
 
     graphs = materialize(place.groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, graph binary"), "vector-graphs")
 
-    def searched(asks: DataFrame, beam: int, audit: bool = False) -> DataFrame:
+    def searched(asks: DataFrame, rows: float, beam: int, audit: bool = False) -> DataFrame:
+        """What asks about ``rows`` points or less find; each graph goes to as many blocks as they need."""
         def search(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if left.empty or right.empty:
                 return pd.DataFrame({"kind": [], "a": [], "b": [], "n": [], "shard": []}).astype("int64")
@@ -370,19 +372,21 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, shards: int = SHA
             links = (none, none, np.flatnonzero(whole)) if whole.all() else shard.links(beam)
             return shard.found(*links, held["n"]).assign(shard=key[1])
 
+        blocks = max(1, math.ceil(rows / BLOCK_ROWS))
+        asks = asks.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int"))
         copies = graphs.select("dim", "shard", "graph", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
         found = asks.groupBy("dim", "shard", "block").cogroup(copies.groupBy("dim", "shard", "block")).applyInPandas(search, "kind int, a bigint, b bigint, n bigint, shard int")
         return materialize(found, "vector-links")
 
     def asks(points: DataFrame, whole: bool) -> DataFrame:
-        return points.select("id", "vec", "dim", "block", F.lit(whole).alias("whole"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+        return points.select("id", "vec", "dim", F.lit(whole).alias("whole"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
 
     share = int(1e6 * max(AUDIT_SHARE, min(1.0, AUDIT / max(1, total))))
     sample = place.where(F.pmod(F.xxhash64("id", F.lit(2)), F.lit(1_000_000)) < share)
     beam, widest = BEAM, -(-total // shards)
-    while beam * beam < widest and recall(searched(asks(sample, False), beam, True)) < RECALL:
+    while beam * beam < widest and recall(searched(asks(sample, False), share * total / 1e6, beam, True)) < RECALL:
         beam *= 2
-    found = searched(asks(place, False), beam)
+    found = searched(asks(place, False), total, beam)
     labels = components(found.where(F.col("kind") != SCANNED).select("a", "b"))
     done = None
     while True:
@@ -391,9 +395,10 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, shards: int = SHA
         done = scanned
         todo = asks(place.join(rest, "id", "left_semi"), True).join(found.where(F.col("kind") == SCANNED).select(F.col("a").alias("id"), "shard"), ["id", "shard"], "left_anti")
         todo = materialize(todo, "vector-asks")
-        if todo.isEmpty():
+        many = todo.select(F.countDistinct("id")).first()[0]
+        if not many:
             break
-        more = searched(todo, beam)
+        more = searched(todo, many, beam)
         known = labels.select(F.col("id").alias("a"), F.col("component").alias("b"))
         labels = components(known.unionByName(more.where(F.col("kind") == TREE).select("a", "b")))
         found = found.unionByName(more)
