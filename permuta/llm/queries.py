@@ -120,6 +120,28 @@ p as (select d.*, t.source_size, t.target, case when t.source_size > 0 then floo
 select doc_id, size, source_size, target, (e * size + greatest(0, least(size, floor(target)::bigint - e * source_size - before)))::bigint as taken from p
 """
 
+#: The smallest id that each one reaches over links e (a, b), of all ids v (id).
+REACH_SQL = "u as (select a, b from e union all select b, a from e), r(id, least) as (select id, id from v union select u.b, r.least from r join u on r.id = u.a where r.least < u.b), c as (select id, min(least) as component_id from r group by id)"
+
+OP4_SQL = f"""
+with recursive v as (select vec_id as id, embedding::double[] as x from embeddings where vec_id is not null),
+g as (select id, len(x) as dim, list_transform(x, lambda y: y / sqrt(list_sum(list_transform(x, lambda z: z * z)))) as x from v
+      where len(x) > 0 and len(list_filter(x, lambda y: y is null or not isfinite(y))) = 0 and list_sum(list_transform(x, lambda z: z * z)) > 0),
+e as (select a.id as a, b.id as b from g a join g b on a.dim = b.dim and a.id < b.id where list_dot_product(a.x, b.x) >= 0.95),
+{REACH_SQL}, k as (select a as id, count(*) as n from u group by a)
+select vec_id, coalesce(n, 0)::bigint as n_links, component_id, coalesce(vec_id = component_id, false) as kept from embeddings left join c on c.id = vec_id left join k on k.id = vec_id
+"""
+
+OP6_SQL = f"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as ws from documents),
+s as (select distinct doc_id, unnest(case when len(ws) >= 5 then list_transform(range(1, len(ws) - 3), lambda i: md5(array_to_string(ws[i:i + 4], ' '))) when len(ws) > 0 then [md5(array_to_string(ws, ' '))] else [] end) as h from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.h = b.h and a.doc_id < b.doc_id group by 1, 2),
+e as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 80 * (x.n + y.n - k)),
+v as (select doc_id as id from documents), {REACH_SQL}
+select d.doc_id, coalesce(n, 0)::bigint as n_shingles, component_id from documents d left join n on n.doc_id = d.doc_id left join c on c.id = d.doc_id
+"""
+
 OP9_SQL = """
 with d as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
 g as (select t, max(doc_id) as keep_id, count(*) as n from d group by t)
@@ -128,4 +150,4 @@ select doc_id, keep_id, n as group_size, doc_id is not distinct from keep_id as
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op2_mixing_sources": OP2_SQL, "op3_url_filters": urlrank.filter_sql(), "op9_exact_dedup": OP9_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op2_mixing_sources": OP2_SQL, "op3_url_filters": urlrank.filter_sql(), "op4_embedding_neardup": OP4_SQL, "op6_ngram_jaccard": OP6_SQL, "op9_exact_dedup": OP9_SQL}
