@@ -184,7 +184,8 @@ def salt_of(key: str, many: Column) -> Column:
 def with_texts(rows: DataFrame, docs: DataFrame, text: Column) -> DataFrame:
     """Rows of docs whose id and text hash are in rows (doc_id, th, ..; distinct), with their texts as ``same``."""
     texts = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), text.alias("same"))
-    return rows.join(texts, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("h"))).drop("id", "h")
+    # Joined one way at all sizes: which side is small changes with the corpus, the plan shouldn't.
+    return rows.hint("merge").join(texts, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("h"))).drop("id", "h")
 
 
 def mixed_digests(docs: DataFrame, found: DataFrame) -> DataFrame:
