@@ -1,4 +1,4 @@
-"""The ten operators applied to the given tables, and their SQL where SQL can express them."""
+"""The thirteen operators applied to the given tables, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import annlinks, bpe, exact, jaccard, mixing, quality, substring, token_counts, toxicity, urlrank
+from . import annlinks, bpe, exact, filteraudit, jaccard, mixing, quality, substring, token_counts, toxicity, urlrank
 from .sampling import fold
 
 WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
@@ -89,6 +89,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(quality.score_quality(docs, model, ["doc_id"]), held)
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters on whole documents: every language's every order and step."""
+    return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [v for k, v in globals().items() if k.startswith("op") and k[2].isdigit() and callable(v)]
     return {f.__name__: f for f in found}
@@ -150,4 +155,4 @@ select doc_id, keep_id, n as group_size, doc_id is not distinct from keep_id as
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op2_mixing_sources": OP2_SQL, "op3_url_filters": urlrank.filter_sql(), "op4_embedding_neardup": OP4_SQL, "op6_ngram_jaccard": OP6_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op2_mixing_sources": OP2_SQL, "op3_url_filters": urlrank.filter_sql(), "op4_embedding_neardup": OP4_SQL, "op6_ngram_jaccard": OP6_SQL, "op9_exact_dedup": OP9_SQL, "op13_filter_audit": filteraudit.audit_sql()}
