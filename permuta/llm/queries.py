@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import annlinks, bpe, exact, filteraudit, jaccard, mixing, quality, substring, token_counts, toxicity, urlrank
+from . import annlinks, bpe, exact, filteraudit, jaccard, mixing, quality, substring, token_counts, toxicity, urlrank, veccodes
 from .sampling import fold
 
 WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
@@ -89,6 +89,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(quality.score_quality(docs, model, ["doc_id"]), held)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of all vectors, their errors and the codebooks' digest."""
+    return veccodes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five filters on whole documents: every language's every order and step."""
     return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -155,4 +160,4 @@ select doc_id, keep_id, n as group_size, doc_id is not distinct from keep_id as
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op2_mixing_sources": OP2_SQL, "op3_url_filters": urlrank.filter_sql(), "op4_embedding_neardup": OP4_SQL, "op6_ngram_jaccard": OP6_SQL, "op9_exact_dedup": OP9_SQL, "op13_filter_audit": filteraudit.audit_sql()}
+    return {"op1_substring_dedup": OP1_SQL, "op2_mixing_sources": OP2_SQL, "op3_url_filters": urlrank.filter_sql(), "op4_embedding_neardup": OP4_SQL, "op6_ngram_jaccard": OP6_SQL, "op9_exact_dedup": OP9_SQL, "op11_vector_codes": veccodes.codes_sql(), "op13_filter_audit": filteraudit.audit_sql()}

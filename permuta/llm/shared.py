@@ -52,6 +52,16 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that materialize wrote and nothing reads any more; other tables are left alone."""
+    for df in tables:
+        spark = df.sparkSession
+        for file in df.inputFiles()[:1]:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            if re.search(r"-[0-9a-f]{32}$", folder.getName()) and str(folder.getParent()).split(":", 1)[-1].lstrip("/") == shared_dir(spark).split(":", 1)[-1].lstrip("/"):
+                folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def fresh(taken: list[str], *names: str) -> list[str]:
     """Column names like the given ones that no column has, in any case."""
     used, out = {x.lower() for x in taken}, []
