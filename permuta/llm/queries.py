@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import annlinks, bpe, exact, filteraudit, jaccard, mixing, quality, substring, token_counts, toxicity, urlrank, veccodes
+from . import annlinks, bpe, exact, filteraudit, fingerprints, jaccard, mixing, quality, substring, token_counts, toxicity, urlrank, veccodes
 from .sampling import fold
 
 WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
@@ -94,6 +94,11 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return veccodes.vector_codes(table(spark, sf_dir, "embeddings"))
 
 
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all whole texts and of their edited texts, and how alike they are."""
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five filters on whole documents: every language's every order and step."""
     return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
