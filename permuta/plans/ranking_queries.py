@@ -295,9 +295,11 @@ def dist_deletion(spark: SparkSession, d: str) -> DataFrame:
     return distance.deletion_penalty(rows.join(other.select("id").distinct(), "id", "left_semi"), other, "id", F.lit(6))
 
 
-@query("""with t as (select user_id as id, event_type as item, (row_number() over (partition by user_id order by ts, event_id) - 1)::int as pos from events),
-p as (select a.id, a.item, a.pos, b.pos - a.pos as motion, row_number() over (partition by a.id, a.item, a.pos order by abs(b.pos - a.pos), b.pos) as k from t a join t b on b.id = a.id + 1 and b.item = a.item)
-select id, item, pos, motion from p where k = 1""")
+@query("""with recursive t as (select user_id as id, event_type as item, (row_number() over (partition by user_id order by ts, event_id) - 1)::int as pos from events),
+p as (select a.id, a.item, list({'d': abs(b.pos - a.pos), 'a': a.pos, 'b': b.pos} order by abs(b.pos - a.pos), a.pos, b.pos) as pairs from t a join t b on b.id = a.id + 1 and b.item = a.item group by a.id, a.item),
+g(id, item, one, pairs) as (select id, item, pairs[1], list_filter(pairs, lambda x: x.a <> pairs[1].a and x.b <> pairs[1].b) from p
+union all select id, item, pairs[1], list_filter(pairs, lambda x: x.a <> pairs[1].a and x.b <> pairs[1].b) from g where len(pairs) > 0)
+select id, item, one.a as pos, one.b - one.a as motion from g""")
 def motion_repeats(spark: SparkSession, d: str) -> DataFrame:
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     rows = table(spark, d, "events").select(F.col("user_id").alias("id"), F.col("event_type").alias("item"), (F.row_number().over(order) - 1).alias("pos"))
