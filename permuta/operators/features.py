@@ -11,7 +11,11 @@ from pyspark.sql import functions as F
 from permuta.functions.rankings import hash_normal, hash_uniform
 from permuta.sources.tables import row_numbers, small
 
+from .wide import MOST_BYTES, column_moments, leading_subspace, moments
+
 PLACES = 9
+#: Features up to which matrices of features x features are made: 128 MB each.
+EXACT = 4096
 
 
 def to_long(wide: DataFrame, key: str = "id", values: str = "x") -> DataFrame:
@@ -93,78 +97,89 @@ def calibrate(projected: DataFrame) -> DataFrame:
     return projected.join(small(stats), ["view", "dim"]).select("id", "view", "dim", F.round(F.when(F.col("s") > 1e-12, (F.col("z") - F.col("m")) / F.col("s")).otherwise(0.0), 5).alias("z"))
 
 
-def moments(rows: DataFrame, by: str | None = None):
-    """Count, sums and sums of products of wide rows by class, as one aggregate over Arrow batches; D is at most 4096."""
+def discriminants(found: dict, dims: int, ratio: float):
+    """Columns that separate the classes of moments {class: (count, sums, sums of products)}, and the scatter of all rows over their number."""
     import numpy as np
-    import pandas as pd
-
-    def run(batches):
-        for pdf in batches:
-            for key, part in pdf.groupby(by) if by else [(0, pdf)]:
-                x = np.stack(part["x"].to_numpy())
-                yield pd.DataFrame({"k": [int(key)], "n": [len(x)], "s": [x.sum(axis=0)], "q": [(x.T @ x).ravel()]})
 
-    parts = rows.select(*([by] if by else []), "x").mapInPandas(run, "k int, n bigint, s array<double>, q array<double>")
-    add = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias(c)
-    totals = parts.groupBy("k").agg(F.sum("n").alias("n"))
-    for c in ("s", "q"):
-        summed = parts.select("k", F.posexplode(c).alias("i", "v")).groupBy("k", "i").agg(F.sum("v").alias("v")).groupBy("k").agg(add(c))
-        totals = totals.join(summed, "k")
-    return totals
+    n, total = sum(v[0] for v in found.values()), sum(v[1] for v in found.values())
+    mean = total / n
+    between = sum(v[0] * np.outer(v[1] / v[0] - mean, v[1] / v[0] - mean) for v in found.values())
+    whole = sum(v[2] for v in found.values()) - n * np.outer(mean, mean)
+    within = whole - between + 1e-6 * np.eye(len(mean))
+    k = max(1, min(int(dims * ratio), len(found) - 1, len(mean), dims))
+    value, vector = np.linalg.eig(np.linalg.solve(within, between))
+    return vector[:, np.argsort(-value.real)[:k]].real, whole / n
 
 
-def target_aware_projection(rows: DataFrame, label: str, dims: int, ratio: float, seed: int):
+def target_aware_projection(rows: DataFrame, label: str, dims: int, ratio: float, seed: int, features: int | None = None, subspace: int = 64):
     """Weights (features x dims) of discriminant and random columns, each block over its deviation.
 
-    The scatter matrices are one distributed aggregate; only D x D numbers reach the
-    driver, whose eigenvectors are the discriminants.
+    Up to EXACT features the scatter matrices are one distributed aggregate, whose
+    eigenvectors the driver takes. Wider rows are first taken to their ``subspace``
+    leading directions, found without a matrix of features x features; discriminants are
+    those of that subspace.
     """
     import numpy as np
 
-    found = {r["k"]: (r["n"], np.array(r["s"]), np.array(r["q"]).reshape(len(r["s"]), -1)) for r in moments(rows, label).collect()}
-    n, total = sum(v[0] for v in found.values()), sum(v[1] for v in found.values())
-    square = sum(v[2] for v in found.values())
-    mean = total / n
-    between = sum(v[0] * np.outer(v[1] / v[0] - mean, v[1] / v[0] - mean) for v in found.values())
-    whole = square - n * np.outer(mean, mean)
-    within = whole - between + 1e-6 * np.eye(len(mean))
-    k = max(1, min(int(dims * ratio), len(found) - 1, len(mean), dims))
-    value, vector = np.linalg.eig(np.linalg.solve(within, between))
-    chosen = vector[:, np.argsort(-value.real)[:k]].real
+    wide = features or len(rows.select("x").first()["x"])
     rng = np.random.default_rng(seed)
-    w = np.hstack([chosen, rng.normal(size=(len(mean), dims - k))])
-    spread = lambda block: np.sqrt(max(np.trace(block.T @ whole @ block) / n / max(1, block.shape[1]), 1e-12))
-    w[:, :k] /= spread(w[:, :k])
+    if wide <= EXACT:
+        chosen, scatter = discriminants(moments(rows, label), dims, ratio)
+        w = np.hstack([chosen, rng.normal(size=(wide, dims - chosen.shape[1]))])
+        variances = np.einsum("id,ij,jd->d", w, scatter, w)
+    else:
+        space = leading_subspace(rows, subspace, seed=seed, standardise=False)
+        inside = apply_weights(rows, space.mean, space.vectors, [label]).withColumnRenamed("z", "x")
+        chosen = space.vectors @ discriminants(moments(inside, label), dims, ratio)[0]
+        w = np.hstack([chosen, rng.normal(size=(wide, dims - chosen.shape[1]))])
+        variances = column_moments(apply_weights(rows, space.mean, w).withColumnRenamed("z", "x"))[2] ** 2
+    k = chosen.shape[1]
+    w[:, :k] /= np.sqrt(max(variances[:k].mean(), 1e-12))
     if dims > k:
-        w[:, k:] /= spread(w[:, k:])
+        w[:, k:] /= np.sqrt(max(variances[k:].mean(), 1e-12))
     return w
 
 
-def pca_whiten(rows: DataFrame, k: int):
-    """(mean, weights) of the first k principal components of standardised features, each of unit variance."""
+def pca_whiten(rows: DataFrame, k: int, features: int | None = None, seed: int = 0):
+    """(mean, weights) of the first k principal components of standardised features, each of unit variance.
+
+    Up to EXACT features from their exact covariance, wider ones by a randomised range
+    finder of several passes.
+    """
     import numpy as np
 
-    r = moments(rows).first()
-    n, s = r["n"], np.array(r["s"])
+    if (features or len(rows.select("x").first()["x"])) > EXACT:
+        found = leading_subspace(rows, k, passes=6, seed=seed)
+        std = np.where(found.std > 0, found.std, np.inf)
+        return found.mean, found.vectors / std[:, None] / np.sqrt(np.maximum(found.variances, 1e-12))
+    n, s, q = moments(rows)[0]
     mean = s / n
-    cov = np.array(r["q"]).reshape(len(s), -1) / n - np.outer(mean, mean)
+    cov = q / n - np.outer(mean, mean)
     std = np.sqrt(np.maximum(np.diag(cov), 1e-12))
     value, vector = np.linalg.eigh(cov / std[:, None] / std[None, :])
     top = np.argsort(-value)[:k]
     return mean, vector[:, top] / std[:, None] / np.sqrt(np.maximum(value[top], 1e-12))
 
 
-def apply_weights(rows: DataFrame, mean, weights) -> DataFrame:
-    """(id, z array<double>) of wide rows, in Arrow batches."""
+def apply_weights(rows: DataFrame, mean, weights, keep: list[str] = ()) -> DataFrame:
+    """(id, keep.., z array<double>) of wide rows, in batches; weights are sent to every task once."""
     import numpy as np
     import pandas as pd
 
+    if weights.nbytes > MOST_BYTES:
+        raise ValueError(f"weights of {weights.nbytes} bytes are too large to send to every task")
+    sent = rows.sparkSession.sparkContext.broadcast((mean, weights))
+    kept = ["id", *keep]
+
     def run(batches):
+        mean, weights = sent.value
         for pdf in batches:
-            z = (np.stack(pdf["x"].to_numpy()) - mean) @ weights
-            yield pd.DataFrame({"id": pdf["id"], "z": list(z)})
+            if len(pdf):
+                z = (np.stack(pdf["x"].to_numpy()) - mean) @ weights
+                yield pdf[kept].assign(z=list(z)) if keep else pd.DataFrame({"id": pdf["id"], "z": list(z)})
 
-    return rows.select("id", "x").mapInPandas(run, "id bigint, z array<double>")
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept)
+    return rows.select(*kept, "x").mapInPandas(run, f"{kinds}, z array<double>")
 
 
 def top_features(rows: DataFrame, labels: DataFrame, k: int, bins: int = 4) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from permuta.functions import rankings as R
 from permuta.operators import baselines, consensus, distance, features, knn, model, perturb, results, sampling
+from permuta.operators.wide import leading_subspace
 from permuta.sources import io
 from permuta.sources.tables import materialize, shared_path, small, table
 
@@ -101,6 +102,21 @@ def pca_whiten(spark: SparkSession, d: str) -> DataFrame:
     return features.apply_weights(rows, mean, weights).select("id", F.posexplode("z").alias("component", "z"))
 
 
+@query(f"""with recursive {Z_SQL}, t as (select feature, list(x order by id) as v from z group by feature),
+m as (select list(r order by i) as m from (select a.feature as i, list(list_dot_product(a.v, b.v) / len(a.v) - list_avg(a.v) * list_avg(b.v) order by b.feature) as r from t a join t b on true group by a.feature) q),
+sq as (select 0 as k, m from m union all select k + 1, list_transform(m, lambda a: list_transform(m, lambda b: list_dot_product(a, b) / t)) from (select k, m, list_sum(list_transform(m, lambda a: list_dot_product(a, a))) as t from sq where k < 18) q),
+pv as (select list_transform(m[1], lambda y: y / sqrt(list_dot_product(m[1], m[1]))) as v from sq where k = 18),
+e as (select v, list_dot_product(v, list_transform(m.m, lambda r: list_dot_product(r, v))) as size from pv, m)
+select (i - 1)::int as feature, round(abs(v[i]), 4) as loading, round(size, 6) as variance from e, range(1, {DIMS + 1}) r(i)""")
+def pca_range(spark: SparkSession, d: str) -> DataFrame:
+    """The leading direction of all standardised features by the range finder, without a matrix of features x features; SQL has it by powers of that matrix."""
+    rows = features_long(spark, d)
+    wide = materialize(features.to_wide(features.standardize(rows, _scaler(rows))), "features")
+    found = leading_subspace(wide, 1, oversample=47, passes=12, seed=5, standardise=False)
+    cells = [(i, round(abs(float(v)), 4), round(float(found.variances[0]), 6)) for i, v in enumerate(found.vectors[:, 0])]
+    return spark.createDataFrame(cells, "feature int, loading double, variance double")
+
+
 @query(f"""with {FEATURES_SQL}, p as (select id, label, feature, least(3, floor((rank() over (partition by feature order by x) + (count(*) over (partition by feature, x) - 1) / 2.0::double) / (count(*) over (partition by feature)) * 4))::int as bin from f),
 c as (select feature, bin, label, count(*) as n from p group by 1, 2, 3), e as (select feature, n::double as n, sum(n) over (partition by feature, bin) as a, sum(n) over (partition by feature, label) as b, sum(n) over (partition by feature) as t from c)
 select feature, round(sum(n / t * ln((n * t) / (a * b))), 9) as mi from e group by feature order by mi desc, feature limit 3""")
