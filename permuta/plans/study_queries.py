@@ -107,13 +107,13 @@ m as (select list(r order by i) as m from (select a.feature as i, list(list_dot_
 sq as (select 0 as k, m from m union all select k + 1, list_transform(m, lambda a: list_transform(m, lambda b: list_dot_product(a, b) / t)) from (select k, m, list_sum(list_transform(m, lambda a: list_dot_product(a, a))) as t from sq where k < 18) q),
 pv as (select list_transform(m[1], lambda y: y / sqrt(list_dot_product(m[1], m[1]))) as v from sq where k = 18),
 e as (select v, list_dot_product(v, list_transform(m.m, lambda r: list_dot_product(r, v))) as size from pv, m)
-select (i - 1)::int as feature, round(abs(v[i]), 4) as loading, round(size, 6) as variance from e, range(1, {DIMS + 1}) r(i)""")
+select (i - 1)::int as feature, round(abs(v[i]), 3) as loading, round(size, 6) as variance from e, range(1, {DIMS + 1}) r(i)""")
 def pca_range(spark: SparkSession, d: str) -> DataFrame:
     """The leading direction of all standardised features by the range finder, without a matrix of features x features; SQL has it by powers of that matrix."""
     rows = features_long(spark, d)
     wide = materialize(features.to_wide(features.standardize(rows, _scaler(rows))), "features")
-    found = leading_subspace(wide, 1, oversample=47, passes=12, seed=5, standardise=False)
-    cells = [(i, round(abs(float(v)), 4), round(float(found.variances[0]), 6)) for i, v in enumerate(found.vectors[:, 0])]
+    found = leading_subspace(wide, 1, oversample=59, passes=16, seed=5, standardise=False)
+    cells = [(i, round(abs(float(v)), 3), round(float(found.variances[0]), 6)) for i, v in enumerate(found.vectors[:, 0])]
     return spark.createDataFrame(cells, "feature int, loading double, variance double")
 
 
