@@ -44,10 +44,13 @@ def read_ballots(spark: SparkSession, d: str) -> DataFrame:
     """Ballots written as text files, one for each segment, and read again."""
     path = shared_path(spark, "ballots")
     rows = ballots(spark, d).groupBy("label", "items").agg(F.count("*").alias("n"))
-    lines = F.array_sort(F.collect_list(F.concat_ws(",", F.col("n").cast("string"), text(F.col("items")))))
-    names = F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: F.concat(F.lit("type "), i.cast("string")))
-    whole = rows.groupBy("label").agg(F.array_join(F.concat(F.array(F.lit("6")), names, F.array(F.lit("summary")), lines), "\n").alias("value"))
-    whole.select("label", "value").write.partitionBy("label").text(path)
+    names = spark.range(6).select(F.lit(1).alias("part"), F.col("id").alias("at"), F.concat(F.lit("type "), (F.col("id") + 1).cast("string")).alias("value"))
+    head = spark.createDataFrame([(0, 0, "6"), (2, 0, "summary")], "part int, at long, value string").unionByName(names)
+    labels = rows.select("label").distinct()
+    lines = rows.select("label", F.lit(3).alias("part"), F.lit(0).cast("long").alias("at"), F.concat_ws(",", F.col("n").cast("string"), text(F.col("items"))).alias("value"))
+    whole = lines.unionByName(labels.join(F.broadcast(head)))
+    # One writer for each segment, its lines sorted: the head first, then the ballots.
+    whole.repartition("label").sortWithinPartitions("label", "part", "at", "value").select("label", "value").write.partitionBy("label").text(path)
     found = io.read_ballots(spark, path + "/label=*")
     return found.groupBy("items").agg(F.sum("weight").alias("weight")).select(text(F.col("items")), "weight")
 
@@ -68,6 +71,24 @@ def attach_attributes(spark: SparkSession, d: str) -> DataFrame:
     return io.attach_attributes(ballots(spark, d).select("id", text(F.col("items"))), users, "id", "c_nationkey", 12).select("id", "items", "label")
 
 
+LINES_ORDER = uniform_sql("'31:' || l_orderkey::varchar || ':' || l_linenumber::varchar")
+USERS_ORDER = uniform_sql("'32:' || o_orderkey::varchar")
+
+
+@query(f"""with a as (select row_number() over (order by {LINES_ORDER}, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 as line, [l_partkey, l_suppkey, l_quantity::int] as items from lineitem),
+b as (select row_number() over (order by {USERS_ORDER}, o_orderkey) - 1 as line, case when o_custkey < 50 then 0 else 1 end as label from orders)
+select line, array_to_string(items, ',') as items, label from a join b using (line)""")
+def attach_by_line(spark: SparkSession, d: str) -> DataFrame:
+    """Line items and orders, each shuffled into text files of their own, with comments and blank lines, and paired by the numbers of their lines."""
+    one, two = shared_path(spark, "lines"), shared_path(spark, "users")
+    items = table(spark, d, "lineitem").withColumn("u", R.hash_uniform(31, F.col("l_orderkey"), F.col("l_linenumber"))).orderBy("u", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    words = F.concat_ws(" ", F.lit("0 3"), *[F.col(c).cast("int").cast("string") for c in ("l_partkey", "l_suppkey", "l_quantity")])
+    items.select(F.explode(F.when(F.col("l_linenumber") == 7, F.array(F.lit("# a comment"), F.lit(""), words)).otherwise(F.array(words))).alias("value")).write.text(one)
+    users = table(spark, d, "orders").withColumn("u", R.hash_uniform(32, F.col("o_orderkey"))).orderBy("u", "o_orderkey")
+    users.select(F.concat_ws(" ", "o_orderstatus", F.col("o_custkey").cast("string"), F.lit("x")).alias("value")).write.text(two)
+    return io.attach_by_line(spark, one, two, 1, 50, 3).select("line", text(F.col("items")), "label")
+
+
 @query(f"""with {FEATURES_SQL}, l as (select vec_id as id, ['b', 'a', 'c'][(label % 3 + 1)::int] as name from embeddings), c as (select id, (dense_rank() over (order by name) - 1)::int as label_code from l)
 select id, feature, x, label_code from f join c using (id)""")
 def load_features(spark: SparkSession, d: str) -> DataFrame:

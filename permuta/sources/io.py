@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .lines import numbered_lines, pair_lines
 from .tables import row_numbers, small
 
 #: Columns of a result log, in order; fixed values of the file format.
@@ -16,11 +17,16 @@ RESULT_COLUMNS = ("timestamp", "dataset", "method", "subsample", "n_train", "n_t
 TEXT_COLUMNS = ("timestamp", "dataset", "method", "config")
 
 
-def read_ballots(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, weight, items) of ballot files: a count n, n names, a summary, then lines ``count,c1,c2,...``."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split("value", "\n").alias("lines"))
-    rows = files.select("file", F.expr("try_cast(trim(lines[0]) as int)").alias("n"), F.posexplode("lines").alias("line", "text"))
-    fields = rows.where("line >= n + 2").select("file", "line", "n", F.expr("transform(split(trim(text), ','), x -> try_cast(trim(x) as int))").alias("f"))
+def read_ballots(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, line, weight, items) of ballot files: a count n, n names, a summary, then lines ``count,c1,c2,...``.
+
+    A file is read in splits; its count, on line 0, is joined with its lines by the file's
+    name. Files without a count, and malformed lines, are skipped.
+    """
+    lines = numbered_lines(spark, path)
+    counts = lines.where("line = 0").select("file", F.expr("try_cast(trim(value) as int)").alias("n")).where("n is not null")
+    rows = lines.join(small(counts), "file").where("line >= n + 2")
+    fields = rows.select("file", "line", F.expr("transform(split(trim(value), ','), x -> try_cast(trim(x) as int))").alias("f"))
     good = fields.where((F.size("f") > 1) & ~F.exists("f", lambda x: x.isNull()))
     items = F.filter(F.slice("f", 2, F.size("f") - 1), lambda x: x > 0)
     return good.select("file", "line", F.col("f")[0].alias("weight"), items.alias("items")).where(F.size("items") > 0)
@@ -37,6 +43,23 @@ def attach_attributes(rankings: DataFrame, attributes: DataFrame, key: str, valu
     return rankings.join(attributes, key).withColumn("label", F.when(F.col(value) < below, 0).otherwise(1))
 
 
+def attach_by_line(spark: SparkSession, orders: str, attributes: str, field: int, below: int, length: int = 10) -> DataFrame:
+    """(line, items, label) of two text files whose lines belong together by their numbers, as many as the shorter has.
+
+    Blank lines and comments don't count. items are the last ``length`` tokens of a line
+    of the one, label is 0 where token ``field`` of the other's is less than ``below``,
+    else 1; lines with fewer tokens than either needs don't count either.
+    """
+    tokens = F.split(F.trim("value"), r"\s+")
+    whole = (F.trim("value") != "") & ~F.startswith(F.trim("value"), F.lit("#"))
+    one = numbered_lines(spark, orders, whole & (F.size(tokens) >= length), across=True)
+    two = numbered_lines(spark, attributes, whole & (F.size(tokens) > field), across=True)
+    both = pair_lines(one, two)
+    last = F.slice(F.split(F.trim("first"), r"\s+"), -length, length)
+    value = F.split(F.trim("second"), r"\s+")[field].cast("int")
+    return both.select("line", F.transform(last, lambda x: x.cast("int")).alias("items"), F.when(value < below, 0).otherwise(1).alias("label"))
+
+
 def read_features(spark: SparkSession, data: str, labels: str, key: str, label: str) -> DataFrame:
     """(key, x array<double>, label_code) of two CSV files with headers: key and features, key and class name.
 
