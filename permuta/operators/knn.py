@@ -1,48 +1,253 @@
-"""Nearest neighbours by blocks: every query block meets every reference block, each pair keeps its best k."""
+"""Exact nearest neighbours under a metric, by a pivot index that leaves most blocks out.
+
+A few rows are pivots. Every row belongs to the ball of its nearest pivot, and inside a
+ball rows in order of that distance form blocks; a block is a table row that holds its
+rows and, for every pivot, their least and largest distance to it. Queries are packed
+the same way. By the triangle inequality two rows are at least as far apart as their
+distances to any pivot differ, which bounds two balls or two blocks as well as two rows.
+
+A pack is first compared with the block most like it, which gives each query a reach: its
+k-th distance so far. Balls that no query of another ball reaches aren't joined, nor
+blocks that no query of a pack reaches, and inside a block only the queries that reach it
+are compared with its rows. What remains is exact.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 4096
+from permuta.functions.rankings import hash_uniform
+from permuta.sources.tables import materialize
 
+BLOCK = 256
+PIVOTS = 48
+#: Numbers of a distance table computed at once.
+CELLS = 1 << 20
+#: Distances are compared after rounding to so many places; bounds leave room for it.
+PLACES = 9
 
-def _blocks(rows: DataFrame, n: int) -> DataFrame:
-    return rows.withColumn("_block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
 
+def distances(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
+    """All distances of two small sets, by components: l1 or l2."""
+    out = np.zeros((len(x), len(y)))
+    for i in range(x.shape[1]):
+        apart = x[:, i, None] - y[None, :, i]
+        out += np.abs(apart) if metric == "l1" else apart * apart
+    return np.round(out if metric == "l1" else np.sqrt(out), PLACES)
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """A column of arrays of one length as rows of doubles."""
+    sizes = np.diff(column.offsets.to_numpy())
+    if len(set(sizes.tolist())) > 1 or column.null_count:
+        raise ValueError("vectors must have one length")
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def packed(rows: DataFrame, pivots: np.ndarray, metric: str, block: int) -> DataFrame:
+    """Blocks of (id, v, label): ball, block, n, near (middle distance to the ball's pivot), low and high by pivot, ids, labels, rows, spans (each row's distances to the pivots)."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = matrix(batch.column(1))
+            spans = np.concatenate([distances(x[i : i + 4096], pivots, metric) for i in range(0, len(x), 4096)])
+            ball = spans.argmin(axis=1)
+            packs = [pa.array([r.tobytes() for r in a], pa.binary()) for a in (x, spans)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *packs, pa.array(ball.astype(np.int32)), pa.array(spans[np.arange(len(x)), ball])], names=["id", "label", "row", "span", "ball", "far"])
+
+    placed = rows.select("id", F.col("v").cast("array<double>").alias("v"), F.col("label").cast("bigint").alias("label")).mapInArrow(place, "id bigint, label bigint, row binary, span binary, ball int, far double")
+    width = len(pivots)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            if held.num_rows >= 4 * block:
+                done = blocks_of(held, block, width, False)
+                yield from done[0]
+                held = done[1]
+        if held is not None and held.num_rows:
+            yield from blocks_of(held, block, width, True)[0]
+
+    # A range of rows in order of ball and distance is cut into blocks as it streams by.
+    ordered = placed.repartitionByRange("ball", "far", "id").sortWithinPartitions("ball", "far", "id")
+    kinds = "ball int, n bigint, near double, low binary, high binary, ids binary, labels binary, rows binary, spans binary"
+    return ordered.mapInArrow(build, kinds).withColumn("block", F.monotonically_increasing_id())
+
+
+def blocks_of(rows: pa.Table, block: int, width: int, last: bool) -> tuple[list[pa.RecordBatch], pa.Table]:
+    """Blocks of sorted rows, no block of two balls; and what is left of the last ball where more rows may follow."""
+    rows = rows.combine_chunks()
+    balls = rows.column("ball").to_numpy()
+    first = np.flatnonzero(np.append(True, balls[1:] != balls[:-1]))
+    out, end = [], 0
+    for a, b in zip(first, np.append(first[1:], len(balls)), strict=True):
+        for at in range(a, b, block):
+            if not last and b == len(balls) and at + block > b:
+                break
+            part = rows.slice(at, min(block, b - at))
+            spans = np.frombuffer(b"".join(part.column("span").to_pylist()), np.float64).reshape(-1, width)
+            ids, labels = part.column("id").to_numpy().astype(np.int64), part.column("label").fill_null(-1).to_numpy().astype(np.int64)
+            cells = [int(balls[a]), len(part), float(part.column("far").to_numpy().mean()), spans.min(axis=0).tobytes(), spans.max(axis=0).tobytes(), ids.tobytes(), labels.tobytes(), b"".join(part.column("row").to_pylist()), spans.tobytes()]
+            kinds = [pa.int32(), pa.int64(), pa.float64(), *[pa.binary()] * 6]
+            names = ["ball", "n", "near", "low", "high", "ids", "labels", "rows", "spans"]
+            out.append(pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cells, kinds, strict=True)], names=names))
+            end = at + len(part)
+    return out, rows.slice(end)
+
+
+def gap(low: np.ndarray, high: np.ndarray, other_low: np.ndarray, other_high: np.ndarray) -> np.ndarray:
+    """The least distance that rows between two pairs of bounds can have."""
+    return np.maximum(low - other_high, other_low - high).max(axis=-1, initial=0) - 10.0**-PLACES
+
+
+_FOUND = "pack bigint, id bigint, ref bigint, distance double, label bigint, compared bigint"
+
+
+def compare(pairs: DataFrame, k: int, metric: str, width: int, reach: bool) -> DataFrame:
+    """The k nearest rows of a block to each query of a pack, for pairs of both: pack, q_ids, q_rows, q_spans, q_reach, ids, labels, rows, low, high. Rows without ref say how many were compared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids, labels = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["labels"], np.int64)
+                y, q = np.frombuffer(row["rows"], np.float64).reshape(len(ids), -1), np.frombuffer(row["q_ids"], np.int64)
+                x = np.frombuffer(row["q_rows"], np.float64).reshape(len(q), -1)
+                ask = np.arange(len(q))
+                if reach:
+                    spans, low, high = np.frombuffer(row["q_spans"], np.float64).reshape(len(q), width), np.frombuffer(row["low"], np.float64), np.frombuffer(row["high"], np.float64)
+                    ask = np.flatnonzero(gap(spans, spans, low, high) <= np.frombuffer(row["q_reach"], np.float64))
+                by_id = np.argsort(ids, kind="stable")
+                out = [[], [], []]
+                step = max(1, CELLS // max(1, len(ids)))
+                for at in range(0, len(ask), step):
+                    some = ask[at : at + step]
+                    d = distances(x[some], y[by_id], metric)
+                    best = np.argsort(d, axis=1, kind="stable")[:, :k]
+                    out[0].append(np.repeat(q[some], best.shape[1]))
+                    out[1].append(by_id[best].ravel())
+                    out[2].append(np.take_along_axis(d, best, axis=1).ravel())
+                who, where, far = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in out)
+                where = where.astype(np.int64)
+                n = len(who)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([row["pack"]] * (n + 1), pa.int64()), pa.array([*who.tolist(), None], pa.int64()), pa.array([*ids[where].tolist(), None], pa.int64()), pa.array([*far.tolist(), None], pa.float64()),
+                    pa.array([*labels[where].tolist(), None], pa.int64()), pa.array([None] * n + [len(ask) * len(ids)], pa.int64()),
+                ], names=["pack", "id", "ref", "distance", "label", "compared"])
+
+    return pairs.mapInArrow(run, _FOUND)
 
-def nearest(queries: DataFrame, train: DataFrame, k: int, metric: str = "l1") -> DataFrame:
-    """(id, ref, distance, label): the k nearest of train (id, v, label) to each query (id, v); ties by id.
 
-    k stops at the number of training rows less one. A pair of blocks is one Arrow
-    group, so memory is two blocks and the exact result needs no index.
+def bounded(pairs: DataFrame, width: int) -> DataFrame:
+    """Pairs (pack, ball, block, q_low, q_high, most, low, high) whose bounds are within the pack's largest reach."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low, high, other_low, other_high = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.float64).reshape(batch.num_rows, width) for c in ("q_low", "q_high", "low", "high"))
+            keep = pa.array(gap(low, high, other_low, other_high) <= batch.column("most").to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("pack", "ball", "block")], names=["pack", "ball", "block"])
+
+    return pairs.mapInArrow(run, "pack bigint, ball int, block bigint")
+
+
+def top(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("id").orderBy("distance", "ref")
+    return found.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= k).drop("_k")
+
+
+def search(queries: DataFrame, train: DataFrame, k: int, metric: str = "l1", pivots: int = PIVOTS, block: int = BLOCK, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """The k nearest of train (id, v, label) to each query (id, v), as (id, ref, distance, label) with ties by id; and a table of one row: pairs there are, and pairs compared.
+
+    k stops at the number of training rows less one. Vectors have one length; rows that
+    repeat an id are rows of their own, null labels come back null.
     """
     n_train = train.count()
     k = max(1, min(k, n_train - 1))
-    parts = max(1, -(-n_train // BLOCK))
-    asks = max(1, -(-queries.count() // BLOCK))
-    left = _blocks(queries, asks).withColumnRenamed("_block", "_q").withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    right = _blocks(train, parts).withColumnRenamed("_block", "_t").withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(asks - 1))))
-
-    def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"id": [], "ref": [], "distance": [], "label": []}).astype({"id": "int64", "ref": "int64", "distance": "float64", "label": "int64"})
-        b = b.sort_values("id")
-        x, y = np.stack(a["v"].to_numpy()).astype(float), np.stack(b["v"].to_numpy()).astype(float)
-        best = []
-        for row in x:
-            d = np.round(np.abs(y - row).sum(axis=1) if metric == "l1" else np.sqrt(((y - row) ** 2).sum(axis=1)), 9)
-            near = np.flatnonzero(d <= np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1])
-            best.append((at := near[np.argsort(d[near], kind="stable")[:k]], d[at]))
-        at, d = np.concatenate([i for i, _ in best]), np.concatenate([i for _, i in best])
-        return pd.DataFrame({"id": np.repeat(a["id"].to_numpy(), [len(i) for i, _ in best]), "ref": b["id"].to_numpy()[at], "distance": d, "label": b["label"].to_numpy()[at]})
-
-    found = left.groupBy("_q", "_t").cogroup(right.groupBy("_q", "_t")).applyInPandas(pair, "id bigint, ref bigint, distance double, label bigint")
-    order = Window.partitionBy("id").orderBy("distance", "ref")
-    return found.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= k).drop("_k")
+    spark = train.sparkSession
+    chosen = train.select("id", F.col("v").cast("array<double>").alias("v")).orderBy(hash_uniform(seed, F.col("id")), "id").limit(pivots).collect()
+    if not chosen:
+        none = spark.createDataFrame([], "id bigint, ref bigint, distance double, label bigint")
+        return none, spark.createDataFrame([(0, 0)], "pairs bigint, compared bigint")
+    points = np.array([r["v"] for r in chosen])
+    width = len(points)
+    blocks = materialize(packed(train, points, metric, block), "knn-blocks")
+    asks = materialize(packed(queries.withColumn("label", F.lit(None).cast("bigint")), points, metric, block).withColumn("pack", F.monotonically_increasing_id()), "knn-packs")
+    q = asks.select("pack", F.col("ball").alias("q_ball"), F.col("near").alias("q_near"), F.col("low").alias("q_low"), F.col("high").alias("q_high"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"), F.col("spans").alias("q_spans"))
+
+    # Bounds of whole balls: as many rows as there are pivots, whatever the number of rows.
+    def whole(frame: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        cells = frame.select("ball", "low", "high").mapInArrow(span_rows, "ball int, at int, low double, high double").groupBy("ball", "at").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        out: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for r in cells.collect():
+            low, high = out.setdefault(r["ball"], (np.zeros(width), np.zeros(width)))
+            low[r["at"]], high[r["at"]] = r["low"], r["high"]
+        return out
+
+    balls, ask_balls = whole(blocks), whole(asks)
+    # Each pack's first block: in its own ball, or the ball whose bounds are closest, the one whose rows are as far from the pivot.
+    home = [(b, min(balls, key=lambda o: (o != b, gap(*balls[o], low, high), o))) for b, (low, high) in ask_balls.items()]
+    homes = F.broadcast(spark.createDataFrame(home, "q_ball int, ball int"))
+    near = q.select("pack", "q_ball", "q_near").join(homes, "q_ball").join(blocks.select("ball", "block", F.col("near").alias("_near")), "ball")
+    # Comparing costs more than moving: as many tasks as the session's setting says, however few bytes there are.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    near = near.groupBy("pack").agg(F.min(F.struct(F.abs(F.col("_near") - F.col("q_near")).alias("d"), "ball", "block")).alias("b"))
+    near = materialize(near.select("pack", "b.ball", "b.block"), "knn-homes")
+    first = near.join(q, "pack").repartition(parts, "ball", "block").join(blocks, ["ball", "block"])
+    first = materialize(compare(first.withColumn("q_reach", F.lit(None).cast("binary")), k, metric, width, False), "knn-first")
+    reach = first.where("ref is not null").groupBy("pack", "id").agg(F.max("distance").alias("d"), F.count("*").alias("n"))
+    # Fewer than k rows in the first block say nothing about the rest. Equal ids of one pack share the larger reach.
+    reach = reach.select("pack", "id", F.when(F.col("n") >= k, F.col("d")).otherwise(F.lit(float("inf"))).alias("reach"))
+    reach = materialize(reach, "knn-reach")
+    most = materialize(q.select("pack", "q_ball", "q_low", "q_high").join(reach.groupBy("pack").agg(F.max("reach").alias("most")), "pack"), "knn-most")
+    by_ball = {r["q_ball"]: r["most"] for r in most.groupBy("q_ball").agg(F.max("most").alias("most")).collect()}
+    meet = [(b, o) for b, (low, high) in ask_balls.items() for o in balls if gap(low, high, *balls[o]) <= by_ball[b]]
+    meets = F.broadcast(spark.createDataFrame(meet, "q_ball int, ball int"))
+    pairs = most.join(meets, "q_ball").join(blocks.select("ball", "block", "low", "high"), "ball")
+    pairs = materialize(bounded(pairs, width).join(near, ["pack", "ball", "block"], "left_anti"), "knn-pairs")
+    lists = reach.groupBy("pack").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("id", "reach")))).alias("_reach"))
+    rest = pairs.join(with_reach(q.join(lists, "pack")), "pack").repartition(parts, "ball", "block").join(blocks, ["ball", "block"])
+    rest = materialize(compare(rest, k, metric, width, True), "knn-rest")
+    both = first.unionByName(rest)
+    counts = both.agg(F.coalesce(F.sum("compared"), F.lit(0)).alias("compared")).select(F.lit(n_train * queries.count()).cast("bigint").alias("pairs"), "compared")
+    found = top(both.where("ref is not null").select("id", "ref", "distance", F.when(F.col("label") >= 0, F.col("label")).alias("label")), k)
+    return found, counts
+
+
+def span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(ball, low, high) of blocks -> a row for each of a task's balls and pivots."""
+    seen: dict[int, list[np.ndarray]] = {}
+    for batch in batches:
+        for ball, low, high in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            low, high = np.frombuffer(low, np.float64), np.frombuffer(high, np.float64)
+            have = seen.setdefault(ball, [low, high])
+            seen[ball] = [np.minimum(have[0], low), np.maximum(have[1], high)]
+    for ball, (low, high) in seen.items():
+        yield pa.RecordBatch.from_arrays([pa.array([ball] * len(low), pa.int32()), pa.array(np.arange(len(low), dtype=np.int32)), pa.array(low), pa.array(high)], names=["ball", "at", "low", "high"])
+
+
+def with_reach(rows: DataFrame) -> DataFrame:
+    """_reach, a map from id to reach, as q_reach in the order of q_ids."""
+    kinds = {c: t for c, t in rows.dtypes if c != "_reach"}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            maps = (dict(m) for m in batch.column("_reach").to_pylist())
+            reach = [np.array([m[i] for i in np.frombuffer(q, np.int64).tolist()]).tobytes() for q, m in zip(batch.column("q_ids").to_pylist(), maps, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kinds), pa.array(reach, pa.binary())], names=[*kinds, "q_reach"])
+
+    return rows.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in kinds.items()) + ", q_reach binary")
+
+
+def nearest(queries: DataFrame, train: DataFrame, k: int, metric: str = "l1") -> DataFrame:
+    """(id, ref, distance, label): the k nearest of train (id, v, label) to each query (id, v); ties by id."""
+    return search(queries, train, k, metric)[0]
 
 
 def knn_vote(found: DataFrame, weighted: bool = False) -> DataFrame:
