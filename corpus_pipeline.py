@@ -2,8 +2,10 @@
 
 Toxic documents go, then all but one of equal texts, then all but one of each group
 of near copies; sources are mixed to their target weights and the mix is encoded.
-A row without doc_id can't be named by a decision of the two deduplication stages
-and stays; rows that share a doc_id share its fate.
+The two deduplication stages decide by doc_id and text together, so an id that stands
+for two texts doesn't take one away with the other; rows that repeat both share one
+decision. Every stage takes a table without rows and null texts, which are empty texts:
+not toxic, equal to each other, near nothing, without words to mix.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from permuta.llm import bpe, exact, jaccard, mixing, queries, toxicity
-from permuta.llm.shared import materialize
+from permuta.llm.shared import materialize, named
 
 #: No SQL: two stages learn or search in ways SQL can't express. tests/llm compares each stage with a brute-force version.
 ORACLE_SQL = None
@@ -21,19 +23,23 @@ ORACLE_SQL = None
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on labels outside the held-out fold, doesn't call toxic."""
     model = toxicity.fit_toxicity(docs, queries.table(spark, sf_dir, "labels"), ~queries.held_out(F.col("doc_id"), 5, 0))
-    return toxicity.score_toxicity(docs, model, docs.columns, "_toxicity").where("_toxicity < 0.5").select(docs.columns)
+    return toxicity.score_toxicity(docs, model, docs.columns, "_toxicity").where("_toxicity < 0.5").select(*named(docs.columns))
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """docs but for the rows whose id and text hash are in dropped (doc_id, th); a null id is an id here."""
+    gone = dropped.select(F.col("doc_id").alias("_gone_id"), F.col("th").alias("_gone_th")).distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone_id"]) & (F.xxhash64(docs["text"]) == gone["_gone_th"]), "left_anti")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal but for the case of A-Z, the one with the largest doc_id."""
-    found = exact.exact_dedup(docs, queries.older_half(docs))
-    return docs.join(found.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """Of texts that are equal but for the case of A-Z, the one with the largest doc_id; a null id only where no other has the text."""
+    return without(docs, exact.exact_dedup(docs, queries.older_half(docs), text_hash=True).where("not kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by similar shingle sets, the one with the smallest doc_id."""
-    found = jaccard.jaccard_components(docs)
-    return docs.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """Of documents linked by similar shingle sets, the one with the smallest doc_id; a row without an id links with nothing and stays."""
+    return without(docs, jaccard.near_copies(docs).where("not stays"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh, materialize, record
+from .shared import fresh, materialize, named, plain, record
 
 CHUNK_CHARS = 1 << 15
 OVERLAP_CHARS = 1 << 10
@@ -51,13 +51,16 @@ def encode_ids(texts: list[str], path: str, pattern: str) -> list[list[int]]:
 def encode_texts(docs: DataFrame, path: str, pattern: str, keep: list[str], out: str = "digests", text: str = "text", chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> DataFrame:
     """Encode column ``text`` of every row and decode the ids again.
 
-    keep: columns carried along. out="ids" gives ids array<int> and decoded binary,
-    out="digests" n_tokens, ids_sha256 and decoded_sha256. A null text is empty; an
+    keep: columns carried along, but for those whose names the results have. out="ids"
+    gives ids array<int> and decoded binary, out="digests" n_tokens, ids_sha256 and
+    decoded_sha256. Rows that repeat stay as many, ids may be null. A null text is empty; an
     empty text has no ids. Texts of more than ``chunk`` characters are cut into
     chunks; where neighbours share no boundary inside the overlap (one pre-token
     longer than it), the whole text is encoded in one piece, so the ids never change.
     """
-    rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias(hidden := fresh(keep, "text")[0]))
+    taken = ("n_tokens", "ids_sha256", "decoded_sha256") if out == "digests" else ("ids", "decoded")
+    keep = [c for c in keep if c.lower() not in taken]
+    rows = docs.select(*named(keep), F.coalesce(F.col(text), F.lit("")).alias(hidden := fresh(keep, "text")[0]))
     result = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" if out == "digests" else "ids array<int>, decoded binary"
     kept = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
     short = _encode(rows.where(F.length(hidden) <= chunk), keep, f"{kept + ', ' if keep else ''}{result}", path, pattern, out)
@@ -74,7 +77,7 @@ def _encode(rows: DataFrame, keep: list[str], schema: str, path: str, pattern: s
                 ids = (enc.encode_ordinary(x) for x in part.column(part.num_columns - 1).to_pylist())
                 yield _row_batch([part.column(i) for i in range(len(keep))], keep, list(ids), enc, out)
 
-    return rows.mapInArrow(run, schema)
+    return plain(rows).mapInArrow(run, schema)
 
 
 def _row_batch(kept: list, keep: list[str], ids: list[list[int]], enc, out: str) -> pa.RecordBatch:
@@ -130,4 +133,4 @@ def _long(rows: DataFrame, keep: list[str], hidden: str, result: str, path: str,
     done = whole.select("_key", "_ids").mapInArrow(finish, f"_key string, {result}")
     names = [x.split()[0] for x in result.replace("array<int>", "array").split(", ")]
     key = fresh(keep, "key")[0]
-    return rows.select(*keep, row_key.alias(key)).join(done.withColumnRenamed("_key", key), key).select(*keep, *names)
+    return rows.select(*named(keep), row_key.alias(key)).join(done.withColumnRenamed("_key", key), key).select(*named(keep), *names)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import LOWER_TABLE, materialize, mix, record, shuffle_parts
+from .shared import LOWER_TABLE, materialize, mix, named, plain, record, shuffle_parts
 
 BUCKET_KEYS = 1 << 20
 #: A group is dealt over one salt more for every so many rows, up to SALTS.
@@ -38,7 +38,7 @@ def digest_rows(docs: DataFrame, keep: list[str], text: str = "text") -> DataFra
             found = [hashlib.sha256(normalized(x)).digest() for x in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(found, pa.binary())], names=[*keep, "digest"])
 
-    return docs.select(*keep, F.col(text).cast("binary").alias("_text")).mapInArrow(run, f"{schema}, digest binary")
+    return plain(docs.select(*named(keep), F.col(text).cast("binary").alias("_text"))).mapInArrow(run, f"{schema}, digest binary")
 
 
 class BinaryFuse:
@@ -147,8 +147,8 @@ def merge_batch(snapshot: DataFrame, batch: DataFrame, largest: int) -> DataFram
     return old.unionByName(fresh.select("digest", "keep_id", "n"))
 
 
-def exact_dedup(docs: DataFrame, is_snapshot: Column) -> DataFrame:
-    """One row per row of docs (doc_id, text): keep_id, group_size, kept, text_sha256.
+def exact_dedup(docs: DataFrame, is_snapshot: Column, text_hash: bool = False) -> DataFrame:
+    """One row per row of docs (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256, and with ``text_hash`` th, which is xxhash64 of the text and tells rows of one id apart.
 
     Rows where ``is_snapshot`` holds are the immutable snapshot, all others the incoming
     batch; the split changes the route a row takes, never the result. Null texts equal
@@ -170,7 +170,8 @@ def exact_dedup(docs: DataFrame, is_snapshot: Column) -> DataFrame:
     found = joined.select("doc_id", "th", keep.alias("keep_id"), F.coalesce("n", F.lit(1)).alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
     found = materialize(found, "exact-found")
     odd = materialize(mixed_digests(docs, found), "exact-odd")
-    return (found if odd.isEmpty() else regrouped(docs, found, odd)).drop("th")
+    found = found if odd.isEmpty() else regrouped(docs, found, odd)
+    return found if text_hash else found.drop("th")
 
 
 def salts(rows: str) -> Column:

@@ -94,28 +94,28 @@ def sets_of(texts: list[bytes], size: int = SHINGLE) -> Iterator[tuple[int, int,
 
 
 def text_rows(docs: DataFrame, text: str) -> DataFrame:
-    """doc_id, digest and compressed bytes of every row's text, A-Z lower-cased; null is empty."""
+    """doc_id, th (a hash of the text as it is), digest and compressed bytes of every row's text, A-Z lower-cased; null is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            texts = [(x or b"").translate(LOWER_TABLE) for x in batch.column(1).to_pylist()]
+            texts = [(x or b"").translate(LOWER_TABLE) for x in batch.column(2).to_pylist()]
             digests = pa.array([hashlib.blake2b(x, digest_size=20).digest() for x in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), digests, pa.array(map(squeeze, texts), pa.binary())], names=["doc_id", "digest", "packed"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), digests, pa.array(map(squeeze, texts), pa.binary())], names=["doc_id", "th", "digest", "packed"])
 
-    return docs.select("doc_id", F.col(text).cast("binary").alias("_text")).mapInArrow(run, "doc_id bigint, digest binary, packed binary")
+    return docs.select("doc_id", F.xxhash64(text).alias("th"), F.col(text).cast("binary").alias("_text")).mapInArrow(run, "doc_id bigint, th bigint, digest binary, packed binary")
 
 
 def set_sizes(texts: DataFrame, size: int, bits: int) -> DataFrame:
-    """(key, n) of every text (key, packed): its number of distinct shingles. Rows without key hold counts of shingles by counter: slice, counts."""
+    """(key, n) of every text (key, packed): its number of distinct shingles, told apart by their words. Rows without key hold counts of shingles by counter: slice, counts."""
     schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("slice", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << bits, np.uint32)
         for batch in (x.slice(i, AT_ONCE) for x in batches for i in range(0, x.num_rows, AT_ONCE)):
-            n = np.zeros(batch.num_rows, np.int64)
-            for row, end, sets, at in sets_of(unpack(batch.column(1)), size):
-                n[row:end] = np.diff(at)
+            texts = unpack(batch.column(1))
+            n = np.array([len(x) for x in exact_sets(texts, size)], np.int64)
+            for _, _, sets, _ in sets_of(texts, size):
                 places, many = np.unique(sets >> np.uint64(64 - bits), return_counts=True)
                 counts[places.astype(np.int64)] += many.astype(np.uint32)
             none = [None] * batch.num_rows
@@ -515,6 +515,28 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SHIN
     doc_id reachable; rows that repeat a doc_id with other texts are linked by it too. A
     null doc_id links with nothing and has no component.
     """
+    return labelled_rows(*text_links(docs, percent, size, text))
+
+
+def near_copies(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, text: str = "text") -> DataFrame:
+    """doc_id, th, stays of every row with an id: of the texts that links reach from each other, the one with the smallest doc_id stays.
+
+    Here a document is a row's id and text together, th being xxhash64 of the text: an id
+    that stands for several texts links none of them. Of several such texts under the
+    smallest id one stays, with all rows that repeat it.
+    """
+    equal, rows, sizes, links = text_links(docs, percent, size, text)
+    labels = components(links).select(F.col("id").alias("first"), "component")
+    named = equal.select("key", "doc_id", "first").join(labels, "first", "left").join(sizes.select("key", "n"), "key").join(rows.select("key", "th"), "key")
+    # Texts without words are linked with nothing: a row of their own each.
+    named = named.select("doc_id", "th", F.when(F.col("n") > 0, F.coalesce("component", "first")).otherwise(F.col("key")).alias("group"))
+    named = materialize(named, "jaccard-named")
+    least = named.groupBy("group").agg(F.min(F.struct("doc_id", "th")).alias("least"))
+    return named.join(least, "group").select("doc_id", "th", ((F.col("doc_id") == F.col("least.doc_id")) & (F.col("th") == F.col("least.th"))).alias("stays"))
+
+
+def text_links(docs: DataFrame, percent: int, size: int, text: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Rows with an id and the first row with an equal text (key, doc_id, first, least), all rows, their set sizes, and the links (a, b) between first rows."""
     spark = docs.sparkSession
     rows = materialize(text_rows(docs, text).withColumn("key", F.monotonically_increasing_id()), "jaccard-rows")
     equal = rows.where("doc_id is not null").groupBy("digest").agg(F.min("key").alias("first"), F.min("doc_id").alias("least"))
@@ -543,7 +565,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SHIN
         if not best:
             break
         rounds = rounds - 1 if not more.isEmpty() else 0
-    return labelled_rows(equal, rows, counted.where("key is not null"), materialize(links, "jaccard-links"))
+    return equal, rows, counted.where("key is not null"), materialize(links, "jaccard-links")
 
 
 def open_trees(members: DataFrame, labels: DataFrame) -> DataFrame:

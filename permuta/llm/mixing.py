@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import fresh, materialize, shuffle_parts
+from .shared import fresh, materialize, named, plain, shuffle_parts
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_EPOCHS = 3
@@ -80,12 +80,13 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
     """The mix itself: each document as often as it is taken whole, and once more cut where the budget ends.
 
     Documents without words, null or empty, take nothing and go. Other columns stay as they
-    are, whatever their names. Rows that are the same in every column are one row that
-    takes what all of them take.
+    are, whatever their names. Rows that are the same in every column, maps compared as
+    JSON, are one row that takes what all of them take.
     """
     row, size, total, end = fresh(docs.columns, "row", "size", "total", "end")
-    alike = [c for c, kind in docs.dtypes if not kind.startswith(("map", "variant"))]
-    key = F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("source", F.lit("")), F.xxhash64(*alike)).alias(row)
+    # Maps have no hash of their own. Two hashes with different beginnings make 128 bits.
+    alike = [F.to_json(F.struct(named([c])[0])) if "map<" in kind or "variant" in kind else named([c])[0] for c, kind in docs.dtypes]
+    key = F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("source", F.lit("")), F.xxhash64(*alike), F.xxhash64(F.lit("row"), *alike)).alias(row)
     taken = mix_sources(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key), weights, most, seed)
     taken = taken.groupBy(row, F.col("size").alias(size)).agg(F.sum("taken").alias(total)).where(F.col(total) > 0)
     rows = docs.select("*", key).dropDuplicates([row]).join(taken, row)
@@ -112,5 +113,5 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     copies = rows.withColumn(end, F.explode(F.concat(F.array_repeat(F.lit(None).cast("bigint"), whole.cast("int")), F.when(rest > 0, F.array(rest.cast("bigint"))).otherwise(F.array().cast("array<bigint>")))))
-    out = copies.select(*names, end).mapInArrow(cut, docs.schema)
+    out = plain(copies.select(*named(names), end)).mapInArrow(cut, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out

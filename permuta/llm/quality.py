@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import labelled_sample
-from .shared import LOWER_TABLE, MIX_BYTES, Words, binary_parts, hash_words, segments
+from .shared import LOWER_TABLE, MIX_BYTES, Words, binary_parts, hash_words, named, plain, segments
 
 #: Labelled documents that the model is fitted on, at most.
 SAMPLE = 3000
@@ -171,4 +171,4 @@ def score_quality(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                 part = batch.slice(row, end - row)
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(model.score(x, count), pa.float64())], names=[*keep, "score"])
 
-    return docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("_text")).mapInArrow(run, f"{schema}, score double")
+    return plain(docs.select(*named(keep), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("_text"))).mapInArrow(run, f"{schema}, score double")

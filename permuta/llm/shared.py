@@ -15,7 +15,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that are taken apart at once; the arrays this needs are about thirty times as large.
 MIX_BYTES = 1 << 19
@@ -74,6 +75,16 @@ def fresh(taken: list[str], *names: str) -> list[str]:
     return out
 
 
+def named(names: list[str]) -> list[Column]:
+    """Columns of these names, whatever signs the names hold."""
+    return [F.col("`" + x.replace("`", "``") + "`") for x in names]
+
+
+def plain(df: DataFrame) -> DataFrame:
+    """df with names that map functions can read in place of those with dots or quotes; what such a function returns is named by its schema."""
+    return df.toDF(*[f"_plain_{i}" if re.search(r"[.`]", c) else c for i, c in enumerate(df.columns)])
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

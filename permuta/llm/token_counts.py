@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import named, plain
+
 BATCH_BYTES = 1 << 20
 CACHE_ENTRIES = 250_000
 _WIDE = re.compile(r"\s\s")
@@ -125,4 +127,4 @@ def token_counts(docs: DataFrame, path: str, keep: list[str], text: str = "text"
                 at = end
 
     whole = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(*keep, whole.alias("_text"), F.octet_length(whole).cast("bigint").alias("_bytes")).mapInArrow(run, f"{schema}{', ' if keep else ''}n_bytes bigint, n_tokens bigint")
+    return plain(docs.select(*named(keep), whole.alias("_text"), F.octet_length(whole).cast("bigint").alias("_bytes"))).mapInArrow(run, f"{schema}{', ' if keep else ''}n_bytes bigint, n_tokens bigint")

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import labelled_sample
+from .shared import named, plain
 
 #: Labelled documents that the machine is fitted on, at most.
 SAMPLE = 3000
@@ -303,4 +304,4 @@ def score_toxicity(docs: DataFrame, model: Model, keep: list[str], name: str = "
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(scores, pa.float64())], names=[*keep, name])
         pa.default_memory_pool().release_unused()
 
-    return docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text")).mapInArrow(run, f"{schema}, `{name}` double")
+    return plain(docs.select(*named(keep), F.coalesce("text", F.lit("")).alias("_text"))).mapInArrow(run, f"{schema}, `{name}` double")

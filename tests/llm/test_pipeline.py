@@ -76,7 +76,7 @@ def test_stages(spark, folder, tmp_path):
 def test_stages_on_empty_tables_and_clashing_columns(spark, folder, tmp_path):
     """Each stage gives no rows for none, and carries columns whose names operators use inside."""
     frame = spark.read.parquet(f"{folder}/documents.parquet")
-    for name in ("_key", "_range", "_row", "_size", "_cut", "size", "taken", "n", "th", "packed", "digest", "key"):
+    for name in ("_key", "_range", "_row", "_size", "_cut", "size", "taken", "n", "th", "packed", "digest", "key", "stays", "_gone_th", "dotted.name"):
         frame = frame.withColumn(name, F.concat(F.lit("x"), F.col("doc_id").cast("string")))
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         assert stage(spark, frame.limit(0), folder).count() == 0
@@ -89,3 +89,27 @@ def test_run_gives_what_the_stages_give(spark, folder):
     once = corpus_pipeline.run(spark, folder)
     assert once.where("n_tokens is null").count() == 0 and once.count() > 100
     assert once.select(F.countDistinct("doc_id")).first()[0] > 100
+
+
+def test_an_id_of_two_texts_loses_neither_with_the_other(spark, folder):
+    """A copy under an id that also has a text of its own goes alone."""
+    words = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen"
+    rows = [(5, "alpha text"), (7, "alpha text"), (5, "a unique text"), (None, "alpha TEXT"), (None, "of no one"), (9, words), (8, words + " more"), (9, "again a text of its own"), (9, words)]
+    frame = docs(spark, rows)
+    kept = corpus_pipeline.drop_copies(spark, frame, folder)
+    wanted = [(None, "of no one"), (5, "a unique text"), (7, "alpha text"), (8, words + " more"), (9, "again a text of its own"), (9, words), (9, words)]
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted(wanted, key=repr)
+    kept = corpus_pipeline.drop_near_copies(spark, kept, folder)
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted([w for w in wanted if w != (9, words)], key=repr)
+
+
+def test_rows_that_differ_in_a_map_only_stay_apart_in_the_mix(spark):
+    rows = [(1, "a b c", "s", {"k": 1}, "x"), (1, "a b c", "s", {"k": 2}, "x"), (2, "d e", "t", None, "y"), (2, "d e", "t", None, "y")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, tags map<string,int>, `a.b` string")
+    found = corpus_pipeline.mix(spark, frame, "").collect()
+    held = {}
+    for r in found:
+        key = (r["doc_id"], str(r["tags"]), r["a.b"])
+        held[key] = held.get(key, 0) + len(r["text"].split())
+    size, target = mixed([r[:3] for r in rows])
+    assert set(held) >= {(1, "{'k': 1}", "x"), (1, "{'k': 2}", "x")} and sum(held.values()) == int(target["s"]) + int(target["t"])
