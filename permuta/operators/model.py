@@ -10,7 +10,7 @@ Views, simulations and grid points are models of the same job.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -18,8 +18,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from permuta.functions.rankings import hash_uniform
+from permuta.sources.tables import materialize, shared_path
 
 from .consensus import consensus_borda, majority_vote
+from .wide import by_task, merged
 
 Layers = list[np.ndarray]
 GATE = 0.01
@@ -27,7 +29,12 @@ GATE = 0.01
 
 @dataclass
 class Settings:
-    """One model: its layers' sizes, seed, rate, share of filters that vote, share of the training rows it sees, and its view of a row: weights (items x dimensions) whose sums are ranked, or None for the row itself."""
+    """One model: its layers' sizes, seed, rate, share of filters that vote, share of the training rows it sees, and its view of a row: weights (items x dimensions, and a last row that is added) whose sums are ranked, or None for the row itself.
+
+    It may train for fewer steps than others of its job (steps), see each row once more
+    with up to ``swaps`` neighbours exchanged, leave its last layer as it is (learn_last),
+    and lower its rate by 0.7 every quarter of its steps or by ``decay`` every step.
+    """
 
     seed: int = 0
     filters: tuple[int, ...] = (32,)
@@ -36,6 +43,10 @@ class Settings:
     rows: float = 1.0
     label: str = ""
     view: np.ndarray | None = None
+    steps: int | None = None
+    swaps: int = 0
+    learn_last: bool = True
+    decay: float | None = None
     history: list[float] = field(default_factory=list)
 
 
@@ -76,8 +87,25 @@ def place(values: np.ndarray) -> np.ndarray:
 
 
 def seen_by(rows: np.ndarray, view: np.ndarray | None) -> np.ndarray:
-    """Positions in a view: those of the projected values in ascending order."""
-    return rows if view is None else place(np.round(rows @ view, 6))
+    """Positions in a view: those of the projected values in ascending order. A view of one row more than there are items adds it."""
+    if view is None:
+        return rows
+    more = view[-1] if len(view) == rows.shape[1] + 1 else 0
+    return place(np.round(rows @ view[: rows.shape[1]] + more, 6))
+
+
+def swapped(rows: np.ndarray, chance: np.ndarray, most: int) -> np.ndarray:
+    """Rows with 1 to ``most`` pairs of neighbouring positions exchanged one after the other, where depends on each row's chance alone."""
+    out, n, width = rows.copy(), *rows.shape
+    many = 1 + (chance * most).astype(int) % most
+    at = np.arange(n)
+    for k in range(most):
+        place_ = ((chance * 7919.0 * (k + 1)) % 1 * (width - 1)).astype(int)
+        doing = at[many > k]
+        low, high = place_[doing, None], place_[doing, None] + 1
+        part = out[doing]
+        out[doing] = np.where(part == low, high, np.where(part == high, low, part))
+    return out
 
 
 def distances(rows: np.ndarray, layer: np.ndarray) -> np.ndarray:
@@ -140,38 +168,60 @@ def apply_votes(layer: np.ndarray, num: np.ndarray, den: np.ndarray) -> np.ndarr
 
 
 def train_step(rows: DataFrame, models: dict[int, tuple[Settings, Layers]], step: int, batch: float, share: float = 1.0) -> dict[int, Layers]:
-    """One step of all models on rows (id, v array of positions, label): a map and a sum. With a share below 1 a step sees a minibatch, chosen by hash."""
+    """One step of all models on rows (id, v array of positions, label): a map and sums that meet in a tree. With a share below 1 a step sees a minibatch: of rows laid out by bucket(), the buckets it reads, of others those chosen by hash."""
     if share < 1:
-        rows = rows.where(hash_uniform(f"batch{step}", F.col("id")) < share)
-    sent = {m: (s, layers) for m, (s, layers) in models.items()}
+        rows = rows.where(F.col("bucket").isin(chosen_buckets(step, share))) if "bucket" in rows.columns else rows.where(hash_uniform(f"batch{step}", F.col("id")) < share)
+    sent = rows.sparkSession.sparkContext.broadcast({m: (s, layers) for m, (s, layers) in models.items()})
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pd.DataFrame]) -> dict[tuple, np.ndarray]:
+        total: dict[tuple, np.ndarray] = {}
         for pdf in parts:
-            if pdf.empty:
-                continue
             x, y, u, c = np.stack(pdf["v"].to_numpy()).astype(np.float32), pdf["label"].to_numpy(), np.stack(pdf["u"].to_numpy()), pdf["c"].to_numpy()
-            for k, (m, (settings, layers)) in enumerate(sent.items()):
+            for k, (m, (settings, layers)) in enumerate(sent.value.items()):
                 seen = u[:, k] < settings.rows
-                for at, (num, den) in enumerate(votes(seen_by(x[seen], settings.view), y[seen], c[seen], layers, settings, batch)):
-                    hit = np.flatnonzero(den.any(axis=1))
-                    if len(hit):
-                        yield pd.DataFrame({"model": m, "layer": at, "filter": hit, "num": list(num[hit]), "den": list(den[hit])})
-
-    known = rows.select("v", "label", F.array(*[hash_uniform(f"rows{s.seed}", F.col("id")) for s, _ in sent.values()]).alias("u"), hash_uniform(f"gate{step}", F.col("id")).alias("c"))
-    parts = known.mapInPandas(run, "model int, layer int, filter int, num array<double>, den array<double>")
-    cells = parts.select("model", "layer", "filter", F.posexplode(F.arrays_zip("num", "den")).alias("item", "s"))
-    sums = cells.groupBy("model", "layer", "filter", "item").agg(F.sum("s.num").alias("num"), F.sum("s.den").alias("den")).toPandas()
+                mine, labels, chance = seen_by(x[seen], settings.view), y[seen], c[seen]
+                if settings.swaps:
+                    mine, labels, chance = np.concatenate([mine, swapped(mine, u[seen, k], settings.swaps)]), np.tile(labels, 2), np.tile(chance, 2)
+                for at, sums in enumerate(votes(mine, labels, chance, layers, settings, batch)):
+                    part = np.concatenate([z.ravel() for z in sums])
+                    total[m, at] = total[m, at] + part if (m, at) in total else part
+        return total
+
+    # Seeds of equal shares see equal rows; a column for each of them.
+    known = rows.select("v", "label", F.array(*[hash_uniform(f"rows{s.seed}", F.col("id")) for s, _ in models.values()]).alias("u"), hash_uniform(f"gate{step}", F.col("id")).alias("c"))
+    summed = merged(by_task(known, ["v", "label", "u", "c"], run, "model int, layer int"), ["model", "layer"]).collect()
+    found = {(r["model"], r["layer"]): np.frombuffer(r["data"], np.float64) for r in summed}
     out = {}
-    for m, (_, layers) in models.items():
+    for m, (settings, layers) in models.items():
         out[m] = []
         for at, layer in enumerate(layers):
-            part = sums[(sums["model"] == m) & (sums["layer"] == at)]
-            num, den = np.zeros(layer.shape), np.zeros(layer.shape)
-            num[part["filter"], part["item"]], den[part["filter"], part["item"]] = part["num"], part["den"]
-            out[m].append(apply_votes(layer, num, den))
+            both = found.get((m, at))
+            fixed = both is None or (at == len(layers) - 1 and not settings.learn_last)
+            out[m].append(layer if fixed else apply_votes(layer, *both.reshape(2, *layer.shape)))
     return out
 
 
+#: Buckets that rows are laid out in.
+BUCKETS = 32
+
+
+def bucket(rows: DataFrame) -> DataFrame:
+    """rows laid out on disk in BUCKETS folders by a hash of the id, so that a minibatch reads its own folders only."""
+    path = shared_path(rows.sparkSession, "buckets")
+    placed = rows.withColumn("bucket", F.floor(hash_uniform("bucket", F.col("id")) * BUCKETS).cast("int"))
+    placed.repartitionByRange("bucket", "id").write.partitionBy("bucket").parquet(path)
+    return rows.sparkSession.read.schema(placed.schema).parquet(path)
+
+
+def chosen_buckets(step: int, share: float) -> list[int]:
+    """A step's buckets: steps one after the other take all buckets in an order of their own, before any comes again."""
+    many = max(1, round(share * BUCKETS))
+    at = step * many
+    order = np.random.default_rng(at // BUCKETS).permutation(BUCKETS)
+    more = np.random.default_rng(at // BUCKETS + 1).permutation(BUCKETS)
+    return sorted({int(x) for x in np.concatenate([order, more])[at % BUCKETS : at % BUCKETS + many]})
+
+
 def predict(rows: DataFrame, models: dict[int, Layers], keep: list[str] = (), views: dict[int, np.ndarray] | None = None) -> DataFrame:
     """(id, keep.., model, predicted) of rows (id, v), by models with views of their own or none; stateless, so a stream will do."""
     views = views or {}
@@ -197,30 +247,98 @@ def views_of(settings: list[Settings]) -> dict[int, np.ndarray]:
     return {m: s.view for m, s in enumerate(settings) if s.view is not None}
 
 
-def fit(train: DataFrame, valid: DataFrame, settings: list[Settings], items: int, classes: int, steps: int = 8, batch: float = 256.0, share: float = 1.0, every: int = 1) -> dict[int, Layers]:
+def fit(train: DataFrame, valid: DataFrame, settings: list[Settings], items: int, classes: int, steps: int = 8, batch: float = 256.0, share: float = 1.0, every: int = 1, state: str | None = None) -> dict[int, Layers]:
     """Train all models together; each keeps the layers with the strictly lowest validation error, measured ``every`` so many steps.
 
-    A step sees all rows or a minibatch of about a ``share`` of them. The rate falls by 0.7 every quarter.
+    A step sees all rows or a minibatch of about a ``share`` of them, read by bucket where
+    train was laid out by bucket(). The rate falls by 0.7 every quarter of a model's
+    steps, or by its own decay. With ``state``, a folder, every measured step is saved
+    there as a version, and a later call with the same arguments goes on after the last
+    one: the result is the same as without the interruption.
     """
-    models = {m: (s, random_layers(s, items, classes)) for m, s in enumerate(settings)}
+    from permuta.sources import artefacts
+
+    spark = train.sparkSession
     views = views_of(settings)
-    best, least = {m: x for m, (_, x) in models.items()}, errors(valid, {m: x for m, (_, x) in models.items()}, views)
-    rates = {m: s.rate for m, s in enumerate(settings)}
-    for step in range(steps):
-        if step > 2 and step % max(2, steps // 4) == 1:
-            rates = {m: r * 0.7 for m, r in rates.items()}
-        now = {m: (Settings(s.seed, s.filters, rates[m], s.share, s.rows, s.label, s.view), x) for m, (s, x) in models.items()}
-        new = train_step(train, now, step, batch, share)
-        models = {m: (s, new[m]) for m, (s, _) in models.items()}
+    saved = artefacts.versions(spark, state) if state else []
+    if saved:
+        banks, before, note = artefacts.load(spark, state)
+        if note["plan"] != plan_of(settings, items, classes, steps, batch, share, every):
+            raise ValueError(f"{state} holds the training of other settings")
+        models, best = banks["now"], banks["best"]
+        for s, old in zip(settings, before, strict=True):
+            s.history[:] = old.history
+        first, least, rates = note["step"] + 1, dict(enumerate(note["least"])), dict(enumerate(note["rates"]))
+    else:
+        models = {m: random_layers(s, items, classes) for m, s in enumerate(settings)}
+        best, first, rates = dict(models), 0, {m: s.rate for m, s in enumerate(settings)}
+        measured = errors(valid, models, views)
+        least = {m: measured.get(m, 2.0) for m in models}
+    for step in range(first, steps):
+        live = {m: s for m, s in enumerate(settings) if step < (s.steps or steps)}
+        for m, s in live.items():
+            own = s.steps or steps
+            if s.decay is not None:
+                rates[m] *= s.decay if step else 1
+            elif step > 2 and step % max(2, own // 4) == 1:
+                rates[m] *= 0.7
+        models = models | train_step(train, {m: (replace(s, rate=rates[m]), models[m]) for m, s in live.items()}, step, batch, share)
         if step % every != every - 1 and step < steps - 1:
             continue
-        for m, e in errors(valid, new, views).items():
+        for m, e in errors(valid, {m: models[m] for m in live}, views).items():
             settings[m].history.append(e)
-            if e < least.get(m, 2):
-                least[m], best[m] = e, new[m]
+            if e < least[m]:
+                least[m], best[m] = e, models[m]
+        if state:
+            note = {"plan": plan_of(settings, items, classes, steps, batch, share, every), "step": step, "least": [least[m] for m in range(len(settings))], "rates": [rates[m] for m in range(len(settings))]}
+            artefacts.save(spark, state, {"now": models, "best": best}, settings, note)
     return best
 
 
+def plan_of(settings: list[Settings], *numbers) -> list:
+    """What a training run is determined by, to compare runs with."""
+    return [[str(replace(s, view=None, history=[])) + ("" if s.view is None else str(float(np.abs(s.view).sum()))) for s in settings], list(numbers)]
+
+
+def fit_grid(train: DataFrame, valid: DataFrame, grid: list[Settings], items: int, classes: int, steps: int, batch: float, group: int = 64, keep: int = 15, seeds: tuple[int, ...] = (0, 1, 2, 3, 4), views: list[np.ndarray] = (), share: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """Two phases over a grid of any size: (label, error) of every setting, and of the best ``keep`` again (label, rank, first_error, error, std, runs).
+
+    Settings train ``group`` at a time, so what a task holds doesn't grow with the grid. The
+    first phase trains each setting once; the second, what is left of it, once for every
+    seed, and with ``views`` as an ensemble of a model for each view that votes.
+    """
+    spark = train.sparkSession
+    rows = []
+    for at in range(0, len(grid), group):
+        some = grid[at : at + group]
+        found = errors(valid, fit(train, valid, some, items, classes, steps, batch, share), views_of(some))
+        rows += [(at + m, s.label, found.get(m)) for m, s in enumerate(some)]
+    first = materialize(spark.createDataFrame(rows, "setting int, label string, error double"), "grid-first")
+    left = first.orderBy(F.col("error").asc_nulls_last(), "setting").limit(keep).collect()
+    again = []
+    for r in left:
+        for seed in seeds:
+            members = [replace(grid[r["setting"]], seed=1000 * seed + v, view=w, history=[]) for v, w in enumerate(views or [grid[r["setting"]].view])]
+            again += [(r, seed, s) for s in members]
+    size = max(1, len(views))
+    votes_, step = None, max(size, group // size * size)
+    for at in range(0, len(again), step):
+        some = [s for _, _, s in again[at : at + step]]
+        best = fit(train, valid, some, items, classes, steps, batch, share)
+        found = predict(valid, best, ["label"], views_of(some))
+        run_of = F.floor((F.col("model") + at) / size).cast("int")
+        # One vote of each of a run's views; its prediction is the class with most of them.
+        counted = found.groupBy("id", "label", run_of.alias("run"), "predicted").agg(F.count("*").alias("n"))
+        elected = counted.groupBy("id", "label", "run").agg(F.max_by("predicted", F.struct("n", -F.col("predicted"))).alias("predicted"))
+        part = elected.groupBy("run").agg(F.avg((F.col("predicted") != F.col("label")).cast("int")).alias("error"))
+        part = materialize(part, "grid-runs")
+        votes_ = part if votes_ is None else votes_.unionByName(part)
+    names = [(i, k + 1, r["label"], r["error"]) for i, (k, r) in enumerate((k, r) for k, r in enumerate(left) for _ in seeds)]
+    named = spark.createDataFrame(names, "run int, rank int, label string, first_error double")
+    second = named if votes_ is None else named.join(votes_, "run").groupBy("label", "rank", "first_error").agg(F.avg("error").alias("error"), F.stddev_pop("error").alias("std"), F.count("*").alias("runs"))
+    return first.select("label", "error"), second
+
+
 def bank_table(spark, models: dict[int, Layers]) -> DataFrame:
     """(model, layer, filter, positions) of all models, for saving."""
     rows = [(m, at, f, [int(v) for v in x]) for m, layers in models.items() for at, layer in enumerate(layers) for f, x in enumerate(layer)]

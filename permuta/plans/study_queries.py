@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from permuta.functions import rankings as R
 from permuta.operators import baselines, consensus, distance, features, knn, model, perturb, results, sampling
-from permuta.operators.wide import leading_subspace
-from permuta.sources import io
+from permuta.operators.views import fit_views, in_views
+from permuta.operators.wide import column_moments, leading_subspace
+from permuta.sources import artefacts
 from permuta.sources.tables import materialize, shared_path, small, table
 
 from .fixtures import (
@@ -65,24 +66,56 @@ WEIGHTS_SQL = f"wt as (select v::int as view, f::int as feature, m::int as dim,
 PROJECT_SQL = f"{Z_SQL}, {WEIGHTS_SQL}, pr as (select id, view, dim, round(sum(x * w), 6) as z from z join wt using (feature) group by id, view, dim)"
 
 
-def _projected(spark: SparkSession, d: str) -> DataFrame:
-    return features.project(standardize(spark, d), features.projection(spark, DIMS, 6, 11, 2))
+def _weights(spark: SparkSession) -> list[np.ndarray]:
+    """Two views' Gaussian weights (features x 6), from hashes of view, feature and dimension."""
+    cells = features.projection(spark, DIMS, 6, 11, 2).toPandas().sort_values(["view", "feature", "dim"])
+    return list(cells["w"].to_numpy().reshape(2, DIMS, 6))
+
+
+def _standard(spark: SparkSession, d: str) -> DataFrame:
+    """(id, label, x): whole rows standardised by the training rows' means and deviations, in one map."""
+    rows = feature_rows(spark, d)
+    _, mean, std = column_moments(rows.where("id % 5 <> 0"))
+    scaled = features.apply_weights(rows, mean, np.diag(np.where(std > 1e-12, 1 / np.where(std > 0, std, 1), 0)), ["label"])
+    return scaled.select("id", "label", F.transform("z", lambda v: F.round(v, 9)).alias("x"))
+
+
+def _views(spark: SparkSession, d: str, ranked: bool = True) -> DataFrame:
+    return in_views(_standard(spark, d), _weights(spark), ranked=ranked)
 
 
 @query(f"with {PROJECT_SQL} select id, view, dim, z from pr")
 def random_projection(spark: SparkSession, d: str) -> DataFrame:
-    return _projected(spark, d)
+    return _views(spark, d, False).select("id", "view", F.posexplode("z").alias("dim", "z"))
 
 
 @query(f"with {PROJECT_SQL} select id, view, dim as item, (row_number() over (partition by id, view order by z, dim) - 1)::int as pos from pr")
 def encode_views(spark: SparkSession, d: str) -> DataFrame:
-    return features.order_by(_projected(spark, d))
+    return _views(spark, d).select("id", "view", F.posexplode("pos").alias("item", "pos"))
 
 
 @query(f"""with {PROJECT_SQL}, st as (select view, dim, avg(z) as m, stddev_pop(z) as s from pr group by view, dim), c as (select id, view, dim, round(case when s > 1e-12 then (z - m) / s else 0 end, 5) as z from pr join st using (view, dim))
 select id, view, dim as item, (row_number() over (partition by id, view order by z, dim) - 1)::int as pos from c""")
 def calibrated_encode(spark: SparkSession, d: str) -> DataFrame:
-    return features.order_by(features.calibrate(materialize(_projected(spark, d), "projected")))
+    """Both views' columns standardised once more over all rows: one aggregate of whole arrays, then one expression on each."""
+    rows = materialize(_views(spark, d, False), "projected")
+    stats = rows.groupBy("view").agg(*[f(F.col("z")[i]).alias(f"{n}{i}") for i in range(6) for n, f in (("m", F.avg), ("s", F.stddev_pop))])
+    both = rows.join(F.broadcast(stats), "view")
+    z = F.array(*[F.round(F.when(F.col(f"s{i}") > 1e-12, (F.col("z")[i] - F.col(f"m{i}")) / F.col(f"s{i}")).otherwise(0.0), 5) for i in range(6)])
+    return both.select("id", "view", F.posexplode(R.invert(R.argsort_encode(z))).alias("item", "pos"))
+
+
+@query()
+def diverse_views(spark: SparkSession, d: str) -> DataFrame:
+    """Three views of the letter counts by strategies in turn, fitted from one pass of moments and applied as one matrix."""
+    rows = _letters_wide(spark, d)
+    fitted = fit_views(rows.where("id % 5 <> 0"), "label", 3, 8, 3)
+    return in_views(rows, fitted).select("id", "view", text(F.col("pos"), "positions"))
+
+
+def _letters_wide(spark: SparkSession, d: str) -> DataFrame:
+    rows = letter_positions(spark, d).select("id", F.col("v").cast("array<double>").alias("x"), "label")
+    return materialize(rows, "letters")
 
 
 @query()
@@ -328,9 +361,7 @@ def knn_rank_join(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""with {Z_SQL}, d as (select a.id, b.id as ref, b.label, round(sqrt(sum((a.x - b.x) * (a.x - b.x))), 9) as distance from z a join z b using (feature) where a.id % 5 = 0 and b.id % 5 <> 0 group by 1, 2, 3),
 k as (select *, row_number() over (partition by id order by distance, ref) as k from d) select id, ref, label::bigint as label, round(distance, 6) as distance from k where k <= 3""")
 def baseline_knn(spark: SparkSession, d: str) -> DataFrame:
-    rows = features_long(spark, d)
-    wide = features.to_wide(features.standardize(rows, _scaler(rows))).join(feature_rows(spark, d).select("id", "label"), "id")
-    wide = materialize(wide.select("id", F.col("x").alias("v"), "label"), "features")
+    wide = materialize(_standard(spark, d).select("id", F.col("x").alias("v"), "label"), "features")
     found = knn.nearest(wide.where("id % 5 = 0").select("id", "v"), wide.where("id % 5 <> 0"), 3, "l2")
     return found.withColumn("distance", F.round("distance", 6))
 
@@ -420,27 +451,35 @@ def train_step(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def fit_rank_net(spark: SparkSession, d: str) -> DataFrame:
-    """Twelve minibatches of a quarter of the rows, validated every third."""
+    """Twelve minibatches of a quarter of the rows, read by bucket, validated every third and saved on the way."""
     train, valid, test = _split(spark, d)
-    best = model.fit(train, valid, [model.Settings(seed=1)], ITEMS, len(LANGS), 12, max(32.0, train.count() / 16), 0.25, 3)
+    best = model.fit(model.bucket(train), valid, [model.Settings(seed=1)], ITEMS, len(LANGS), 12, max(32.0, train.count() / 16), 0.25, 3, shared_path(spark, "training"))
     return model.predict(test, best, ["label"])
 
 
 @query()
 def predict(spark: SparkSession, d: str) -> DataFrame:
     """A saved and reloaded model applied to all rows."""
-    best, _ = _fitted(spark, d, [model.Settings(seed=2)], 2)
+    settings = [model.Settings(seed=2)]
+    best, _ = _fitted(spark, d, settings, 2)
     path = shared_path(spark, "model")
-    io.save_model(model.bank_table(spark, best), path)
-    return model.predict(letter_positions(spark, d), model.from_table(io.load_model(spark, path)), ["label"])
+    artefacts.save(spark, path, {"best": best}, settings, {"classes": LANGS})
+    banks, _, _ = artefacts.load(spark, path)
+    return model.predict(letter_positions(spark, d), banks["best"], ["label"])
 
 
 @query()
 def save_model(spark: SparkSession, d: str) -> DataFrame:
-    best, _ = _fitted(spark, d, [model.Settings(seed=3)], 1)
+    """An ensemble of three views saved whole, loaded, and what it predicts beside what it predicted before."""
+    settings = _diverse_settings(spark, d, 3)
+    best, test = _fitted(spark, d, settings, 1)
     path = shared_path(spark, "model")
-    io.save_model(model.bank_table(spark, best), path)
-    return io.load_model(spark, path).select("model", "layer", "filter", text(F.col("positions"), "positions"))
+    artefacts.save(spark, path, {"best": best}, settings, {"classes": LANGS})
+    banks, again, note = artefacts.load(spark, path)
+    before = model.predict(test, best, views=model.views_of(settings))
+    after = model.predict(test, banks["best"], views=model.views_of(again)).withColumnRenamed("predicted", "loaded")
+    names = F.array(*map(F.lit, note["classes"]))
+    return before.join(after, ["id", "model"]).select("id", "model", names[F.col("predicted")].alias("predicted"), names[F.col("loaded")].alias("loaded"))
 
 
 STACK = model.random_layers(model.Settings(seed=4, filters=(16,)), ITEMS, 8)
@@ -461,11 +500,16 @@ def rank_stack(spark: SparkSession, d: str) -> DataFrame:
     return model.rank_stack(letter_positions(spark, d), STACK).select("id", text(F.col("v"), "positions"))
 
 
+def _diverse_settings(spark: SparkSession, d: str, views: int) -> list[model.Settings]:
+    """A model for each view, the views' strategies in turn, fitted to the training rows."""
+    fitted = fit_views(_letters_wide(spark, d).where("id % 5 > 1"), "label", views, 16, 1)
+    return [model.Settings(seed=v * 9999 + 1, view=w.stacked(), label=w.kind) for v, w in enumerate(fitted)]
+
+
 @query()
 def fit_ensemble(spark: SparkSession, d: str) -> DataFrame:
-    """Seven views, each a Gaussian projection of its own, trained in one job and combined by vote."""
-    projections = [np.random.default_rng(v * 9999 + 1).normal(size=(ITEMS, 16)) for v in range(7)]
-    settings = [model.Settings(seed=v * 9999 + 1, view=w) for v, w in enumerate(projections)]
+    """Seven views of the three strategies in turn, trained in one job and combined by vote."""
+    settings = _diverse_settings(spark, d, 7)
     best, test = _fitted(spark, d, settings, 3)
     return model.ensemble(model.predict(test, best, views=model.views_of(settings))).join(test.select("id", "label"), "id")
 
@@ -500,14 +544,12 @@ def learning_curve(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def fit_many(spark: SparkSession, d: str) -> DataFrame:
-    """A grid of settings in one job, the best two again with more seeds."""
-    grid = [model.Settings(seed=6, filters=f, rate=r, label=f"{f[0]}/{r}") for f in ((16,), (32,)) for r in (0.1, 0.5)]
-    best, test = _fitted(spark, d, grid, 2)
-    first = _error_rows(spark, best, test, grid).orderBy("error", "label").limit(2).select("label").collect()
-    chosen = [s for s in grid if s.label in {r["label"] for r in first}]
-    again = [model.Settings(seed=k, filters=s.filters, rate=s.rate, label=s.label) for s in chosen for k in range(2)]
-    best, test = _fitted(spark, d, again, 2)
-    return consensus.run_stats(_error_rows(spark, best, test, again), ["label"], "error")
+    """A grid of settings trained in groups, the best of it again with several views and seeds."""
+    train, valid, _ = _split(spark, d)
+    grid = [model.Settings(seed=6, filters=f, rate=r, swaps=w, learn_last=last, label=f"{f}/{r}/{w}/{last}") for f in ((16,), (32,), (16, 8)) for r in (0.1, 0.5) for w in (0, 1) for last in (True, False)]
+    views = [v.stacked() for v in fit_views(_letters_wide(spark, d).where("id % 5 > 1"), "label", 3, 16, 1)]
+    _, second = model.fit_grid(train, valid, grid, ITEMS, len(LANGS), 2, max(32.0, train.count() / 16), group=12, keep=3, seeds=(0, 1), views=views)
+    return second.select("label", "rank", F.round("first_error", 9).alias("first_error"), F.round("error", 9).alias("error"), F.round("std", 9).alias("std"), "runs")
 
 
 def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

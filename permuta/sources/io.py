@@ -102,11 +102,3 @@ def read_results(spark: SparkSession, paths: list[str]) -> DataFrame:
         part = part.select(*[F.col(c) if c in TEXT_COLUMNS else F.expr(f"try_cast(`{c}` as double)").alias(c) for c in part.columns], F.input_file_name().alias("file"))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
-
-
-def save_model(bank: DataFrame, path: str) -> None:
-    bank.write.mode("overwrite").parquet(path)
-
-
-def load_model(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)

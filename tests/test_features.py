@@ -88,13 +88,6 @@ def test_read_features(spark, tmp_path):
     assert sorted((r["sample"], r["x"], r["label_code"]) for r in got) == [("s1", [1.5, None], 2), ("s2", [2.0, 300.0], 1)]
 
 
-def test_saved_model_is_the_model(spark, tmp_path):
-    layers = {m: model.random_layers(model.Settings(seed=m, filters=(4,)), 6, 3) for m in (0, 1)}
-    io.save_model(model.bank_table(spark, layers), str(tmp_path / "model"))
-    again = model.from_table(io.load_model(spark, str(tmp_path / "model")))
-    assert all((a == b).all() for m in layers for a, b in zip(layers[m], again[m], strict=True))
-
-
 def test_models_see_rows_through_their_views(spark):
     rng = np.random.default_rng(6)
     x = np.argsort(rng.normal(size=(40, 8)), axis=1)
@@ -130,5 +123,5 @@ def test_baselines_tell_clear_classes_apart(spark, method):
 def test_every_query_without_sql_is_known():
     """Training and what is fitted on the driver; everything else has SQL."""
     rest = set(queries.queries()) - set(queries.oracle_sql())
-    fitted = {"target_aware_encode", "pca_whiten", "train_step", "fit_rank_net", "predict", "save_model", "fit_ensemble", "fit_mixture", "run_experiment", "learning_curve", "fit_many"}
+    fitted = {"target_aware_encode", "pca_whiten", "train_step", "fit_rank_net", "predict", "save_model", "fit_ensemble", "fit_mixture", "run_experiment", "learning_curve", "fit_many", "diverse_views"}
     assert rest == fitted | {"baseline_rf", "baseline_gbt", "baseline_mlp", "baseline_lr_nb", "baseline_svm"}
