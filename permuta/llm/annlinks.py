@@ -1,15 +1,18 @@
 """Near-duplicate vectors by hierarchical navigable small-world graphs.
 
 Equal vectors are one point. Points are dealt into shards by a hash and every shard
-gets a graph of its own; all points then search every shard, block by block, so no
-task holds more than one graph and one block. Before that a sample of the points, dealt
-by a hash, searches and is compared with all points as well; the beam is widened until
-this audit passes. Pairs are verified in double precision. Of searches with few links a
-task returns the pairs, which count for both ends whichever found them. A search with
-many links looks at the whole shard, in slices, because groups of near copies fall apart
-in a graph; it returns counts and a spanning forest, never all pairs of a dense group.
-Every member of a component with such a point is treated so in all shards, so its count
-is whole too.
+gets a graph of its own. The graph's own edges of near copies tie a shard's points into
+groups. All points then search every shard, block by block, so no task holds more than
+one graph and one block, and what a search finds links two groups. Before that a sample
+of the points, dealt by a hash, searches and is compared with all points as well; the
+beam is widened until this audit passes, which says on how many links it rests.
+
+Links are counted group by group. A group's points stand in cells around a centre each:
+where two cells lie so close that all their points must link, the cells' sizes are the
+counts; where they lie too far apart for any link nothing is compared; the rest is
+compared in double precision, two cells at a time. So no task returns the pairs of a
+dense group, counts are the same for both ends of a link, and a dense group needs to be
+met by one of its points' searches only.
 """
 
 from __future__ import annotations
@@ -24,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components
-from .shared import materialize, mix
+from .graph import components, roots
+from .shared import materialize, mix, record
 
 COSINE = 0.95
 SHARDS = 4
@@ -35,17 +38,23 @@ DEGREE = 8
 BEAM = 24
 BUILD_BEAM = 32
 BATCH = 256
-#: A query with so many links in a shard gets the widest beam, the whole shard: dense groups can fall apart in a graph.
-DENSE = 8
+#: Points of a cell.
+CELL = 512
 SCAN_CELLS = 1 << 22
 #: Of the points, the part that recall is measured on, but so many at least.
 AUDIT_SHARE = 0.01
 AUDIT = 2048
+#: An audit rests on so many links, or else on pairs of NEAREST neighbours down to the first lower similarity that has as many.
+AUDIT_LINKS = 100
+NEAREST = 3
+STEPS, STEP = 10, 0.05
 #: Pairs that are verified at once.
 PAIRS = 1 << 16
-RECALL = 0.99
+#: Share of an audited point's links to be found, and of its nearest neighbours where those are measured.
+RECALL, RECALL_NEAREST = 0.99, 0.95
 AT_ONCE = 4
-PAIR, TREE, SCANNED, AUDITED = range(4)
+#: Angles are certain but for so much.
+SURE = 1e-6
 
 
 def dots(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray) -> np.ndarray:
@@ -189,18 +198,19 @@ class SmallWorld:
             best = np.argsort(-sims, axis=1, kind="stable")
             links[nodes] = choose_neighbours(np.take_along_axis(near, best, axis=1), np.take_along_axis(sims, best, axis=1), vectors, degree)
 
-    def within(self, queries: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, node) with similarity of ``least`` or more, and the queries with so many of them that they need the whole shard."""
-        out, wide = [], []
+    def near(self, queries: np.ndarray, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Some of the queries' places, and the nodes and similarities that their beams end with (-1 where none)."""
         for lo in range(0, len(queries), BATCH):
             rows = np.arange(lo, min(lo + BATCH, len(queries)))
-            ids, sims = beam_search(self.links[0], self.vectors, queries[rows], self._descend(queries[rows])[:, None], min(beam, len(self.vectors)))
-            hit = (sims >= least) & (ids >= 0)
-            dense = hit.sum(axis=1) >= DENSE
-            r, c = np.nonzero(hit & ~dense[:, None])
-            out.append((rows[r], ids[r, c]))
-            wide.append(rows[dense])
-        return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out]), np.concatenate(wide)
+            yield rows, *beam_search(self.links[0], self.vectors, queries[rows], self._descend(queries[rows])[:, None], min(beam, len(self.vectors)))
+
+    def ties(self, exact: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """The graph's own edges between vectors of at least that cosine."""
+        a = np.repeat(np.arange(len(exact)), self.links[0].shape[1])
+        b = self.links[0].ravel()
+        a, b = a[b >= 0], b[b >= 0]
+        keep = cosines(exact, a, exact, b) >= least
+        return a[keep], b[keep]
 
     def pack(self, **more: np.ndarray) -> bytes:
         file = io.BytesIO()
@@ -214,104 +224,137 @@ class SmallWorld:
         return cls(f["vectors"], [f[f"m{i}"] for i in range(n)], [f[f"l{i}"] for i in range(n)]), f
 
 
+def cosines(x: np.ndarray, a: np.ndarray, y: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of pairs of unit vectors x[a], y[b] in double precision."""
+    return np.concatenate([np.zeros(0), *(np.einsum("id,id->i", x[a[lo : lo + PAIRS]], y[b[lo : lo + PAIRS]]) for lo in range(0, len(a), PAIRS))])
+
+
 class Shard:
-    """A shard's graph and exact vectors, and a block of queries on it; a query never links with the point of its own id."""
+    """A shard's graph, exact vectors and groups, and a block of queries on it with their groups."""
 
-    def __init__(self, graph: SmallWorld, ids: np.ndarray, exact: np.ndarray, own: np.ndarray, queries: np.ndarray, least: float):
-        self.graph, self.ids, self.exact, self.own, self.queries, self.least = graph, ids, exact, own, queries, least
+    def __init__(self, graph: SmallWorld, ids: np.ndarray, exact: np.ndarray, groups: np.ndarray, own: np.ndarray, own_groups: np.ndarray, queries: np.ndarray, least: float):
+        self.graph, self.ids, self.exact, self.groups, self.own, self.own_groups, self.queries, self.least = graph, ids, exact, groups, own, own_groups, queries, least
         self.fast = queries.astype(np.float32)
         #: Single precision is never further off than this (vectors have length 1).
         self.slack = max(1e-5, (exact.shape[1] + 8) * 2.0**-23)
-        at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
-        self.me = np.where(ids[at] == own, at, -1)
-
-    def sure(self, q: np.ndarray, x: np.ndarray) -> np.ndarray:
-        """Which (query, node) pairs link, in double precision."""
-        out = np.zeros(len(q), bool)
-        for lo in range(0, len(q), PAIRS):
-            a, b = q[lo : lo + PAIRS], x[lo : lo + PAIRS]
-            out[lo : lo + PAIRS] = np.einsum("id,id->i", self.queries[a], self.exact[b]) >= self.least
-        return out & (self.me[q] != x)
-
-    def scan(self, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Some of the rows and whether they link with each node; only what single precision leaves open is computed again."""
-        step = max(1, SCAN_CELLS // len(self.ids))
-        for lo in range(0, len(rows), step):
-            part = rows[lo : lo + step]
-            sims = self.fast[part] @ self.graph.vectors.T
-            hit = sims >= self.least + self.slack
-            r, c = np.nonzero((sims >= self.least - self.slack) & ~hit)
-            hit[r, c] = self.sure(part[r], c)
-            inside = np.flatnonzero(self.me[part] >= 0)
-            hit[inside, self.me[part[inside]]] = False
-            yield part, hit
-
-    def links(self, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Verified (query, node) pairs of queries with few links, and the other queries, which need the whole shard.
-
-        A shard that is no larger than what so wide a beam looks at is read without its graph.
-        """
-        if beam * beam < len(self.ids):
-            q, x, dense = self.graph.within(self.fast, self.least - self.slack, beam)
-            keep = self.sure(q, x) & ~np.isin(q, dense)
-            return q[keep], x[keep], dense
-        q, x, dense = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for part, hit in self.scan(np.arange(len(self.own))):
-            many = hit.sum(axis=1) >= DENSE
-            r, c = np.nonzero(hit & ~many[:, None])
-            q.append(part[r])
-            x.append(c)
-            dense.append(part[many])
-        return np.concatenate(q), np.concatenate(x), np.concatenate(dense)
+
+    def links(self, beam: int) -> pd.DataFrame:
+        """Pairs (a < b) of different groups that a search ties by a verified link."""
+        found = []
+        for rows, ids, sims in self.graph.near(self.fast, beam):
+            r, c = np.nonzero((sims >= self.least - self.slack) & (ids >= 0))
+            q, x = rows[r], ids[r, c]
+            apart = self.own_groups[q] != self.groups[x]
+            q, x = q[apart], x[apart]
+            keep = cosines(self.queries, q, self.exact, x) >= self.least
+            pairs = np.stack([self.own_groups[q[keep]], self.groups[x[keep]]], axis=1)
+            found.append(np.unique(np.sort(pairs, axis=1), axis=0))
+        pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=0)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     def audit(self, beam: int) -> pd.DataFrame:
-        """AUDITED (query, true links, links found) of the queries that aren't scanned and have a true link, itself left out."""
-        q, _, dense = self.links(beam)
-        rest = np.setdiff1d(np.arange(len(self.own)), dense)
-        true = np.zeros(len(self.own), np.int64)
-        for part, hit in self.scan(rest):
-            true[part] = hit.sum(axis=1)
-        some = np.flatnonzero(true)
-        found = np.bincount(q, minlength=len(self.own))[some]
-        return pd.DataFrame({"kind": AUDITED, "a": self.own[some], "b": true[some], "n": found})
-
-    def found(self, q: np.ndarray, x: np.ndarray, wide: np.ndarray, counts: np.ndarray) -> pd.DataFrame:
-        """PAIR (a, b) of pairs, TREE (a, b) of a spanning forest of the scanned queries' links and SCANNED (a, number of links); a slice's pairs go with it."""
-        links = np.zeros(len(self.own), np.int64)
-        forest = Forest(len(self.own), len(self.ids))
-        for part, hit in self.scan(wide):
-            for i, row in zip(part.tolist(), hit, strict=True):
-                near = np.flatnonzero(row)
-                links[i] = counts[near].sum()
-                forest.join(i, near)
-        a, b = forest.edges()
-        one, two = self.own[np.concatenate([q, a, wide])], np.concatenate([self.ids[x], self.ids[b], self.own[wide]])
-        n = np.concatenate([np.zeros(len(q) + len(a), np.int64), links[wide]])
-        return pd.DataFrame({"kind": np.repeat(np.array([PAIR, TREE, SCANNED], np.int32), [len(q), len(a), len(wide)]), "a": np.minimum(one, two), "b": np.maximum(one, two), "n": n})
-
-
-class Forest:
-    """Links between queries and nodes that join what was apart."""
-
-    def __init__(self, queries: int, nodes: int):
-        self.label, self.queries, self.made = np.arange(queries + nodes), queries, []
-
-    def join(self, query: int, nodes: np.ndarray) -> None:
-        mine = self.label[query]
-        nodes = nodes[self.label[self.queries + nodes] != mine]
-        if len(nodes):
-            old, first = np.unique(self.label[self.queries + nodes], return_index=True)
-            self.made.append((np.full(len(first), query), nodes[first]))
-            if len(old) == 1:
-                self.label[self.label == mine] = old[0]
-            else:
-                gone = np.zeros(len(self.label), bool)
-                gone[old] = True
-                self.label[gone[self.label]] = mine
-
-    def edges(self) -> tuple[np.ndarray, np.ndarray]:
-        none = np.zeros(0, np.int64)
-        return np.concatenate([none, *(a for a, _ in self.made)]), np.concatenate([none, *(b for _, b in self.made)])
+        """(id, level, true, found) of queries compared with the whole shard: level 0 are links, found where the search meets the node's group; level k the NEAREST nodes with a similarity of least - k * STEP or more, found where the search meets the node."""
+        out = []
+        for rows, ids, sims in self.graph.near(self.fast, beam):
+            step = max(1, SCAN_CELLS // len(self.ids))
+            for lo in range(0, len(rows), step):
+                part, met = rows[lo : lo + step], ids[lo : lo + step]
+                all_ = self.fast[part] @ self.graph.vectors.T
+                itself = np.searchsorted(self.ids, self.own[part])
+                mine = np.flatnonzero((itself < len(self.ids)) & (self.ids[np.minimum(itself, len(self.ids) - 1)] == self.own[part]))
+                all_[mine, itself[mine]] = -2
+                r, c = np.nonzero(all_ >= self.least - self.slack)
+                keep = cosines(self.queries, part[r], self.exact, c) >= self.least
+                r, c = r[keep], c[keep]
+                hit = (met >= 0) & (sims[lo : lo + step] >= self.least)
+                tied = {(int(i), int(g)) for i, g in zip(*(np.nonzero(hit)[0], self.groups[met[hit]]), strict=True)} | {(i, int(g)) for i, g in enumerate(self.own_groups[part])}
+                good = np.fromiter(((int(i), int(g)) in tied for i, g in zip(r, self.groups[c], strict=True)), bool, len(r))
+                levels = [(0, np.bincount(r, minlength=len(part)), np.bincount(r[good], minlength=len(part)))]
+                few = min(NEAREST, all_.shape[1])
+                top = np.argpartition(-all_, few - 1, axis=1)[:, :few]
+                value = np.take_along_axis(all_, top, axis=1)
+                seen = (top[:, :, None] == met[:, None, :]).any(axis=2)
+                levels += [(k, (value >= self.least - k * STEP).sum(axis=1), ((value >= self.least - k * STEP) & seen).sum(axis=1)) for k in range(1, STEPS + 1)]
+                for k, true, found in levels:
+                    some = np.flatnonzero(true)
+                    out.append(pd.DataFrame({"id": self.own[part[some]], "level": k, "true": true[some], "found": found[some]}))
+        return pd.concat(out) if out else pd.DataFrame({"id": [], "level": [], "true": [], "found": []}).astype("int64")
+
+
+def cells_of(ids: np.ndarray, n: np.ndarray, exact: np.ndarray, groups: np.ndarray) -> Iterator[dict]:
+    """Each group's points in cells, in order of their angle to the group's centre: a cell's centre and the largest angle to it, and its points."""
+    order = np.argsort(groups, kind="stable")
+    first = np.flatnonzero(np.append(True, np.diff(groups[order]) != 0)) if len(order) else []
+    for at, end in zip(first, np.append(first[1:], len(order)), strict=True) if len(order) else ():
+        mine = order[at:end]
+        mine = mine[np.argsort(-(exact[mine] @ unit(exact[mine].sum(axis=0))), kind="stable")]
+        for lo in range(0, len(mine), CELL):
+            part = mine[lo : lo + CELL]
+            centre = unit(exact[part].sum(axis=0)) if len(part) > 1 else exact[part[0]]
+            angle = float(np.arccos(np.clip(exact[part] @ centre, -1, 1)).max()) + SURE / 4
+            yield {"gid": int(groups[mine[0]]), "members": len(mine), "total": int(n[part].sum()), "centre": centre.tobytes(), "angle": angle, "ids": ids[part].tobytes(), "ns": n[part].astype(np.int64).tobytes(), "vecs": exact[part].tobytes()}
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    size = np.sqrt((x * x).sum())
+    return x / size if size > 0 else x
+
+
+def near_cells(pairs: DataFrame, least: float) -> DataFrame:
+    """Of pairs of cells (a, b, a_centre, a_angle, b_centre, b_angle) those that can link: a, b, and whether all of their points must."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("all", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.float64).reshape(batch.num_rows, -1) for c in ("a_centre", "b_centre"))
+            apart = np.arccos(np.clip((x * y).sum(axis=1), -1, 1))
+            apart[batch.column("a").to_numpy() == batch.column("b").to_numpy()] = 0
+            reach = batch.column("a_angle").to_numpy() + batch.column("b_angle").to_numpy()
+            limit = float(np.arccos(least))
+            keep = pa.array(apart - reach <= limit + SURE)
+            yield record(schema, batch.column("a").filter(keep), batch.column("b").filter(keep), pa.array(apart + reach <= limit - SURE).filter(keep))
+
+    return pairs.mapInArrow(run, "a bigint, b bigint, all boolean")
+
+
+def compared_cells(pairs: DataFrame, least: float) -> DataFrame:
+    """(id, n): for pairs of cells compared point by point, how many rows each point links with, itself among them."""
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                x, y = (np.frombuffer(row[f"{c}_vecs"], np.float64).reshape(len(row[f"{c}_ids"]) // 8, -1) for c in "ab")
+                hit = x @ y.T >= least
+                out = [(row["a_ids"], hit @ np.frombuffer(row["b_ns"], np.int64))]
+                if row["a"] != row["b"]:
+                    out.append((row["b_ids"], np.frombuffer(row["a_ns"], np.int64) @ hit))
+                for ids, n in out:
+                    some = n > 0
+                    yield record(schema, np.frombuffer(ids, np.int64)[some], n[some])
+
+    return pairs.mapInArrow(run, "id bigint, n bigint")
+
+
+def link_counts(cells: DataFrame, ties: DataFrame, least: float) -> DataFrame:
+    """(id, n): rows that each point of tied groups, or of a group of several, links with; in the latter case itself among them."""
+    slim = cells.select("gid", "cell", "members", "total", "centre", "angle")
+    side = lambda c, frame: frame.select(F.col("gid").alias(f"{c}_gid"), *(F.col(x).alias(f"{c}_{x}" if x != "cell" else c) for x in ("cell", "total", "centre", "angle")))
+    own = side("a", slim.where("members > 1")).join(side("b", slim).withColumnRenamed("b_gid", "a_gid"), "a_gid").where("a <= b")
+    other = ties.select(F.col("a").alias("a_gid"), F.col("b").alias("b_gid")).join(side("a", slim), "a_gid").join(side("b", slim), "b_gid")
+    columns = ["a", "b", "a_centre", "a_angle", "b_centre", "b_angle"]
+    near = materialize(near_cells(own.select(columns).unionByName(other.select(columns)), least), "vector-cell-pairs")
+    # All points of both cells link: a cell's points each get the other cell's rows.
+    sure = near.where("all")
+    sure = sure.unionByName(sure.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "all")).join(slim.select(F.col("cell").alias("b"), "total"), "b")
+    sure = sure.groupBy("a").agg(F.sum("total").alias("more")).join(cells.select(F.col("cell").alias("a"), "ids"), "a")
+    many = lambda batches: (record(pa.schema([("id", pa.int64()), ("n", pa.int64())]), np.frombuffer(ids, np.int64), np.full(len(ids) // 8, n)) for b in batches for ids, n in zip(b.column("ids").to_pylist(), b.column("more").to_pylist(), strict=True))
+    sure = sure.select("ids", "more").mapInArrow(many, "id bigint, n bigint")
+    whole = lambda c: cells.select(F.col("cell").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in ("ids", "ns", "vecs")))
+    unsure = compared_cells(near.where("not all").join(whole("a"), "a").join(whole("b"), "b"), least)
+    return sure.unionByName(unsure).groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -335,14 +378,16 @@ def vector_rows(vectors: DataFrame) -> DataFrame:
     return vectors.select("vec_id", F.col("embedding").cast("array<double>")).mapInArrow(run, "vec_id bigint, vec binary")
 
 
-def near_duplicates(vectors: DataFrame, least: float = COSINE, shards: int = SHARDS) -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = COSINE, shards: int = SHARDS, audits: list[dict] | None = None) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of vectors (vec_id, embedding).
 
     Two rows link where the cosine is ``least`` or more in double precision; rows of
     another length, and vectors that are null, zero or hold a null or non-finite
     component, link with nothing. Equal vectors link with each other, so rows that
-    repeat count as links too. A row whose vec_id is null
-    has no links and no component and is not kept.
+    repeat count as links too. A row whose vec_id is null has no links and no component
+    and is not kept. To ``audits`` each audit is added: its beam, the lowest similarity of
+    the pairs it measured, how many there were, and the mean share of an audited point's
+    pairs that its searches found.
     """
     rows = materialize(vector_rows(vectors), "vectors")
     points = rows.where("vec is not null and vec_id is not null").groupBy("vec").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"))
@@ -355,75 +400,78 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, shards: int = SHA
         pdf = pdf.sort_values("id")
         exact, ids = _matrix(pdf["vec"]), pdf["id"].to_numpy()
         graph = SmallWorld.build(exact.astype(np.float32), ids)
-        return pd.DataFrame({"dim": pdf["dim"].iloc[:1], "shard": pdf["shard"].iloc[:1], "graph": [graph.pack(ids=ids, n=pdf["n"].to_numpy(), exact=exact)]})
+        groups = np.arange(len(ids))
+        at, root = roots(*graph.ties(exact, least))
+        groups[at] = root
+        return pd.DataFrame({"dim": pdf["dim"].iloc[:1], "shard": pdf["shard"].iloc[:1], "graph": [graph.pack(ids=ids, n=pdf["n"].to_numpy(), exact=exact, groups=ids[groups])]})
 
     graphs = materialize(place.groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, graph binary"), "vector-graphs")
 
-    def searched(asks: DataFrame, rows: float, beam: int, audit: bool = False) -> DataFrame:
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for dim, data in zip(pdf["dim"], pdf["graph"], strict=True):
+                held = SmallWorld.unpack(data)[1]
+                yield pd.DataFrame([{"dim": dim} | c for c in cells_of(held["ids"], held["n"], held["exact"], held["groups"])])
+
+    cells = graphs.select("dim", "graph").mapInPandas(split, "dim int, gid bigint, members bigint, total bigint, centre binary, angle double, ids binary, ns binary, vecs binary")
+    cells = materialize(cells.withColumn("cell", F.monotonically_increasing_id()), "vector-cells")
+
+    def points_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples():
+                ids = np.frombuffer(r.ids, np.int64)
+                width = len(r.vecs) // len(ids)
+                yield pd.DataFrame({"id": ids, "gid": r.gid, "dim": r.dim, "members": r.members, "n": np.frombuffer(r.ns, np.int64), "vec": [r.vecs[i * width : (i + 1) * width] for i in range(len(ids))]})
+
+    known = materialize(cells.select("dim", "gid", "members", "ids", "ns", "vecs").mapInPandas(points_of, "id bigint, gid bigint, dim int, members bigint, n bigint, vec binary"), "vector-members")
+
+    def searched(asks: DataFrame, rows: float, beam: int, audit: bool) -> DataFrame:
         """What asks about ``rows`` points or less find; each graph goes to as many blocks as they need."""
-        def search(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        empty = {"id": [], "level": [], "true": [], "found": []} if audit else {"a": [], "b": []}
+
+        def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if left.empty or right.empty:
-                return pd.DataFrame({"kind": [], "a": [], "b": [], "n": [], "shard": []}).astype("int64")
+                return pd.DataFrame(empty).astype("int64")
             graph, held = SmallWorld.unpack(right["graph"].iloc[0])
-            shard = Shard(graph, held["ids"], held["exact"], left["id"].to_numpy(), _matrix(left["vec"]), least)
-            if audit:
-                return shard.audit(beam).assign(shard=key[1])
-            whole, none = left["whole"].to_numpy(), np.zeros(0, np.int64)
-            links = (none, none, np.flatnonzero(whole)) if whole.all() else shard.links(beam)
-            return shard.found(*links, held["n"]).assign(shard=key[1])
+            shard = Shard(graph, held["ids"], held["exact"], held["groups"], left["id"].to_numpy(), left["gid"].to_numpy(), _matrix(left["vec"]), least)
+            return shard.audit(beam) if audit else shard.links(beam)
 
         blocks = max(1, math.ceil(rows / BLOCK_ROWS))
-        asks = asks.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int"))
+        asks = asks.select("id", "gid", "vec", "dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"))
         copies = graphs.select("dim", "shard", "graph", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-        found = asks.groupBy("dim", "shard", "block").cogroup(copies.groupBy("dim", "shard", "block")).applyInPandas(search, "kind int, a bigint, b bigint, n bigint, shard int")
+        found = asks.groupBy("dim", "shard", "block").cogroup(copies.groupBy("dim", "shard", "block")).applyInPandas(search, ", ".join(f"{c} bigint" for c in empty))
         return materialize(found, "vector-links")
 
-    def asks(points: DataFrame, whole: bool) -> DataFrame:
-        return points.select("id", "vec", "dim", F.lit(whole).alias("whole"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-
     share = int(1e6 * max(AUDIT_SHARE, min(1.0, AUDIT / max(1, total))))
-    sample = place.where(F.pmod(F.xxhash64("id", F.lit(2)), F.lit(1_000_000)) < share)
-    beam, widest = BEAM, -(-total // shards)
-    while beam * beam < widest and recall(searched(asks(sample, False), share * total / 1e6, beam, True)) < RECALL:
-        beam *= 2
-    found = searched(asks(place, False), total, beam)
-    labels = components(found.where(F.col("kind") != SCANNED).select("a", "b"))
-    done = None
-    while True:
-        scanned = materialize(members_of_scanned(found, labels), "vector-scanned")
-        rest = scanned if done is None else scanned.join(done, "id", "left_anti")
-        done = scanned
-        todo = asks(place.join(rest, "id", "left_semi"), True).join(found.where(F.col("kind") == SCANNED).select(F.col("a").alias("id"), "shard"), ["id", "shard"], "left_anti")
-        todo = materialize(todo, "vector-asks")
-        many = todo.select(F.countDistinct("id")).first()[0]
-        if not many:
+    sample = known.where(F.pmod(F.xxhash64("id", F.lit(2)), F.lit(1_000_000)) < share)
+    beam = BEAM
+    while total:
+        told = recall(searched(sample, share * total / 1e6, beam, True), least) | {"beam": beam}
+        if audits is not None:
+            audits.append(told)
+        if told["passed"] or beam >= total:
             break
-        more = searched(todo, many, beam)
-        known = labels.select(F.col("id").alias("a"), F.col("component").alias("b"))
-        labels = components(known.unionByName(more.where(F.col("kind") == TREE).select("a", "b")))
-        found = found.unionByName(more)
-    known = place.select("vec", "id", "n").join(link_counts(found, place, done), "id", "left").join(labels, "id", "left")
-    known = materialize(known.select("vec", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"), F.col("component").isNotNull().alias("linked")).where("n_links > 0 or linked").drop("linked"), "vector-known")
-    out = rows.join(known, "vec", "left").withColumn("component_id", F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id")))
+        beam *= 2
+    ties = materialize(searched(known, total, beam, False).distinct(), "vector-ties")
+    counts = link_counts(cells, ties, least)
+    labels = components(ties)
+    own = known.join(counts.withColumnRenamed("n", "links"), "id", "left").join(labels.withColumnRenamed("id", "gid"), "gid", "left")
+    # A point of a group of several was counted itself, with all its rows.
+    links = F.coalesce("links", F.lit(0)) + F.when(F.col("members") > 1, 0).otherwise(F.col("n")) - 1
+    own = own.select("id", "n", links.alias("n_links"), F.coalesce("component", "gid").alias("component"))
+    named = materialize(place.select("id", "vec").join(own.where("n_links > 0 or component <> id"), "id").drop("id"), "vector-known")
+    out = rows.join(named, "vec", "left").withColumn("component_id", F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id")))
     return out.select("vec_id", F.when(F.col("vec_id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
-def recall(audited: DataFrame) -> float:
-    """The mean over audited queries of the share of their true links in all shards that was found; 1 where none has one."""
-    each = audited.where(F.col("kind") == AUDITED).groupBy("a").agg((F.sum("n") / F.sum("b")).alias("share"))
-    return each.agg(F.coalesce(F.avg("share"), F.lit(1.0))).first()[0]
-
-
-def members_of_scanned(found: DataFrame, labels: DataFrame) -> DataFrame:
-    """Ids of the components in which any point was scanned in any shard."""
-    some = found.where(F.col("kind") == SCANNED).select(F.col("a").alias("id")).distinct()
-    return labels.join(labels.join(some, "id").select("component").distinct(), "component", "left_semi").select("id")
-
-
-def link_counts(found: DataFrame, points: DataFrame, scanned: DataFrame) -> DataFrame:
-    """(id, links): of ``scanned`` ids what their scans of all shards gave; of others the rows of all points in a pair with them, whichever of the two found it."""
-    exact = found.where(F.col("kind") == SCANNED).join(scanned.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("a").alias("id"), F.col("n").alias("links"))
-    pairs = found.where(F.col("kind") == PAIR).select("a", "b").distinct()
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(scanned.select(F.col("id").alias("a")), "a", "left_anti")
-    pairs = both.join(points.select(F.col("id").alias("b"), F.col("n").alias("links")), "b").select(F.col("a").alias("id"), "links")
-    return exact.unionByName(pairs).groupBy("id").agg(F.sum("links").alias("links"))
+def recall(audited: DataFrame, least: float) -> dict:
+    """least, links and recall of an audit, and whether it passed. Measured are links, if there are AUDIT_LINKS of them or no less alike pairs; else nearest neighbours down to the first similarity at which there are as many, and what links there are."""
+    per_query = audited.groupBy("level", "id").agg(F.sum("true").alias("true"), (F.sum("found") / F.sum("true")).alias("share"))
+    levels = {r["level"]: (r["true"], r["share"]) for r in per_query.groupBy("level").agg(F.sum("true").alias("true"), F.avg("share").alias("share")).collect()}
+    true, share = levels.get(0, (0, 1.0))
+    ok = share >= RECALL
+    if true < AUDIT_LINKS and len(levels) > (0 in levels):
+        level = next((k for k in range(1, STEPS + 1) if levels.get(k, (0, 0))[0] >= AUDIT_LINKS), max(levels))
+        true, share = levels[level]
+        return {"least": least - level * STEP, "links": true, "recall": share, "passed": ok and share >= RECALL_NEAREST}
+    return {"least": least, "links": true, "recall": share, "passed": ok}

@@ -211,28 +211,61 @@ def block(x, least=annlinks.COSINE, degree=annlinks.DEGREE):
     """All of x as a shard and as the queries on it."""
     x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
     ids = np.arange(len(x))
-    return annlinks.Shard(annlinks.SmallWorld.build(x.astype(np.float32), ids, degree), ids, x, ids, x, least)
+    world = annlinks.SmallWorld.build(x.astype(np.float32), ids, degree)
+    groups = ids.copy()
+    at, root = graph.roots(*world.ties(x, least))
+    groups[at] = root
+    return annlinks.Shard(world, ids, x, groups, ids, groups, x, least)
 
 
 def test_audit_notices_missed_links():
-    """Narrow beams in a sparse graph miss links; the audit says so, whatever a dense group's scans find, and doesn't count a point's match with itself."""
+    """Narrow beams in a sparse graph miss links; the audit says so, and doesn't count a point's match with itself."""
     rng = np.random.default_rng(5)
     x = rng.normal(size=(2400, 32))
     x[:800] = x[0] + rng.normal(scale=0.05, size=(800, 32))
     x[1600:] = x[800:1600] + rng.normal(scale=0.1, size=(800, 32))
-    shard = block(x, degree=2)
-    true = {(int(a), int(b)) for rows, hit in shard.scan(np.arange(800, 2400)) for a, b in zip(rows[np.nonzero(hit)[0]], np.nonzero(hit)[1])}
-    assert len(true) > 1000
     shares = []
-    for beam in (2, 49):
-        q, y, wide = shard.links(beam)
-        found = true & set(zip(q.tolist(), y.tolist()))
-        audited = shard.audit(beam)
-        rest = set(range(2400)) - set(wide.tolist())
-        assert audited["b"].sum() == sum(1 for a, b in true if a in rest) + sum(1 for rows, hit in shard.scan(np.array(sorted(rest & set(range(800))), int)) for _ in range(int(hit.sum())))
-        assert audited["n"].sum() == len(q) and len(found) <= len(q)
-        shares.append(len(found) / len(true))
-    assert shares[0] < 0.9 and shares[1] == 1, "a beam of 49 looks at the whole shard"
+    for degree, beam in ((2, 2), (annlinks.DEGREE, 48)):
+        shard = block(x, degree=degree)
+        exact = shard.exact @ shard.exact.T >= annlinks.COSINE
+        np.fill_diagonal(exact, False)
+        told = shard.audit(beam)
+        links = told[told["level"] == 0].set_index("id")
+        assert links["true"].to_dict() == {i: int(n) for i, n in enumerate(exact.sum(axis=1)) if n}
+        sparse = links[links.index >= 800]
+        shares.append(sparse["found"].sum() / sparse["true"].sum())
+        nearest = told[told["level"] == annlinks.STEPS]
+        assert (nearest["true"] <= annlinks.NEAREST).all() and (nearest["found"] <= nearest["true"]).all()
+    assert shares[0] < 0.97 and shares[1] > 0.99
+
+
+def test_recall_rests_on_links_or_says_on_what(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "id long, level long, true long, found long")
+    many = frame([(i, 0, 2, 1 + i % 2) for i in range(100)])
+    assert annlinks.recall(many, 0.95) == {"least": 0.95, "links": 200, "recall": 0.75, "passed": False}
+    few = frame([(1, 0, 1, 1)] + [(i, 1, 1, 1) for i in range(50)] + [(i, 2, 3, 3) for i in range(50)])
+    told = annlinks.recall(few, 0.95)
+    assert told["links"] == 150 and abs(told["least"] - 0.85) < 1e-9 and told["passed"]
+    missed = frame([(1, 0, 1, 0)] + [(i, 2, 3, 3) for i in range(50)])
+    assert not annlinks.recall(missed, 0.95)["passed"], "few links, but one was missed"
+    assert annlinks.recall(frame([]), 0.95) == {"least": 0.95, "links": 0, "recall": 1.0, "passed": True}
+
+
+def test_twenty_thousand_vectors_are_linked_by_their_graphs(spark, monkeypatch):
+    """Planted pairs and groups in loose clusters, with no way to compare a query with a shard but the audit's."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(40, 48))[rng.integers(0, 40, 20_000)] + rng.normal(scale=1.0, size=(20_000, 48))
+    x[1000:1300] = x[:300] + rng.normal(scale=0.1, size=(300, 48))
+    x[2000:2400] = x[500] + rng.normal(scale=0.12, size=(400, 48))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(8)
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    true = np.concatenate([(x[i : i + 2000] @ x.T >= annlinks.COSINE).sum(axis=1) - 1 for i in range(0, 20_000, 2000)])
+    audits = []
+    got = {r["vec_id"]: r["n_links"] for r in annlinks.near_duplicates(frame, audits=audits).collect()}
+    found = np.array([got[i] for i in range(20_000)])
+    assert (found <= true).all() and found.sum() >= 0.99 * true.sum() and true.sum() > 100_000
+    assert ((found > 0) == (true > 0)).mean() > 0.999
+    assert audits[-1]["passed"] and audits[-1]["links"] >= annlinks.AUDIT_LINKS
 
 
 def test_recall_of_sparse_links_beside_a_dense_group(spark, monkeypatch):
@@ -250,36 +283,25 @@ def test_recall_of_sparse_links_beside_a_dense_group(spark, monkeypatch):
     assert sum(got[i] for i in range(800, 2400)) >= 0.98 * true[800:].sum()
 
 
-def test_dense_group_is_verified_in_slices():
-    """1,500 near copies have 2,248,500 pairs; at once their vectors would take over 2,300 MB."""
-    import tracemalloc
-
+def test_cells_of_a_tight_group_are_counted_without_comparing(spark, monkeypatch):
+    """1,500 near copies have over two million links, and no two cells of theirs are compared; a looser group's are."""
     rng = np.random.default_rng(5)
-    x = rng.normal(size=(1, 64)) + rng.normal(scale=0.05, size=(1500, 64))
-    shard = block(x)
-    tracemalloc.start()
-    out = shard.found(*shard.links(annlinks.BEAM), np.ones(1500, np.int64))
-    peak = tracemalloc.get_traced_memory()[1]
-    tracemalloc.stop()
-    assert peak < 300e6
-    counts, tree = out[out["kind"] == annlinks.SCANNED], out[out["kind"] == annlinks.TREE]
-    assert counts["n"].tolist() == [1499] * 1500 and len(tree) < 3000
-    up = dict(zip(range(1500), range(1500)))
-    for a, b in zip(tree["a"], tree["b"]):
-        up = {k: min(up[a], up[b]) if v in (up[a], up[b]) else v for k, v in up.items()} if up[a] != up[b] else up
-    assert set(up.values()) == {0}
-
-
-def test_links_count_for_both_ends(spark):
-    """2 found 1 and 3, which missed it; 4 was scanned, so 5's own pair isn't counted beside its scans."""
-    rows = [(annlinks.PAIR, 1, 2, 0, 0), (annlinks.PAIR, 1, 2, 0, 1), (annlinks.PAIR, 2, 3, 0, 0), (annlinks.PAIR, 4, 5, 0, 0), (annlinks.TREE, 4, 5, 0, 1), (annlinks.SCANNED, 4, 4, 1, 1)]
-    found = spark.createDataFrame(rows, "kind int, a long, b long, n long, shard int")
-    labels = graph.components(found.where("kind <> 2").select("a", "b"))
-    scanned = annlinks.members_of_scanned(found, labels)
-    assert sorted(r["id"] for r in scanned.collect()) == [4, 5]
-    points = spark.createDataFrame([(1, 1), (2, 1), (3, 7), (4, 1), (5, 1)], "id long, n long")
-    found = found.unionByName(spark.createDataFrame([(annlinks.SCANNED, 5, 5, 1, 0), (annlinks.SCANNED, 5, 5, 0, 1)], found.schema))
-    assert {r["id"]: r["links"] for r in annlinks.link_counts(found, points, scanned).collect()} == {1: 1, 2: 8, 3: 1, 4: 1, 5: 1}
+    rows = [("tight", 0.01, False), ("loose", 0.2, True)]
+    for _, scale, compares in rows:
+        x = rng.normal(size=(1, 64)) + rng.normal(scale=scale, size=(1500, 64))
+        x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+        n = rng.integers(1, 4, 1500)
+        made = list(annlinks.cells_of(np.arange(1500), n, x, np.zeros(1500, np.int64)))
+        assert len(made) == 3 and all(len(c["ids"]) <= 8 * annlinks.CELL for c in made)
+        cells = spark.createDataFrame([(k, 0, 1500, c["total"], c["centre"], c["angle"], c["ids"], c["ns"], c["vecs"]) for k, c in enumerate(made)], "cell long, gid long, members long, total long, centre binary, angle double, ids binary, ns binary, vecs binary")
+        ties = spark.createDataFrame([], "a long, b long")
+        seen = []
+        compared = annlinks.compared_cells
+        monkeypatch.setattr(annlinks, "compared_cells", lambda pairs, least: seen.append(pairs.count()) or compared(pairs, least))  # noqa: B023
+        got = {r["id"]: r["n"] for r in annlinks.link_counts(cells, ties, annlinks.COSINE).collect()}
+        monkeypatch.setattr(annlinks, "compared_cells", compared)
+        wanted = (x @ x.T >= annlinks.COSINE) @ n
+        assert got == {i: int(v) for i, v in enumerate(wanted)} and (seen[0] > 0) == compares
 
 
 def test_groups_around_the_dense_limit_count_all_links(spark):
