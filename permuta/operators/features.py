@@ -242,16 +242,22 @@ def tokenize_ids(docs: DataFrame, size: int, length: int) -> DataFrame:
     return known.groupBy("doc_id").agg(seq.alias("ids")).select("doc_id", F.concat("ids", F.array_repeat(F.lit(0), length - F.size("ids"))).alias("ids"))
 
 
+#: Of each setting the value of the first condition that holds.
+SETTINGS = {
+    "degree": (("n_features <= 10", "3"), ("n_features <= 30", "2"), ("true", "1")),
+    "embed_dim": (("n_features <= 15", "16"), ("n_classes >= 4 and n_features > 30", "64"), ("n_features <= 64", "32"), ("true", "64")),
+    "iterations": (("true", "cast(least(300, greatest(200, floor(n_samples / 3))) as int)"),),
+    "strategy": (("n_classes >= 3", "'diverse'"), ("true", "'random'")),
+    "augmentations": (("n_features <= 30 and n_samples >= 150", "1"), ("true", "0")),
+    "views": (("n_samples < 2000 and n_classes <= 26", "7"), ("true", "1")),
+}
+
+
+def recommend_sql() -> dict[str, str]:
+    """The table as SQL expressions, for Spark and other engines alike."""
+    return {name: "case " + " ".join(f"when {condition} then {value}" for condition, value in rules) + " end" for name, rules in SETTINGS.items()}
+
+
 def recommend_config(profile: DataFrame) -> DataFrame:
-    """Settings for each (n_features, n_classes, n_samples); the thresholds are fixed values."""
-    d, c, n = F.col("n_features"), F.col("n_classes"), F.col("n_samples")
-    augment = (d <= 30) & (n >= 150)
-    return profile.select(
-        "*",
-        F.when(d > 30, 1).when(d > 10, 2).otherwise(3).alias("degree"),
-        F.when(d <= 15, 16).when((d > 64) | ((d > 30) & (c >= 4)), 64).otherwise(32).alias("embed_dim"),
-        F.greatest(F.lit(200), F.least(F.lit(300), F.floor(n / 3))).cast("int").alias("iterations"),
-        F.when(c < 3, "random").otherwise("diverse").alias("strategy"),
-        augment.cast("int").alias("augmentations"),
-        F.when((n < 2000) & (c <= 26), 7).otherwise(1).alias("views"),
-    )
+    """Settings for each (n_features, n_classes, n_samples)."""
+    return profile.select("*", *[F.expr(sql).alias(name) for name, sql in recommend_sql().items()])

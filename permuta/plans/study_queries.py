@@ -203,9 +203,8 @@ def tokenize_ids(spark: SparkSession, d: str) -> DataFrame:
     return features.tokenize_ids(table(spark, d, "documents"), 500, 32).select("doc_id", text(F.col("ids"), "ids"))
 
 
-@query("""with p as (select 64 as n_features, count(distinct label)::int as n_classes, count(*) as n_samples from embeddings)
-select n_features, n_classes, n_samples, case when n_features <= 10 then 3 when n_features <= 30 then 2 else 1 end as degree, case when n_features <= 15 then 16 when n_classes >= 4 and n_features > 30 then 64 when n_features <= 64 then 32 else 64 end as embed_dim,
-least(300, greatest(200, n_samples // 3))::int as iterations, case when n_classes >= 3 then 'diverse' else 'random' end as strategy, (n_features <= 30 and n_samples >= 150)::int as augmentations, case when n_samples < 2000 and n_classes <= 26 then 7 else 1 end as views from p""")
+@query(f"""with p as (select 64 as n_features, count(distinct label)::int as n_classes, count(*) as n_samples from embeddings)
+select n_features, n_classes, n_samples, {", ".join(f"{sql} as {name}" for name, sql in features.recommend_sql().items())} from p""")
 def recommend_config(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings")
     profile = rows.agg(F.max(F.size("embedding")).alias("n_features"), F.countDistinct("label").cast("int").alias("n_classes"), F.count("*").alias("n_samples"))
