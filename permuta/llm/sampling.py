@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-#: Longest text in a sample, and all its texts together.
+#: Longest text in a sample, and all its texts together, where a caller names no other bounds.
 TEXT_BYTES = 1 << 20
 TOTAL_BYTES = 1 << 26
 
@@ -17,13 +17,17 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, most: int, by_class: bool = False) -> pd.DataFrame:
-    """(text, label) of at most ``most`` training documents, those first in the order of a hash of doc_id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, most: int, by_class: bool = False, text_bytes: int = TEXT_BYTES, total_bytes: int = TOTAL_BYTES) -> pd.DataFrame:
+    """(doc_id, text, label) of at most ``most`` training documents, those first in the order of a hash of doc_id.
 
-    Of several labels of one document the largest counts, of several texts the first.
-    Texts of more than TEXT_BYTES are left out, and what exceeds TOTAL_BYTES in hash order.
-    With by_class a class has up to half of the sample, more where the other has less, and
-    a third column, weight, is how many labels of its class a row stands for.
+    Of several labels of one document the largest counts, of several texts the shortest,
+    the first by its hash among equals. Texts of more than ``text_bytes`` are left out, and what
+    exceeds ``total_bytes`` in hash order. With by_class a class has up to half of the
+    sample, more where the other has less, and a column, weight, is how many labels of its
+    class a row stands for. A table without labels gives no rows.
+
+    Lengths are chosen first: the order and both bounds are settled on at most ``most``
+    rows of numbers, and only the texts that stay, at most ``total_bytes``, are read.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & train)
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
@@ -37,9 +41,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
         chosen = first(known.where("label > 0"), yes).withColumn("weight", F.lit(total / max(1, yes))).unionByName(first(known.where("label <= 0"), no).withColumn("weight", F.lit(other / max(1, no))))
     else:
         chosen = first(known, most)
-    texts = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    # One text for each document, short ones only, and in hash order no more than TOTAL_BYTES in all: what comes to the driver is bounded.
-    found = texts.join(F.broadcast(chosen), "doc_id").where(F.octet_length("text") <= TEXT_BYTES)
-    found = found.groupBy(chosen.columns).agg(F.min("text").alias("text"))
-    so_far = F.sum(F.octet_length("text")).over(Window.orderBy(hashed, "doc_id"))
-    return found.withColumn("so_far", so_far).where(F.col("so_far") <= TOTAL_BYTES).select("doc_id", "text", *chosen.columns[1:]).toPandas().sort_values("doc_id").reset_index(drop=True)
+    named = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    lengths = named.select("doc_id", F.struct(F.octet_length("text").alias("n"), F.xxhash64("text").alias("th")).alias("of")).join(F.broadcast(chosen), "doc_id")
+    rows = lengths.groupBy(chosen.columns).agg(F.min("of").alias("of")).select(*chosen.columns, "of.n", "of.th", hashed.alias("order")).toPandas()
+    rows = rows[rows["n"] <= text_bytes].sort_values(["order", "doc_id"])
+    rows = rows[rows["n"].cumsum() <= total_bytes].reset_index(drop=True)
+    if rows.empty:
+        return rows.assign(text=pd.Series(dtype=object))[["doc_id", "text", *chosen.columns[1:]]]
+    wanted = docs.sparkSession.createDataFrame(rows[["doc_id", "th"]], "doc_id long, th long")
+    texts = named.withColumn("th", F.xxhash64("text")).join(F.broadcast(wanted), ["doc_id", "th"], "left_semi")
+    texts = texts.groupBy("doc_id", "th").agg(F.min("text").alias("text")).toPandas()
+    return rows.merge(texts, on=["doc_id", "th"])[["doc_id", "text", *chosen.columns[1:]]].sort_values("doc_id").reset_index(drop=True)
