@@ -265,3 +265,26 @@ def test_filter_audit_walk_and_edges(spark):
         filteraudit.audit(empty(spark), none, filters={}, copies=None)
     with pytest.raises(ValueError):
         filteraudit.audit(empty(spark), none, filters=two, copies="A")
+
+
+# the sample of 5 and 10
+
+
+def test_labelled_sample_is_bounded_in_rows_and_bytes(spark):
+    from pyspark.sql import functions as F
+
+    from permuta.llm.sampling import labelled_sample
+
+    rows = [(i, "x" * (i % 40 + 1)) for i in range(200)] + [(7, "a second text of seven, and longer"), (None, "no id"), (300, "y" * 5000), (301, None)]
+    labels = spark.createDataFrame([(i, i % 4 == 0 and 1 or 0) for i in range(200)] + [(7, 1), (None, 1), (300, 1), (301, 0), (999, 1)], "doc_id long, toxic int")
+    sample = lambda most, **more: labelled_sample(docs(spark, rows), labels, "toxic", F.col("doc_id") != 8, most, **more)
+    whole = sample(1000, text_bytes=100)
+    assert len(whole) == 200 and 8 not in set(whole["doc_id"]) and 300 not in set(whole["doc_id"]) and whole["doc_id"].is_unique
+    by_id = whole.set_index("doc_id")
+    assert by_id.loc[7, "label"] == 1 and by_id.loc[7, "text"] == "x" * 8 and by_id.loc[301, "text"] == ""
+    assert sample(50)["doc_id"].isin(sample(100)["doc_id"]).all() and len(sample(50)) == 50
+    less = sample(1000, text_bytes=100, total_bytes=500)
+    assert 400 < sum(map(len, less["text"])) <= 500 and set(less["doc_id"]) <= set(whole["doc_id"])
+    halves = sample(60, by_class=True, text_bytes=100)
+    assert (halves["label"] > 0).sum() in (29, 30) and set(halves["weight"]) == {sum(1 for i in range(200) if i % 4 == 0 and i != 8) / 30 + 3 / 30, halves["weight"].min()}
+    assert len(sample(10, text_bytes=0)) <= 1 and list(labelled_sample(docs(spark, []), labels, "toxic", F.lit(True), 5).columns) == ["doc_id", "text", "label"]
