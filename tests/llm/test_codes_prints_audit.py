@@ -286,5 +286,6 @@ def test_labelled_sample_is_bounded_in_rows_and_bytes(spark):
     less = sample(1000, text_bytes=100, total_bytes=500)
     assert 400 < sum(map(len, less["text"])) <= 500 and set(less["doc_id"]) <= set(whole["doc_id"])
     halves = sample(60, by_class=True, text_bytes=100)
-    assert (halves["label"] > 0).sum() in (29, 30) and set(halves["weight"]) == {sum(1 for i in range(200) if i % 4 == 0 and i != 8) / 30 + 3 / 30, halves["weight"].min()}
+    assert (halves["label"] > 0).sum() in (28, 29, 30), "300's text is too long and 999 has none"
+    assert dict(zip(halves["label"], halves["weight"])) == {1: 52 / 30, 0: 150 / 30}
     assert len(sample(10, text_bytes=0)) <= 1 and list(labelled_sample(docs(spark, []), labels, "toxic", F.lit(True), 5).columns) == ["doc_id", "text", "label"]
