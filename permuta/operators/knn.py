@@ -255,3 +255,22 @@ def knn_vote(found: DataFrame, weighted: bool = False) -> DataFrame:
     weight = F.sum(1 / F.greatest("distance", F.lit(1e-12))) if weighted else F.count("*")
     votes = found.groupBy("id", "label").agg(weight.cast("double").alias("_v"))
     return votes.groupBy("id").agg(F.min(F.struct((-F.col("_v")).alias("v"), "label")).alias("b")).select("id", "b.label")
+
+
+def grid_errors(queries: DataFrame, train: DataFrame, ks: tuple[int, ...], metrics: tuple[str, ...] = ("l1", "l2")) -> DataFrame:
+    """(metric, k, weights, error) of queries (id, v, label): every number of neighbours, equal votes and votes by inverse distance.
+
+    A metric is searched once, for the largest k; smaller ones are its first rows.
+    """
+    order = Window.partitionBy("id").orderBy("distance", "ref")
+    out = None
+    for metric in metrics:
+        found = nearest(queries.select("id", "v"), train, max(ks), metric).withColumn("rank", F.row_number().over(order))
+        found = found.withColumn("k", F.explode(F.filter(F.array(*map(F.lit, ks)), lambda k: F.col("rank") <= k)))
+        votes = found.groupBy("id", "k", "label").agg(F.count("*").cast("double").alias("uniform"), F.sum(1 / F.greatest("distance", F.lit(1e-12))).alias("distance"))
+        named = votes.select("id", "k", "label", F.explode(F.array(*[F.struct(F.lit(w).alias("weights"), F.round(w, 6).alias("vote")) for w in ("uniform", "distance")])).alias("v"))
+        best = named.groupBy("id", "k", "v.weights").agg(F.min(F.struct((-F.col("v.vote")).alias("vote"), "label")).alias("b"))
+        wrong = best.join(queries.select("id", F.col("label").alias("_true")), "id").select("k", "weights", (F.col("b.label") != F.col("_true")).cast("int").alias("wrong"))
+        part = wrong.groupBy("k", "weights").agg(F.avg("wrong").alias("error")).select(F.lit(metric).alias("metric"), "k", "weights", "error")
+        out = part if out is None else out.unionByName(part)
+    return out

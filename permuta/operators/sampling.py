@@ -61,6 +61,14 @@ def head_split(rows: DataFrame, key: str, share: float) -> DataFrame:
     return row_numbers(rows, [key], "_k").withColumn("split", F.when(F.col("_k") <= n, "validation").otherwise("train")).drop("_k")
 
 
+def head_splits(rows: DataFrame, key: str, share: float = 0.2, test: float = 0.5) -> DataFrame:
+    """rows and split in three: of the first int(share * n) rows by key the first int(test * m) are 'test' and the others 'validation'."""
+    m = int(share * rows.count())
+    cut = int(test * m)
+    name = F.when(F.col("_k") <= cut, "test").when(F.col("_k") <= m, "validation").otherwise("train")
+    return row_numbers(rows, [key], "_k").withColumn("split", name).drop("_k")
+
+
 def minibatch(rows: DataFrame, key: str, step: int, size: int, n: int, seed: int) -> DataFrame:
     """About ``size`` of n rows for a step: those whose hash of step and key is small enough."""
     return rows.where(hash_uniform(seed, F.lit(step), F.col(key)) < size / n)

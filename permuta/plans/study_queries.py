@@ -253,6 +253,12 @@ def head_split(spark: SparkSession, d: str) -> DataFrame:
     return sampling.head_split(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", 0.1)
 
 
+@query("""with k as (select o_orderkey, row_number() over (order by o_orderkey) as k, floor((count(*) over ()) * 0.2) as m from orders)
+select o_orderkey, case when k <= floor(m * 0.5) then 'test' when k <= m then 'validation' else 'train' end as split from k""")
+def head_splits(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.head_splits(table(spark, d, "orders").select("o_orderkey"), "o_orderkey")
+
+
 @query(f"select o_orderkey from orders where {uniform_sql("'6:3:' || o_orderkey::varchar")} < 32 / (select count(*) from orders)::double")
 def minibatch(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "orders").select("o_orderkey")
@@ -365,6 +371,18 @@ def baseline_knn(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("distance", F.round("distance", 6))
 
 
+@query(f"""with {LETTERS_SQL}, d as (select a.id, b.id as ref, b.lang as label, sum(abs(a.pos - b.pos))::double as l1, round(sqrt(sum((a.pos - b.pos) * (a.pos - b.pos))::double), 9) as l2 from lr a join lr b on a.item = b.item where a.id % 5 = 0 and b.id % 5 <> 0 group by 1, 2, 3),
+m as (select id, ref, label, 'l1' as metric, l1 as distance from d union all select id, ref, label, 'l2', l2 from d), o as (select *, row_number() over (partition by metric, id order by distance, ref) as rank from m),
+v as (select metric, k::int as k, id, label, count(*)::double as u, round(sum(1 / greatest(distance, 1e-12::double)), 6) as w from o, unnest([1, 3, 5, 7, 11, 15]) t(k) where rank <= k group by all),
+b as (select metric, k, weights, id, label, row_number() over (partition by metric, k, weights, id order by vote desc, label) as place from (select *, 'uniform' as weights, u as vote from v union all select *, 'distance', w from v))
+select metric, k, weights, avg((b.label <> lr.lang)::int) as error from b join lr on lr.id = b.id and lr.pos = 0 where place = 1 group by metric, k, weights""")
+def knn_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers of neighbours, weights and metrics, on the held-out documents."""
+    rows = materialize(letter_positions(spark, d), "letters")
+    grid = baselines.GRIDS["neighbours"]
+    return knn.grid_errors(rows.where("id % 5 = 0"), rows.where("id % 5 <> 0"), grid["k"], grid["metrics"])
+
+
 # Training and scoring
 
 
