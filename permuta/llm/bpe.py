@@ -91,9 +91,16 @@ def _long(rows: DataFrame, keep: list[str], hidden: str, result: str, path: str,
     """Chunks of (text, number) -> boundaries near both ends -> cut points -> pieces -> ids."""
     row_key: Column = F.sha2(hidden, 256)
     keyed = materialize(rows.select(row_key.alias("_key"), F.col(hidden).alias("_text")).dropDuplicates(["_key"]), "bpe-long")
-    numbers = F.sequence(F.lit(0), F.floor((F.length("_text") - 1) / chunk).cast("int"))
-    chunks = keyed.select("_key", F.length("_text").alias("_n"), F.explode(numbers).alias("_i"), "_text")
-    chunks = chunks.select("_key", "_i", "_n", F.expr(f"substring(_text, _i * {chunk} + 1, {chunk + overlap})").alias("_chunk")).repartition("_key", "_i")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A text's chunks in one pass over it: Spark's substring would walk from its start for each."""
+        schema = pa.schema([("_key", pa.string()), ("_i", pa.int32()), ("_n", pa.int64()), ("_chunk", pa.string())])
+        for batch in batches:
+            for key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                starts = range(0, len(text), chunk)
+                yield record(schema, [key] * len(starts), list(range(len(starts))), [len(text)] * len(starts), [text[i : i + chunk + overlap] for i in starts])
+
+    chunks = keyed.mapInArrow(cut, "_key string, _i int, _n bigint, _chunk string").repartition("_key", "_i")
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("_key", pa.string()), ("_i", pa.int32()), ("_head", pa.list_(pa.int64())), ("_tail", pa.list_(pa.int64()))])
@@ -113,9 +120,16 @@ def _long(rows: DataFrame, keep: list[str], hidden: str, result: str, path: str,
     per_text = cuts.groupBy("_key").agg(F.array_sort(F.collect_list("_cut")).alias("_cuts"), F.max(F.col("_cut").isNull()).alias("_broken"))
     spans = keyed.select("_key", "_text").join(per_text, "_key", "left")
     points = F.when(F.coalesce("_broken", F.lit(False)), F.array().cast("array<bigint>")).otherwise(F.coalesce("_cuts", F.array().cast("array<bigint>")))
-    edges = spans.withColumn("_at", F.concat(F.array(F.lit(0).cast("bigint")), points, F.array(F.length("_text").cast("bigint"))))
-    pieces = edges.select("_key", F.posexplode(F.expr("transform(sequence(1, size(_at) - 1), i -> struct(_at[i - 1] as a, _at[i] - _at[i - 1] as n))")).alias("_i", "_p"), "_text")
-    pieces = pieces.select("_key", "_i", F.expr("substring(_text, cast(_p.a as int) + 1, cast(_p.n as int))").alias("_text")).repartition("_key", "_i")
+    edges = spans.select("_key", "_text", points.alias("_at"))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("_key", pa.string()), ("_i", pa.int32()), ("_text", pa.string())])
+        for batch in batches:
+            for key, text, cuts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                at = [0, *cuts, len(text)]
+                yield record(schema, [key] * (len(at) - 1), list(range(len(at) - 1)), [text[a:b] for a, b in zip(at[:-1], at[1:], strict=True)])
+
+    pieces = edges.mapInArrow(split, "_key string, _i int, _text string").repartition("_key", "_i")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("_key", pa.string()), ("_i", pa.int32()), ("_ids", pa.list_(pa.int32()))])
