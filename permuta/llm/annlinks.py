@@ -418,10 +418,10 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, shards: int = SHA
 
     def points_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for r in pdf.itertuples():
-                ids = np.frombuffer(r.ids, np.int64)
-                width = len(r.vecs) // len(ids)
-                yield pd.DataFrame({"id": ids, "gid": r.gid, "dim": r.dim, "members": r.members, "n": np.frombuffer(r.ns, np.int64), "vec": [r.vecs[i * width : (i + 1) * width] for i in range(len(ids))]})
+            held = np.array([len(x) // 8 for x in pdf["ids"]], np.int64)
+            same = {c: np.repeat(pdf[c].to_numpy(), held) for c in ("gid", "dim", "members")}
+            vecs = [x[i * len(x) // k : (i + 1) * len(x) // k] for x, k in zip(pdf["vecs"], held.tolist(), strict=True) for i in range(k)]
+            yield pd.DataFrame({"id": np.frombuffer(b"".join(pdf["ids"]), np.int64), "gid": same["gid"], "dim": same["dim"], "members": same["members"], "n": np.frombuffer(b"".join(pdf["ns"]), np.int64), "vec": vecs})
 
     known = materialize(cells.select("dim", "gid", "members", "ids", "ns", "vecs").mapInPandas(points_of, "id bigint, gid bigint, dim int, members bigint, n bigint, vec binary"), "vector-members")
 
