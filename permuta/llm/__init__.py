@@ -1 +1 @@
-"""Operators for preparing training text at scale; nothing else in the library imports this subpackage."""
+"""Thirteen operators for preparing training text at scale; nothing else in the library imports this subpackage."""
