@@ -34,6 +34,8 @@ class Settings:
     It may train for fewer steps than others of its job (steps), see each row once more
     with up to ``swaps`` neighbours exchanged, leave its last layer as it is (learn_last),
     and lower its rate by 0.7 every quarter of its steps or by ``decay`` every step.
+    ``fields`` names how many items the filters of a layer see, from the first layer on;
+    None, or no entry, is all of them.
     """
 
     seed: int = 0
@@ -47,21 +49,34 @@ class Settings:
     swaps: int = 0
     learn_last: bool = True
     decay: float | None = None
+    fields: tuple[int | None, ...] = ()
     history: list[float] = field(default_factory=list)
 
 
+def within(order: np.ndarray, field_: int | None) -> np.ndarray:
+    """Positions of a filter; with a receptive field of so many items, NaN for all that come after them."""
+    out = order.astype(np.float32)
+    if field_ is not None:
+        out[out >= field_] = np.nan
+    return out
+
+
 def random_layers(settings: Settings, items: int, classes: int) -> Layers:
-    """Uniform random orders for every filter."""
+    """Uniform random orders for every filter, cut to its receptive field."""
     rng = np.random.default_rng(settings.seed)
     widths = [items if settings.view is None else settings.view.shape[1], *settings.filters, classes]
-    return [np.stack([rng.permutation(a) for _ in range(b)]).astype(np.float32) for a, b in zip(widths[:-1], widths[1:], strict=True)]
+    fields = [*settings.fields, *[None] * (len(widths) - 1 - len(settings.fields))]
+    if any(f is not None and f < 1 for f in fields):
+        raise ValueError("a receptive field has one item at least")
+    return [np.stack([within(rng.permutation(a), f) for _ in range(b)]) for a, b, f in zip(widths[:-1], widths[1:], fields, strict=True)]
 
 
-def init_filters(spark, items: int, filters: int, seed: int) -> DataFrame:
-    """(filter, item, pos): random orders as a table, each from hashes of filter and item."""
+def init_filters(spark, items: int, filters: int, seed: int, field_: int | None = None) -> DataFrame:
+    """(filter, item, pos): random orders as a table, each from hashes of filter and item; with a receptive field, the first items of each."""
     grid = spark.range(items * filters).select((F.col("id") % items).cast("int").alias("item"), F.floor(F.col("id") / items).cast("int").alias("filter"))
     order = Window.partitionBy("filter").orderBy(hash_uniform(seed, F.col("filter"), F.col("item")), "item")
-    return grid.select("filter", "item", (F.row_number().over(order) - 1).alias("pos"))
+    made = grid.select("filter", "item", (F.row_number().over(order) - 1).alias("pos"))
+    return made if field_ is None else made.where(F.col("pos") < field_)
 
 
 def init_from_data(rows: DataFrame, filters: int, seed: int) -> DataFrame:
@@ -109,12 +124,45 @@ def swapped(rows: np.ndarray, chance: np.ndarray, most: int) -> np.ndarray:
 
 
 def distances(rows: np.ndarray, layer: np.ndarray) -> np.ndarray:
-    """Footrule of every row and filter, by blocks of rows; missing positions stand in the middle."""
+    """Footrule of every row and filter, by blocks of rows; missing positions stand in the middle. Filters with a receptive field count the motions of their own items, less the mean, rounded."""
     rows = np.where(np.isnan(rows), 0.5 * rows.shape[1], rows)
+    if np.isnan(layer).any():
+        return field_distances(rows, layer)
     step = max(1, (1 << 22) // layer.size)
     return np.concatenate([np.abs(rows[i : i + step, None, :] - layer[None]).sum(axis=2) for i in range(0, len(rows), step)]) if len(rows) else np.zeros((0, len(layer)), np.float32)
 
 
+def field_distances(rows: np.ndarray, layer: np.ndarray) -> np.ndarray:
+    """Sums of centred motions of every row and filter over the filter's own items; the work is that of the fields, not of all items."""
+    out = np.isnan(layer)
+    sizes = (~out).sum(axis=1)
+    items = np.argsort(out, axis=1, kind="stable")[:, : sizes.max()]
+    own, some = np.take_along_axis(layer, items, axis=1), (sizes < layer.shape[1])[None, :, None]
+    step, found = max(1, (1 << 22) // items.size), np.zeros((len(rows), len(layer)), np.float32)
+    for i in range(0, len(rows), step):
+        motion = rows[i : i + step][:, items] - own
+        centred = np.where(some, np.round(motion - np.nanmean(motion, axis=2, keepdims=True)), motion)
+        found[i : i + step] = np.nansum(np.abs(centred), axis=2)
+    return found
+
+
+def heading(rows: np.ndarray, filters: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | bool]:
+    """Of rows and a filter each: the position every item would have by the row, its motion there, and whether the filter sees it; both are 0 where it doesn't.
+
+    A filter of all items (``whole``) takes the row's positions. One with a receptive field
+    moves by the motions less their mean, rounded, but not beyond its ends: what counts is
+    the order of its own items, wherever in the row they stand.
+    """
+    motion = rows - filters
+    if whole:
+        return rows, motion, True
+    seen = ~np.isnan(filters)
+    some = ~seen.all(axis=1, keepdims=True)
+    centred = np.where(some, np.round(motion - np.nanmean(motion, axis=1, keepdims=True)), motion)
+    aim = np.where(some, np.clip(filters + centred, 0, seen.sum(axis=1, keepdims=True) - 1), rows)
+    return np.where(seen, aim, 0), np.where(seen, centred, 0), seen
+
+
 def forward(rows: np.ndarray, layers: Layers) -> tuple[list[np.ndarray], np.ndarray]:
     """Inputs of every layer, and the distances of the last."""
     inputs = [rows]
@@ -129,7 +177,8 @@ def votes(rows: np.ndarray, labels: np.ndarray, chance: np.ndarray, layers: Laye
     A row votes if it is wrong, or by chance GATE. The true class's filter takes the last
     ranking; of the hidden filters the share with the largest motions takes its input,
     reversed where it has to move away, weighted by the motion. What remains of the
-    motion, averaged, goes down a layer.
+    motion, averaged, goes down a layer. Items that a filter doesn't see get no votes of it
+    and pass no motion down.
     """
     inputs, last = forward(rows, layers)
     out = [(np.zeros(x.shape), np.zeros(x.shape)) for x in layers]
@@ -138,10 +187,11 @@ def votes(rows: np.ndarray, labels: np.ndarray, chance: np.ndarray, layers: Laye
     if not len(labels):
         return out
     w = settings.rate / batch
+    wholes = [not np.isnan(x).any() for x in layers]
     num, den = out[-1]
-    np.add.at(num, labels, w * inputs[-1])
-    np.add.at(den, labels, w)
-    pull = inputs[-1] - layers[-1][labels]
+    aim, pull, seen = heading(inputs[-1], layers[-1][labels], wholes[-1])
+    np.add.at(num, labels, w * aim)
+    np.add.at(den, labels, w * seen)
     for i in range(len(layers) - 2, -1, -1):
         n, f = pull.shape
         k = min(f, int(settings.share * f) + 1)
@@ -153,18 +203,19 @@ def votes(rows: np.ndarray, labels: np.ndarray, chance: np.ndarray, layers: Laye
         for j in range(k):
             s, to = strength[:, j], top[:, j]
             taken = np.where(s[:, None] < 0, width - 1 - inputs[i], inputs[i])
-            weight = np.abs(s) * 2 * w
-            np.add.at(num, to, weight[:, None] * taken)
-            np.add.at(den, to, np.repeat(weight[:, None], width, axis=1))
-            down += np.sign(s)[:, None] * (inputs[i] - layers[i][to])
+            weight = np.abs(s)[:, None] * 2 * w
+            aim, _, seen = heading(taken, layers[i][to], wholes[i])
+            np.add.at(num, to, weight * aim)
+            np.add.at(den, to, weight * seen)
+            down += np.sign(s)[:, None] * heading(inputs[i], layers[i][to], wholes[i])[1]
         most = np.abs(down).max(axis=1, keepdims=True)
         pull = np.where(most > 0, down / np.maximum(most, 1e-9) * width * 0.25, 0)
     return out
 
 
 def apply_votes(layer: np.ndarray, num: np.ndarray, den: np.ndarray) -> np.ndarray:
-    """New order of every filter: items by mean position, the old order counting once."""
-    return place((layer + num) / (1 + den))
+    """New order of every filter's items by mean position, the old order counting once; a filter goes on to see the items that it saw."""
+    return np.where(np.isnan(layer), np.float32(np.nan), place((layer + num) / (1 + den)))
 
 
 def train_step(rows: DataFrame, models: dict[int, tuple[Settings, Layers]], step: int, batch: float, share: float = 1.0) -> dict[int, Layers]:
@@ -339,9 +390,14 @@ def fit_grid(train: DataFrame, valid: DataFrame, grid: list[Settings], items: in
     return first.select("label", "error"), second
 
 
+def positions_of(filter_: np.ndarray) -> list[int | None]:
+    """A filter's positions for a table, null for items that it doesn't see."""
+    return [None if np.isnan(v) else int(v) for v in filter_]
+
+
 def bank_table(spark, models: dict[int, Layers]) -> DataFrame:
     """(model, layer, filter, positions) of all models, for saving."""
-    rows = [(m, at, f, [int(v) for v in x]) for m, layers in models.items() for at, layer in enumerate(layers) for f, x in enumerate(layer)]
+    rows = [(m, at, f, positions_of(x)) for m, layers in models.items() for at, layer in enumerate(layers) for f, x in enumerate(layer)]
     return spark.createDataFrame(rows, "model int, layer int, filter int, positions array<int>")
 
 

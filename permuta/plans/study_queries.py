@@ -386,7 +386,11 @@ def knn_grid(spark: SparkSession, d: str) -> DataFrame:
 # Training and scoring
 
 
-@query(f"with init as (select i::int as item, f::int as filter from range(24) r(i), range(32) s(f)) select filter, item, (row_number() over (partition by filter order by {uniform_sql("'21:' || filter::varchar || ':' || item::varchar")}, item) - 1)::int as pos from init, (select count(*) as n from documents) where n > 0")
+FILTERS_SQL = f"""init as (select i::int as item, f::int as filter from range(24) r(i), range(32) s(f)),
+f as (select filter, item, (row_number() over (partition by filter order by {uniform_sql("'21:' || filter::varchar || ':' || item::varchar")}, item) - 1)::int as pos from init, (select count(*) as n from documents) where n > 0)"""
+
+
+@query(f"with {FILTERS_SQL} select filter, item, pos from f")
 def init_filters(spark: SparkSession, d: str) -> DataFrame:
     """Random filters over the letters found in the documents."""
     letters = letter_rankings(spark, d).select("item").distinct().count()
@@ -500,23 +504,45 @@ def save_model(spark: SparkSession, d: str) -> DataFrame:
 
 
 STACK = model.random_layers(model.Settings(seed=4, filters=(16,)), ITEMS, 8)
+FIELD_STACK = model.random_layers(model.Settings(seed=4, filters=(16,), fields=(ITEMS // 2, 6)), ITEMS, 8)
 
 
-def _stack_sql() -> str:
-    """Each layer's distances, and the places of its filters by them."""
+def _stack_sql(layers: model.Layers) -> str:
+    """Each layer's distances, by motions less their mean where its filters have receptive fields, and the places of its filters by them."""
     parts = [f"{LETTERS_SQL}, p0 as (select id, (dense_rank() over (order by item) - 1)::int as i, pos from lr where lang in {LANGS})"]
-    for k, layer in enumerate(STACK):
-        values = ", ".join(f"({f}, {i}, {int(w)})" for f, row in enumerate(layer) for i, w in enumerate(row))
-        parts.append(f"l{k}(f, i, w) as (values {values}), p{k + 1} as (select id, f as i, row_number() over (partition by id order by sum(abs(pos - w)), f) - 1 as pos from p{k} join l{k} using (i) group by id, f)")
-    return f"with {', '.join(parts)} select id, string_agg(pos::varchar, ',' order by i) as positions from p{len(STACK)} group by id"
+    for k, layer in enumerate(layers):
+        values = ", ".join(f"({f}, {i}, {int(w)})" for f, row in enumerate(layer) for i, w in enumerate(row) if w == w)
+        motion = "round_even((pos - w) - avg(pos - w) over (partition by id, f), 0)" if np.isnan(layer).any() else "pos - w"
+        parts.append(f"l{k}(f, i, w) as (values {values}), m{k} as (select id, f, {motion} as m from p{k} join l{k} using (i)), p{k + 1} as (select id, f as i, row_number() over (partition by id order by sum(abs(m)), f) - 1 as pos from m{k} group by id, f)")
+    return f"with {', '.join(parts)} select id, string_agg(pos::varchar, ',' order by i) as positions from p{len(layers)} group by id"
 
 
-@query(_stack_sql())
+@query(_stack_sql(STACK))
 def rank_stack(spark: SparkSession, d: str) -> DataFrame:
     """Two random layers applied to all documents in one pass."""
     return model.rank_stack(letter_positions(spark, d), STACK).select("id", text(F.col("v"), "positions"))
 
 
+@query(_stack_sql(FIELD_STACK))
+def receptive_stack(spark: SparkSession, d: str) -> DataFrame:
+    """Two layers applied to all documents whose filters see twelve letters, then six filters each."""
+    return model.rank_stack(letter_positions(spark, d), FIELD_STACK).select("id", text(F.col("v"), "positions"))
+
+
+@query(f"with {FILTERS_SQL} select filter, item, pos from f where pos < 8")
+def init_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Random filters that see eight of the letters found in the documents each."""
+    letters = letter_rankings(spark, d).select("item").distinct().count()
+    return model.init_filters(spark, letters, 32, 21, 8)
+
+
+@query()
+def fit_fields(spark: SparkSession, d: str) -> DataFrame:
+    """A network whose hidden filters see half of the letters each, on the held-out documents."""
+    best, test = _fitted(spark, d, [model.Settings(seed=8, fields=(ITEMS // 2,))])
+    return model.predict(test, best, ["label"])
+
+
 def _diverse_settings(spark: SparkSession, d: str, views: int) -> list[model.Settings]:
     """A model for each view, the views' strategies in turn, fitted to the training rows."""
     fitted = fit_views(_letters_wide(spark, d).where("id % 5 > 1"), "label", views, 16, 1)

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from permuta.operators.model import Layers, Settings
+from permuta.operators.model import Layers, Settings, positions_of
 
 TABLES = {
     "settings": "model int, settings string",
@@ -36,7 +36,7 @@ def save(spark: SparkSession, path: str, banks: dict[str, dict[int, Layers]], se
     """Write banks by kind (such as 'best'), their models' settings, histories and views, and a note with names or a training state; the version's number."""
     folder = f"{path}/{uuid.uuid4().hex}"
     plain = [(m, json.dumps(asdict(replace(s, view=None)))) for m, s in enumerate(settings)]
-    cells = [(kind, m, at, f, [int(v) for v in x]) for kind, models in banks.items() for m, layers in models.items() for at, layer in enumerate(layers) for f, x in enumerate(layer)]
+    cells = [(kind, m, at, f, positions_of(x)) for kind, models in banks.items() for m, layers in models.items() for at, layer in enumerate(layers) for f, x in enumerate(layer)]
     views = [(m, i, [float(v) for v in row]) for m, s in enumerate(settings) if s.view is not None for i, row in enumerate(s.view)]
     counts, sums = {}, {}
     for (name, schema), rows in zip(TABLES.items(), (plain, cells, views), strict=True):
@@ -74,7 +74,7 @@ def load(spark: SparkSession, path: str, version: int | None = None) -> tuple[di
     settings = []
     for r in sorted(tables["settings"], key=lambda r: r["model"]):
         given = json.loads(r["settings"])
-        given["filters"] = tuple(given["filters"])
+        given |= {k: tuple(given[k]) for k in ("filters", "fields") if k in given}
         settings.append(Settings(**given | {"view": np.array(views[r["model"]]) if r["model"] in views else None}))
     banks: dict[str, dict[int, dict]] = {}
     for r in sorted(tables["banks"], key=lambda r: (r["kind"], r["model"], r["layer"], r["filter"])):
