@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from permuta.sources.tables import small
+from permuta.sources.tables import materialize, small
 
 
 def motions(a: DataFrame, b: DataFrame, key: str, a_pos: str = "pos", b_pos: str = "pos") -> DataFrame:
@@ -117,6 +117,29 @@ def nearest_prototype(rows: DataFrame, prototypes: DataFrame) -> DataFrame:
     return prototype_distances(rows, prototypes).groupBy("id").agg(best).select("id", "b.proto", "b.distance")
 
 
+#: Prototypes that are sent to all rows as one array, at most.
+MOST_PROTOTYPES = 1000
+
+
+def nearest_in_arrays(rows: DataFrame, prototypes: DataFrame, keep: list[str]) -> DataFrame:
+    """(id, keep.., proto, distance) of rows (id, keep.., v: positions of all items in ascending order of the items), ties to the smaller prototype.
+
+    Rows stay where they are: prototypes, all of the same items as the rows, are sent as one
+    array, and the closest is found in one expression, without a shuffle. More than
+    MOST_PROTOTYPES are joined by item instead. Without prototypes there are no rows.
+    """
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("item", "pos"))), lambda s: s["pos"])
+    bank = materialize(prototypes.groupBy("proto").agg(ordered.alias("v")), "prototypes")
+    if bank.count() > MOST_PROTOTYPES:
+        long = lambda side, key: side.select(key, F.posexplode("v").alias("item", "pos"))
+        return rows.select("id", *keep).join(nearest_prototype(long(rows, "id"), long(bank, "proto")), "id")
+    one = bank.agg(F.collect_list(F.struct("proto", "v")).alias("_bank"))
+    total = lambda p: F.aggregate(F.zip_with("v", p["v"], lambda a, b: F.abs(a - b)), F.lit(0).cast("bigint"), lambda s, x: s + x)
+    closest = F.array_min(F.transform("_bank", lambda p: F.struct(total(p).alias("distance"), p["proto"].alias("proto"))))
+    found = rows.join(F.broadcast(one)).where(F.size("_bank") > 0).select("id", *keep, closest.alias("_b"))
+    return found.select("id", *keep, F.col("_b.proto").alias("proto"), F.col("_b.distance").alias("distance"))
+
+
 def inversions(values: np.ndarray, group: np.ndarray) -> np.ndarray:
     """For each group 0 .. of consecutive values, how many pairs stand in descending order; equal values don't count.
 

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from permuta.sources.tables import materialize, table
@@ -66,9 +66,13 @@ def count_letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def letter_rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return letter_orders(letters_wide(spark, sf_dir))
+
+
+def letter_orders(wide: DataFrame) -> DataFrame:
     """(id, lang, item, pos): letters of every document by count, ties by letter."""
     ordered = F.array_sort(F.transform("counts", lambda s: F.struct((-s["n"]).alias("n"), s["item"].alias("item"))))
-    return letters_wide(spark, sf_dir).select("id", "lang", F.posexplode(ordered).alias("pos", "s")).select("id", "lang", F.col("s.item").alias("item"), "pos")
+    return wide.select("id", "lang", F.posexplode(ordered).alias("pos", "s")).select("id", "lang", F.col("s.item").alias("item"), "pos")
 
 
 LETTERS_SQL = """
@@ -79,12 +83,16 @@ lr as (select d.doc_id as id, d.lang, t.item, (row_number() over (partition by d
        from documents d cross join top t left join cnt c on c.doc_id = d.doc_id and c.item = t.item)"""
 
 
+def letter_places() -> Column:
+    """Positions of the letters of letters_wide, in order of the alphabet."""
+    order = F.array_sort(F.transform("counts", lambda s, i: F.struct((-s["n"]).alias("n"), s["item"].alias("item"), i.alias("i"))))
+    return F.transform(F.array_sort(F.transform(order, lambda s, p: F.struct(s["i"].alias("i"), p.alias("p")))), lambda s: s["p"])
+
+
 def letter_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, v, label): positions of the letters, in order of the alphabet, and the language's number."""
-    order = F.array_sort(F.transform("counts", lambda s, i: F.struct((-s["n"]).alias("n"), s["item"].alias("item"), i.alias("i"))))
-    places = F.transform(F.array_sort(F.transform(order, lambda s, p: F.struct(s["i"].alias("i"), p.alias("p")))), lambda s: s["p"])
     label = F.array_position(F.array(*map(F.lit, LANGS)), F.col("lang")).cast("int") - 1
-    return letters_wide(spark, sf_dir).select("id", places.alias("v"), label.alias("label")).where("label >= 0")
+    return letters_wide(spark, sf_dir).select("id", letter_places().alias("v"), label.alias("label")).where("label >= 0")
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,8 +22,11 @@ from .fixtures import (
     ballots,
     ballots_long,
     features_long,
+    letter_orders,
+    letter_places,
     letter_positions,
     letter_rankings,
+    letters_wide,
     query,
     uniform_sql,
     user_ballots,
@@ -376,9 +379,10 @@ def error_rate(spark: SparkSession, d: str) -> DataFrame:
 @query(f"with {NEAR_SQL}, o as (select *, row_number() over (partition by id order by distance, proto) as k from d) select id, label, proto as predicted, distance from o where k = 1")
 def letter_language(spark: SparkSession, d: str) -> DataFrame:
     """The language of every fifth document, by the nearest consensus of the others' letter rankings."""
-    rows = materialize(letter_rankings(spark, d), "letters")
-    found = distance.nearest_prototype(rows.where("id % 5 = 0"), _prototypes(rows))
-    return found.join(rows.where("pos = 0").select("id", F.col("lang").alias("label")), "id").select("id", "label", F.col("proto").alias("predicted"), "distance")
+    wide = letters_wide(spark, d)
+    rows = wide.where("id % 5 = 0").select("id", F.col("lang").alias("label"), letter_places().alias("v"))
+    found = distance.nearest_in_arrays(rows, _prototypes(letter_orders(wide)), ["label"])
+    return found.select("id", "label", F.col("proto").alias("predicted"), "distance")
 
 
 # Consensus, votes and measures

@@ -123,3 +123,25 @@ def test_splits_cover_everything(spark):
     found = sampling.stratified_split(rows, "label", "id", 0.2, 1)
     assert found.count() == 97
     assert {r["label"]: r["n"] for r in found.where("split = 'test'").groupBy("label").agg(F.count("*").alias("n")).collect()} == {0: 6, 1: 6, 2: 6}
+
+
+def test_nearest_in_arrays_equals_the_join_by_item(spark, monkeypatch):
+    rng = random.Random(5)
+    items = list("abcdefg")
+    places = lambda: rng.sample(range(7), 7)
+    data = [(i, f"k{i}", places()) for i in range(60)] + [(3, "again", places()), (99, None, list(range(7)))]
+    bank = {p: places() for p in ("p", "q", "r", None)}
+    bank["z"] = bank["p"]
+    rows = spark.createDataFrame(data, "id long, kept string, v array<int>").repartition(3)
+    prototypes = spark.createDataFrame([(p, c, k) for p, v in bank.items() for c, k in zip(items, v)], "proto string, item string, pos int").repartition(4)
+    order = sorted(bank, key=lambda p: (p is not None, p))
+    far = lambda v, p: sum(abs(a - b) for a, b in zip(v, bank[p]))
+    wanted = {(i, k, p := min(order, key=lambda p: far(v, p)), far(v, p)) for i, k, v in data}
+    found = distance.nearest_in_arrays(rows, prototypes, ["kept"])
+    assert "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    assert set(map(tuple, found.collect())) == wanted and found.count() == len(data)
+    assert distance.nearest_in_arrays(rows, prototypes.limit(0), ["kept"]).count() == 0
+    monkeypatch.setattr(distance, "MOST_PROTOTYPES", 2)
+    unique = rows.where("kept <> 'again' or kept is null")
+    found = distance.nearest_in_arrays(unique, prototypes, ["kept"])
+    assert set(map(tuple, found.collect())) == {x for x in wanted if x[1] != "again"}
