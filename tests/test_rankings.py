@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from permuta.functions import rankings as R
 from permuta.operators import consensus, distance, features, perturb, sampling
+from permuta.sources.tables import materialize, small
 
 
 def one(spark, column, **arrays):
@@ -145,3 +146,16 @@ def test_nearest_in_arrays_equals_the_join_by_item(spark, monkeypatch):
     unique = rows.where("kept <> 'again' or kept is null")
     found = distance.nearest_in_arrays(unique, prototypes, ["kept"])
     assert set(map(tuple, found.collect())) == {x for x in wanted if x[1] != "again"}
+
+
+def test_joins_of_written_tables_dont_broadcast_by_file_size(spark):
+    """A table's files may be a hundredth of its rows in memory; only a side named for it is broadcast."""
+    rows = spark.range(200).select("id", F.lit("a").alias("lang"), F.posexplode(F.array(F.lit("x"), F.lit("y"))).alias("pos", "item"))
+    a = materialize(rows, "letters")
+    b = a.withColumn("id", F.col("id") - 1)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    joined = [distance.motions(a, b, "id"), distance.kendall(a, b, "id"), consensus.rank_agreement(a, b, "id"), consensus.pairwise_preference(a.where("id % 5 <> 0"), group="lang")]
+    for df in joined:
+        assert "SortMergeJoin" in plan(df) and "Broadcast" not in plan(df)
+    assert "BroadcastHashJoin" in plan(a.join(small(a.where("id < 3").select("id", F.col("pos").alias("p"))), "id"))
+    assert distance.motions(a, b, "id").count() == 398
