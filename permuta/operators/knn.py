@@ -7,9 +7,13 @@ the same way. By the triangle inequality two rows are at least as far apart as t
 distances to any pivot differ, which bounds two balls or two blocks as well as two rows.
 
 A pack is first compared with the block most like it, which gives each query a reach: its
-k-th distance so far. Balls that no query of another ball reaches aren't joined, nor
-blocks that no query of a pack reaches, and inside a block only the queries that reach it
-are compared with its rows. What remains is exact.
+k-th distance so far. Packs of neighbouring balls form groups; a task holds a group's
+queries while blocks of the balls they reach stream by, so a row moves once for each
+group and a query once for each task of its group, not for each pair of blocks. Blocks
+that no pack reaches are passed over, the others are compared with the queries that reach
+them: roughly in single precision with room for its error, exactly where that leaves it
+open. What is found shortens the reach. The result is exact; the pairs left to compare
+still grow faster than the rows.
 """
 
 from __future__ import annotations
@@ -27,7 +31,10 @@ from permuta.sources.tables import materialize
 BLOCK = 256
 PIVOTS = 48
 #: Numbers of a distance table computed at once.
-CELLS = 1 << 20
+CELLS = 1 << 18
+#: Queries that a task holds, at most, and rows that it is worth a task to compare them with.
+HELD = 32768
+COLUMN = 8192
 #: Distances are compared after rounding to so many places; bounds leave room for it.
 PLACES = 9
 
@@ -108,53 +115,134 @@ def gap(low: np.ndarray, high: np.ndarray, other_low: np.ndarray, other_high: np
     return np.maximum(low - other_high, other_low - high).max(axis=-1, initial=0) - 10.0**-PLACES
 
 
-_FOUND = "pack bigint, id bigint, ref bigint, distance double, label bigint, compared bigint"
-
-
-def compare(pairs: DataFrame, k: int, metric: str, width: int, reach: bool) -> DataFrame:
-    """The k nearest rows of a block to each query of a pack, for pairs of both: pack, q_ids, q_rows, q_spans, q_reach, ids, labels, rows, low, high. Rows without ref say how many were compared."""
+def homes(pairs: DataFrame, k: int, metric: str) -> DataFrame:
+    """(pack, reach, most, compared) of a pack and one block each (q_ids, q_rows, ids, rows): every query's k-th distance there, and the largest of them; infinite where the block has fewer rows, which says nothing about the rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            out = []
             for row in batch.to_pylist():
-                ids, labels = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["labels"], np.int64)
-                y, q = np.frombuffer(row["rows"], np.float64).reshape(len(ids), -1), np.frombuffer(row["q_ids"], np.int64)
-                x = np.frombuffer(row["q_rows"], np.float64).reshape(len(q), -1)
-                ask = np.arange(len(q))
-                if reach:
-                    spans, low, high = np.frombuffer(row["q_spans"], np.float64).reshape(len(q), width), np.frombuffer(row["low"], np.float64), np.frombuffer(row["high"], np.float64)
-                    ask = np.flatnonzero(gap(spans, spans, low, high) <= np.frombuffer(row["q_reach"], np.float64))
-                by_id = np.argsort(ids, kind="stable")
-                out = [[], [], []]
-                step = max(1, CELLS // max(1, len(ids)))
-                for at in range(0, len(ask), step):
-                    some = ask[at : at + step]
-                    d = distances(x[some], y[by_id], metric)
-                    best = np.argsort(d, axis=1, kind="stable")[:, :k]
-                    out[0].append(np.repeat(q[some], best.shape[1]))
-                    out[1].append(by_id[best].ravel())
-                    out[2].append(np.take_along_axis(d, best, axis=1).ravel())
-                who, where, far = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in out)
-                where = where.astype(np.int64)
-                n = len(who)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([row["pack"]] * (n + 1), pa.int64()), pa.array([*who.tolist(), None], pa.int64()), pa.array([*ids[where].tolist(), None], pa.int64()), pa.array([*far.tolist(), None], pa.float64()),
-                    pa.array([*labels[where].tolist(), None], pa.int64()), pa.array([None] * n + [len(ask) * len(ids)], pa.int64()),
-                ], names=["pack", "id", "ref", "distance", "label", "compared"])
-
-    return pairs.mapInArrow(run, _FOUND)
-
-
-def bounded(pairs: DataFrame, width: int) -> DataFrame:
-    """Pairs (pack, ball, block, q_low, q_high, most, low, high) whose bounds are within the pack's largest reach."""
+                n, many = len(row["q_ids"]) // 8, len(row["ids"]) // 8
+                x, y = np.frombuffer(row["q_rows"], np.float64).reshape(n, -1), np.frombuffer(row["rows"], np.float64).reshape(many, -1)
+                reach = np.partition(distances(x, y, metric), k - 1, axis=1)[:, k - 1] if many >= k else np.full(n, np.inf)
+                out.append((row["pack"], reach.tobytes(), float(reach.max()), n * many))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.float64(), pa.int64()), strict=True)] if out else [pa.array([], t) for t in (pa.int64(), pa.binary(), pa.float64(), pa.int64())], names=["pack", "reach", "most", "compared"])
+
+    return pairs.select("pack", "q_ids", "q_rows", "ids", "rows").mapInArrow(run, "pack bigint, reach binary, most double, compared bigint")
+
+
+class Held:
+    """Queries of a tile with what has been found for each: the k nearest so far, and the reach beyond which nothing counts."""
+
+    def __init__(self, packs: list[dict], k: int, metric: str, centre: np.ndarray):
+        join = lambda c, t: np.frombuffer(b"".join(p[c] for p in packs), t)
+        self.k, self.metric, self.centre, self.compared = k, metric, centre, 0
+        self.ids, self.reach = join("ids", np.int64), join("reach", np.float64).copy()
+        n = len(self.ids)
+        self.rows, self.spans = join("rows", np.float64).reshape(n, -1), join("spans", np.float64).reshape(n, -1)
+        self.low, self.high = join("low", np.float64).reshape(len(packs), -1), join("high", np.float64).reshape(len(packs), -1)
+        self.first = np.cumsum([0, *(len(p["ids"]) // 8 for p in packs)])
+        self.far, self.ref, self.label = np.full((n, k), np.inf), np.zeros((n, k), np.int64), np.zeros((n, k), np.int64)
+        self.most = np.maximum.reduceat(self.reach, self.first[:-1])
+        middle = self.rows - centre
+        self.size = float(np.abs(middle).max(initial=0))
+        # Half precision of a double is enough to leave pairs out, unless numbers are beyond it.
+        self.kind = np.float32 if self.size < 1e15 else np.float64
+        self.short = middle.astype(self.kind)
+        self.norm = (self.short.astype(np.float64) ** 2).sum(axis=1).astype(self.kind)
+
+    def meet(self, block: dict) -> None:
+        """Take what is nearer in a block."""
+        low, high = np.frombuffer(block["low"], np.float64), np.frombuffer(block["high"], np.float64)
+        packs = np.flatnonzero(gap(self.low, self.high, low, high) <= self.most)
+        if not len(packs):
+            return
+        ask = np.concatenate([np.arange(self.first[p], self.first[p + 1]) for p in packs])
+        ask = ask[gap(self.spans[ask], self.spans[ask], low, high) <= self.reach[ask]]
+        ids, labels = np.frombuffer(block["ids"], np.int64), np.frombuffer(block["labels"], np.int64)
+        y = np.frombuffer(block["rows"], np.float64).reshape(len(ids), -1)
+        middle = y - self.centre
+        size = self.size + float(np.abs(middle).max(initial=0))
+        short = np.ascontiguousarray(middle.astype(self.kind if size < 1e15 else np.float64).T)
+        self.compared += len(ask) * len(ids)
+        width = y.shape[1]
+        slack = 1.2e-7 * width * (width + 4) * (size if self.metric == "l1" else size * size)
+        step = max(1, CELLS // len(ids))
+        for at in range(0, len(ask), step):
+            some = ask[at : at + step]
+            limit = self.reach[some] + slack if self.metric == "l1" else (self.reach[some] + 10.0**-PLACES) ** 2 + slack
+            # Pairs that aren't surely farther, numbers that overflow among them, are measured exactly.
+            with np.errstate(all="ignore"):
+                i, j = np.nonzero(~(self.about(some, short) > limit[:, None]))
+            if len(i):
+                self.take(some[i], y[j], ids[j], labels[j])
+        for p in packs:
+            self.most[p] = self.reach[self.first[p] : self.first[p + 1]].max()
+
+    def about(self, some: np.ndarray, short: np.ndarray) -> np.ndarray:
+        """Distances (l2: their squares) of some queries and a block's columns, up to rounding."""
+        x = self.short[some]
+        if self.metric != "l1":
+            return self.norm[some][:, None] + (short * short).sum(axis=0) - 2 * (x @ short)
+        out = np.zeros((len(x), short.shape[1]), np.result_type(x, short))
+        apart = np.empty_like(out)
+        for c in range(len(short)):
+            np.subtract(x[:, c, None], short[c], out=apart)
+            np.abs(apart, out=apart)
+            out += apart
+        return out
+
+    def take(self, who: np.ndarray, y: np.ndarray, ids: np.ndarray, labels: np.ndarray) -> None:
+        """Measure pairs and keep each query's k nearest of them and those before, ties by id."""
+        x, far = self.rows[who], np.zeros(len(who))
+        for c in range(x.shape[1]):
+            apart = x[:, c] - y[:, c]
+            far += np.abs(apart) if self.metric == "l1" else apart * apart
+        far = np.round(far if self.metric == "l1" else np.sqrt(far), PLACES)
+        near = far <= self.reach[who]
+        who, far, ids, labels = who[near], far[near], ids[near], labels[near]
+        asked = np.unique(who)
+        had, at = np.nonzero(np.isfinite(self.far[asked]))
+        had = asked[had]
+        who = np.concatenate([had, who])
+        far, ids, labels = np.concatenate([self.far[had, at], far]), np.concatenate([self.ref[had, at], ids]), np.concatenate([self.label[had, at], labels])
+        order = np.lexsort((ids, far, who))
+        who = who[order]
+        begin = np.flatnonzero(np.append(True, who[1:] != who[:-1])) if len(who) else np.zeros(0, int)
+        place = np.arange(len(who)) - np.repeat(begin, np.diff(np.append(begin, len(who))))
+        order, who, place = order[place < self.k], who[place < self.k], place[place < self.k]
+        self.far[who, place], self.ref[who, place], self.label[who, place] = far[order], ids[order], labels[order]
+        self.reach[asked] = np.minimum(self.reach[asked], self.far[asked, -1])
+
+    def found(self) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(self.ids), 4096):
+            part = slice(at, at + 4096)
+            i, j = np.nonzero(np.isfinite(self.far[part]))
+            cells = [self.ids[part][i], self.ref[part][i, j], self.far[part][i, j], self.label[part][i, j]]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, cells), pa.nulls(len(i), pa.int64())], names=_NAMES)
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.int64())), pa.array([self.compared], pa.int64())], names=_NAMES)
+
+
+_NAMES = ["id", "ref", "distance", "label", "compared"]
+
+
+def compare(tiles: DataFrame, k: int, metric: str, centre: np.ndarray) -> DataFrame:
+    """The k nearest in each partition's blocks to each of its queries, for partitions of rows whose packs (those with a reach) come first. A row without ref says how many pairs were compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packs: list[dict] = []
+        held: Held | None = None
         for batch in batches:
-            low, high, other_low, other_high = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.float64).reshape(batch.num_rows, width) for c in ("q_low", "q_high", "low", "high"))
-            keep = pa.array(gap(low, high, other_low, other_high) <= batch.column("most").to_numpy())
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("pack", "ball", "block")], names=["pack", "ball", "block"])
+            for row in batch.to_pylist():
+                if row["reach"] is not None:
+                    packs.append(row)
+                elif packs or held:
+                    held, packs = held or Held(packs, k, metric, centre), []
+                    held.meet(row)
+        if held:
+            yield from held.found()
 
-    return pairs.mapInArrow(run, "pack bigint, ball int, block bigint")
+    return tiles.select("low", "high", "ids", "labels", "rows", "spans", "reach").mapInArrow(run, "id bigint, ref bigint, distance double, label bigint, compared bigint")
 
 
 def top(found: DataFrame, k: int) -> DataFrame:
@@ -179,9 +267,9 @@ def search(queries: DataFrame, train: DataFrame, k: int, metric: str = "l1", piv
     width = len(points)
     blocks = materialize(packed(train, points, metric, block), "knn-blocks")
     asks = materialize(packed(queries.withColumn("label", F.lit(None).cast("bigint")), points, metric, block).withColumn("pack", F.monotonically_increasing_id()), "knn-packs")
-    q = asks.select("pack", F.col("ball").alias("q_ball"), F.col("near").alias("q_near"), F.col("low").alias("q_low"), F.col("high").alias("q_high"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"), F.col("spans").alias("q_spans"))
+    q = asks.select("pack", F.col("ball").alias("q_ball"), F.col("near").alias("q_near"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"))
 
-    # Bounds of whole balls: as many rows as there are pivots, whatever the number of rows.
+    # Bounds of whole balls and their rows: as many rows as there are pivots, whatever the number of rows.
     def whole(frame: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
         cells = frame.select("ball", "low", "high").mapInArrow(span_rows, "ball int, at int, low double, high double").groupBy("ball", "at").agg(F.min("low").alias("low"), F.max("high").alias("high"))
         out: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -193,33 +281,56 @@ def search(queries: DataFrame, train: DataFrame, k: int, metric: str = "l1", piv
     balls, ask_balls = whole(blocks), whole(asks)
     # Each pack's first block: in its own ball, or the ball whose bounds are closest, the one whose rows are as far from the pivot.
     home = [(b, min(balls, key=lambda o: (o != b, gap(*balls[o], low, high), o))) for b, (low, high) in ask_balls.items()]
-    homes = F.broadcast(spark.createDataFrame(home, "q_ball int, ball int"))
-    near = q.select("pack", "q_ball", "q_near").join(homes, "q_ball").join(blocks.select("ball", "block", F.col("near").alias("_near")), "ball")
+    home = F.broadcast(spark.createDataFrame(home, "q_ball int, ball int"))
+    near = q.select("pack", "q_ball", "q_near").join(home, "q_ball").join(blocks.select("ball", "block", F.col("near").alias("_near")), "ball")
     # Comparing costs more than moving: as many tasks as the session's setting says, however few bytes there are.
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     near = near.groupBy("pack").agg(F.min(F.struct(F.abs(F.col("_near") - F.col("q_near")).alias("d"), "ball", "block")).alias("b"))
     near = materialize(near.select("pack", "b.ball", "b.block"), "knn-homes")
     first = near.join(q, "pack").repartition(parts, "ball", "block").join(blocks, ["ball", "block"])
-    first = materialize(compare(first.withColumn("q_reach", F.lit(None).cast("binary")), k, metric, width, False), "knn-first")
-    reach = first.where("ref is not null").groupBy("pack", "id").agg(F.max("distance").alias("d"), F.count("*").alias("n"))
-    # Fewer than k rows in the first block say nothing about the rest. Equal ids of one pack share the larger reach.
-    reach = reach.select("pack", "id", F.when(F.col("n") >= k, F.col("d")).otherwise(F.lit(float("inf"))).alias("reach"))
-    reach = materialize(reach, "knn-reach")
-    most = materialize(q.select("pack", "q_ball", "q_low", "q_high").join(reach.groupBy("pack").agg(F.max("reach").alias("most")), "pack"), "knn-most")
-    by_ball = {r["q_ball"]: r["most"] for r in most.groupBy("q_ball").agg(F.max("most").alias("most")).collect()}
-    meet = [(b, o) for b, (low, high) in ask_balls.items() for o in balls if gap(low, high, *balls[o]) <= by_ball[b]]
-    meets = F.broadcast(spark.createDataFrame(meet, "q_ball int, ball int"))
-    pairs = most.join(meets, "q_ball").join(blocks.select("ball", "block", "low", "high"), "ball")
-    pairs = materialize(bounded(pairs, width).join(near, ["pack", "ball", "block"], "left_anti"), "knn-pairs")
-    lists = reach.groupBy("pack").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("id", "reach")))).alias("_reach"))
-    rest = pairs.join(with_reach(q.join(lists, "pack")), "pack").repartition(parts, "ball", "block").join(blocks, ["ball", "block"])
-    rest = materialize(compare(rest, k, metric, width, True), "knn-rest")
-    both = first.unionByName(rest)
-    counts = both.agg(F.coalesce(F.sum("compared"), F.lit(0)).alias("compared")).select(F.lit(n_train * queries.count()).cast("bigint").alias("pairs"), "compared")
-    found = top(both.where("ref is not null").select("id", "ref", "distance", F.when(F.col("label") >= 0, F.col("label")).alias("label")), k)
+    first = materialize(homes(first, k, metric), "knn-first")
+    most = asks.select("pack", "ball", "n").join(first.select("pack", "most"), "pack").groupBy("ball").agg(F.max("most").alias("most"), F.sum("n").alias("n"))
+    most = {r["ball"]: (r["most"], r["n"]) for r in most.collect()}
+    group_of = grouped({b: n for b, (_, n) in sorted(most.items())}, parts)
+    groups = 1 + max((g + split - 1 for g, split in group_of.values()), default=-1)
+    columns = max(1, min(-(-parts // max(1, groups)), -(-n_train // COLUMN)))
+    # Every group of packs meets the blocks of the balls that one of its balls reaches, the closest balls first.
+    apart = distances(points, points, metric)
+    meet: dict[tuple[int, int], float] = {}
+    for b, (low, high) in ask_balls.items():
+        for o in balls:
+            if gap(low, high, *balls[o]) <= most[b][0]:
+                for g in range(group_of[b][0], sum(group_of[b])):
+                    meet[g, o] = min(meet.get((g, o), np.inf), float(apart[b, o]))
+    meets = F.broadcast(spark.createDataFrame([(o, g, d) for (g, o), d in meet.items()], "ball int, group int, at double"))
+    packs = F.broadcast(spark.createDataFrame([(b, *v) for b, v in group_of.items()], "ball int, start int, split int"))
+    cells = ["tile", "at", "low", "high", "ids", "labels", "rows", "spans", "reach"]
+    left = asks.join(first.select("pack", "reach"), "pack").join(packs, "ball").withColumn("at", F.lit(-1.0))
+    group = F.col("start") + F.pmod(F.hash("pack"), F.col("split"))
+    left = left.withColumn("tile", F.explode(F.sequence(group * columns, group * columns + columns - 1))).select(cells)
+    right = blocks.withColumn("reach", F.lit(None).cast("binary")).withColumn("spans", F.lit(None).cast("binary")).join(meets, "ball")
+    right = right.withColumn("tile", F.col("group") * columns + F.pmod(F.hash("block"), F.lit(columns))).select(cells)
+    tiles = left.unionByName(right).repartitionById(max(1, groups * columns), F.col("tile")).sortWithinPartitions("at")
+    rest = materialize(compare(tiles, k, metric, points.mean(axis=0)), "knn-rest")
+    compared = first.agg(F.sum("compared").alias("c")).unionByName(rest.agg(F.sum("compared").alias("c"))).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("compared"))
+    counts = compared.select(F.lit(n_train * queries.count()).cast("bigint").alias("pairs"), "compared")
+    found = top(rest.where("ref is not null").select("id", "ref", "distance", F.when(F.col("label") >= 0, F.col("label")).alias("label")), k)
     return found, counts
 
 
+def grouped(sizes: dict[int, int], parts: int) -> dict[int, tuple[int, int]]:
+    """ball -> (first group, groups it is split into), for groups of about as many queries each, HELD at most: small balls share one, large ones are split."""
+    most = min(HELD, max(1, -(-sum(sizes.values()) // max(1, round(parts**0.5)))))
+    out, group, room = {}, -1, 0
+    for ball, n in sizes.items():
+        if n > room:
+            group, room = group + 1, most
+        split = max(1, -(-n // most))
+        out[ball] = (group, split)
+        group, room = group + split - 1, room - n if split == 1 else 0
+    return out
+
+
 def span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(ball, low, high) of blocks -> a row for each of a task's balls and pivots."""
     seen: dict[int, list[np.ndarray]] = {}
@@ -232,19 +343,6 @@ def span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([ball] * len(low), pa.int32()), pa.array(np.arange(len(low), dtype=np.int32)), pa.array(low), pa.array(high)], names=["ball", "at", "low", "high"])
 
 
-def with_reach(rows: DataFrame) -> DataFrame:
-    """_reach, a map from id to reach, as q_reach in the order of q_ids."""
-    kinds = {c: t for c, t in rows.dtypes if c != "_reach"}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            maps = (dict(m) for m in batch.column("_reach").to_pylist())
-            reach = [np.array([m[i] for i in np.frombuffer(q, np.int64).tolist()]).tobytes() for q, m in zip(batch.column("q_ids").to_pylist(), maps, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kinds), pa.array(reach, pa.binary())], names=[*kinds, "q_reach"])
-
-    return rows.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in kinds.items()) + ", q_reach binary")
-
-
 def nearest(queries: DataFrame, train: DataFrame, k: int, metric: str = "l1") -> DataFrame:
     """(id, ref, distance, label): the k nearest of train (id, v, label) to each query (id, v); ties by id."""
     return search(queries, train, k, metric)[0]

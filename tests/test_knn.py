@@ -47,3 +47,38 @@ def test_vectors_of_two_lengths_are_an_error(spark):
     rows = spark.createDataFrame([(1, [1.0, 2.0], 0), (2, [1.0], 0)], "id long, v array<double>, label int").coalesce(1)
     with pytest.raises(Exception):
         knn.nearest(rows.drop("label"), rows, 1).collect()
+
+
+@pytest.mark.parametrize("metric", ["l1", "l2"])
+def test_no_table_has_a_row_for_each_pair_of_blocks(spark, monkeypatch, metric):
+    """Queries in several groups and tasks, rows that repeat, far from zero and in one case beyond single precision."""
+    written = {}
+
+    def counting(df, tag, plain=knn.materialize):
+        made = plain(df, tag)
+        written[tag] = made.count()
+        return made
+
+    monkeypatch.setattr(knn, "materialize", counting)
+    monkeypatch.setattr(knn, "HELD", 40)
+    monkeypatch.setattr(knn, "COLUMN", 300)
+    rng = np.random.default_rng(3)
+    x, q = (rng.integers(0, 6, size=(n, 6)).astype(float) for n in (900, 200))
+    for scale, shift in ((1.0, 0.0), (1.0, 1e7), (2.0**60, 0.0)):
+        found, counts = knn.search(frame(spark, q * scale + shift).drop("label"), frame(spark, x * scale + shift, labels=[int(i % 3) for i in range(900)]), 5, metric, pivots=8, block=8)
+        assert {(r["id"], r["ref"], r["distance"]) for r in found.collect()} == brute(q * scale + shift, x * scale + shift, 5, metric)
+        assert counts.first()["compared"] <= 900 * 200 + 200 * 8
+        tables = {t: n for t, n in written.items() if t != "knn-rest"}
+        assert max(tables.values()) <= 2 * 900 / 8 + 50
+
+
+def test_groups_hold_about_as_many_queries_each():
+    sizes = {0: 10, 1: 5, 2: 500, 3: 20, 7: 90, 8: 30}
+    group_of = knn.grouped(sizes, 25)
+    share = {}
+    for ball, (start, split) in group_of.items():
+        for g in range(start, start + split):
+            share[g] = share.get(g, 0) + sizes[ball] / split
+    assert sorted(share) == list(range(len(share))) and sum(share.values()) == sum(sizes.values())
+    assert max(share.values()) <= 2 * -(-sum(sizes.values()) // 5) and group_of[2][1] > 1
+    assert knn.grouped({}, 4) == {}
