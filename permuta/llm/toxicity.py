@@ -34,6 +34,8 @@ REACH = 3
 LONGEST = 24
 BLOCK = 4096
 CACHE = 100_000
+#: Tokens whose features are found at once.
+TOKENS = 1 << 15
 SHORTEST = 3
 #: Toxic documents that a landmark occurs in, at least; fewer of few: a share of them, but two.
 SUPPORT = 8
@@ -59,7 +61,7 @@ def tokens_of(text: str) -> set[str]:
 
 def windows(token: str) -> list[str]:
     """A token without the signs inside it, between marks of its ends; very long ones as overlapping windows."""
-    marked = f"^{_INSIDE.sub('', token)}$"
+    marked = f"^{token if token.isalnum() else _INSIDE.sub('', token)}$"
     return [marked] if len(marked) <= LONGEST else [marked[i : i + LONGEST] for i in range(0, len(marked) - LONGEST // 2, LONGEST // 2)]
 
 
@@ -72,6 +74,23 @@ def codes(words: list[str]) -> np.ndarray:
     return out
 
 
+def marked_codes(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of all tokens, each without the signs inside it and between marks of its ends, as numbers one after the other; and how many each has."""
+    flat = np.frombuffer("".join(tokens).encode("utf-32-le"), np.int32)
+    owner = np.repeat(np.arange(len(tokens)), np.fromiter(map(len, tokens), np.int64, len(tokens)))
+    inside = np.zeros(int(flat.max(initial=0)) + 1, bool)
+    found = np.flatnonzero(np.bincount(flat, minlength=1))
+    inside[found] = [not _INSIDE.match(chr(c)) for c in found.tolist()]
+    kept = np.flatnonzero(inside[flat])
+    flat, owner = flat[kept], owner[kept]
+    size = np.bincount(owner, minlength=len(tokens)) + 2
+    end = np.cumsum(size)
+    out = np.empty(int(size.sum()), np.int32)
+    out[end - size], out[end - 1] = ord("^"), ord("$")
+    out[np.arange(len(flat)) + 2 * owner + 1] = flat
+    return out, size
+
+
 def kernel(s: np.ndarray, t: np.ndarray, length: int = LENGTH, decay: float = DECAY) -> np.ndarray:
     """Weighted number of common subsequences of ``length`` characters of the rows of s and t.
 
@@ -82,17 +101,20 @@ def kernel(s: np.ndarray, t: np.ndarray, length: int = LENGTH, decay: float = DE
     t = np.where(t == 0, -1, t)
     total = np.zeros(rows, np.float32)
     # ends[p][j]: subsequences of p characters that end before j in t, decayed up to there
-    ends = np.zeros((length, t.shape[1] + 1, rows), np.float32)
+    ends, fresh = (np.zeros((t.shape[1] + 1, length, rows), np.float32) for _ in range(2))
+    begun, t = np.ones((t.shape[1] + 1, 1, rows), np.float32), np.ascontiguousarray(t.T)
     for i in range(s.shape[1]):
-        hits = (s[:, i] == t.T).astype(np.float32)
-        total += (hits * ends[length - 1, :-1]).sum(axis=0)
-        fresh = np.zeros_like(ends)
-        for p in range(1, length):
-            run = np.zeros(rows, np.float32)
-            for j in range(t.shape[1]):
-                run = run * d + hits[j] * (ends[p - 1, j] if p > 1 else 1)
-                fresh[p, j + 1] = run
-        ends = ends * d + fresh
+        hits = (s[:, i] == t).astype(np.float32)
+        total += (hits * ends[:-1, length - 1]).sum(axis=0)
+        # Where p characters can go on to p + 1: from one to two everywhere, then where p have ended; all p at once.
+        more = hits[:, None] * np.concatenate([begun, ends[:, 1:-1]], axis=1)[:-1]
+        run = np.zeros((length - 1, rows), np.float32)
+        for j in range(len(t)):
+            run *= d
+            run += more[j]
+            fresh[j + 1, 1:] = run
+        ends *= d
+        ends += fresh
     return total
 
 
@@ -115,6 +137,9 @@ class Model:
             x = x[x > 0]
             self._pairs[self._slot(x[:-1], x[1:]), i] = 1
         self._pairs[0] = 0
+        # The landmarks that have each pair of characters, one after the other.
+        slot, self._marks = np.nonzero(self._pairs)
+        self._start = np.searchsorted(slot, np.arange((1 << 16) + 1))
         self._needed = np.maximum(1, np.array([(len(x) - 1) // 2 for x in self.landmarks]))
 
     @staticmethod
@@ -142,9 +167,38 @@ class Model:
 
     def token_features(self, tokens: list[str]) -> np.ndarray:
         """Features of tokens, the largest of a long one's windows."""
-        parts = [windows(x) for x in tokens]
-        flat = self.features([y for x in parts for y in x])
-        return np.maximum.reduceat(flat, np.cumsum([0, *map(len, parts)])[:-1], axis=0) if len(flat) else flat
+        return np.concatenate([self._some_features(tokens[i : i + TOKENS]) for i in range(0, len(tokens), TOKENS)] or [np.zeros((0, len(self.landmarks)), np.float32)])
+
+    def _some_features(self, tokens: list[str]) -> np.ndarray:
+        """As features() of windows(), but all tokens' characters are looked through at once, and the kernel runs along landmarks of one length at a time."""
+        many = len(self.landmarks)
+        chars, size = marked_codes(tokens)
+        owner, first = np.repeat(np.arange(len(tokens)), size), np.cumsum(size) - size
+        count = np.zeros(len(tokens) * many, np.int64)
+        for gap in range(1, REACH + 1):
+            slots = self._slot(chars[:-gap], chars[gap:])
+            hit = np.flatnonzero(self._start[slots] < self._start[slots + 1])
+            hit = hit[owner[hit] == owner[hit + gap]]
+            start, n = self._start[slots[hit]], self._start[slots[hit] + 1] - self._start[slots[hit]]
+            which = self._marks[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            count += np.bincount(np.repeat(owner[hit] * many, n) + which, minlength=len(count))
+        word, mark = np.nonzero((count.reshape(-1, many) >= self._needed) & (size <= LONGEST)[:, None])
+        out, length = np.zeros((len(tokens), many), np.float32), (self._codes > 0).sum(axis=1)
+        order = np.lexsort((size[word], length[mark]))
+        word, mark = word[order], mark[order]
+        ends = np.searchsorted(length[mark], np.arange(1, length.max() + 2))
+        for t in range(1, length.max() + 1):
+            for at in range(ends[t - 1], ends[t], BLOCK):
+                w, m = word[at : min(at + BLOCK, ends[t])], mark[at : min(at + BLOCK, ends[t])]
+                place = np.arange(size[w].max())
+                inside = place < size[w, None]
+                s = np.where(inside, chars[np.where(inside, first[w, None] + place, 0)], 0)
+                out[w, m] = np.minimum(kernel(s, self._codes[m, :t]) / self._own[m], 1.5)
+        long = np.flatnonzero(size > LONGEST)
+        if len(long):
+            parts = [windows(tokens[i]) for i in long.tolist()]
+            out[long] = np.maximum.reduceat(self.features([y for x in parts for y in x]), np.cumsum([0, *map(len, parts)])[:-1], axis=0)
+        return out
 
     def margins(self, tokens: list[str]) -> np.ndarray:
         return self.token_features(tokens) @ self.weights + self.bias
