@@ -157,3 +157,19 @@ def test_networks_with_fields_learn_and_are_saved(spark, tmp_path):
     table = model.from_table(model.bank_table(spark, best))
     assert all(np.array_equal(a, b, equal_nan=True) for m in best for a, b in zip(best[m], table[m], strict=True))
     rows.unpersist()
+
+
+def test_votes_sum_as_one_after_the_other_without_add_at(monkeypatch):
+    rng = np.random.default_rng(2)
+    to = rng.integers(0, 7, 5000)
+    for values in (rng.normal(size=(5000, 24)).astype(np.float32), rng.normal(size=(5000, 1)), rng.normal(size=(5000, 24))):
+        for start in (np.zeros((7, 24)), rng.normal(size=(7, 24))):
+            wanted, got = start.copy(), start.copy()
+            np.add.at(wanted, to, values)
+            model.add_rows(got, to, values)
+            assert np.array_equal(got, wanted)
+    rows, layer = (np.argsort(rng.normal(size=(n, 24)), axis=1).astype(np.float32) for n in (3000, 32))
+    rows[:5, :3] = np.nan
+    middle = np.where(np.isnan(rows), 12.0, rows)
+    assert np.array_equal(model.distances(rows, layer), np.abs(middle[:, None] - layer[None]).sum(axis=2))
+    assert model.distances(rows[:0], layer).shape == (0, 32)
