@@ -5,6 +5,10 @@ Features are long (id, feature, x) or wide (id, x array<double>).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,8 +103,6 @@ def calibrate(projected: DataFrame) -> DataFrame:
 
 def discriminants(found: dict, dims: int, ratio: float):
     """Columns that separate the classes of moments {class: (count, sums, sums of products)}, and the scatter of all rows over their number."""
-    import numpy as np
-
     n, total = sum(v[0] for v in found.values()), sum(v[1] for v in found.values())
     mean = total / n
     between = sum(v[0] * np.outer(v[1] / v[0] - mean, v[1] / v[0] - mean) for v in found.values())
@@ -119,8 +121,6 @@ def target_aware_projection(rows: DataFrame, label: str, dims: int, ratio: float
     leading directions, found without a matrix of features x features; discriminants are
     those of that subspace.
     """
-    import numpy as np
-
     wide = features or len(rows.select("x").first()["x"])
     rng = np.random.default_rng(seed)
     if wide <= EXACT:
@@ -146,8 +146,6 @@ def pca_whiten(rows: DataFrame, k: int, features: int | None = None, seed: int =
     Up to EXACT features from their exact covariance, wider ones by a randomised range
     finder of several passes.
     """
-    import numpy as np
-
     if (features or len(rows.select("x").first()["x"])) > EXACT:
         found = leading_subspace(rows, k, passes=6, seed=seed)
         std = np.where(found.std > 0, found.std, np.inf)
@@ -163,7 +161,6 @@ def pca_whiten(rows: DataFrame, k: int, features: int | None = None, seed: int =
 
 def apply_weights(rows: DataFrame, mean, weights, keep: list[str] = ()) -> DataFrame:
     """(id, keep.., z array<double>) of wide rows, in batches; weights are sent to every task once."""
-    import numpy as np
     import pandas as pd
 
     if weights.nbytes > MOST_BYTES:
@@ -192,20 +189,66 @@ def top_features(rows: DataFrame, labels: DataFrame, k: int, bins: int = 4) -> D
     return cells.groupBy("feature").agg(F.round(F.sum("part"), 9).alias("mi")).orderBy(F.col("mi").desc(), "feature").limit(k)
 
 
-def tokens(docs: DataFrame, pattern: str = r"[a-z0-9_]{2,}") -> DataFrame:
-    """(doc_id, word, tf): words of two characters or more, lower-cased."""
-    words = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(pattern), F.lit(0))).alias("word"))
-    return words.groupBy("doc_id", "word").agg(F.count("*").alias("tf"))
+WORD = "abcdefghijklmnopqrstuvwxyz0123456789_"
+
+
+def tokens(docs: DataFrame, letters: str = WORD, least: int = 2) -> DataFrame:
+    """(doc_id, word, tf): runs of at least so many ASCII letters in lower-case text; a doc_id of several rows has each row's counts.
+
+    Counted where the rows are, so nothing is shuffled; bow_counts sums what belongs together.
+    """
+    return _counted(docs, letters, least, ["doc_id"])
+
+
+def word_counts(docs: DataFrame, letters: str = WORD, least: int = 2) -> DataFrame:
+    """(word, tf): the words of tokens, counted in batches of documents; a word has a row for each batch that holds it."""
+    return _counted(docs, letters, least, [])
+
+
+def _counted(docs: DataFrame, letters: str, least: int, keep: list[str]) -> DataFrame:
+    inside = np.zeros(0x100, bool)
+    inside[list(letters.encode("ascii"))] = True
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (x.slice(i, 2000) for x in batches for i in range(0, x.num_rows, 2000)):
+            doc, words = words_of(batch.column(batch.num_columns - 1), inside, least)
+            names, codes = words.dictionary.cast(pa.string()), words.indices.to_numpy()
+            many = max(1, len(names))
+            cells, tf = np.unique(doc * many + codes if keep else codes, return_counts=True)
+            kept = [batch.column(i).take(pa.array(cells // many)) for i in range(len(keep))]
+            yield pa.RecordBatch.from_arrays([*kept, names.take(pa.array(cells % many)), pa.array(tf, pa.int64())], names=[*keep, "word", "tf"])
+
+    kinds = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in keep)
+    return docs.select(*keep, F.lower(F.coalesce("text", F.lit(""))).alias("text")).mapInArrow(run, f"{kinds}word string, tf bigint")
+
+
+def words_of(texts: pa.Array, inside: np.ndarray, least: int) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """Of every run of at least so many bytes that are ``inside``, in order: its text's number and the word itself. No run goes on into the next text."""
+    texts = texts.cast(pa.large_binary())
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    is_word = inside[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[1:-1] = is_word[1:] != is_word[:-1]
+    edge[ends] = True
+    cuts = np.flatnonzero(edge)
+    taken = is_word[cuts[:-1]] & (np.diff(cuts) >= least)
+    runs = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(data)])
+    doc = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(cuts, ends)))
+    return doc[taken], runs.filter(pa.array(taken)).dictionary_encode()
 
 
 def vocabulary(counts: DataFrame, size: int) -> DataFrame:
-    """(word, total, df, word_id): the most frequent words, by name among equals; ids in alphabetical order."""
-    top = counts.groupBy("word").agg(F.sum("tf").alias("total"), F.count("*").alias("df")).orderBy(F.col("total").desc(), "word").limit(size)
+    """(word, total, word_id): the most frequent words, by name among equals; ids in alphabetical order. counts: word, tf."""
+    top = counts.groupBy("word").agg(F.sum("tf").alias("total")).orderBy(F.col("total").desc(), "word").limit(size)
     return top.withColumn("word_id", (F.row_number().over(Window.orderBy("word")) - 1).cast("int"))
 
 
 def bow_counts(counts: DataFrame, vocab: DataFrame) -> DataFrame:
-    return counts.join(small(vocab), "word").select("doc_id", "word_id", "tf")
+    """(doc_id, word_id, tf), dealt by doc_id: the words that the vocabulary knows."""
+    known = counts.join(small(vocab.select("word", "word_id")), "word").select("doc_id", "word_id", "tf")
+    return known.repartition("doc_id").groupBy("doc_id", "word_id").agg(F.sum("tf").alias("tf"))
 
 
 def bow_rank(bow: DataFrame, seed: int) -> DataFrame:
@@ -220,9 +263,10 @@ def bow_presence(bow: DataFrame, length: int = 64) -> DataFrame:
     return bow.groupBy("doc_id").agg(items.alias("items")).select("doc_id", F.concat("items", F.array_repeat(F.lit(0), length - F.size("items"))).alias("items"))
 
 
-def tfidf(bow: DataFrame, vocab: DataFrame, n: int) -> DataFrame:
+def tfidf(bow: DataFrame, n: int) -> DataFrame:
     """(doc_id, word_id, w): tf * (ln((1 + n) / (1 + df)) + 1), each document of unit length."""
-    raw = bow.join(small(vocab.select("word_id", "df")), "word_id").withColumn("w", F.col("tf") * (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1))
+    df = bow.groupBy("word_id").agg(F.count("*").alias("df"))
+    raw = bow.join(small(df), "word_id").withColumn("w", F.col("tf") * (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
     return raw.select("doc_id", "word_id", F.round(F.col("w") / norm, PLACES).alias("w"))
 

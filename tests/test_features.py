@@ -1,5 +1,9 @@
 """Fitted projections, numbering by ranges, neighbours, CSV features, saved models and baselines against numpy."""
 
+import random
+import re
+from collections import Counter
+
 import numpy as np
 import pytest
 
@@ -125,3 +129,25 @@ def test_every_query_without_sql_is_known():
     rest = set(queries.queries()) - set(queries.oracle_sql())
     fitted = {"target_aware_encode", "pca_whiten", "train_step", "fit_fields", "fit_rank_net", "predict", "save_model", "fit_ensemble", "fit_mixture", "run_experiment", "learning_curve", "fit_many", "diverse_views"}
     assert rest == fitted | {"baseline_rf", "baseline_gbt", "baseline_mlp", "baseline_lr_nb", "baseline_svm"}
+
+
+def test_words_are_counted_where_texts_are_and_equal_those_of_a_regex(spark):
+    """Nothing but a document's known words is shuffled; rows of one doc_id are one document."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(["a", "B", "_", "1", " ", ".", "é", "界", "\x00", "K", "ab"]) for _ in range(rng.randrange(12))) for _ in range(400)] + [None, "", "ab", "ab" * 9]
+    data = [(None if i % 90 == 7 else i % 300, x) for i, x in enumerate(texts)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    wanted = Counter((i, w) for i, x in data for w in re.findall("[a-z0-9_]{2,}", (x or "").lower()))
+    assert "Exchange" not in features.tokens(spark.range(5).selectExpr("id as doc_id", "'a b' as text"))._jdf.queryExecution().executedPlan().toString()
+    total = Counter()
+    for (_, w), n in wanted.items():
+        total[w] += n
+    top = sorted(total, key=lambda w: (-total[w], w))[:30]
+    vocab = features.vocabulary(features.word_counts(docs), 30)
+    assert sorted(map(tuple, vocab.collect())) == [(w, total[w], i) for i, w in enumerate(sorted(top))]
+    found = features.bow_counts(features.tokens(docs), vocab)
+    known = sorted(((i, sorted(top).index(w), n) for (i, w), n in wanted.items() if w in top), key=repr)
+    assert sorted(map(tuple, found.collect()), key=repr) == known
+    ranked = features.bow_rank(found, 5)
+    assert ranked._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted((r["doc_id"], r["item"]) for r in ranked.where("doc_id is not null").collect()) == sorted((i, k) for i, k, _ in known if i is not None)
