@@ -36,7 +36,7 @@ def test_query_matches_sql(spark, duck, name):
 
 
 #: Queries on letters in long form; at 1 GB of documents a broadcast of them doesn't fit the driver.
-LETTER_JOINS = ("motion", "motion_average", "motion_median", "motion_mode", "pareto_check", "rank_agreement", "item_motion_mean", "top_fraction")
+LETTER_JOINS = ("motion", "motion_average", "motion_median", "motion_mode", "pareto_check", "rank_agreement", "item_motion_mean", "mean_displacement", "top_fraction")
 
 
 @pytest.mark.parametrize("name", LETTER_JOINS)
