@@ -2,8 +2,9 @@
 
 Equal vectors are one point. Points are dealt into shards by a hash and every shard
 gets a graph of its own. The graph's own edges of near copies tie a shard's points into
-groups. All points then search every shard, block by block, so no task holds more than
-one graph and one block, and what a search finds links two groups. Before that a sample
+groups. A graph is written and sent as a row for each of its points, and no row grows with
+the shard. All points then search every shard: a task reads a graph's rows, then the points
+of a block as they stream by, and what a search finds links two groups. Before that a sample
 of the points, dealt by a hash, searches and is compared with all points as well; the
 beam is widened until this audit passes, which says on how many links it rests.
 
@@ -17,7 +18,6 @@ met by one of its points' searches only.
 
 from __future__ import annotations
 
-import io
 import math
 from collections.abc import Iterator
 
@@ -33,7 +33,10 @@ from .shared import materialize, mix, record
 COSINE = 0.95
 SHARDS = 4
 SHARD_ROWS = 100_000
-BLOCK_ROWS = 16_384
+#: Bytes of a shard's vectors, in single and in double precision.
+SHARD_BYTES = 128 << 20
+#: Points of a block. There are more and smaller blocks, of FEW_ROWS at least, where shards and blocks would make fewer than TASKS tasks.
+BLOCK_ROWS, FEW_ROWS, TASKS = 131_072, 16_384, 32
 DEGREE = 8
 BEAM = 24
 BUILD_BEAM = 32
@@ -41,6 +44,8 @@ BATCH = 256
 #: Points of a cell.
 CELL = 512
 SCAN_CELLS = 1 << 22
+#: Bytes of cells that are sent at once.
+CELL_BYTES = 1 << 22
 #: Of the points, the part that recall is measured on, but so many at least.
 AUDIT_SHARE = 0.01
 AUDIT = 2048
@@ -212,16 +217,21 @@ class SmallWorld:
         keep = cosines(exact, a, exact, b) >= least
         return a[keep], b[keep]
 
-    def pack(self, **more: np.ndarray) -> bytes:
-        file = io.BytesIO()
-        np.savez(file, layers=len(self.members), vectors=self.vectors, **{f"m{i}": x for i, x in enumerate(self.members)}, **{f"l{i}": x for i, x in enumerate(self.links)}, **more)
-        return file.getvalue()
+    def edges(self) -> list[bytes]:
+        """Each node's links in layer 0, then in the layers above that it is in."""
+        out = [row.tobytes() for row in self.links[0]]
+        for nodes, links in zip(self.members[1:], self.links[1:], strict=True):
+            for i, row in zip(nodes.tolist(), links, strict=True):
+                out[i] += row.tobytes()
+        return out
 
     @classmethod
-    def unpack(cls, data: bytes) -> tuple[SmallWorld, dict[str, np.ndarray]]:
-        f = np.load(io.BytesIO(data))
-        n = int(f["layers"])
-        return cls(f["vectors"], [f[f"m{i}"] for i in range(n)], [f[f"l{i}"] for i in range(n)]), f
+    def of(cls, vectors: np.ndarray, edges: list[bytes], degree: int = DEGREE) -> SmallWorld:
+        """The graph that had these edges."""
+        size = np.fromiter(map(len, edges), np.int64, len(edges)) // 4
+        flat, start, level = np.frombuffer(b"".join(edges), np.int32), np.cumsum(size) - size, size // degree - 2
+        members = [np.flatnonzero(level >= at) for at in range(int(level.max()) + 1)]
+        return cls(vectors, members, [flat[(start[x] + (at and (at + 1) * degree))[:, None] + np.arange(degree if at else 2 * degree)] for at, x in enumerate(members)])
 
 
 def cosines(x: np.ndarray, a: np.ndarray, y: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -325,11 +335,12 @@ def compared_cells(pairs: DataFrame, least: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                x, y = (np.frombuffer(row[f"{c}_vecs"], np.float64).reshape(len(row[f"{c}_ids"]) // 8, -1) for c in "ab")
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i].as_buffer() for c in ("a_ids", "a_ns", "a_vecs", "b_ids", "b_ns", "b_vecs")}
+                x, y = (np.frombuffer(row[f"{c}_vecs"], np.float64).reshape(row[f"{c}_ids"].size // 8, -1) for c in "ab")
                 hit = x @ y.T >= least
                 out = [(row["a_ids"], hit @ np.frombuffer(row["b_ns"], np.int64))]
-                if row["a"] != row["b"]:
+                if batch.column("a")[i] != batch.column("b")[i]:
                     out.append((row["b_ids"], np.frombuffer(row["a_ns"], np.int64) @ hit))
                 for ids, n in out:
                     some = n > 0
@@ -357,13 +368,17 @@ def link_counts(cells: DataFrame, ties: DataFrame, least: float) -> DataFrame:
     return sure.unionByName(unsure).groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    x = np.frombuffer(b"".join(column), np.float64).reshape(len(column), -1)
-    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+def unit_rows(vecs: pa.Array, dim: int) -> np.ndarray:
+    """Vectors of ``dim`` components as vector_rows packs them, at length 1 in double precision."""
+    vecs, out = vecs.to_pylist(), np.empty((len(vecs), dim))
+    single = np.fromiter((len(v) == 4 * dim for v in vecs), bool, len(vecs))
+    for kind, some in ((np.float32, single), (np.float64, ~single)):
+        out[some] = np.frombuffer(b"".join(vecs[i] for i in np.flatnonzero(some)), kind).reshape(-1, dim)
+    return out / np.sqrt((out * out).sum(axis=1, keepdims=True))
 
 
 def vector_rows(vectors: DataFrame) -> DataFrame:
-    """vec_id and the vector's bytes in double precision; null where it can link with nothing."""
+    """vec_id, the vector's length and its bytes, in single precision if that holds it exactly, else in double; null where it can link with nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -371,11 +386,87 @@ def vector_rows(vectors: DataFrame) -> DataFrame:
             for x in batch.column(1).to_pylist():
                 v = np.array([np.nan] if x is None or None in x else x, np.float64)
                 with np.errstate(over="ignore", invalid="ignore"):
-                    norm = (v * v).sum()
-                out.append(v.tobytes() if len(v) and np.isfinite(norm) and norm > 0 else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["vec_id", "vec"])
+                    norm, single = (v * v).sum(), v.astype(np.float32)
+                out.append((len(v), (single if (single == v).all() else v).tobytes()) if len(v) and np.isfinite(norm) and norm > 0 else (None, None))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in out], pa.int32()), pa.array([v for _, v in out], pa.binary())], names=["vec_id", "dim", "vec"])
 
-    return vectors.select("vec_id", F.col("embedding").cast("array<double>")).mapInArrow(run, "vec_id bigint, vec binary")
+    return vectors.select("vec_id", F.col("embedding").cast("array<double>")).mapInArrow(run, "vec_id bigint, dim int, vec binary")
+
+
+def runs(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Parts of sorted batches that have one value of the keys, and that value."""
+    for batch in batches:
+        if batch.num_rows:
+            values = np.stack([batch.column(k).to_numpy() for k in keys], axis=1)
+            cuts = [0, *(np.flatnonzero((values[1:] != values[:-1]).any(axis=1)) + 1).tolist(), len(values)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                yield tuple(values[lo].tolist()), batch.slice(lo, hi - lo)
+
+
+def graph_rows(points: DataFrame, shards: int, least: float) -> DataFrame:
+    """points (dim, shard, id, n, vec) with the group that each is in by its shard's graph, the group's size, and the point's links in the graph."""
+    kinds = [("dim", pa.int32()), ("shard", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("vec", pa.binary()), ("gid", pa.int64()), ("members", pa.int64()), ("links", pa.binary())]
+    schema = pa.schema(kinds)
+
+    def built(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not parts:
+            return
+        ids, exact = np.concatenate([x.column("id").to_numpy() for x in parts]), np.concatenate([unit_rows(x.column("vec"), x.column("dim")[0].as_py()) for x in parts])
+        graph = SmallWorld.build(exact.astype(np.float32), ids)
+        groups = np.arange(len(ids))
+        at, root = roots(*graph.ties(exact, least))
+        groups[at] = root
+        members, links, lo = np.bincount(groups)[groups], graph.edges(), 0
+        for x in parts:
+            some = slice(lo, lo + x.num_rows)
+            yield record(schema, *(x.column(c) for c in ("dim", "shard", "id", "n", "vec")), ids[groups[some]], members[some], pa.array(links[some], pa.binary()))
+            lo += x.num_rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = [], None
+        for key, part in runs(batches, "dim", "shard"):
+            if key != at:
+                yield from built(held)
+                held, at = [], key
+            held.append(part)
+        yield from built(held)
+
+    ordered = points.select("dim", "shard", "id", "n", "vec").repartitionById(shards, F.col("shard")).sortWithinPartitions("dim", "shard", "id")
+    return ordered.mapInArrow(run, "dim int, shard int, id bigint, n bigint, vec binary, gid bigint, members bigint, links binary")
+
+
+def cell_rows(points: DataFrame) -> DataFrame:
+    """The cells of points (dim, gid, id, n, vec): gid, members, total, centre, angle, ids, ns, vecs."""
+    schema = pa.schema([("dim", pa.int32()), ("gid", pa.int64()), ("members", pa.int64()), ("total", pa.int64()), ("centre", pa.binary()), ("angle", pa.float64()), ("ids", pa.binary()), ("ns", pa.binary()), ("vecs", pa.binary())])
+
+    def cut(dim: int, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        for c in cells_of(*columns):
+            rows.append(c | {"dim": dim})
+            size += len(c["vecs"])
+            if size > CELL_BYTES:
+                yield pa.RecordBatch.from_pylist(rows, schema)
+                rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = [], 0
+        for (dim,), part in runs(batches, "dim"):
+            if held and dim != at:
+                yield from cut(at, *held)
+                held = []
+            more = [part.column("id").to_numpy(), part.column("n").to_numpy(), unit_rows(part.column("vec"), dim), part.column("gid").to_numpy()]
+            held, at = [np.concatenate(x) for x in zip(held, more, strict=True)] if held else more, dim
+            # The last group may go on.
+            end = int(np.searchsorted(held[3], held[3][-1]))
+            yield from cut(at, *(x[:end] for x in held))
+            held = [x[end:] for x in held]
+        if held:
+            yield from cut(at, *held)
+
+    ordered = points.repartition("dim", "gid").sortWithinPartitions("dim", "gid", "id")
+    return ordered.mapInArrow(run, "dim int, gid bigint, members bigint, total bigint, centre binary, angle double, ids binary, ns binary, vecs binary")
 
 
 def near_duplicates(vectors: DataFrame, least: float = COSINE, shards: int = SHARDS, audits: list[dict] | None = None) -> DataFrame:
@@ -390,57 +481,38 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, shards: int = SHA
     pairs that its searches found.
     """
     rows = materialize(vector_rows(vectors), "vectors")
-    points = rows.where("vec is not null and vec_id is not null").groupBy("vec").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"))
-    total = points.count()
-    shards = max(shards, -(-total // SHARD_ROWS))
-    place = points.select("id", "n", "vec", F.length("vec").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"))
-    place = materialize(place, "vector-points")
-
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        exact, ids = _matrix(pdf["vec"]), pdf["id"].to_numpy()
-        graph = SmallWorld.build(exact.astype(np.float32), ids)
-        groups = np.arange(len(ids))
-        at, root = roots(*graph.ties(exact, least))
-        groups[at] = root
-        return pd.DataFrame({"dim": pdf["dim"].iloc[:1], "shard": pdf["shard"].iloc[:1], "graph": [graph.pack(ids=ids, n=pdf["n"].to_numpy(), exact=exact, groups=ids[groups])]})
-
-    graphs = materialize(place.groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, graph binary"), "vector-graphs")
-
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for dim, data in zip(pdf["dim"], pdf["graph"], strict=True):
-                held = SmallWorld.unpack(data)[1]
-                yield pd.DataFrame([{"dim": dim} | c for c in cells_of(held["ids"], held["n"], held["exact"], held["groups"])])
-
-    cells = graphs.select("dim", "graph").mapInPandas(split, "dim int, gid bigint, members bigint, total bigint, centre binary, angle double, ids binary, ns binary, vecs binary")
-    cells = materialize(cells.withColumn("cell", F.monotonically_increasing_id()), "vector-cells")
-
-    def points_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            held = np.array([len(x) // 8 for x in pdf["ids"]], np.int64)
-            same = {c: np.repeat(pdf[c].to_numpy(), held) for c in ("gid", "dim", "members")}
-            vecs = [x[i * len(x) // k : (i + 1) * len(x) // k] for x, k in zip(pdf["vecs"], held.tolist(), strict=True) for i in range(k)]
-            yield pd.DataFrame({"id": np.frombuffer(b"".join(pdf["ids"]), np.int64), "gid": same["gid"], "dim": same["dim"], "members": same["members"], "n": np.frombuffer(b"".join(pdf["ns"]), np.int64), "vec": vecs})
-
-    known = materialize(cells.select("dim", "gid", "members", "ids", "ns", "vecs").mapInPandas(points_of, "id bigint, gid bigint, dim int, members bigint, n bigint, vec binary"), "vector-members")
+    points = materialize(rows.where("vec is not null and vec_id is not null").groupBy("dim", "vec").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")), "vector-points")
+    total, components_ = points.agg(F.count("*"), F.coalesce(F.sum("dim"), F.lit(0))).first()
+    shards = max(shards, -(-total // SHARD_ROWS), -(-12 * components_ // SHARD_BYTES))
+    nodes = materialize(graph_rows(points.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")), shards, least), "vector-graphs")
+    known = nodes.select("dim", "id", "gid", "members", "n", "vec")
 
     def searched(asks: DataFrame, rows: float, beam: int, audit: bool) -> DataFrame:
         """What asks about ``rows`` points or less find; each graph goes to as many blocks as they need."""
-        empty = {"id": [], "level": [], "true": [], "found": []} if audit else {"a": [], "b": []}
-
-        def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            if left.empty or right.empty:
-                return pd.DataFrame(empty).astype("int64")
-            graph, held = SmallWorld.unpack(right["graph"].iloc[0])
-            shard = Shard(graph, held["ids"], held["exact"], held["groups"], left["id"].to_numpy(), left["gid"].to_numpy(), _matrix(left["vec"]), least)
-            return shard.audit(beam) if audit else shard.links(beam)
-
-        blocks = max(1, math.ceil(rows / BLOCK_ROWS))
-        asks = asks.select("id", "gid", "vec", "dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"))
-        copies = graphs.select("dim", "shard", "graph", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-        found = asks.groupBy("dim", "shard", "block").cogroup(copies.groupBy("dim", "shard", "block")).applyInPandas(search, ", ".join(f"{c} bigint" for c in empty))
-        return materialize(found, "vector-links")
+        schema = pa.schema([(c, pa.int64()) for c in (("id", "level", "true", "found") if audit else ("a", "b"))])
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at = held = graph = None
+            for (*key, asking), part in runs(batches, "dim", "shard", "block", "asking"):
+                if key != at:
+                    at, held, graph = key, [], None
+                columns = [part.column("id").to_numpy(), unit_rows(part.column("vec"), key[0]), part.column("gid").to_numpy()]
+                if not asking:
+                    held.append([*columns, part.column("links").to_pylist()])
+                    continue
+                if held:
+                    ids, exact, groups = (np.concatenate([x[c] for x in held]) for c in range(3))
+                    graph, held = SmallWorld.of(exact.astype(np.float32), [x for *_, links in held for x in links]), []
+                if graph:
+                    shard = Shard(graph, ids, exact, groups, columns[0], columns[2], columns[1], least)
+                    found = shard.audit(beam) if audit else shard.links(beam)
+                    yield record(schema, *(found[c].to_numpy() for c in schema.names))
+
+        blocks = max(1, min(math.ceil(rows / FEW_ROWS), max(math.ceil(rows / BLOCK_ROWS), TASKS // shards)))
+        copies = nodes.select("dim", "shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(0).alias("asking"), "id", "gid", "vec", "links")
+        asks = asks.select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), F.lit(1).alias("asking"), "id", "gid", "vec", F.lit(None).cast("binary").alias("links"))
+        dealt = copies.unionByName(asks).repartitionById(shards * blocks, F.col("shard") * blocks + F.col("block")).sortWithinPartitions("dim", "shard", "block", "asking", "id")
+        return materialize(dealt.mapInArrow(search, ", ".join(f"{c} bigint" for c in schema.names)), "vector-links")
 
     share = int(1e6 * max(AUDIT_SHARE, min(1.0, AUDIT / max(1, total))))
     sample = known.where(F.pmod(F.xxhash64("id", F.lit(2)), F.lit(1_000_000)) < share)
@@ -453,14 +525,18 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, shards: int = SHA
             break
         beam *= 2
     ties = materialize(searched(known, total, beam, False).distinct(), "vector-ties")
+    # Cells are needed of groups of several, and of points that are tied to others.
+    tied = ties.select(F.col("a").alias("gid")).unionByName(ties.select(F.col("b").alias("gid"))).distinct()
+    cells = cell_rows(known.where("members > 1").unionByName(known.where("members = 1").join(tied, "gid", "left_semi").select(known.columns)))
+    cells = materialize(cells.withColumn("cell", F.monotonically_increasing_id()), "vector-cells")
     counts = link_counts(cells, ties, least)
     labels = components(ties)
     own = known.join(counts.withColumnRenamed("n", "links"), "id", "left").join(labels.withColumnRenamed("id", "gid"), "gid", "left")
     # A point of a group of several was counted itself, with all its rows.
     links = F.coalesce("links", F.lit(0)) + F.when(F.col("members") > 1, 0).otherwise(F.col("n")) - 1
     own = own.select("id", "n", links.alias("n_links"), F.coalesce("component", "gid").alias("component"))
-    named = materialize(place.select("id", "vec").join(own.where("n_links > 0 or component <> id"), "id").drop("id"), "vector-known")
-    out = rows.join(named, "vec", "left").withColumn("component_id", F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id")))
+    named = materialize(known.select("id", "dim", "vec").join(own.where("n_links > 0 or component <> id"), "id").drop("id", "n"), "vector-known")
+    out = rows.join(named, ["dim", "vec"], "left").withColumn("component_id", F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id")))
     return out.select("vec_id", F.when(F.col("vec_id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 

@@ -268,6 +268,33 @@ def test_twenty_thousand_vectors_are_linked_by_their_graphs(spark, monkeypatch):
     assert audits[-1]["passed"] and audits[-1]["links"] >= annlinks.AUDIT_LINKS
 
 
+def test_no_row_grows_with_a_shard(spark, monkeypatch):
+    """A shard's graph in one value was 2.7 MB for these 3,000 points; where a shard held 88,000, executors ran out of memory."""
+    written = []
+    write = annlinks.materialize
+    monkeypatch.setattr(annlinks, "materialize", lambda df, tag: written.append((tag, write(df, tag))) or written[-1][1])
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 64))
+    x[1500:] = x[:1500] + rng.normal(scale=0.1, size=(1500, 64))
+    x[::2] = x[::2].astype(np.float32)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in annlinks.near_duplicates(frame, shards=1).collect()}
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    true = (x @ x.T >= annlinks.COSINE).sum(axis=1) - 1
+    assert all(got[i] <= true[i] for i in got) and sum(got.values()) >= 0.99 * true.sum() > 2900
+    longest = {tag: max([0, *(df.agg(F.max(F.length(c))).first()[0] or 0 for c, kind in df.dtypes if kind == "binary")]) for tag, df in written}
+    assert "vector-graphs" in longest and max(longest.values()) <= annlinks.CELL * 64 * 8
+
+
+def test_a_graph_is_the_same_after_its_rows():
+    x = np.random.default_rng(2).normal(size=(900, 24)).astype(np.float32)
+    for n in (1, 900):
+        made = annlinks.SmallWorld.build(x[:n], np.arange(n))
+        again = annlinks.SmallWorld.of(x[:n], made.edges())
+        assert len(made.members) == len(again.members) > (n > 1)
+        assert all((a == b).all() for a, b in zip([*made.members, *made.links], [*again.members, *again.links], strict=True))
+
+
 def test_recall_of_sparse_links_beside_a_dense_group(spark, monkeypatch):
     """A third of the vectors in one group must not hide that the others' links are missed by narrow beams."""
     monkeypatch.setattr(annlinks, "BEAM", 2)
