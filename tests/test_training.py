@@ -1,5 +1,6 @@
 """Views, saved models, training that goes on after a stop, minibatches by bucket, and grids in two phases."""
 
+import inspect
 import os
 import shutil
 from itertools import product
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from permuta.operators import model, views
+from permuta.plans import study_queries
 from permuta.sources import artefacts
 
 from .test_model import rankings
@@ -172,3 +174,39 @@ def test_a_grid_in_two_phases(spark, monkeypatch):
     assert [r["label"] for r in kept] == sorted(errors, key=lambda k: (errors[k], [s.label for s in grid].index(k)))[:2]
     assert all(r["runs"] == 2 and r["first_error"] == errors[r["label"]] and 0 <= r["error"] <= 1 for r in kept)
     rows.unpersist()
+
+
+def test_a_grid_trains_each_setting_for_its_own_steps(spark, monkeypatch):
+    """Two steps of a setting that names five were all it got; views follow the dimensions of a setting's own."""
+    rows = rankings(spark, 60).coalesce(1).cache()
+    views = {e: [np.random.default_rng(10 * e + v).normal(size=(8, e)) for v in range(2)] for e in (4, 6)}
+    grid = [model.Settings(seed=6, filters=(4,), steps=n, view=views[e][0], label=f"{n}/{e}") for n in (None, 5) for e in (4, 6)]
+    trained = []
+    step = model.train_step
+    monkeypatch.setattr(model, "train_step", lambda rows, models, *a, **k: trained.extend((s.label, s.seed, s.view.shape[1]) for s, _ in models.values()) or step(rows, models, *a, **k))
+    first, second = model.fit_grid(rows.where("id % 3 > 0"), rows.where("id % 3 = 0"), grid, 8, 3, 2, 16.0, keep=4, seeds=(0, 1), views=views)
+    counts = {x: trained.count(x) for x in trained}
+    wanted = {(s.label, seed, s.view.shape[1]): s.steps or 2 for s in grid for seed in (6, 0, 1, 1000, 1001)}
+    assert counts == wanted and {r["label"]: r["error"] for r in first.collect()} == {r["label"]: r["first_error"] for r in second.collect()}
+    assert sorted(r["rank"] for r in second.collect()) == [1, 2, 3, 4] and all(r["runs"] == 2 for r in second.collect())
+    rows.unpersist()
+
+
+def test_the_query_searches_the_whole_grid(spark, monkeypatch):
+    """It had 24 settings of two steps, kept three of them, and had three views and two seeds."""
+    asked = inspect.signature(model.fit_grid)
+    calls = []
+
+    def noted(*a, **k):
+        calls.append(asked.bind(*a, **k))
+        calls[-1].apply_defaults()
+        return None, spark.createDataFrame([], "label string, rank int, first_error double, error double, std double, runs long")
+
+    monkeypatch.setattr(model, "fit_grid", noted)
+    study_queries.fit_many(spark, "/root/testdata/sf0.001").collect()
+    (call,) = calls
+    axes = lambda s: (s.filters, s.view.shape[1], s.rate, s.steps, s.swaps, s.learn_last)
+    grid, views = call.arguments["grid"], call.arguments["views"]
+    assert {axes(s) for s in grid} == {axes(s) for s in search_grid()} and len(grid) == len({s.label for s in grid}) == 2016
+    assert call.arguments["keep"] == 15 and len(call.arguments["seeds"]) == 5 and call.arguments["share"] == 1
+    assert {e: len(v) for e, v in views.items()} == dict.fromkeys((5, 10, 16, 32), 7) and all(v.shape[1] == e for e, x in views.items() for v in x)
